@@ -108,7 +108,7 @@ def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The query: fingerprints of every document and of its edited text, and their likeness."""
     rows = with_next(table(spark, sf_dir, "documents"))
     rows = rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), edited(F.col("text"), F.col("next_text")).alias("e"), F.array(F.col("text"), edited(F.col("text"), F.col("next_text")), F.col("next_text")).alias("all"))
-    made = rows.select("doc_id", "n_chars", F.sha2(F.encode("e", "UTF-8"), 256).alias("edited_sha256"), F.transform("all", sketch).alias("s"))
+    made = rows.select("doc_id", "n_chars", F.sha2(F.encode("e", "UTF-8"), 256).alias("edited_sha256"), F.transform("all", lambda t: sketch(t)).alias("s"))
     # one evaluation of the three sketches, then the columns made from them
     row = F.transform(F.array("s"), lambda s: F.struct(as_text(F.get(s, F.lit(0))).alias("fingerprint"), as_text(F.get(s, F.lit(1))).alias("edited_fingerprint"), resemblance(F.get(s, F.lit(0)), F.get(s, F.lit(1))).alias("near_edited"), resemblance(F.get(s, F.lit(0)), F.get(s, F.lit(2))).alias("near_next")))
     return made.select("doc_id", "n_chars", "edited_sha256", F.inline(row))
