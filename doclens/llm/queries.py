@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from doclens.llm import bpe, fingerprint, warc
+from doclens.llm import bpe, fingerprint, langid, warc
 
 QUERIES = {
     "op5_bpe": bpe.digests,
     "op7_fingerprints": fingerprint.fingerprints,
     "op8_warc": warc.archive,
+    "op10_language": langid.languages,
 }
 
 ORACLE_SQL = {
