@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from doclens.llm import bpe, fingerprint, langid, warc
+from doclens.llm import bpe, fingerprint, langid, toxicity, warc
 
 QUERIES = {
     "op5_bpe": bpe.digests,
+    "op6_toxicity": toxicity.toxicity,
     "op7_fingerprints": fingerprint.fingerprints,
     "op8_warc": warc.archive,
     "op10_language": langid.languages,
