@@ -34,6 +34,8 @@ MOST_FEATURES = 5_000
 TOXIC_AT = 0.7
 #: Least evidence (log likelihood ratio over all documents) of a learned entry.
 EVIDENCE = 14.0
+#: Most part of a learned entry's documents that may be clean.
+MOST_CLEAN = 0.1
 
 # A general lexicon.
 INSULTS = "idiot idiots moron morons stupid dumb loser losers scum trash clown pathetic worthless disgusting imbecile fool fools dumbass asshole bastard bitch cretin degenerate filth freak garbage jerk pig rat vermin"
@@ -191,8 +193,10 @@ def choose(rows: list[tuple[str, list[int], int]], toxic: int, clean: int) -> di
         key = (frozenset(docs), c)
         if key not in longest or (len(name.rstrip("-")), name.endswith("-")) > (len(longest[key][0].rstrip("-")), longest[key][0].endswith("-")):
             longest[key] = (name, c)
-    pool = [(name, docs, c) for (docs, c), (name, _) in longest.items()]
-    strong = 12.0 + math.log(max(len(rows), 1))
+    pool = [(name, docs, c) for (docs, c), (name, _) in longest.items() if (c + 0.5) / (len(docs) + c + 1) <= MOST_CLEAN]
+    # a stem gives way to a longer entry that has nearly all its toxic documents and fewer clean ones
+    pool = [x for x in pool if not x[0].endswith("-") or not any(y[0].startswith(x[0][:-1]) and y[2] < x[2] and len(y[1]) >= 0.9 * len(x[1]) for y in pool)]
+    strong = 16.0 + math.log(max(len(rows), 1))
     taken = [(n, d, c) for n, d, c in pool if evidence(len(d), c) >= strong]
     left = set().union(*(d for _, d, _ in pool)) if pool else set()
     left -= set().union(*(d for _, d, _ in taken)) if taken else set()
