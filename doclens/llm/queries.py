@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from doclens.llm import bpe, fingerprint, langid, toxicity, warc
+from doclens.llm import bpe, fingerprint, jaccard, langid, toxicity, warc
 
 QUERIES = {
+    "op1_jaccard_join": jaccard.near_copies,
     "op5_bpe": bpe.digests,
     "op6_toxicity": toxicity.toxicity,
     "op7_fingerprints": fingerprint.fingerprints,
@@ -13,5 +14,6 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_jaccard_join": jaccard.SQL,
     "op8_warc": warc.SQL,
 }
