@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from doclens.llm import bpe, fingerprint, jaccard, langid, toxicity, warc
+from doclens.llm import bpe, decontaminate, fingerprint, jaccard, langid, toxicity, warc
 
 QUERIES = {
     "op1_jaccard_join": jaccard.near_copies,
+    "op4_decontamination": decontaminate.leaks,
     "op5_bpe": bpe.digests,
     "op6_toxicity": toxicity.toxicity,
     "op7_fingerprints": fingerprint.fingerprints,
