@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
-from doclens.llm import bpe, decontaminate, fingerprint, jaccard, langid, toxicity, warc
+from doclens.llm import bpe, chat, decontaminate, fingerprint, jaccard, langid, licenses, sharding, toxicity, warc
 
 QUERIES = {
     "op1_jaccard_join": jaccard.near_copies,
+    "op2_licenses": licenses.licenses,
+    "op3_sharding": sharding.shards,
     "op4_decontamination": decontaminate.leaks,
     "op5_bpe": bpe.digests,
     "op6_toxicity": toxicity.toxicity,
     "op7_fingerprints": fingerprint.fingerprints,
     "op8_warc": warc.archive,
+    "op9_tool_calls": chat.linked,
     "op10_language": langid.languages,
 }
 
 ORACLE_SQL = {
     "op1_jaccard_join": jaccard.SQL,
+    "op2_licenses": licenses.SQL,
+    "op3_sharding": sharding.SQL,
     "op8_warc": warc.SQL,
+    "op9_tool_calls": chat.SQL,
 }
