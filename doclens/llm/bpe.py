@@ -231,3 +231,9 @@ def digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The query: every whole text encoded and decoded, as digests."""
     done = encode_decode(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
+
+
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Last pipeline stage: documents with their ids and number of tokens; the round trip's digest stands for the decoded text."""
+    done = encode_decode(docs)
+    return done.withColumns({"n_tokens": F.size("ids").cast("long"), "decoded_sha256": F.sha2(F.encode("decoded", "UTF-8"), 256)}).drop("decoded")
