@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from doclens.llm.common import bound_arrow, slices, table
+from doclens.llm.common import bound_arrow, slices, table, without
 
 NO_PAIR = 1 << 62
 #: Words that a worker remembers; when full, the older half goes. (A chunk is what stands between white space.)
@@ -207,10 +207,9 @@ def vocabulary(path: str | None = None, most: int = 64 << 20) -> str:
 def encode_decode(docs: DataFrame, path: str | None = None, text: str = "text") -> DataFrame:
     """Append ``ids`` (array<int>) and ``decoded`` (string) to every row.
 
-    The two names must be free; a frame that already has one of them is refused.
+    They take the place of input columns of those names.
     """
-    if clash := {"ids", "decoded"} & {c.lower() for c in docs.columns}:
-        raise ValueError(f"columns {sorted(clash)} exist already")
+    docs = without(docs, "ids", "decoded")
     spark = docs.sparkSession
     bound_arrow(spark)
     blob = spark.sparkContext.broadcast(vocabulary(path))
@@ -235,5 +234,5 @@ def digests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Last pipeline stage: documents with their ids and number of tokens; the round trip's digest stands for the decoded text."""
-    done = encode_decode(docs)
+    done = encode_decode(without(docs, "n_tokens", "decoded_sha256"))
     return done.withColumns({"n_tokens": F.size("ids").cast("long"), "decoded_sha256": F.sha2(F.encode("decoded", "UTF-8"), 256)}).drop("decoded")

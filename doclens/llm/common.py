@@ -51,6 +51,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def without(df: DataFrame, *names: str) -> DataFrame:
+    """The frame without columns of these names, in any letter case: what an operator appends takes their place."""
+    gone = {n.lower() for n in names}
+    return df.select(*(F.col(f"`{c.replace('`', '``')}`") for c in df.columns if c.lower() not in gone))
+
+
+def free(df: DataFrame, name: str) -> str:
+    """``name``, with underscores added until no column has it or begins with it."""
+    have = [c.lower() for c in df.columns]
+    while any(c.startswith(name.lower()) for c in have):
+        name = "_" + name
+    return name
+
+
 def remove(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
@@ -84,7 +98,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 40) -
     to the shared folder; nothing but a count and a checksum reaches the driver, and a node with very
     many edges is only ever aggregated by partial minima or joined by an equi-join that AQE can split.
     """
-    spark = edges.sparkSession
     now = stored(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc")
     mark = None
     for _ in range(rounds):
@@ -101,4 +114,5 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 40) -
         mark = seen
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
-    return now.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root").unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()).groupBy("node").agg(F.min("root").alias("root")) if spark else now
+    ends = now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")))
+    return ends.groupBy("node").agg(F.min("root").alias("root"))

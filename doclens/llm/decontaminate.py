@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from doclens.llm.common import bound_arrow, slices, table
+from doclens.llm.common import bound_arrow, free, slices, table, without
 from doclens.llm.shingles import mix, word_hashes
 
 N = 3
@@ -151,10 +151,12 @@ COLUMNS = [("contaminated", T.BooleanType(), pa.bool_()), ("item_id", T.LongType
 
 
 def screen(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", prefix: str = "", most_words: int = MOST_ITEM_WORDS) -> DataFrame:
-    """Append contaminated, item_id, score, n_items, start_word and end_word (each with ``prefix``) to every row."""
+    """Append contaminated, item_id, score, n_items, start_word and end_word (each with ``prefix``) to every row.
+
+    They take the place of input columns of those names.
+    """
     names = [prefix + c for c, _, _ in COLUMNS]
-    if clash := {c.lower() for c in names} & {c.lower() for c in docs.columns}:
-        raise ValueError(f"columns {sorted(clash)} exist already")
+    docs = without(docs, *names)
     spark = docs.sparkSession
     bound_arrow(spark)
     tests = items.select(F.col(item_key).cast("long").alias("id"), F.col(item_text).alias("text")).where("id is not null").distinct()
@@ -235,9 +237,11 @@ def _screen_by_join(docs: DataFrame, tests: DataFrame, text: str, names: list[st
 
     scored = pairs.select("key", "id", "text", "item", "shifts").mapInArrow(run, "key long, id long, score double, n long, s long, e long").where("score > 0")
     best = scored.groupBy("key").agg(F.max(F.struct("score", (-F.col("id")).alias("id"), "s", "e")).alias("b"), F.sum("n").alias("n"))
-    own = docs.withColumn("_decon_key", th)
-    joined = own.join(best, own["_decon_key"] == best["key"], "left")
-    values = [F.coalesce(F.col("b.score") >= AT_LEAST, F.lit(False)), -F.col("b.id"), F.coalesce("b.score", F.lit(0.0)), F.coalesce("n", F.lit(0).cast("long")), F.col("b.s"), F.col("b.e")]
+    name = free(docs, "_key")
+    own = docs.withColumn(name, th)
+    joined = own.join(best, own[name] == best["key"], "left")
+    b = best["b"]
+    values = [F.coalesce(b["score"] >= AT_LEAST, F.lit(False)), -b["id"], F.coalesce(b["score"], F.lit(0.0)), F.coalesce(best["n"], F.lit(0).cast("long")), b["s"], b["e"]]
     return joined.select(*(own[c] for c in docs.columns), *(v.alias(n) for v, n in zip(values, names, strict=True)))
 
 
@@ -249,4 +253,5 @@ def leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: contaminated documents go."""
-    return screen(docs, table(spark, sf_dir, "benchmark"), prefix="_decon_").where("not _decon_contaminated").select(*docs.columns)
+    prefix = free(docs, "_decon_")
+    return screen(docs, table(spark, sf_dir, "benchmark"), prefix=prefix).where(~F.col(f"{prefix}contaminated")).select(*docs.columns)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doclens.llm.common import bound_arrow, components, slices, stored, table
+from doclens.llm.common import bound_arrow, components, free, slices, stored, table
 from doclens.llm.shingles import WORDS, mix, shingle_sets
 
 THRESHOLD = 0.8
@@ -215,8 +215,9 @@ def near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each group the document with the least id stays, once."""
     kept = join(docs).where("key is null or key = group_id").select(F.col("key").alias("_key"), F.col("th").alias("_kept")).distinct()
-    own = docs.withColumn("_th", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
-    return own.join(kept, own["doc_id"].eqNullSafe(kept["_key"]) & (own["_th"] == kept["_kept"]), "left_semi").dropDuplicates(["doc_id", "_th"]).drop("_th")
+    name = free(docs, "_th")
+    own = docs.withColumn(name, F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
+    return own.join(kept, own["doc_id"].eqNullSafe(kept["_key"]) & (own[name] == kept["_kept"]), "left_semi").dropDuplicates(["doc_id", name]).drop(name)
 
 
 #: Exact, for small tables: all pairs that share a shingle.

@@ -24,7 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from doclens.llm.common import bound_arrow, fold, slices, table
+from doclens.llm.common import bound_arrow, fold, free, slices, table, without
 
 RANKS = 300
 MOST_LEARNED = 50_000
@@ -149,9 +149,8 @@ def learn(docs: DataFrame, lang: str = "lang", text: str = "text", key: str = "d
 
 
 def identify(docs: DataFrame, profiles: Profiles, text: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """Append the predicted language and its score to every row; the two names must be free."""
-    if clash := {*names} & {c.lower() for c in docs.columns}:
-        raise ValueError(f"columns {sorted(clash)} exist already")
+    """Append the predicted language and its score to every row, in place of input columns of those names."""
+    docs = without(docs, *names)
     spark = docs.sparkSession
     bound_arrow(spark)
     sent = spark.sparkContext.broadcast(profiles)  # languages times ranks, both bounded
@@ -175,4 +174,5 @@ def languages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents without a recognisable language go."""
     profiles = learn(docs.select("doc_id", "text", "lang").where(fold("doc_id", 4) != 2))
-    return identify(docs, profiles, names=("_lang_pred", "_lang_score")).where(F.col("_lang_pred") != UNKNOWN).drop("_lang_pred", "_lang_score")
+    name = free(docs, "_lang")
+    return identify(docs, profiles, names=(f"{name}_pred", f"{name}_score")).where(F.col(f"{name}_pred") != UNKNOWN).drop(f"{name}_pred", f"{name}_score")

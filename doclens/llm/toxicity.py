@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from doclens.llm.common import bound_arrow, fold, slices, table
+from doclens.llm.common import bound_arrow, fold, free, slices, table, without
 from doclens.llm.fingerprint import shingle_hashes
 
 MOST_LEARNED = 6_000
@@ -294,9 +294,8 @@ def weigh(rows: DataFrame, model: Model, toxic: int, clean: int) -> Model:
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
-    """Append the score, in 0..1, to every row; its name must be free."""
-    if name.lower() in {c.lower() for c in docs.columns}:
-        raise ValueError(f"column {name} exists already")
+    """Append the score, in 0..1, to every row, in place of an input column of its name."""
+    docs = without(docs, name)
     spark = docs.sparkSession
     bound_arrow(spark)
     sent = spark.sparkContext.broadcast(model)  # MOST_FEATURES entries at most
@@ -322,4 +321,5 @@ def toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: toxic documents go."""
-    return score(docs, _model(spark, docs, sf_dir), name="_toxic_score").where(F.col("_toxic_score") < TOXIC_AT).drop("_toxic_score")
+    name = free(docs, "_toxic_score")
+    return score(docs, _model(spark, docs, sf_dir), name=name).where(F.col(name) < TOXIC_AT).drop(name)
