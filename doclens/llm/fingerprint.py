@@ -13,6 +13,7 @@ sketches; other columns pass through.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from doclens.llm.common import table
@@ -22,6 +23,8 @@ WORDS = 5
 SCALE = 8
 #: Ranges of ids into which documents are dealt to find each one's successor.
 RANGES = 512
+#: Rows that a part of a range has, about.
+RANGE_ROWS = 2000
 
 
 def words(text: Column) -> Column:
@@ -78,24 +81,28 @@ def containment(a: Column, b: Column) -> Column:
 def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, text, next_text): the text of the row after, by ascending key and then text; the first after the last.
 
-    Rows go to key ranges bounded by quantiles, one window task each. The first row of every
-    range is also sent to the range before it, so that no window spans the whole table. Null texts are
-    empty; a null key comes first.
+    Rows go to RANGES key ranges bounded by quantiles, each cut evenly by key into as many parts as keep a part at
+    about RANGE_ROWS, one window task each. The first row of every part is also sent to the part before it, so no
+    window spans the whole table. Null texts are empty; a null key comes first.
     """
     rows = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    cuts = rows.agg(F.percentile_approx("k", [i / RANGES for i in range(1, RANGES)], 10000).alias("cuts"))  # one row
-    dealt = rows.join(F.broadcast(cuts), how="cross").select("k", "t", F.coalesce(F.size(F.filter(F.array_distinct("cuts"), lambda c: c <= F.col("k"))), F.lit(0)).alias("part"))
-    firsts = dealt.groupBy("part").agg(F.min(F.struct("k", "t")).alias("first"))  # RANGES rows at most
-    ring = firsts.groupBy().agg(F.array_sort(F.collect_list("part")).alias("parts"))
-    before = firsts.join(F.broadcast(ring), how="cross").select(
-        F.col("first.k").alias("k"),
-        F.col("first.t").alias("t"),
-        F.coalesce(F.array_max(F.filter("parts", lambda p: p < F.col("part"))), F.array_max("parts")).alias("part"),
-        F.lit(1).alias("guest"),
-    )
+    # one row: the least key, the quantiles, the key after the greatest, and the parts of a range
+    marks = F.concat(F.array(F.min("k")), F.percentile_approx("k", [i / RANGES for i in range(1, RANGES)], 10000), F.array(F.max("k") + 1))
+    cuts = docs.select(F.col(key).alias("k")).agg(F.array_distinct(marks).alias("cuts"), F.greatest(F.lit(1), F.ceil(F.count("*") / (RANGES * RANGE_ROWS))).cast("int").alias("cut"))
+    ranged = rows.join(F.broadcast(cuts), how="cross").withColumn("range", F.greatest(F.lit(1), F.coalesce(F.size(F.filter("cuts", lambda c: c <= F.col("k"))), F.lit(1))))
+    low, high = F.get("cuts", F.col("range") - 1).cast("double"), F.get("cuts", F.col("range")).cast("double")
+    part = F.least(F.floor((F.col("k").cast("double") - low) / (high - low) * F.col("cut")), F.col("cut") - 1)
+    dealt = ranged.select("k", "t", "range", F.greatest(F.coalesce(part.cast("long"), F.lit(0)), F.lit(0)).cast("long").alias("part"))
+    firsts = dealt.groupBy("range", "part").agg(F.min(F.struct("k", "t")).alias("first"))
+    ring = firsts.groupBy("range").agg(F.max("part").alias("last")).groupBy().agg(F.array_sort(F.collect_list(F.struct("range", "last"))).alias("ring"))  # RANGES entries at most
+    prior = F.lag("part").over(W.partitionBy("range").orderBy("part"))
+    there = firsts.withColumn("prior", prior).join(F.broadcast(ring), how="cross")
+    turn = F.coalesce(F.array_max(F.filter("ring", lambda r: r["range"] < F.col("range"))), F.array_max("ring"))
+    there = there.withColumn("turn", turn).withColumn("to", F.when(F.col("prior").isNull(), F.col("turn.range")).otherwise(F.col("range")))
+    before = there.select(F.col("first.k").alias("k"), F.col("first.t").alias("t"), F.col("to").alias("range"), F.coalesce("prior", "turn.last").alias("part"), F.lit(1).alias("guest"))
     every = dealt.withColumn("guest", F.lit(0)).unionByName(before)
-    # within a range a guest stands last, whatever its key
-    return every.selectExpr("part", "k", "t", "guest", "lead(t) over (partition by part order by guest, k, t) as next_text").where("guest = 0").select(F.col("k").alias(key), F.col("t").alias(text), "next_text")
+    # within a part a guest stands last, whatever its key
+    return every.selectExpr("k", "t", "guest", "lead(t) over (partition by range, part order by guest, k, t) as next_text").where("guest = 0").select(F.col("k").alias(key), F.col("t").alias(text), "next_text")
 
 
 def edited(text: Column, after: Column) -> Column:
