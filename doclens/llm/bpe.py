@@ -40,10 +40,15 @@ class PairTree:
     """Segment tree of keys ``rank << 32 | position``; its root is the leftmost pair of lowest rank."""
 
     def __init__(self, keys: list[int]):
-        self.width = 1 << max(0, (len(keys) - 1).bit_length())
-        self.node = [NO_PAIR] * self.width + keys + [NO_PAIR] * (self.width - len(keys))
-        for i in range(self.width - 1, 0, -1):
-            self.node[i] = min(self.node[2 * i], self.node[2 * i + 1])
+        self.width = width = 1 << max(0, (len(keys) - 1).bit_length())
+        level = keys + [NO_PAIR] * (width - len(keys))
+        levels = [level]
+        while len(level) > 1:
+            level = list(map(min, level[::2], level[1::2]))
+            levels.append(level)
+        self.node = [NO_PAIR]
+        for level in reversed(levels):
+            self.node += level
 
     def root(self) -> int:
         return self.node[1]
@@ -51,14 +56,14 @@ class PairTree:
     def put(self, at: int, key: int) -> None:
         node, i = self.node, at + self.width
         node[i] = key
-        i >>= 1
-        while i:
-            left, right = node[2 * i], node[2 * i + 1]
-            low = left if left < right else right
-            if node[i] == low:
-                return
-            node[i] = low
+        while i > 1:
+            other = node[i ^ 1]
+            if other < key:
+                key = other
             i >>= 1
+            if node[i] == key:
+                return
+            node[i] = key
 
 
 def merged(ids: list[int], merges: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
@@ -66,26 +71,32 @@ def merged(ids: list[int], merges: dict[tuple[int, int], tuple[int, int]]) -> li
     n = len(ids)
     if n < 2:
         return ids
-    ids = list(ids)
     find = merges.get
-    none = (NO_PAIR >> 32, -1)
-    tree = PairTree([(find((ids[i], ids[i + 1]), none)[0] << 32) | i for i in range(n - 1)])
+    pairs = [find(p) for p in zip(ids, ids[1:], strict=False)]
+    keys = [NO_PAIR if p is None else p[0] << 32 | i for i, p in enumerate(pairs)]
+    tree = PairTree(keys)
+    node, put = tree.node, tree.put
+    if node[1] >= NO_PAIR:
+        return ids
+    ids = list(ids)
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    while (key := tree.root()) < NO_PAIR:
+    while (key := node[1]) < NO_PAIR:
         i = key & 0xFFFFFFFF
         j = after[i]
-        ids[i] = find((ids[i], ids[j]))[1]
+        ids[i] = new = find((ids[i], ids[j]))[1]
         ids[j] = -1
         k = after[i] = after[j]
         if j < n - 1:
-            tree.put(j, NO_PAIR | j)
+            put(j, NO_PAIR)
         if k < n:
             before[k] = i
-            tree.put(i, (find((ids[i], ids[k]), none)[0] << 32) | i)
+            pair = find((new, ids[k]))
+            put(i, NO_PAIR if pair is None else pair[0] << 32 | i)
         else:
-            tree.put(i, NO_PAIR | i)
+            put(i, NO_PAIR)
         if (h := before[i]) >= 0:
-            tree.put(h, (find((ids[h], ids[i]), none)[0] << 32) | h)
+            pair = find((ids[h], new))
+            put(h, NO_PAIR if pair is None else pair[0] << 32 | h)
     return [x for x in ids if x >= 0]
 
 
@@ -133,6 +144,8 @@ class Codec:
         self.letter = byte_letters()
         self.new: dict[str, tuple] = {}
         self.old: dict[str, tuple] = {}
+        self.new_words: dict[str, list[int]] = {}
+        self.old_words: dict[str, list[int]] = {}
 
     def normal(self, text: str) -> str:
         if not text.isascii():
@@ -141,14 +154,23 @@ class Codec:
                 return "".join(c.lower() for c in text)
         return text.lower()
 
+    def word(self, word: str) -> list[int]:
+        """Ids of one word, remembered apart from the chunks, as a word stands beside many punctuation marks."""
+        if (ids := self.old_words.get(word)) is None:
+            letters = [self.letter[b] for b in word.encode("utf-8", "surrogatepass")]
+            letters[-1] += self.end
+            ids = merged([self.vocab[x] for x in letters if x in self.vocab], self.merges)
+        if len(self.new_words) >= CACHE_WORDS:
+            self.old_words, self.new_words = self.new_words, {}
+        self.new_words[word] = ids
+        return ids
+
     def chunk(self, chunk: str) -> tuple[bytes, str]:
         """Ids (as int32 bytes) and decoded text of a chunk without white space; no word goes beyond one."""
         if (got := self.old.get(chunk)) is None:
             ids: list[int] = []
             for word in self.pattern.findall(chunk):
-                letters = [self.letter[b] for b in word.encode("utf-8", "surrogatepass")]
-                letters[-1] += self.end
-                ids += merged([self.vocab[x] for x in letters if x in self.vocab], self.merges)
+                ids += self.new_words.get(word) or self.word(word)
             got = (np.array(ids, np.int32).tobytes(), self.decode(ids))
         if len(self.new) >= CACHE_WORDS:
             self.old, self.new = self.new, {}
