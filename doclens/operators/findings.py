@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from doclens.functions import text as t
 
 PRIORITY = {"imla": 0, "dil_bilgisi": 1, "ton": 2}
+#: Characters of a cell that overlapping findings share.
+NEAR = 128
 HEADING_NOISE = ("GRAMER-TEKRAR", "IMLA-NOKTALAMA")
 COLUMNS = ("doc_id", "type", "excerpt", "explanation", "suggestion", "rule_id", "confidence", "start", "end")
 
@@ -54,14 +56,18 @@ def cross_pass_dedup(findings: DataFrame) -> DataFrame:
     prio = F.when(F.col("type") == "imla", 0).when(F.col("type") == "dil_bilgisi", 1).when(F.col("type") == "ton", 2)
     keyed = findings.withColumn("_norm", t.norm("excerpt")).withColumn("_sug", t.norm("suggestion"))
     keyed = keyed.withColumn("_prio", prio).withColumn("_atomic", t.atomic(F.col("_norm"), F.col("_sug"))).drop("_sug")
-    other = keyed.where("_prio is not null").select("doc_id", "start", "end", "_norm", "_prio", "_atomic")
-    stronger = (F.col("f.doc_id") == F.col("o.doc_id")) & _overlap("f", "o") & (F.col("o._prio") < F.col("f._prio")) & ((F.col("o._norm") == F.col("f._norm")) | (F.col("o._atomic") == F.col("f._atomic")))
-    return keyed.alias("f").join(other.alias("o"), stronger, "left_anti").drop("_norm", "_prio", "_atomic")
+    # overlapping spans share a cell of NEAR characters, so a document with very many findings is not joined to itself whole
+    cells = keyed.where("_prio is not null and start is not null and end is not null").withColumn("_cell", F.explode(F.sequence(F.floor(F.col("start") / NEAR), F.floor(F.greatest("start", F.col("end") - 1) / NEAR))))
+    other = cells.select("doc_id", "start", "end", "_norm", "_prio", "_atomic", "_cell")
+    stronger = (F.col("f.doc_id") == F.col("o.doc_id")) & (F.col("f._cell") == F.col("o._cell")) & _overlap("f", "o") & (F.col("o._prio") < F.col("f._prio")) & ((F.col("o._norm") == F.col("f._norm")) | (F.col("o._atomic") == F.col("f._atomic")))
+    keys = ["doc_id", "type", "start", "end", "excerpt", "suggestion"]
+    gone = cells.alias("f").join(other.alias("o"), stronger, "left_semi").select(*keys).distinct()
+    return findings.join(gone, keys, "left_anti")
 
 
 def drop_structural(findings: DataFrame, placed: DataFrame) -> DataFrame:
     """Drop findings in table cells and contents lines (but for consistency), and noise rules in headings."""
-    spans = placed.select("doc_id", "start", "end", "kind")
+    spans = placed.where("kind <> 'paragraf'").select("doc_id", "start", "end", "kind")
     cell = F.col("b.kind").isin("tablo_hucresi", "icindekiler") & (F.col("f.type") != "tutarlilik")
     head = (F.col("b.kind") == "baslik") & F.coalesce(F.col("f.rule_id").isin(*HEADING_NOISE), F.lit(False))
     return findings.alias("f").join(spans.alias("b"), (F.col("f.doc_id") == F.col("b.doc_id")) & _overlap("f", "b") & (cell | head), "left_anti")

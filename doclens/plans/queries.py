@@ -28,7 +28,9 @@ def query(f: Query) -> Query:
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
+    """Documents; dealt out anew only if the files give fewer partitions than there are cores."""
+    rows, cores = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"), spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
 def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
