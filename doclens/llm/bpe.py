@@ -26,8 +26,10 @@ from pyspark.sql import types as T
 from doclens.llm.common import bound_arrow, slices, table, without
 
 NO_PAIR = 1 << 62
-#: Words that a worker remembers; when full, the older half goes. (A chunk is what stands between white space.)
-CACHE_WORDS = 200_000
+#: Chunks, and as many words, that a worker remembers; when full, the older half goes. (A chunk is what stands between white space.)
+CACHE_WORDS = 100_000
+#: Longer chunks and words are encoded each time, so that what is remembered is bounded in bytes too.
+CACHE_CHARS = 64
 #: The Unicode property White_Space.
 SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -160,6 +162,8 @@ class Codec:
             letters = [self.letter[b] for b in word.encode("utf-8", "surrogatepass")]
             letters[-1] += self.end
             ids = merged([self.vocab[x] for x in letters if x in self.vocab], self.merges)
+        if len(word) > CACHE_CHARS:
+            return ids
         if len(self.new_words) >= CACHE_WORDS:
             self.old_words, self.new_words = self.new_words, {}
         self.new_words[word] = ids
@@ -172,6 +176,8 @@ class Codec:
             for word in self.pattern.findall(chunk):
                 ids += self.new_words.get(word) or self.word(word)
             got = (np.array(ids, np.int32).tobytes(), self.decode(ids))
+        if len(chunk) > CACHE_CHARS:
+            return got
         if len(self.new) >= CACHE_WORDS:
             self.old, self.new = self.new, {}
         self.new[chunk] = got
