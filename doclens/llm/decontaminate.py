@@ -1,10 +1,14 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
-
-Document frequencies of the test items' word trigrams are counted over the whole corpus. Of every SPAN
-successive trigrams of an item the KEEP rarest become seeds: rarity is relative to the item, so a passage that has
-leaked into very many documents still has seeds. A document that has a seed is aligned, word by
-word, with the seed's item around the place that the seed points to; the local alignment's score, divided
-by the item's score with itself, is the item's likeness. A document is contaminated if that is AT_LEAST or more.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
+
+A seed is two successive words of a test item that a document has side by side or with one word between. A local alignment
+of likeness 0.5 or more with an item of n words, n >= 5, has (n - 3) / 3 of them at least: let its steps from one match to the next
+be c seeds, a steps to the next item word over two or more other words (cost 2 at least), and b over item words (cost 1
+at least, as each takes two places of the item). Then its score is at most 2c + b + 2, and n >= 1 + a + 2b + c; with a score of
+n or more, c >= a + b - 1, so 3c + 3 >= n. A document with so many of an item's seeds is aligned with the item, word by word,
+around all places that the seeds point to; the local alignment's score, divided by the item's score with itself, is the item's
+likeness. So no item at AT_LEAST or more is missed, however often its words stand in the corpus. A document is
+contaminated if that is AT_LEAST or more. Below it, likeness is given for items of which the document has three
+successive words, aligned around these.
 
 Items whose number of words is within MOST_ITEM_WORDS are sent to all executors, and documents are read where they lie; beyond
 it seeds are joined by shuffle. Both ways give the same rows. Items of fewer than LEAST_WORDS words
@@ -16,6 +20,7 @@ a null id are treated as any other.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -27,12 +32,16 @@ from doclens.llm.common import bound_arrow, free, slices, table, without
 from doclens.llm.shingles import mix, word_hashes
 
 N = 3
-SPAN, KEEP = 4, 2
 LEAST_WORDS = 5
+# The bound on seeds holds for these values.
 MATCH, MISMATCH, GAP = 2, 1, 1
 AT_LEAST = 0.5
 #: 16 MB of hashes.
 MOST_ITEM_WORDS = 2_000_000
+#: Entries of items' seeds looked at together; one document may have more.
+MOST_ENTRIES = 1 << 22
+#: Cells of a row of the alignments made together; one alignment may have more.
+MOST_CELLS = 1 << 15
 
 
 def grams(doc: np.ndarray, h: np.ndarray, n: int = N) -> tuple[np.ndarray, np.ndarray]:
@@ -46,6 +55,15 @@ def grams(doc: np.ndarray, h: np.ndarray, n: int = N) -> tuple[np.ndarray, np.nd
     return mix(run), doc[:m] == doc[n - 1 :]
 
 
+def pairs(doc: np.ndarray, h: np.ndarray, gaps: tuple[int, ...] = (1, 2)) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, place of the first) of all two words of a text that are so many places apart."""
+    out = []
+    for k in gaps:
+        at = np.flatnonzero(doc[:-k] == doc[k:])
+        out.append((mix(h[at] * np.uint64(0xC2B2AE3D27D4EB4F) + h[at + k]), at))
+    return np.concatenate([g for g, _ in out]), np.concatenate([at for _, at in out])
+
+
 def align(item: np.ndarray, words: np.ndarray) -> tuple[int, int]:
     """Smith-Waterman: (best score, place in ``words`` after its end)."""
     row = np.zeros(len(words) + 1, np.int64)
@@ -63,88 +81,149 @@ def align(item: np.ndarray, words: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
+def align_all(items: list[np.ndarray], texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """``align`` of each item and text, many at a time; 0 and 1 stand for no word."""
+    best, end = np.zeros(len(items), np.int64), np.zeros(len(items), np.int64)
+    n, width = np.array([len(x) for x in items], np.int64), np.array([len(x) for x in texts], np.int64)
+    order = np.lexsort((n, np.ceil(np.log2(width + 1))))
+    a = 0
+    while a < len(order):
+        b, room = a + 1, width[order[a]]
+        while b < len(order) and max(room, width[order[b]]) * (b + 1 - a) <= MOST_CELLS:
+            room = max(room, width[order[b]])
+            b += 1
+        part = order[a:b]
+        most = int(n[part].max())
+        kind = np.int16 if room + (MATCH + 1) * most < 1 << 14 else np.int64
+        own, words = np.ones((most, b - a), np.uint64), np.zeros((room, b - a), np.uint64)
+        for k, r in enumerate(part):
+            own[: n[r], k], words[: width[r], k] = items[r], texts[r]
+        row, step = np.zeros((room + 1, b - a), kind), np.zeros((room + 1, b - a), kind)
+        ramp = (GAP * np.arange(room + 1)).astype(kind)[:, None]
+        top, last = np.zeros(b - a, kind), np.zeros(b - a, np.int64)
+        for w in own:
+            step[0] = 0
+            np.multiply(words == w, kind(MATCH + MISMATCH), out=step[1:])
+            step[1:] += row[:-1]
+            step[1:] -= kind(MISMATCH)
+            row -= kind(GAP)
+            np.maximum(step, row, out=step)
+            np.maximum(step, kind(0), out=step)
+            step += ramp
+            np.maximum.accumulate(step, axis=0, out=step)
+            step -= ramp
+            row, step = step, row
+            now = row.max(axis=0)
+            up = np.flatnonzero(now > top)
+            if len(up):
+                top[up], last[up] = now[up], row[:, up].argmax(axis=0)
+        best[part], end[part] = top, last
+        a = b
+    return best, end
+
+
+class Seeds:
+    """N-grams of the items: which items have each, how often, and where."""
+
+    def __init__(self, own: list[np.ndarray]):
+        flat = np.concatenate(own) if own else np.zeros(0, np.uint64)
+        item = np.repeat(np.arange(len(own)), [len(g) for g in own])
+        order = np.lexsort((item, flat))
+        self.all, self.item = flat[order], item[order]
+        self.known, first = np.unique(self.all, return_index=True)
+        self.first = np.append(first, len(self.all))
+        places = [np.searchsorted(self.known, g) for g in own]
+        self.sorted = [(np.sort(k), np.argsort(k, kind="stable")) for k in places]
+
+    def hits(self, doc: np.ndarray, gram: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(document, place in ``known``, place in the words) of the n-grams that an item has, by document."""
+        if not len(self.known):
+            return doc[:0], at[:0], at[:0]
+        where = np.minimum(np.searchsorted(self.known, gram), len(self.known) - 1)
+        some = np.flatnonzero(self.known[where] == gram)
+        some = some[np.argsort(doc[some], kind="stable")]
+        return doc[some], where[some], at[some]
+
+    def counts(self, doc: np.ndarray, known: np.ndarray, n_items: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(document, item, item's places whose n-gram the document has), documents in order, a few at a time."""
+        if not len(doc):
+            return
+        key = np.unique(doc * len(self.known) + known)
+        d, g = key // len(self.known), key % len(self.known)
+        size = self.first[g + 1] - self.first[g]
+        part = np.cumsum(size) // MOST_ENTRIES
+        new = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
+        starts = new[np.concatenate([[True], part[new[1:]] != part[new[:-1]]])]
+        for a, b in zip(starts, np.append(starts[1:], len(d)), strict=True):
+            n = size[a:b]
+            entry = np.arange(n.sum()) + np.repeat(self.first[g[a:b]] - np.cumsum(n) + n, n)
+            both, often = np.unique(np.repeat(d[a:b], n) * n_items + self.item[entry], return_counts=True)
+            yield both // n_items, both % n_items, often
+
+    def shifts(self, i: int, known: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The item's supposed first places in a document, from its hits."""
+        own, place = self.sorted[i]
+        low, high = np.searchsorted(own, known), np.searchsorted(own, known, side="right")
+        some = np.flatnonzero(high > low)
+        n = high[some] - low[some]
+        entry = np.arange(n.sum()) + np.repeat(low[some] - np.cumsum(n) + n, n)
+        return np.unique(np.repeat(at[some], n) - place[entry])
+
+
 class Items:
     """Test items as word hashes, with their seeds."""
 
     def __init__(self, ids: list[int], texts: list[str | None]):
         doc, h, _, _ = word_hashes([t or "" for t in texts])
         ends = np.cumsum(np.bincount(doc, minlength=len(texts)))
-        rows = sorted((i, h[a:b]) for i, a, b in zip(ids, np.concatenate([[0], ends]), ends, strict=False) if b - a >= LEAST_WORDS and i is not None) if len(texts) else []
+        rows = [(i, h[a:b]) for i, a, b in zip(ids, np.concatenate([[0], ends]), ends, strict=False) if b - a >= LEAST_WORDS and i is not None] if len(texts) else []
         rows.sort(key=lambda r: r[0])
         self.ids = [i for i, _ in rows]
         self.words = [w for _, w in rows]
-        place = [grams(np.zeros(len(w), np.int64), w)[0] for w in self.words]
-        self.all = np.unique(np.concatenate(place)) if place else np.zeros(0, np.uint64)
-        self.grams = place
-        self.seeds = np.zeros(0, np.uint64)
-
-    def choose(self, frequency: dict[int, int]) -> None:
-        """Keep the rarest n-grams of each span as seeds; frequency by place in ``all``."""
-        rows: list[tuple[int, int, int]] = []
-        for i, own in enumerate(self.grams):
-            where = np.searchsorted(self.all, own)
-            df = [frequency.get(int(k), 0) for k in where]
-            for a in range(0, len(own), SPAN):
-                part = sorted(range(a, min(a + SPAN, len(own))), key=lambda k: (df[k], k))[:KEEP]
-                rows += [(int(own[k]), i, k) for k in part]
-        rows.sort()
-        self.seeds = np.array([r[0] for r in rows], np.uint64)
-        self.seed_item = np.array([r[1] for r in rows], np.int64)
-        self.seed_at = np.array([r[2] for r in rows], np.int64)
-
-    def best(self, words: np.ndarray, item: np.ndarray, shift: np.ndarray) -> tuple[int, float, int, int, int]:
-        """(item's place or -1, likeness, items at AT_LEAST, start, end in words) of a document.
-
-        item and shift: item and its supposed first place in the document, for every seed found.
-        """
-        out: tuple[int, float, int, int, int] = (-1, 0.0, 0, -1, -1)
-        count = 0
-        for i in np.unique(item):
-            own = self.words[i]
-            n = len(own)
-            top, span = 0, (-1, -1)
-            low, high = None, None
-            for s in [*np.unique(shift[item == i]).tolist(), None]:
-                if high is not None and (s is None or s - n // 2 > high):
-                    got, end = align(own, words[low:high])
-                    if got > top:
-                        top, span = got, (max(low, low + end - n), low + end)
-                    low = high = None
-                if s is not None:
-                    low = max(0, s - n // 2) if low is None else low
-                    high = max(high or 0, min(len(words), s + n + n // 2 + 1))
-            like = top / (MATCH * n)
-            count += like >= AT_LEAST
-            if like > out[1]:
-                out = (int(i), like, 0, *span)
-        return (*out[:2], count, *out[3:])
-
-
-def _hits(part_texts: list[str], known: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(text, place of the word in the slice, place in ``known``) of all known n-grams, and words and their texts."""
-    doc, h, _, _ = word_hashes(part_texts)
-    own, whole = grams(doc, h)
-    where = np.minimum(np.searchsorted(known, own), max(len(known) - 1, 0))
-    at = np.flatnonzero(whole & (known[where] == own)) if len(known) else np.zeros(0, np.int64)
-    return doc[at], at, where[at] if len(known) else at, h, doc
-
-
-def frequencies(docs: DataFrame, items: Items, text: str = "text") -> dict[int, int]:
-    """In how many documents each n-gram of the items stands; the result is bounded by the items' words."""
-    known = docs.sparkSession.sparkContext.broadcast(items.all)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(known.value), np.int64)
-        for part in slices(batches, "text"):
-            doc, _, gram, _, _ = _hits([t or "" for t in part.column("text").to_pylist()], known.value)
-            pairs = np.unique(doc * max(len(total), 1) + gram)
-            if len(pairs):
-                total += np.bincount(pairs % len(total), minlength=len(total))
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int64)), pa.array(total[some])], names=["gram", "n"])
-
-    got = docs.select(F.col(text).alias("text")).mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    return {r["gram"]: r["n"] for r in got.collect()}
+        one = [np.zeros(len(w), np.int64) for w in self.words]
+        self.pairs = Seeds([pairs(d, w, (1,))[0] for d, w in zip(one, self.words, strict=True)])
+        self.runs = Seeds([grams(d, w)[0] for d, w in zip(one, self.words, strict=True)])
+        self.least = np.array([max(1, -(-(len(w) - 3) // 3)) for w in self.words], np.int64)
+
+    def windows(self, i: int, size: int, shift: np.ndarray) -> list[tuple[int, int]]:
+        """Parts of a document of ``size`` words to align with item i; shift: its supposed first places, ascending."""
+        n = len(self.words[i])
+        cut = np.flatnonzero(np.diff(shift) > 3 * n + 1)  # at AT_LEAST, n words at most are inserted
+        return [(max(0, a - n), min(size, b + 2 * n + 1)) for a, b in zip(shift[np.append(0, cut + 1)].tolist(), shift[np.append(cut, -1)].tolist(), strict=True)]
+
+    def find(self, texts: list[str]) -> Iterator[tuple[int, int, float, int, int, int]]:
+        """(text, item's place, likeness, items at AT_LEAST, start, end in words) of the texts that have candidates."""
+        if not self.ids:
+            return
+        doc, h, _, _ = word_hashes(texts)
+        cut = np.searchsorted(doc, np.arange(len(texts) + 1))
+        many, n = set(), len(self.ids)
+        gram, at = pairs(doc, h)
+        near = self.pairs.hits(doc[at], gram, at)
+        for d, i, often in self.pairs.counts(*near[:2], n):
+            some = often >= self.least[i]
+            many.update((d[some] * n + i[some]).tolist())
+        gram, whole = grams(doc, h)
+        at = np.flatnonzero(whole)
+        run = self.runs.hits(doc[at], gram[at], at)
+        runs = {k for d, i, _ in self.runs.counts(*run[:2], n) for k in (d * n + i).tolist()}
+        parts: list[tuple[int, int, int, int]] = []
+        for d, i in (divmod(k, n) for k in sorted(many | runs)):
+            seeds, (own, known, at) = (self.pairs, near) if d * n + i in many else (self.runs, run)
+            a, b = np.searchsorted(own, (d, d + 1))
+            parts += [(d, i, *w) for w in self.windows(i, int(cut[d + 1] - cut[d]), seeds.shifts(i, known[a:b], at[a:b] - cut[d]))]
+        score, ends = align_all([self.words[i] for _, i, _, _ in parts], [h[cut[d] + a : cut[d] + b] for d, _, a, b in parts])
+        for d, own in groupby(zip(parts, score.tolist(), ends.tolist(), strict=True), lambda p: p[0][0]):
+            best, count = (-1, 0.0, -1, -1), 0
+            for i, same in groupby(own, lambda p: p[0][1]):
+                size = len(self.words[i])
+                (_, _, low, _), top, end = max(same, key=lambda p: p[1])  # the first of equal ones
+                like = top / (MATCH * size)
+                count += like >= AT_LEAST
+                if like > best[1]:
+                    best = (i, like, max(low, low + end - size), low + end)
+            if best[0] >= 0:
+                yield d, best[0], best[1], count, *best[2:]
 
 
 COLUMNS = [("contaminated", T.BooleanType(), pa.bool_()), ("item_id", T.LongType(), pa.int64()), ("score", T.DoubleType(), pa.float64()), ("n_items", T.LongType(), pa.int64()), ("start_word", T.LongType(), pa.int64()), ("end_word", T.LongType(), pa.int64())]
@@ -166,28 +245,14 @@ def screen(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str
         return _screen_by_join(docs, tests, text, names, schema)
     rows = tests.collect()  # bounded by the check above
     own = Items([r["id"] for r in rows], [r["text"] for r in rows])
-    own.choose(frequencies(docs, own, text))
     sent = spark.sparkContext.broadcast(own)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tests = sent.value
         for part in slices(batches, text):
-            texts = [t or "" for t in part.column(text).to_pylist()]
-            distinct = np.unique(tests.seeds)
-            doc, at, which, h, owner = _hits(texts, distinct)
-            found: list[tuple] = [(False, None, 0.0, 0, None, None)] * len(texts)
-            if len(doc):
-                firsts = np.searchsorted(owner, np.arange(len(texts) + 1))
-                low, high = np.searchsorted(tests.seeds, distinct[which]), np.searchsorted(tests.seeds, distinct[which], side="right")
-                each = np.repeat(np.arange(len(doc)), high - low)
-                entry = np.concatenate([np.arange(a, b) for a, b in zip(low, high, strict=True)])
-                d, item, shift = doc[each], tests.seed_item[entry], at[each] - firsts[doc[each]] - tests.seed_at[entry]
-                cut = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1], [True]]))
-                for a, b in zip(cut, cut[1:], strict=False):
-                    k = d[a]
-                    i, like, n, s, e = tests.best(h[firsts[k] : firsts[k + 1]], item[a:b], shift[a:b])
-                    if i >= 0:
-                        found[k] = (like >= AT_LEAST, tests.ids[i], like, n, s, e)
+            found: list[tuple] = [(False, None, 0.0, 0, None, None)] * part.num_rows
+            for k, i, like, n, s, e in tests.find([t or "" for t in part.column(text).to_pylist()]):
+                found[k] = (like >= AT_LEAST, tests.ids[i], like, n, s, e)
             yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array([f[j] for f in found], kind) for j, (_, _, kind) in enumerate(COLUMNS))], names=schema.names)
 
     return docs.mapInArrow(run, schema)
@@ -200,42 +265,31 @@ def _screen_by_join(docs: DataFrame, tests: DataFrame, text: str, names: list[st
     """
     th = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch], gaps: tuple[int, ...] = (1, 2)) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             doc, h, _, _ = word_hashes([t or "" for t in part.column("text").to_pylist()])
-            own, whole = grams(doc, h)
-            at = np.flatnonzero(whole)
-            firsts = np.searchsorted(doc, np.arange(part.num_rows + 1))
-            sizes = np.diff(firsts)
+            sizes = np.bincount(doc, minlength=part.num_rows)
+            own, at = pairs(doc, h, gaps)
             for a in range(0, len(at), 200_000):
-                p = at[a : a + 200_000]
-                d = doc[p]
-                yield pa.RecordBatch.from_arrays([part.column("key").take(pa.array(d)), pa.array(own[p].view(np.int64)), pa.array((p - firsts[d]).astype(np.int32)), pa.array(sizes[d].astype(np.int32))], names=["key", "gram", "at", "words"])
-
-    form = "key long, gram long, at int, words int"
-    item_grams = tests.select(F.col("id").alias("key"), "text").mapInArrow(cut, form).where(f"words >= {LEAST_WORDS}")
-    texts = docs.select(th.alias("key"), F.col(text).alias("text"))
-    kinds = texts.groupBy("key").agg(F.count("*").alias("copies"))
-    doc_grams = texts.dropDuplicates(["key"]).mapInArrow(cut, form)
-    df = doc_grams.join(item_grams.select("gram").distinct(), "gram", "left_semi").select("key", "gram").distinct().join(kinds, "key").groupBy("gram").agg(F.sum("copies").alias("df"))
-    from pyspark.sql import Window as W
-
-    ranked = item_grams.join(df, "gram", "left").withColumn("r", F.row_number().over(W.partitionBy("key", F.floor(F.col("at") / SPAN)).orderBy(F.coalesce("df", F.lit(0)), "at")))
-    seeds = ranked.where(F.col("r") <= KEEP).select(F.col("key").alias("id"), "gram", F.col("at").alias("seed_at"))
-    hits = doc_grams.select("key", "gram", "at").join(seeds, "gram").groupBy("key", "id").agg(F.collect_set(F.col("at") - F.col("seed_at")).alias("shifts"))
-    pairs = hits.join(texts.dropDuplicates(["key"]), "key").join(tests.select("id", F.col("text").alias("item")), "id")
+                d = doc[at[a : a + 200_000]]
+                yield pa.RecordBatch.from_arrays([part.column("key").take(pa.array(d)), pa.array(own[a : a + 200_000].view(np.int64)), pa.array(sizes[d].astype(np.int32))], names=["key", "gram", "words"])
+
+    form = "key long, gram long, words int"
+    item_grams = tests.select(F.col("id").alias("key"), "text").mapInArrow(lambda batches: cut(batches, (1,)), form).where(f"words >= {LEAST_WORDS}")
+    item_grams = item_grams.groupBy(F.col("key").alias("id"), "gram", F.col("words").alias("size")).agg(F.count("*").alias("places"))
+    texts = docs.select(th.alias("key"), F.col(text).alias("text")).dropDuplicates(["key"])
+    doc_grams = texts.mapInArrow(cut, form).select("key", "gram").distinct()
+    # three words on end are two seeds
+    enough = F.sum("places") >= F.least(F.lit(2), F.greatest(F.lit(1), F.ceil((F.max("size") - 3) / 3)))
+    hits = doc_grams.join(item_grams, "gram").groupBy("key", "id").agg(enough.alias("enough")).where("enough")
+    near = hits.join(texts, "key").join(tests.select("id", F.col("text").alias("item")), "id").select("key", "id", "text", "item")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
-            out = []
-            for r in part.to_pylist():
-                own = Items([r["id"]], [r["item"]])
-                _, h, _, _ = word_hashes([r["text"] or ""])
-                shift = np.array(sorted(r["shifts"]), np.int64)
-                out.append((r["key"], r["id"], *own.best(h, np.zeros(len(shift), np.int64), shift)[1:]))
+            out = [(r["key"], r["id"], *f[2:]) for r in part.to_pylist() for f in Items([r["id"]], [r["item"]]).find([r["text"] or ""])]
             yield pa.RecordBatch.from_arrays([pa.array([o[j] for o in out], k) for j, k in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()))], names=["key", "id", "score", "n", "s", "e"])
 
-    scored = pairs.select("key", "id", "text", "item", "shifts").mapInArrow(run, "key long, id long, score double, n long, s long, e long").where("score > 0")
+    scored = near.mapInArrow(run, "key long, id long, score double, n long, s long, e long").where("score > 0")
     best = scored.groupBy("key").agg(F.max(F.struct("score", (-F.col("id")).alias("id"), "s", "e")).alias("b"), F.sum("n").alias("n"))
     name = free(docs, "_key")
     own = docs.withColumn(name, th)

@@ -298,6 +298,36 @@ def test_decontamination_finds_edits_and_both_ways_agree(spark, edge):
     assert decontaminate.screen(frame.limit(0), tests).count() == 0
 
 
+def test_decontamination_misses_no_alignment(spark):
+    rng = random.Random(9)
+    items = [(i, " ".join(f"t{min(rng.randrange(400), rng.randrange(400))}" for _ in range(rng.randrange(5, 45)))) for i in range(25)]
+    docs = [w.split() for _, w in items]  # exact copies, so that edited n-grams are rarer than the intact ones
+    for _, t in items:
+        w = t.split()
+        for k in range(3, 9):
+            docs += [[f"z{j}" if j % k == k - 1 else x for j, x in enumerate(w)], [x for j, x in enumerate(w) if j % k != 1]]
+        docs += [[y for x in w for y in (x, "z")], [y for j, x in enumerate(w) for y in ((x, "z", "y") if j % 3 == 2 else (x,))]]
+        for _ in range(6):
+            part = rng.choice([0.2, 0.35, 0.5])
+            docs.append([y for x in w for y in ([x] if rng.random() > part else rng.choice([[], ["z"], [x, "y"]]))])
+    noise = lambda: [f"t{rng.randrange(400)}" for _ in range(rng.randrange(30))]
+    rows = [(i, " ".join([*noise(), *d, *noise()])) for i, d in enumerate(docs)]
+    some = [decontaminate.align(w, shingles.word_hashes([t])[1]) for w in map(lambda t: shingles.word_hashes([t])[1], [t for _, t in items]) for _, t in rows[:40]]
+    both = decontaminate.align_all([shingles.word_hashes([t])[1] for _, t in items for _ in rows[:40]], [shingles.word_hashes([t])[1] for _ in items for _, t in rows[:40]])
+    assert list(zip(*map(list, both), strict=True)) == some
+    own = decontaminate.Items([i for i, _ in items], [t for _, t in items])
+    want = {}
+    for i, t in rows:
+        like = [(decontaminate.align(w, shingles.word_hashes([t])[1])[0] / (2 * len(w)), -k) for k, w in zip(own.ids, own.words, strict=True)]
+        if max(like)[0] >= decontaminate.AT_LEAST:
+            want[i] = (max(like)[0], -max(like)[1], sum(x >= decontaminate.AT_LEAST for x, _ in like))
+    frame, tests = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert len(want) > 300
+    for most in (decontaminate.MOST_ITEM_WORDS, 0):
+        got = decontaminate.screen(frame, tests, most_words=most).where("contaminated").collect()
+        assert {r["doc_id"]: (r["score"], r["item_id"], r["n_items"]) for r in got} == want
+
+
 # licences
 
 
