@@ -6,6 +6,7 @@ import random
 import re
 import struct
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -344,6 +345,43 @@ def test_licences(spark, edge):
     assert licenses.scan(frame.limit(0)).count() == 0
 
 
+def test_licences_in_repeated_lines_and_beside_stray_words(spark):
+    mit, gpl = licenses.TEMPLATES["mit"], licenses.TEMPLATES["gpl-3.0"]
+    rows = [(0, f"{mit}\n{mit}"), (1, f"{gpl} {gpl}"), (2, f"{mit} It falls under the rules"), (3, f"under the terms of the {mit} under the mit"), (4, f"{gpl} " * 40)]
+    rng = random.Random(3)
+    pool = [w for t in (mit, gpl, licenses.TEMPLATES["isc-text"]) for w in t.split()]
+    rows += [(5 + i, " ".join(rng.choice([mit, gpl, *pool, "x", "y"]) for _ in range(rng.randrange(4, 14)))) for i in range(60)]
+    rows += [(70, licenses.TEMPLATES["isc-text"] + " and this permission notice")]
+    pairs = lambda t: [(a, b) for w in [regex.findall(r"[\p{L}\p{N}]+", t.lower())] for a, b in zip(w, w[1:], strict=False)]
+
+    def brute(text):
+        found = {}
+        own = pairs(text)
+        for name, t in licenses.TEMPLATES.items():
+            want, regions = Counter(pairs(t)), []
+            for k, g in enumerate(own):
+                if g in want:
+                    if regions and k - regions[-1][-1] <= licenses.REACH:
+                        regions[-1].append(k)
+                    else:
+                        regions.append([k])
+            n = want.total()
+            like = [2 * (Counter(own[a : b + 1]) & want).total() / (b - a + 1 + n) for r in regions for i, a in enumerate(r) for b in r[i:] if b - a < 2 * n]
+            if like and max(like) >= licenses.AT_LEAST:
+                found[name] = max(like)
+        return min(((-d, k) for k, d in found.items()), default=None), len(found)
+
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["th"]: r for r in licenses.scan(frame).collect()}
+    th = {r["doc_id"]: r["th"] for r in frame.select("doc_id", F.xxhash64("text").alias("th")).collect()}
+    assert [(got[th[i]]["license"], got[th[i]]["dice"]) for i in range(5)] == [("mit", 1.0), ("gpl-3.0", 1.0), ("mit", 1.0), ("mit", 1.0), ("gpl-3.0", 1.0)]
+    for i, t in rows:
+        best, n = brute(t)
+        r = got.get(th[i])
+        assert (r is None) == (best is None)
+        assert r is None or (-r["dice"], r["license"], r["n_licenses"]) == (best[0], best[1], n)
+
+
 # sharding
 
 
