@@ -6,6 +6,7 @@ Offsets are code points, zero-based and half-open.
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -14,6 +15,13 @@ from pyspark.sql import types as T
 
 #: White space as Python's str.isspace() has it; written for Java's and RE2's bracket expressions alike.
 WS = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+#: The same characters, for trimming.
+SPACES = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+#: The same for Java alone: single characters below 256 are one table look-up, and the rest is tried within its range only.
+_FAR = r"[\x{1680}-\x{3000}&&[\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]]"
+_ODD = rf"\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0{_FAR}"
+#: Runs of white space that are not a single blank already.
+RUNS = rf" [ {_ODD}]+|[{_ODD}][ {_ODD}]*"
 LETTER = r"\p{L}"
 WORD = r"\p{L}\p{N}_"
 DIGIT = r"\p{Nd}"
@@ -26,6 +34,7 @@ IMAGE = "[görsel]"
 LINK = "[bağlantı]"
 QUOTES = ("’‘‚ʼ“”„", "''''\"\"\"")
 
+# What is cleaned away, what tells a block's kind and what keys leave out.
 IMAGE_LINE = rf"^-{{2,}}media/[^{WS}]+-{{2,}}\z"
 ANCHOR = r"(?is)<a\b[^>]*>(.*?)</a>"
 URL = rf"(?i)https?://[^{WS}]+|www\.[^{WS}]+"
@@ -41,13 +50,18 @@ def _column(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value made once however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(c: Column | str) -> Column:
-    return F.regexp_replace(_column(c), rf"^[{WS}]+|[{WS}]+\z", "")
+    return F.btrim(_column(c), F.lit(SPACES))
 
 
 def squash(c: Column | str) -> Column:
     """Words joined by single spaces."""
-    return F.trim(F.regexp_replace(_column(c), rf"[{WS}]+", " "))
+    return F.trim(F.regexp_replace(_column(c), RUNS, " "))
 
 
 @F.pandas_udf(T.StringType())
@@ -109,12 +123,21 @@ def is_indexable(c: Column | str) -> Column:
 
 
 def clean_paragraph(c: Column | str) -> Column:
-    """A paragraph's text without image marks and links; empty if it was an image alone."""
-    t = strip(c)
-    body = F.regexp_replace(t, ANCHOR, "$1")
-    body = F.regexp_replace(body, URL, LINK)
-    body = F.regexp_replace(body, IMAGE_INLINE, f" {IMAGE} ")
-    return F.when(t.rlike(IMAGE_LINE), F.lit("")).otherwise(strip(F.regexp_replace(body, r"[ \t]{2,}", " ")))
+    """A paragraph's text without image marks and links; empty if it was an image alone.
+
+    A rewrite is tried only where a substring stands that its pattern cannot do without.
+    """
+
+    def rewrite(x: Column, needs: Callable[[Column], Column], pattern: str, to: str) -> Column:
+        return let(x, lambda v: F.when(needs(v), F.regexp_replace(v, pattern, to)).otherwise(v))
+
+    def body(text: Column) -> Column:
+        out = rewrite(text, lambda v: v.contains("<"), ANCHOR, "$1")
+        out = rewrite(out, lambda v: v.contains("://") | F.lower(v).contains("www."), URL, LINK)
+        out = rewrite(out, lambda v: v.contains("media/"), IMAGE_INLINE, f" {IMAGE} ")
+        return strip(rewrite(out, lambda v: v.contains("  ") | v.contains("\t"), r"[ \t]{2,}", " "))
+
+    return let(strip(c), lambda v: F.when(v.startswith("--") & v.rlike(IMAGE_LINE), F.lit("")).otherwise(body(v)))
 
 
 def classify(c: Column | str, in_table: Column | None = None, style: Column | None = None) -> Column:
@@ -123,11 +146,11 @@ def classify(c: Column | str, in_table: Column | None = None, style: Column | No
     in_table = F.lit(False) if in_table is None else F.coalesce(in_table, F.lit(False))
     style = F.lit("") if style is None else F.coalesce(style, F.lit(""))
     return (
-        F.when(c.rlike(TOC), "icindekiler")
+        F.when(c.contains("\t") & c.rlike(TOC), "icindekiler")
         .when(in_table, "tablo_hucresi")
         .when((F.length(c) <= 40) & c.rlike(f"[{ANY_DIGIT}]") & (F.length(F.regexp_replace(c, RESIDUE, "")) <= 3), "tablo_hucresi")
         .when(F.lower(style).startswith("heading"), "baslik")
-        .when(c.rlike(LETTER) & (F.length(c) <= 100) & (c == F.upper(c)), "baslik")
+        .when((F.length(c) <= 100) & (c == F.upper(c)) & c.rlike(LETTER), "baslik")
         .otherwise("paragraf")
     )
 

@@ -6,7 +6,7 @@ blocks are joined by a blank line.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -18,7 +18,13 @@ SEPARATOR = "\n\n"
 def from_lines(docs: DataFrame) -> DataFrame:
     """Every line of a text that is not empty once cleaned is a block."""
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
-    return lines.select("doc_id", "pos", t.clean_paragraph("raw").alias("text")).where("text <> ''").withColumn("kind", t.classify("text"))
+    return lines.select("doc_id", "pos", F.inline(_cleaned("raw")))
+
+
+def _cleaned(raw: Column | str, in_table: Column | None = None, style: Column | None = None) -> Column:
+    """One (text, kind), or none if nothing is left. A filter on the text would be pushed below and clean a second time."""
+    some = F.filter(F.array(t.clean_paragraph(raw)), lambda x: x != "")
+    return F.transform(some, lambda x: F.struct(x.alias("text"), t.classify(x, in_table, style).alias("kind")))
 
 
 def flatten(sections: DataFrame) -> DataFrame:
@@ -29,9 +35,8 @@ def flatten(sections: DataFrame) -> DataFrame:
     out = sections
     for level, source in (("table", "section"), ("row", "table_"), ("cell", "row_"), ("par", "cell_")):
         out = out.select(*[c for c in out.columns if c != source], F.posexplode(source).alias(f"{level}_no", f"{level}_"))
-    rows = out.withColumn("text", t.clean_paragraph("par_.text")).where("text <> ''")
-    kind = t.classify("text", F.col("par_.in_table"), F.col("par_.style"))
-    return rows.select("doc_id", "table_no", "row_no", "cell_no", "par_no", "text", kind.alias("kind"))
+    made = _cleaned(F.col("par_.text"), F.col("par_.in_table"), F.col("par_.style"))
+    return out.select("doc_id", "table_no", "row_no", "cell_no", "par_no", F.inline(made))
 
 
 def count_tables(sections: DataFrame) -> DataFrame:
@@ -41,9 +46,8 @@ def count_tables(sections: DataFrame) -> DataFrame:
 
 
 def dedup_consecutive(blocks: DataFrame) -> DataFrame:
-    key = t.squash("text")
-    before = F.lag(key).over(W.partitionBy("doc_id").orderBy("pos"))
-    return blocks.withColumn("_same", key.eqNullSafe(before)).where("not _same").drop("_same")
+    before = F.lag("_key").over(W.partitionBy("doc_id").orderBy("pos"))
+    return blocks.withColumn("_key", t.squash("text")).withColumn("_before", before).where("not _key <=> _before").drop("_key", "_before")
 
 
 def dedup_extras(extras: DataFrame) -> DataFrame:
