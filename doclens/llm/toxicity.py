@@ -1,14 +1,18 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-A lexicon transducer maps the words of a clause to classes (insult, violence, will, target, negation,
-report); four small transducers composed behind it rewrite those classes: negation and reported speech
-mark the insults in their scope, target marks insults that are aimed at someone, threat joins
-"will", violence and target. What is scored are the marks that a clause's best path puts out, never
-a word by itself. Lexicon entries and the marks' weights are log likelihood ratios, learned from
-labelled documents; a general English lexicon stands in with a fixed weight where labels say nothing.
-
-Learning uses a bounded sample of the labelled rows (``MOST_LEARNED`` expected, drawn by a hash of the
-id, near copies counted once). Scoring reads whole texts. Null and empty texts, and texts without a matched
+A lexicon transducer maps the words of a clause to classes (insult, mild, violence, will, target, self,
+negation, report, quote). Behind it stands one transducer that is composed from six: threat joins "will", violence and target, or
+violence and "yourself"; negation and reported speech mark the insults in their scope; a last one, which reads from the
+clause's end, marks insults in quotes that a report follows; target marks insults that are aimed at
+someone. It puts out marks (a class and its context), never words. What is scored are the marks of a document's matched
+clauses: for each kind of mark a weighted counter has an arc for the first, second, third and further one, and the arcs'
+weights, which are log likelihood ratios, add up. The lexicon has no weights: a word that decides nothing alone is "mild", and only
+clauses that pile up such words reach a weight.
+
+Lexicon entries and arc weights are learned from labelled documents; a general lexicon in four
+languages and prior weights stand in where labels say nothing. Learning uses a bounded sample of the
+labelled rows (``MOST_LEARNED`` expected, drawn by a hash of the id, near copies counted once); all else
+is bounded by the sample. Scoring reads whole texts. Null and empty texts, and texts without a matched
 clause, get the base score. Repeated rows get equal scores. Without labels the fixed lexicon is used.
 """
 
@@ -17,7 +21,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -25,105 +29,172 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from doclens.llm.common import bound_arrow, fold, free, slices, table, without
+from doclens.llm.common import bound_arrow, fold, free, slices, stored, table, tidy, without
 from doclens.llm.fingerprint import shingle_hashes
 
 MOST_LEARNED = 6_000
-#: Features of toxic documents that are looked at, by evidence.
-MOST_FEATURES = 5_000
 TOXIC_AT = 0.7
-#: Least evidence (log likelihood ratio over all documents) of a learned entry.
-EVIDENCE = 14.0
+#: What the evidence for a learned entry (log likelihood ratio over all documents) has beyond the logarithm of the number of
+#: entries that were looked at, as one of so many is toxic by chance.
+EVIDENCE = 2.0
 #: Most part of a learned entry's documents that may be clean.
 MOST_CLEAN = 0.1
-
-# A general lexicon.
-INSULTS = "idiot idiots moron morons stupid dumb loser losers scum trash clown pathetic worthless disgusting imbecile fool fools dumbass asshole bastard bitch cretin degenerate filth freak garbage jerk pig rat vermin"
-VIOLENCE = "kill hurt beat stab shoot burn destroy murder strangle punch crush"
-WILL = "will gonna shall ll going"
-TARGETS = "you your yours u ya he him she her they them their these those everyone people"
+#: Occurrences in a document that are told apart: in learning an entry, and by a counter.
+TIMES, COUNTED = 3, 4
+#: Letters of the shortest learned stem, and of the longest.
+STEM = (3, 9)
+
+# A general lexicon in English, German, French and Spanish.
+INSULTS = "idiot idiots moron morons stupid dumb loser losers scum trash clown pathetic worthless disgusting imbecile fool fools dumbass asshole bastard bitch cretin degenerate filth freak garbage jerk pig rat vermin arschloch idioten trottel schwachkopf dreckskerl hurensohn missgeburt wichser connard connasse crétin imbécile salaud salope abruti ordure gilipollas imbécil cabrón estúpido estúpida idiota idiotas basura escoria"
+VIOLENCE = "kill hurt beat stab shoot burn destroy murder strangle punch crush hang töten umbringen schlagen erschießen verprügeln tuer frapper égorger poignarder matar golpear apuñalar"
+WILL = "will gonna shall ll going werde werden vais allons voy vamos"
+TARGETS = "you your yours u ya he him she her they them their these those everyone people du dich dir dein deine ihr euch sie tu te toi ton ta vous votre él ella ellos usted ustedes tú"
+SELF = "yourself yourselves dich te"
 NEGATIONS = "not no never nor neither without isn aren wasn weren don doesn nicht kein keine nie niemals pas jamais aucun non nunca tampoco"
 REPORTS = "said says say told wrote claimed called calls reported quote quoted according sagte schrieb dit écrit dijo escribió"
+QUOTES = "\"“”«»„‘’'"
+
+CLASSES = ("insult", "mild")
+CONTEXTS = ("plain", "aimed", "negated", "reported")
+MARKS = (*(f"{c}-{x}" for c in CLASSES for x in CONTEXTS if (c, x) != ("mild", "aimed")), "threat")
+#: Weights of the first, second, third and further marks where labels say nothing.
+PRIOR = {"plain": (4.2, 1.0, 0.5, 0.3), "aimed": (4.8, 1.0, 0.5, 0.3), "negated": (1.0, 0.5, 0.3, 0.2), "reported": (1.0, 0.5, 0.3, 0.2)}
+PRIOR_MILD = (0.0, 0.5, 1.5, 1.0)
+PRIOR_THREAT = (5.0, 1.0, 0.5, 0.3)
+#: Documents that a prior weight counts as.
+PRIOR_ROWS = 6.0
+BASE = -3.0
+#: Toxic documents count as a quarter of their number in the base score: a false alarm costs more than a miss.
+CAUTION = 0.25
 
-FIXED_WEIGHT = 3.0
-MARKS = ("plain", "aimed", "negated", "reported", "threat")
-#: Where labels say nothing: negated and reported insults count less, aimed ones more.
-MARK_PRIOR = {"plain": 0.0, "aimed": 0.5, "negated": -1.0, "reported": -1.0, "threat": 0.0}
-PRIOR_ROWS = 4.0
+OTHER = "*"
+SIGNS = (*CLASSES, "violence", "will", "target", "self", "negation", "report", "quote", *MARKS, OTHER)
 
 
 class Fst:
-    """Deterministic transducer: (state, input) to (state, output); '*' stands for any other input."""
+    """Deterministic transducer: (state, sign) to (state, sign put out, weight). '*' as input stands for any sign without an arc of
+    its own, None as output for the sign read. Without any arc the state is 0 again."""
 
-    def __init__(self, arcs: dict[tuple[int, str], tuple[int, str | None]]):
+    def __init__(self, arcs: dict[tuple[int, str], tuple[int, str | None, float]]):
         self.arcs = arcs
 
-    def step(self, state: int, sign: str) -> tuple[int, str]:
-        to = self.arcs.get((state, sign)) or self.arcs.get((state, "*")) or (0, None)
-        return to[0], sign if to[1] is None else to[1]
-
-
-class Composed:
-    """Transducers one behind another; a state is the tuple of theirs."""
+    def step(self, state: int, sign: str) -> tuple[int, str, float]:
+        to, out, weight = self.arcs.get((state, sign)) or self.arcs.get((state, OTHER)) or (0, None, 0.0)
+        return to, sign if out is None else out, weight
 
-    def __init__(self, *parts: Fst):
-        self.parts = parts
-
-    def run(self, signs: list[str]) -> list[str]:
-        state, out = [0] * len(self.parts), []
+    def run(self, signs: Iterable[str]) -> tuple[list[str], float]:
+        state, total, put = 0, 0.0, []
+        for sign in signs:
+            state, out, weight = self.step(state, sign)
+            put.append(out)
+            total += weight
+        return put, total
+
+
+def compose(a: Fst, b: Fst, signs: Iterable[str] = SIGNS) -> Fst:
+    """The transducer that does what ``b`` does on the output of ``a``: the reachable pairs of states, with weights added."""
+    arcs: dict[tuple[int, str], tuple[int, str | None, float]] = {}
+    number, todo = {(0, 0): 0}, [(0, 0)]
+    while todo:
+        x, y = pair = todo.pop()
         for sign in signs:
-            for i, part in enumerate(self.parts):
-                state[i], sign = part.step(state[i], sign)
-            out.append(sign)
-        return out
+            p, middle, v = a.step(x, sign)
+            q, out, w = b.step(y, middle)
+            if (p, q) not in number:
+                number[p, q] = len(number)
+                todo.append((p, q))
+            arcs[number[pair], sign] = (number[p, q], out, v + w)
+    return Fst(arcs)
 
 
-def scope(opens: str, mark: str, span: int | None) -> Fst:
-    """Marks insults within ``span`` words after ``opens``, or to the clause's end."""
+def scope(opens: str, context: str, span: int | None, classes: tuple[str, ...] = CLASSES) -> Fst:
+    """Marks insults within ``span`` signs after ``opens``, or to the clause's end."""
     last = span or 1
-    arcs: dict[tuple[int, str], tuple[int, str | None]] = {(0, opens): (last, None), (0, "*"): (0, None)}
+    arcs: dict[tuple[int, str], tuple[int, str | None, float]] = {(0, opens): (last, None, 0.0), (0, OTHER): (0, None, 0.0)}
     for s in range(1, last + 1):
         after = s - 1 if span else s
-        arcs |= {(s, opens): (last, None), (s, "insult"): (after, mark), (s, "*"): (after, None)}
+        arcs |= {(s, opens): (last, None, 0.0), (s, OTHER): (after, None, 0.0)}
+        arcs |= {(s, c): (after, f"{c}-{context}", 0.0) for c in classes}
     return Fst(arcs)
 
 
-#: will ... violence within three words, then a target within three: the target's place puts out the threat.
-THREAT = Fst(
-    {(0, "will"): (1, None), (0, "*"): (0, None)}
-    | {(s, "will"): (1, None) for s in range(1, 7)}
-    | {(s, "violence"): (4, None) for s in range(1, 4)}
-    | {(1, "*"): (2, None), (2, "*"): (3, None), (3, "*"): (0, None)}
-    | {(s, "target"): (0, "threat") for s in range(4, 7)}
-    | {(4, "*"): (5, None), (5, "*"): (6, None), (6, "*"): (0, None)}
-)
-GRAMMAR = Composed(THREAT, scope("negation", "negated", 3), scope("report", "reported", None), scope("target", "aimed", 6))
+def threat(reach: int = 8, near: int = 3) -> Fst:
+    """will ... violence within ``reach`` signs, then a target within ``near``; or violence and "yourself" side by side."""
+    arcs: dict[tuple[int, str], tuple[int, str | None, float]] = {(0, OTHER): (0, None, 0.0)}
+    last = reach + near
+    waits, alone = range(1, reach + 1), last + 1
+    arcs |= {(s, "will"): (1, None, 0.0) for s in range(last + 2)}
+    arcs |= {(s, "violence"): (reach + 1, None, 0.0) for s in waits} | {(s, "violence"): (alone, None, 0.0) for s in (0, *range(reach + 1, last + 2))}
+    arcs |= {(s, OTHER): (s + 1 if s < reach else 0, None, 0.0) for s in waits}
+    arcs |= {(s, t): (0, "threat", 0.0) for s in range(reach + 1, last + 1) for t in ("target", "self")}
+    arcs |= {(s, OTHER): (s + 1 if s < last else 0, None, 0.0) for s in range(reach + 1, last + 1)}
+    return Fst(arcs | {(alone, "self"): (0, "threat", 0.0), (alone, OTHER): (0, None, 0.0)})
+
+
+def quoted(near: int = 4) -> Fst:
+    """Read from the end: a report, at most ``near`` signs before it a quote, and the insults before that."""
+    inside = near + 1
+    arcs: dict[tuple[int, str], tuple[int, str | None, float]] = {(0, OTHER): (0, None, 0.0), (inside, OTHER): (inside, None, 0.0), (inside, "quote"): (0, None, 0.0)}
+    arcs |= {(s, "report"): (1, None, 0.0) for s in range(near + 1)}
+    arcs |= {(s, "quote"): (inside, None, 0.0) for s in range(1, near + 1)}
+    arcs |= {(s, OTHER): (s + 1 if s < near else 0, None, 0.0) for s in range(1, near + 1)}
+    return Fst(arcs | {(inside, c): (inside, f"{c}-reported", 0.0) for c in CLASSES})
+
+
+#: From the clause's end, then from its start.
+BACKWARD = quoted()
+FORWARD_PARTS = (threat(), scope("negation", "negated", 3), scope("report", "reported", None), scope("target", "aimed", 6, ("insult",)), Fst({(0, c): (0, f"{c}-plain", 0.0) for c in CLASSES}))
+FORWARD = FORWARD_PARTS[0]
+for _part in FORWARD_PARTS[1:]:
+    FORWARD = compose(FORWARD, _part)
+
+
+def marks(signs: list[str]) -> list[str]:
+    """The marks that the grammar puts out for a clause's signs, in order."""
+    back, _ = BACKWARD.run(reversed(signs))
+    out, _ = FORWARD.run(reversed(back))
+    return [m for m in out if m in PLACE]
+
+
+PLACE = {m: i for i, m in enumerate(MARKS)}
 
+
+def counter(mark: str, weights: tuple[float, ...]) -> Fst:
+    """Counts a mark up to the number of weights; each arc has its weight, further marks have none."""
+    n = len(weights)
+    return Fst({(s, mark): (s + 1, None, weights[s]) for s in range(n)} | {(s, OTHER): (s, None, 0.0) for s in range(n + 1)})
+
+
+TOKEN = re.compile(rf"[^\W\d_]+|[{QUOTES[:6]}]|(?<!\w)[{QUOTES[6:]}]|[{QUOTES[6:]}](?!\w)")
 WORD = re.compile(r"[^\W\d_]+")
 CLAUSE = re.compile(r"[.!?;:\n]+")
 
 
 def fixed_classes() -> dict[str, str]:
-    out = {}
-    for words, kind in ((TARGETS, "target"), (WILL, "will"), (VIOLENCE, "violence"), (NEGATIONS, "negation"), (REPORTS, "report")):
+    out = dict.fromkeys(QUOTES, "quote")
+    for words, kind in ((TARGETS, "target"), (SELF, "self"), (WILL, "will"), (VIOLENCE, "violence"), (NEGATIONS, "negation"), (REPORTS, "report")):
         out |= dict.fromkeys(words.split(), kind)
     return out
 
 
+def prior_weights() -> dict[str, tuple[float, ...]]:
+    return {m: PRIOR_THREAT if m == "threat" else PRIOR_MILD if m.startswith("mild") else PRIOR[m.split("-")[1]] for m in MARKS}
+
+
 @dataclass
 class Model:
-    """words and stems: insult to weight (a stem is the beginning of a longer word)."""
+    """words and stems: entry to class (a stem is the beginning of a longer word); weights: mark to its counter's arcs."""
 
-    words: dict[str, float] = field(default_factory=lambda: dict.fromkeys(INSULTS.split(), FIXED_WEIGHT))
-    stems: dict[str, float] = field(default_factory=dict)
-    marks: dict[str, float] = field(default_factory=lambda: dict(MARK_PRIOR))
-    base: float = -3.0
+    words: dict[str, str] = field(default_factory=lambda: dict.fromkeys(INSULTS.split(), "insult"))
+    stems: dict[str, str] = field(default_factory=dict)
+    weights: dict[str, tuple[float, ...]] = field(default_factory=prior_weights)
+    base: float = BASE
 
     def __post_init__(self):
         self._seek = None
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "_seek"}
+        return {k: v for k, v in self.__dict__.items() if not k.startswith("_")}
 
     def __setstate__(self, state):
         self.__dict__.update(state, _seek=None)
@@ -140,79 +211,88 @@ class Model:
             self._classes, self._sizes = fixed_classes(), sorted({len(s) for s in self.stems}, reverse=True)
         return self._seek
 
-    def insult(self, word: str) -> float | None:
-        if (weight := self.words.get(word)) is not None:
-            return weight
-        return next((self.stems[word[:n]] for n in self._sizes if len(word) > n and word[:n] in self.stems), None)
+    def sign(self, token: str) -> str:
+        """The lexicon transducer."""
+        if (kind := self.words.get(token)) is not None:
+            return kind
+        return next((self.stems[token[:n]] for n in self._sizes if len(token) > n and token[:n] in self.stems), None) or self._classes.get(token, OTHER)
 
-    def clauses(self, text: str) -> list[tuple[int, int, list[tuple[str, float]]]]:
-        """(start, end, marks with weights) of every matched clause of a lower-cased text."""
-        spots = [end - n + 1 for end, n in self.seek().iter(text) if end < n or not text[end - n].isalpha()]
+    def clauses(self, text: str) -> list[tuple[int, int, list[str]]]:
+        """(start, end, marks) of every matched clause of a lower-cased text."""
         found, done = [], -1
-        for at in spots:
-            if at < done:
+        for end, n in self.seek().iter(text):
+            at = end - n + 1
+            if at < done or (at and text[at - 1].isalpha()):
                 continue
-            start = max(text.rfind(c, 0, at) for c in ".!?;:\n") + 1
+            start = max(text.rfind(c, max(done, 0), at) for c in ".!?;:\n") + 1 or max(done, 0)
             stop = CLAUSE.search(text, at)
             done = stop.start() if stop else len(text)
-            tokens = WORD.findall(text, start, done)
-            weights = [self.insult(t) for t in tokens]
-            signs = GRAMMAR.run(["insult" if w is not None else self._classes.get(t, "other") for t, w in zip(tokens, weights, strict=True)])
-            marks = [("plain" if s == "insult" else s, FIXED_WEIGHT if w is None else w) for s, w in zip(signs, weights, strict=True) if w is not None or s == "threat"]
-            if marks:
-                found.append((start, done, marks))
+            if own := marks([self.sign(t) for t in TOKEN.findall(text, start, done)]):
+                found.append((start, done, own))
         return found
 
+    def counts(self, text: str) -> Counter[str]:
+        """How often the matched clauses of a lower-cased text have each mark."""
+        return Counter(m for _, _, own in self.clauses(text) for m in own)
+
     def score(self, text: str | None) -> float:
-        """Probability from the weightiest mark of each clause, later clauses counting ever less."""
-        best = sorted((max(w + self.marks[m] for m, w in marks) for _, _, marks in self.clauses((text or "").lower())), reverse=True)
-        logit = self.base + sum(max(0.0, w) / (1 + i) for i, w in enumerate(best))
+        """Probability from the counters' weights over the marks of all matched clauses."""
+        logit = self.base + sum(sum(self.weights[m][:n]) for m, n in self.counts((text or "").lower()).items())
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, logit))))
 
 
-def features(text: str) -> set[str]:
-    """A document's words, and their beginnings of four letters or more with a hyphen."""
-    words = {w for w in WORD.findall(text.lower()) if len(w) > 2}
-    return words | {w[:n] + "-" for w in words for n in range(4, min(len(w), 9))}
+def features(text: str) -> Counter[str]:
+    """How often a document has each word and each proper beginning of words, with a hyphen; TIMES at most."""
+    out: Counter[str] = Counter()
+    for w, n in Counter(WORD.findall(text.lower())).items():
+        if len(w) > 2:
+            out[w] += n
+            for k in range(STEM[0], min(len(w), STEM[1])):
+                out[w[:k] + "-"] += n
+    return Counter({k: min(n, TIMES) for k, n in out.items()})
+
+
+def evidence(t: int, c: int, base: float) -> float:
+    """Log likelihood ratio of t toxic and c clean documents against the share ``base`` of toxic ones."""
+    p = (t + 0.5) / (t + c + 1)
+    return t * math.log(p / base) + c * math.log((1 - p) / (1 - base)) if t and p > base else 0.0
 
 
-def choose(rows: list[tuple[str, list[int], int]], toxic: int, clean: int) -> dict[str, float]:
-    """Entries with weights from (feature, toxic documents, number of clean documents).
+def choose(rows: list[tuple[str, int, list[int], int]], toxic: int, clean: int, least: dict[int, float]) -> dict[str, str]:
+    """Entries with their classes from (feature, times, toxic documents that have it so often, number of such clean ones).
 
-    Of features with the same documents the longest stands for all. All with very strong evidence are taken;
+    least: evidence that a feature of so many times needs.
+
+    Of features with the same documents the longest stands for all; a beginning with more evidence stands for
+    the longer ones. Those that tell by one occurrence are insults, others mild. All with very strong evidence are taken;
     then, while toxic documents are left unexplained, the one with most evidence from those.
     """
     base = toxic / (toxic + clean)
-
-    def evidence(t: int, c: int) -> float:
-        p = (t + 0.5) / (t + c + 1)
-        return t * math.log(p / base) + c * math.log((1 - p) / (1 - base)) if t and p > base else 0.0
-
     longest: dict[tuple, tuple[str, int]] = {}
-    for name, docs, c in rows:
+    for name, times, docs, c in rows:
         key = (frozenset(docs), c)
-        if key not in longest or (len(name.rstrip("-")), name.endswith("-")) > (len(longest[key][0].rstrip("-")), longest[key][0].endswith("-")):
-            longest[key] = (name, c)
-    pool = [(name, docs, c) for (docs, c), (name, _) in longest.items() if (c + 0.5) / (len(docs) + c + 1) <= MOST_CLEAN]
-    # a stem gives way to a longer entry that has nearly all its toxic documents and fewer clean ones
-    pool = [x for x in pool if not x[0].endswith("-") or not any(y[0].startswith(x[0][:-1]) and y[2] < x[2] and len(y[1]) >= 0.9 * len(x[1]) for y in pool)]
-    strong = 16.0 + math.log(max(len(rows), 1))
-    taken = [(n, d, c) for n, d, c in pool if evidence(len(d), c) >= strong]
-    left = set().union(*(d for _, d, _ in pool)) if pool else set()
-    left -= set().union(*(d for _, d, _ in taken)) if taken else set()
+        own = (-times, len(name.rstrip("-")), name.endswith("-"))
+        if key not in longest or own > (-longest[key][1], len(longest[key][0].rstrip("-")), longest[key][0].endswith("-")):
+            longest[key] = (name, times)
+    pool = [(name, docs, c, times) for (docs, c), (name, times) in longest.items() if (c + 0.5) / (len(docs) + c + 1) <= MOST_CLEAN and evidence(len(docs), c, base) >= least[times]]
+    pool.sort(key=lambda x: (-evidence(len(x[1]), x[2], base), x[3], x[0]))
+    best: list[tuple[str, frozenset, int, int]] = []
+    for x in pool:
+        short = x[0].rstrip("-")
+        # a stem says nothing more than the longer entries that have nearly all its toxic documents
+        inside = [y[1] for y in best if x[0].endswith("-") and y[0].startswith(x[0][:-1])]
+        told = len(x[1].intersection(frozenset().union(*inside))) >= 0.8 * len(x[1])
+        if not told and not any(x[0] == y[0] or (y[0].endswith("-") and short.startswith(y[0][:-1])) for y in best):
+            best.append(x)
+    taken = [x for x in best if evidence(len(x[1]), x[2], base) >= 2 * least[x[3]]]
+    left = set().union(*(x[1] for x in best)).difference(*(x[1] for x in taken))
     while left:
-        best = max(pool, key=lambda x: (evidence(len(x[1] & left), x[2]), len(x[0]), x[0]))
-        if evidence(len(best[1] & left), best[2]) < EVIDENCE:
+        top = max(best, key=lambda x: (evidence(len(x[1] & left), x[2], base), len(x[0]), x[0]))
+        if evidence(len(top[1] & left), top[2], base) < least[top[3]]:
             break
-        taken.append(best)
-        left -= best[1]
-    weight = lambda t, c: math.log((t + 0.5) / (toxic + 1)) - math.log((c + 0.5) / (clean + 1))
-    out: dict[str, float] = {}
-    for name, docs, c in sorted(taken, key=lambda x: len(x[0])):
-        covered = any(name.startswith(s[:-1]) and evidence(len(docs), c) < strong * 2 for s in out if s.endswith("-"))
-        if not covered and weight(len(docs), c) > 0:
-            out[name] = weight(len(docs), c)
-    return out
+        taken.append(top)
+        left -= top[1]
+    return {name: CLASSES[times > 1] for name, _, _, times in taken}
 
 
 def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", most: int = MOST_LEARNED) -> Model:
@@ -229,7 +309,7 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(known), "key").where("text is not null")
     rows = rows.withColumn("copy", F.coalesce(F.array_min(shingle_hashes(F.col("text"))), F.xxhash64("text")))
     firsts = rows.groupBy("copy", "y").agg(F.min("key").alias("key")).select("key").distinct()
-    rows = rows.join(F.broadcast(firsts), "key", "left_semi").select("key", "text", "y")
+    rows = rows.join(F.broadcast(firsts), "key", "left_semi").select(F.xxhash64("key").alias("key"), "text", "y")
     sizes = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     if not toxic or not clean:
@@ -237,59 +317,60 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            names: list[str] = []
-            owner: list[int | None] = []
-            total: list[int] = []
-            others: Counter[str] = Counter()
+            seen: list[tuple[str, int, int | None, int]] = []
+            others: Counter[tuple[str, int]] = Counter()
             for k, t, y in zip(*(part.column(c).to_pylist() for c in ("key", "text", "y")), strict=True):
+                own = [(name, m) for name, n in features(t).items() for m in range(1, n + 1)]
                 if y:
-                    own = features(t)
-                    names += own
-                    owner += [k] * len(own)
-                    total += [0] * len(own)
+                    seen += [(*x, k, 0) for x in own]
                 else:
-                    others.update(features(t))
-            names += others.keys()
-            owner += [None] * len(others)
-            total += others.values()
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(owner, pa.int64()), pa.array(total, pa.int64())], names=["name", "doc", "clean"])
-
-    seen = rows.withColumn("key", F.xxhash64("key")).mapInArrow(spread, "name string, doc long, clean long")
-    seen = seen.groupBy("name").agg(F.collect_set("doc").alias("docs"), F.sum("clean").alias("clean")).where(F.size("docs") >= 3)
+                    others.update(own)
+            seen += [(*x, None, n) for x, n in others.items()]
+            kinds = (pa.string(), pa.int32(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in seen], kind) for i, kind in enumerate(kinds)], names=["name", "times", "doc", "clean"])
+
     p = (F.size("docs") + 0.5) / (F.size("docs") + F.col("clean") + 1)
-    seen = seen.withColumn("g", F.size("docs") * F.log(p * ((toxic + clean) / toxic)) + F.col("clean") * F.log((1 - p) * ((toxic + clean) / clean))).where((p > toxic / (toxic + clean)) & (F.col("g") >= EVIDENCE / 2))
-    top = seen.orderBy(F.desc("g"), F.desc(F.length("name")), "name").limit(MOST_FEATURES).collect()  # bounded: the sample and MOST_FEATURES
-    chosen = choose([(r["name"], r["docs"], r["clean"]) for r in top], toxic, clean)
-    model = Model(base=math.log(0.25 * (toxic + 1) / (clean + 1)))
-    model.words |= {k: w for k, w in chosen.items() if not k.endswith("-")}
-    model.stems = {k[:-1]: w for k, w in chosen.items() if k.endswith("-")}
+    gain = F.size("docs") * F.log(p * ((toxic + clean) / toxic)) + F.col("clean") * F.log((1 - p) * ((toxic + clean) / clean))
+    seen = rows.mapInArrow(tidy(spread), "name string, times int, doc long, clean long").groupBy("name", "times").agg(F.collect_set("doc").alias("docs"), F.sum("clean").alias("clean"))
+    seen = stored(seen.where(F.size("docs") + F.col("clean") >= 3), "toxic-features")
+    least = {r["times"]: math.log(r["n"]) + EVIDENCE for r in seen.groupBy("times").agg(F.count("*").alias("n")).collect()}
+    top = seen.where((F.size("docs") >= 3) & (p > toxic / (toxic + clean)) & (gain >= min(least.values(), default=0.0)) & ((F.col("clean") + 0.5) / (F.size("docs") + F.col("clean") + 1) <= MOST_CLEAN)).collect()  # bounded by the sample
+    chosen = choose([(r["name"], r["times"], r["docs"], r["clean"]) for r in top], toxic, clean, least)
+    model = Model()
+    model.words |= {k: x for k, x in chosen.items() if not k.endswith("-")}
+    model.stems = {k[:-1]: x for k, x in chosen.items() if k.endswith("-")}
     return weigh(rows, model, toxic, clean)
 
 
 def weigh(rows: DataFrame, model: Model, toxic: int, clean: int) -> Model:
-    """Set the marks' weights, and lower fixed entries that clean documents have, from the same sample."""
+    """Set the counters' weights from how many toxic and clean documents of the sample have each mark how often.
+
+    The weight of having a mark k times is its log likelihood ratio, which may not fall as k grows; a prior stands in for PRIOR_ROWS documents.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got: Counter[tuple[str, int]] = Counter()
+        got: Counter[tuple[str, int, int]] = Counter()
         for part in slices(batches):
             for t, y in zip(part.column("text").to_pylist(), part.column("y").to_pylist(), strict=True):
-                low = t.lower()
-                kinds = {m for _, _, marks in model.clauses(low) for m, _ in marks}
-                words = {f"={w}" for w in WORD.findall(low) if w in model.words} if kinds else set()
-                got.update((k, y) for k in kinds | words)
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in got], pa.string()), pa.array([y for _, y in got], pa.int32()), pa.array(list(got.values()), pa.int64())], names=["mark", "y", "n"])
+                got.update((m, min(n, COUNTED), y) for m, n in model.counts(t.lower()).items())
+        kinds = (pa.string(), pa.int32(), pa.int32())
+        yield pa.RecordBatch.from_arrays([*(pa.array([x[i] for x in got], kind) for i, kind in enumerate(kinds)), pa.array(list(got.values()), pa.int64())], names=["mark", "k", "y", "n"])
 
-    got = {(r["mark"], r["y"]): r["n"] for r in rows.mapInArrow(count, "mark string, y int, n long").groupBy("mark", "y").agg(F.sum("n").alias("n")).collect()}
+    got = {(r["mark"], r["k"], r["y"]): r["n"] for r in rows.mapInArrow(tidy(count), "mark string, k int, y int, n long").groupBy("mark", "k", "y").agg(F.sum("n").alias("n")).collect()}
     ratio = lambda t, c: math.log((t + 0.5) / (toxic + 1)) - math.log((c + 0.5) / (clean + 1))
-    for w in list(model.words):
-        t, c = got.get((f"={w}", 1), 0), got.get((f"={w}", 0), 0)
-        if t + c:
-            model.words[w] = ((t + c) * ratio(t, c) + PRIOR_ROWS * FIXED_WEIGHT) / (t + c + PRIOR_ROWS)
+    prior = prior_weights()
+    model.base = math.log(CAUTION * (toxic + 1) / (clean + 1))
     for m in MARKS:
-        t, c = got.get((m, 1), 0), got.get((m, 0), 0)
-        p, base = (t + 0.5) / (t + c + 1), (got.get(("plain", 1), 0) + 0.5) / (got.get(("plain", 1), 0) + got.get(("plain", 0), 0) + 1)
-        learned = max(-4.0, min(1.0, math.log(p / (1 - p)) - math.log(base / (1 - base))))
-        model.marks[m] = ((t + c) * learned * (m != "plain") + PRIOR_ROWS * MARK_PRIOR[m]) / (t + c + PRIOR_ROWS)
+        # k stands for k or more from the last on
+        t, c = ([got.get((m, k, y), 0) for k in range(1, COUNTED + 1)] for y in (1, 0))
+        level, weights, low = 0.0, [], 0.0
+        for k in range(COUNTED):
+            level += prior[m][k]
+            n = t[k] + c[k]
+            own = (n * ratio(t[k], c[k]) + PRIOR_ROWS * level) / (n + PRIOR_ROWS)
+            weights.append(max(own, low) - low)
+            low = max(own, low)
+        model.weights[m] = tuple(weights)
     return model
 
 
@@ -298,13 +379,13 @@ def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score"
     docs = without(docs, name)
     spark = docs.sparkSession
     bound_arrow(spark)
-    sent = spark.sparkContext.broadcast(model)  # MOST_FEATURES entries at most
+    sent = spark.sparkContext.broadcast(model)  # the entries of a bounded sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, text):
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array([sent.value.score(t) for t in part.column(text).to_pylist()], pa.float64())], names=[*part.schema.names, name])
 
-    return docs.mapInArrow(run, T.StructType([*(T.StructField(f.name, f.dataType, True) for f in docs.schema), T.StructField(name, T.DoubleType())]))
+    return docs.mapInArrow(tidy(run), T.StructType([*(T.StructField(f.name, f.dataType, True) for f in docs.schema), T.StructField(name, T.DoubleType())]))
 
 
 def _model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Model:
@@ -320,6 +401,6 @@ def toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: toxic documents go."""
+    """Pipeline stage: toxic documents go. The columns are those of documents, so the score goes too."""
     name = free(docs, "_toxic_score")
     return score(docs, _model(spark, docs, sf_dir), name=name).where(F.col(name) < TOXIC_AT).drop(name)
