@@ -2,7 +2,7 @@
 
 The tree's root holds the lowest rank, leftmost first; a merge changes three leaves at most and each
 change climbs to the root, until the root holds no rank. Words are encoded once per worker and kept in
-a cache of bounded size, as a word's ids depend on the word alone.
+caches bounded in bytes, as a word's ids depend on the word alone.
 
 Input: a frame with the text column. Null and empty texts give no ids and an empty decoded text. Texts
 are never cut. Repeated rows give repeated results; other columns pass through unchanged.
@@ -23,11 +23,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from doclens.llm.common import bound_arrow, slices, table, without
+from doclens.llm.common import bound_arrow, slices, table, tidy, without
 
 NO_PAIR = 1 << 62
-#: Words that a worker remembers; when full, the older half goes. (A chunk is what stands between white space.)
-CACHE_WORDS = 200_000
+#: Bytes, about, of each generation of words and of chunks that a worker remembers; when full, the older one goes. (A chunk is
+#: what stands between white space.) A longer chunk or word is not remembered.
+CACHE_BYTES, CACHED_CHARS = 24 << 20, 64
+#: Bytes of an entry beside its characters: the key, the ids and the decoded text as objects.
+ENTRY_BYTES = 280
 #: The Unicode property White_Space.
 SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -146,6 +149,7 @@ class Codec:
         self.old: dict[str, tuple] = {}
         self.new_words: dict[str, list[int]] = {}
         self.old_words: dict[str, list[int]] = {}
+        self.room, self.word_room = CACHE_BYTES, CACHE_BYTES
 
     def normal(self, text: str) -> str:
         if not text.isascii():
@@ -160,9 +164,11 @@ class Codec:
             letters = [self.letter[b] for b in word.encode("utf-8", "surrogatepass")]
             letters[-1] += self.end
             ids = merged([self.vocab[x] for x in letters if x in self.vocab], self.merges)
-        if len(self.new_words) >= CACHE_WORDS:
-            self.old_words, self.new_words = self.new_words, {}
-        self.new_words[word] = ids
+        if len(word) <= CACHED_CHARS:
+            self.word_room -= ENTRY_BYTES + len(word) + 8 * len(ids)
+            if self.word_room < 0:
+                self.old_words, self.new_words, self.word_room = self.new_words, {}, CACHE_BYTES
+            self.new_words[word] = ids
         return ids
 
     def chunk(self, chunk: str) -> tuple[bytes, str]:
@@ -172,9 +178,11 @@ class Codec:
             for word in self.pattern.findall(chunk):
                 ids += self.new_words.get(word) or self.word(word)
             got = (np.array(ids, np.int32).tobytes(), self.decode(ids))
-        if len(self.new) >= CACHE_WORDS:
-            self.old, self.new = self.new, {}
-        self.new[chunk] = got
+        if len(chunk) <= CACHED_CHARS:
+            self.room -= ENTRY_BYTES + len(chunk) + len(got[0]) + len(got[1])
+            if self.room < 0:
+                self.old, self.new, self.room = self.new, {}, CACHE_BYTES
+            self.new[chunk] = got
         return got
 
     def parts(self, text: str) -> list[tuple[bytes, str]]:
@@ -245,7 +253,7 @@ def encode_decode(docs: DataFrame, path: str | None = None, text: str = "text")
             ids = pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate([x[0] for x in done])))
             yield pa.RecordBatch.from_arrays([*part.columns, ids, pa.array([x[1] for x in done], pa.string())], names=[*part.schema.names, "ids", "decoded"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def digests(spark: SparkSession, sf_dir: str) -> DataFrame:
