@@ -6,7 +6,8 @@ alone. The index maps a record's identifier to bundle, frame and offset in the f
 
 Bundles go to a folder that all machines share, through Arrow's file systems, under names that are
 unique to the attempt. The index is written by Spark, whose commit is atomic; it names only the bundles
-of attempts that succeeded, so a lost executor's files are never read.
+of attempts that succeeded, so a lost executor's files are never read, and they are deleted after the commit.
+Responses are written first; a revisit then names the record of a response that the committed index has.
 
 Null payloads are empty. Repeated rows: among records of equal payload, all those that have the
 largest identifier are responses. A null identifier ranks lowest. No payload is cut.
@@ -21,10 +22,13 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from doclens.llm.common import bound_arrow, new_folder, stored, table
+from doclens.llm.common import bound_arrow, new_folder, stored, table, tidy
 
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 FRAME_BYTES = 256 << 10
@@ -33,7 +37,7 @@ LEAST_REVISIT = 1000
 
 
 def record(kind: str, name: str, url: str | None, payload: bytes, digest: str, length: int, refers_to: str | None) -> bytes:
-    """One WARC record; a revisit's block is empty and its headers name the response."""
+    """One WARC record; a revisit's block is empty and its headers name the response's record."""
     head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:record:{name}>", "WARC-Date: 1970-01-01T00:00:00Z"]
     if url is not None:
         head.append("WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A"))
@@ -116,24 +120,41 @@ def file_system(uri: str):
 
 
 def classify(pages: DataFrame, key: str = "page_id", payload: str = "html", url: str = "url", least: int = LEAST_REVISIT) -> DataFrame:
-    """(key, url, payload, length, digest, kind, refers_to) of each row."""
+    """(key, url, payload, length, digest, kind, refers_to) of each row; refers_to is the response's key."""
     text = F.coalesce(F.col(payload), F.lit(""))
-    rows = pages.select(F.col(key).cast("long").alias("key"), F.col(url).alias("url"), text.alias("payload")).withColumns({"length": F.octet_length("payload").cast("long"), "digest": F.sha1(F.encode("payload", "UTF-8"))})
+    digest = F.sha1(F.encode("payload", "UTF-8"))
+    rows = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), text.alias("payload")).withColumns({"length": F.octet_length("payload").cast("long"), "digest": digest})
     # only payloads that occur twice need a look-up; counts are summed before the shuffle
-    light = pages.select(F.col(key).cast("long").alias("key"), text.alias("payload")).where(F.octet_length("payload") >= least).select("key", F.sha1(F.encode("payload", "UTF-8")).alias("digest"))
-    kept = light.groupBy("digest").agg(F.max("key").alias("newest"), F.count("*").alias("n")).where("n > 1").select("digest", "newest")
+    light = pages.select(F.col(key).alias("key"), text.alias("payload")).where(F.octet_length("payload") >= least).select("key", digest.alias("digest"))
+    kept = stored(light.groupBy("digest").agg(F.max("key").alias("newest"), F.count("*").alias("n")).where("n > 1").select("digest", "newest"), "warc-repeats")
     repeats = rows.join(kept, "digest", "left")
     old = F.coalesce((F.col("length") >= least) & ~F.col("key").eqNullSafe(F.col("newest")) & F.col("newest").isNotNull(), F.lit(False))
     return repeats.select("key", "url", "payload", "length", "digest", F.when(old, "revisit").otherwise("response").alias("kind"), F.when(old, F.col("newest")).alias("refers_to"))
 
 
-INDEX = "record_id string, key long, bundle string, frame int, start int"
+def _index(rows: DataFrame) -> T.StructType:
+    fields = [("record_id", T.StringType()), ("key", rows.schema["key"].dataType), ("digest", T.StringType()), ("kind", T.StringType()), ("refers_to", rows.schema["refers_to"].dataType), ("bundle", T.StringType()), ("frame", T.IntegerType()), ("start", T.IntegerType())]
+    return T.StructType([T.StructField(n, t) for n, t in fields])
 
 
 def write(rows: DataFrame, folder: str) -> DataFrame:
     """Write classified rows as bundles below ``folder``; returns the committed index."""
+    no_record = F.lit(None).cast("string").alias("record")
+    first = _write(rows.where("kind = 'response'").withColumn("record", no_record), folder)
+    targets = first.groupBy("digest").agg(F.min("record_id").alias("record"))
+    # nothing but the headers of a revisit is written, so its payload goes no further than the scan
+    revisits = rows.where("kind = 'revisit'").withColumn("payload", F.lit("")).join(targets, "digest").select("key", "url", "payload", "length", "digest", "kind", "refers_to", "record")
+    index = first.unionByName(_write(revisits, folder))
+    sweep(index, folder)
+    return index
+
+
+def _write(rows: DataFrame, folder: str) -> DataFrame:
     spark = rows.sparkSession
     bound_arrow(spark)
+    schema = _index(rows)
+    key_type, to_type = (to_arrow_type(schema[c].dataType) for c in ("key", "refers_to"))
+    kinds = [pa.string(), key_type, pa.string(), pa.string(), to_type, pa.string(), pa.int32(), pa.int32()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = file_system(folder)
@@ -143,7 +164,8 @@ def write(rows: DataFrame, folder: str) -> DataFrame:
             name = f"{uuid.uuid4().hex}.warc.zst"
             with fs.open_output_stream(f"{root}/{name}", compression=None) as f:
                 f.write(bundle.close())
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in index], pa.string()), pa.array([x[1] for x in index], pa.int64()), pa.array([name] * len(index), pa.string()), pa.array([x[2] for x in index], pa.int32()), pa.array([x[3] for x in index], pa.int32())], names=["record_id", "key", "bundle", "frame", "start"])
+            every = [(*x[:5], name, *x[5:]) for x in index]
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in every], kind) for i, kind in enumerate(kinds)], names=schema.names)
 
         bundle, index, size = Bundle(), [], 0
         for batch in batches:
@@ -152,26 +174,55 @@ def write(rows: DataFrame, folder: str) -> DataFrame:
                 if len(data) >= 1 << 32:
                     raise ValueError("a payload of 4 GB or more does not fit a frame")
                 name = f"{'none' if r['key'] is None else r['key']}:{uuid.uuid4().hex}"
-                where = bundle.add(record(r["kind"], name, r["url"], data, r["digest"], r["length"], None if r["refers_to"] is None else str(r["refers_to"])))
-                index.append((name, r["key"], *where))
-                size += 0 if r["kind"] == "revisit" else len(data)
+                where = bundle.add(record(r["kind"], name, r["url"], data, r["digest"], r["length"], r["record"]))
+                index.append((name, r["key"], r["digest"], r["kind"], r["refers_to"], *where))
+                size += len(data)
                 if size >= BUNDLE_BYTES or len(index) >= 50_000:
                     yield save(bundle, index)
                     bundle, index, size = Bundle(), [], 0
         if index:
             yield save(bundle, index)
 
-    return stored(rows.mapInArrow(run, INDEX), "warc-index")
+    return stored(rows.mapInArrow(tidy(run), schema), "warc-index")
+
+
+def sweep(index: DataFrame, folder: str) -> None:
+    """Delete the bundles that the index does not name: those of failed attempts. Executors list and delete them."""
+    spark = index.sparkSession
+    try:
+        files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder).select(F.substring_index("path", "/", -1).alias("bundle"))
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):  # nothing was written
+            raise
+        return
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = file_system(folder)
+        for batch in batches:
+            for name in batch.column("bundle").to_pylist():
+                fs.delete_file(f"{root}/{name}")
+            yield batch
+
+    files.join(index.select("bundle"), "bundle", "left_anti").mapInArrow(run, "bundle string").write.format("noop").mode("overwrite").save()
 
 
 def fetch(index: DataFrame, folder: str) -> DataFrame:
-    """The records that the index names, read back frame by frame and checked against their digests."""
+    """The records that the index names, read back frame by frame and checked against their identifiers and digests.
+
+    ``refers_to_record`` is the record that a revisit names, as the archive has it.
+    """
+    key, to = index.schema["key"].dataType, index.schema["refers_to"].dataType
+    fields = [("page_id", key), ("url", T.StringType()), ("payload", T.BinaryType()), ("payload_bytes", T.LongType()), ("payload_digest", T.StringType()), ("record_type", T.StringType()), ("refers_to", to), ("record_id", T.StringType()), ("refers_to_record", T.StringType())]
+    schema = T.StructType([T.StructField(n, t) for n, t in fields])
+    kinds = [to_arrow_type(t) for _, t in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         fs, root = file_system(folder)
         unzip = zstandard.ZstdDecompressor()
+        give = lambda out: pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=schema.names)
+        plain = lambda name: name.removeprefix("<urn:record:").removesuffix(">")
         for batch in batches:
             for name, tab in _by_bundle(batch):
                 path = f"{root}/{name}"
@@ -179,39 +230,37 @@ def fetch(index: DataFrame, folder: str) -> DataFrame:
                 with fs.open_input_file(path) as f:
                     frames = read_table(f, f.size())
                     last, data, held = -1, b"", 0
-                    for key, frame, start in sorted(tab, key=lambda x: x[1:]):
-                        if frame != last:
-                            at, packed, plain = frames[frame]
+                    for r in sorted(tab, key=lambda r: (r["frame"], r["start"])):
+                        if r["frame"] != last:
+                            last = r["frame"]
+                            at, packed, size = frames[last]
                             f.seek(at)
-                            last, data = frame, unzip.decompress(f.read(packed), max_output_size=plain)
-                        head, block, _ = parse(data, start)
+                            data = unzip.decompress(f.read(packed), max_output_size=size)
+                        head, block, _ = parse(data, r["start"])
                         digest, kind = head["WARC-Payload-Digest"].removeprefix("sha1:"), head["WARC-Type"]
+                        if plain(head["WARC-Record-ID"]) != r["record_id"]:
+                            raise ValueError(f"{name}: {r['record_id']} does not stand where the index says")
                         if kind == "response" and hashlib.sha1(block).hexdigest() != digest:
-                            raise ValueError(f"{name}: the payload of {key} does not have its digest")
-                        to = head.get("WARC-Refers-To", "").removeprefix("<urn:record:").removesuffix(">")
-                        out.append((key, head.get("WARC-Target-URI"), block if kind == "response" else None, int(head["X-Payload-Length"]), digest, kind, int(to) if to else None))
+                            raise ValueError(f"{name}: the payload of {r['record_id']} does not have its digest")
+                        target = plain(head["WARC-Refers-To"]) if kind == "revisit" else None
+                        out.append((r["key"], head.get("WARC-Target-URI"), block if kind == "response" else None, int(head["X-Payload-Length"]), digest, kind, r["refers_to"], r["record_id"], target))
                         held += len(block)
                         if held >= 1 << 20 or len(out) >= 5000:
-                            yield _records(out)
+                            yield give(out)
                             out, held = [], 0
                 if out:
-                    yield _records(out)
+                    yield give(out)
 
-    return index.repartition("bundle").mapInArrow(run, "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return index.repartition("bundle").mapInArrow(tidy(run), schema)
 
 
 def _by_bundle(batch: pa.RecordBatch):
     found: dict[str, list] = {}
     for r in batch.to_pylist():
-        found.setdefault(r["bundle"], []).append((r["key"], r["frame"], r["start"]))
+        found.setdefault(r["bundle"], []).append(r)
     return found.items()
 
 
-def _records(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.int64()]
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["page_id", "url", "payload", "payload_bytes", "payload_digest", "record_type", "refers_to"])
-
-
 def archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The query: all pages written to archives and read back."""
     folder = new_folder(spark, "warc")
