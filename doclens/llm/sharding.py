@@ -3,9 +3,13 @@
 A run is a folder of Parquet files that is never changed. An arrival becomes a small run; as soon as FAN runs are
 of similar size (within one tier, a power of FAN of the least size) they are merged into files of about the target size.
 A manifest version lists the live runs. It is committed by creating its file, complete, under a name that
-must not exist yet; of two writers that prepare the same version one fails and tries again on the newer one.
-Readers take the newest version and never see half a merge. Runs that no version needs are removed after
-the commit.
+must not exist yet; of two writers that prepare the same version one fails and tries again on the newer one. That
+needs a file system whose rename is atomic and does not overwrite, as HDFS's; on a local one a hard link does the
+same. An object store without such a rename must not be used by several writers.
+
+Readers take the newest version, or any that is retained, and never see half a merge. A merge deletes nothing: runs go
+by ``expire`` alone, which drops all versions but the newest ones and then the runs that only those dropped listed. A reader of
+an expired version fails; one of a retained version never loses a file.
 
 Rows keep all their columns and values; nulls, empty and long texts, repeated rows and empty arrivals
 included. What reaches the driver is the list of runs, whose number grows as the logarithm of the data.
@@ -16,6 +20,7 @@ from __future__ import annotations
 
 import json
 import math
+import os
 import uuid
 from dataclasses import asdict, dataclass
 
@@ -28,6 +33,8 @@ TARGET_BYTES = 128 << 20
 LEAST_BYTES = 1 << 20
 FAN = 4
 ARRIVALS = 12
+#: Versions that the query's store keeps.
+RETAINED = 8
 
 
 class Conflict(RuntimeError):
@@ -57,8 +64,7 @@ class Store:
         return self.jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
 
     def version(self) -> int:
-        names = [s.getPath().getName() for s in self.fs.listStatus(self._path("manifests"))]
-        return max([int(n[1:-5]) for n in names if n.startswith("v") and n.endswith(".json")], default=0)
+        return max(self.versions(), default=0)
 
     def runs(self, version: int | None = None) -> list[Run]:
         v = self.version() if version is None else version
@@ -80,15 +86,23 @@ class Store:
             out.write(bytearray(body.encode()))
         finally:
             out.close()
-        context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path("").toUri(), self.spark._jsc.hadoopConfiguration())
-        none = self.spark.sparkContext._gateway.new_array(self.jvm.org.apache.hadoop.fs.Options.Rename, 0)
         try:
-            context.rename(part, to, none)  # without OVERWRITE: fails if the version exists
+            self._move(part, to)
         except Exception as e:
-            self.fs.delete(part, False)
             raise Conflict(f"version {version + 1} exists") if self.fs.exists(to) else e
+        finally:
+            self.fs.delete(part, False)
         return version + 1
 
+    def _move(self, part, to) -> None:
+        """Give the file its name; fails if the name exists."""
+        if self.fs.getUri().getScheme() == "file":
+            # the local rename looks first and then renames, so two writers could both succeed
+            os.link(part.toUri().getPath(), to.toUri().getPath())
+            return
+        context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path("").toUri(), self.spark._jsc.hadoopConfiguration())
+        context.rename(part, to, self.spark.sparkContext._gateway.new_array(self.jvm.org.apache.hadoop.fs.Options.Rename, 0))
+
     def _bytes(self, path: str) -> int:
         return self.fs.getContentSummary(self.jvm.org.apache.hadoop.fs.Path(path)).getLength()
 
@@ -131,12 +145,31 @@ class Store:
             path = f"{self.root}/runs/{uuid.uuid4().hex}"
             # whole partitions are put together, so no row is shuffled
             self._read(some).coalesce(max(1, math.ceil(total / self.target))).write.parquet(path)
-            self._change(some, [Run(path, self._bytes(path), max(r.merged for r in some) + 1)])
-            for r in some:
-                self.fs.delete(self.jvm.org.apache.hadoop.fs.Path(r.path), True)
+            try:
+                self._change(some, [Run(path, self._bytes(path), max(r.merged for r in some) + 1)])
+            except Conflict:  # another writer merged them first
+                self.fs.delete(self.jvm.org.apache.hadoop.fs.Path(path), True)
+                continue
             n += 1
         return n
 
+    def versions(self) -> list[int]:
+        names = [s.getPath().getName() for s in self.fs.listStatus(self._path("manifests"))]
+        return sorted(int(n[1:-5]) for n in names if n.startswith("v") and n.endswith(".json"))
+
+    def expire(self, keep: int = RETAINED) -> int:
+        """Drop all but the newest ``keep`` versions, and the runs that none of the kept lists; the number of runs deleted."""
+        every = self.versions()
+        gone, kept = every[: len(every) - max(keep, 1)], every[len(every) - max(keep, 1) :]
+        live = {r.path for v in kept for r in self.runs(v)}
+        dead = {r.path for v in gone for r in self.runs(v)} - live
+        # manifests first: what no manifest lists is never opened
+        for v in gone:
+            self.fs.delete(self._path(f"manifests/v{v:012d}.json"), False)
+        for path in sorted(dead):
+            self.fs.delete(self.jvm.org.apache.hadoop.fs.Path(path), True)
+        return len(dead)
+
     def _read(self, runs: list[Run]) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(*[r.path for r in runs]) if hasattr(self, "schema") else self.spark.read.parquet(*[r.path for r in runs])
 
@@ -154,6 +187,7 @@ def shard(docs: DataFrame, root: str, arrivals: int = ARRIVALS, key: str = "doc_
     for path in store.append_each(docs.withColumn(mark, F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(arrivals))), mark):
         store._change([], [Run(path, store._bytes(path))])
         store.compact()
+    store.expire()
     return store
 
 
