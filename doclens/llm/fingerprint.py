@@ -2,12 +2,12 @@
 
 All of it is SQL functions. A shingle is five successive words (a text of one to four words is one
 shingle); words are the lower-cased runs of letters and digits. Since the kept hashes do not depend on
-the document's size, sketches of very unequal documents compare without loss, and the sketch of
-a union is the union of the sketches.
+the document's size, sketches of very unequal documents compare without loss. A text none of whose hashes lies under
+the bound keeps its least one, so that unlike short texts have unlike sketches; a merge drops hashes above the bound as soon as one
+lies under it, so the merged sketch is always that of both texts' shingles together.
 
-Null and empty texts, and texts without a word, have an empty sketch, "". The likeness of two empty
-sketches is 1 if neither text has a shingle kept, and 0 if just one is empty. Repeated rows get equal
-sketches; other columns pass through.
+Null and empty texts, and texts without a word, alone have the empty sketch, "". The likeness of two of them
+is 1, that of one and any other text 0. Repeated rows get equal sketches; other columns pass through.
 """
 
 from __future__ import annotations
@@ -48,18 +48,23 @@ def shingle_hashes(text: Column, n: int = WORDS) -> Column:
 
 
 def sketch(text: Column, scale: int = SCALE, n: int = WORDS) -> Column:
-    """Ascending distinct hashes under 1/scale of the hash range."""
-    bound = -(1 << 63) + (1 << 64) // scale
-    return F.array_sort(F.array_distinct(F.filter(shingle_hashes(text, n), lambda h: h < F.lit(bound).cast("long"))))
+    """Ascending distinct hashes under 1/scale of the hash range, or the least hash if there is none."""
+    return F.element_at(F.transform(F.array(shingle_hashes(text, n)), lambda h: F.array_sort(F.array_distinct(_kept(h, scale)))), 1)
+
+
+def _kept(hashes: Column, scale: int) -> Column:
+    under = F.filter(hashes, lambda h: h < F.lit(-(1 << 63) + (1 << 64) // scale).cast("long"))
+    own = F.transform(F.array(under), lambda u: F.when((F.size(u) > 0) | (F.size(hashes) == 0), u).otherwise(F.array(F.array_min(hashes))))
+    return F.element_at(own, 1)
 
 
 def as_text(hashes: Column) -> Column:
     return F.array_join(F.transform(hashes, lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")), "")
 
 
-def merge(a: Column, b: Column) -> Column:
+def merge(a: Column, b: Column, scale: int = SCALE) -> Column:
     """The sketch of two texts' shingles together."""
-    return F.array_sort(F.array_union(a, b))
+    return F.array_sort(_kept(F.array_union(a, b), scale))
 
 
 def common(a: Column, b: Column) -> Column:
