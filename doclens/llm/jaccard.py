@@ -5,16 +5,18 @@ documents that share a band's hash are candidates. At Jaccard s a pair is found
 1 - (1 - s**ROWS)**BANDS: 0.999993 at 0.8 with 30 bands of 5 rows. Every candidate pair is
 verified on the full sets, so no pair below the threshold is ever linked.
 
-Documents of equal sets form a class first, so exact copies in any number cost one row. Candidate classes
-are gathered into clusters by connected components over the band buckets; each cluster is
-verified in one task if it is small, and in pairs of blocks if it is large, so a class's text moves once for
-each block of its own cluster and no task holds more than two blocks. What leaves a task is a count of links and
+Documents of equal sets form a class first, so exact copies in any number cost one row. Candidate classes are
+the members of a band's bucket. Buckets that overlap are put together by connected components, and such a
+cluster is verified in one task if it is small. A larger one is verified in pairs of blocks, either of the whole cluster or of each
+of its buckets, whichever moves fewer texts: a dense cluster shares most buckets, a long chain of small
+buckets does not. In both, the pairs verified are just those that share a band's hash, each once (a bucket leaves out pairs that an
+earlier band has), and no task holds more than two blocks. What leaves a task is a count of links and
 a spanning forest, never all pairs.
 
 Result for each row: ``class_id`` (least id with the same set), ``n_links`` (other documents at the threshold
 or above, copies included) and ``group_id`` (least id of the group that links connect). Null, empty and
 wordless texts have no set: they link to nothing and are classes of their own. Rows that repeat an id
-are documents each. Texts are read whole. Null ids are kept, with themselves as class and group.
+are documents each. Texts are read whole. Ids may be of any type that can be ordered. Null ids are kept, with themselves as class and group.
 """
 
 from __future__ import annotations
@@ -25,8 +27,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from doclens.llm.common import bound_arrow, components, free, slices, stored, table
+from doclens.llm.common import bound_arrow, components, free, slices, stored, table, tidy
 from doclens.llm.shingles import WORDS, mix, shingle_sets
 
 THRESHOLD = 0.8
@@ -55,28 +58,29 @@ def _set_id(at: np.ndarray, sets: np.ndarray) -> np.ndarray:
 
 
 def signatures(rows: DataFrame) -> DataFrame:
-    """(key, th, node, size, bands) from (key, th, text); no row for a text without a set."""
+    """(key, th, node, size, bands) from (key, th, text); node and what follows are null for a text without a set and for a null key."""
     bound_arrow(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             at, sets = shingle_sets([t or "" for t in part.column("text").to_pylist()], WORDS)
-            some = np.flatnonzero(np.diff(at))
-            if not len(some):
-                continue
-            own = np.append(at[some], at[-1])
-            bands = band_hashes(own, sets)
-            take = pa.array(some)
+            some = np.diff(at) > 0
+            place = np.full(part.num_rows, -1)
+            place[some] = np.arange(some.sum())
+            own = np.append(at[:-1][some], at[-1])
+            bands = band_hashes(own, sets) if some.any() else np.zeros((0, BANDS), np.uint64)
+            nodes = _set_id(own, sets) if some.any() else np.zeros(0, np.uint64)
+            none = ~some | part.column("key").is_null().to_numpy(zero_copy_only=False)
+            take = pa.array(np.where(none, 0, place), mask=none)
             spread = pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, BANDS, dtype=np.int32)), pa.array(bands.view(np.int64).ravel()))
-            yield pa.RecordBatch.from_arrays([part.column("key").take(take), part.column("th").take(take), pa.array(_set_id(own, sets).view(np.int64)), pa.array(np.diff(own)), spread], names=["key", "th", "node", "size", "bands"])
+            yield pa.RecordBatch.from_arrays([part.column("key"), part.column("th"), *(x.take(take) for x in (pa.array(nodes.view(np.int64)), pa.array(np.diff(own)), spread))], names=["key", "th", "node", "size", "bands"])
 
-    return rows.mapInArrow(run, "key long, th long, node long, size long, bands array<long>")
+    return rows.mapInArrow(tidy(run), T.StructType([rows.schema["key"], *T._parse_datatype_string("th long, node long, size long, bands array<long>")]))
 
 
-def _pairs(bands: np.ndarray, side: np.ndarray, cross: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate pairs (i < j in order of place) of a block, or of two blocks: those that share a band's hash."""
-    n = len(bands)
-    mask = np.zeros((n, n), bool)
+def _same(bands: np.ndarray) -> np.ndarray:
+    """Which rows share a band's hash with which."""
+    mask = np.zeros((len(bands), len(bands)), bool)
     for b in range(bands.shape[1]):
         order = np.argsort(bands[:, b], kind="stable")
         col = bands[order, b]
@@ -85,14 +89,21 @@ def _pairs(bands: np.ndarray, side: np.ndarray, cross: bool) -> tuple[np.ndarray
             if e - s > 1:
                 own = order[s:e]
                 mask[np.ix_(own, own)] = True
+    return mask
+
+
+def _pairs(bands: np.ndarray, side: np.ndarray, cross: bool, bucket: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Candidate pairs (i < j in order of place) of a block, or of two blocks: those that share a band's hash; in a bucket
+    those for which it is the first."""
+    mask = _same(bands) if bucket is None else ~_same(bands[:, : int(np.flatnonzero(bands[0] == bucket)[0])])
     if cross:
         mask &= side[:, None] != side[None, :]
     return np.nonzero(np.triu(mask, 1))
 
 
-def verify(nodes: np.ndarray, weights: np.ndarray, bands: np.ndarray, texts: list[str], side: np.ndarray, cross: bool, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+def verify(nodes: np.ndarray, weights: np.ndarray, bands: np.ndarray, texts: list[str], side: np.ndarray, cross: bool, threshold: float, bucket: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Links of each node (weighted by the other class's size), and its root in a spanning forest of the links."""
-    i, j = _pairs(bands, side, cross)
+    i, j = _pairs(bands, side, cross, bucket)
     links, root = np.zeros(len(nodes), np.int64), np.arange(len(nodes))
     if not len(i):
         return links, nodes
@@ -143,8 +154,9 @@ def _shared(at: np.ndarray, sets: np.ndarray, i: np.ndarray, j: np.ndarray) -> n
 
 
 def _verified(members: DataFrame, threshold: float) -> DataFrame:
-    """(node, links, root, whole) for each row of (comp, x, y, side, node, n, bands, text), by block pair."""
-    parts = members.repartition("comp", "x", "y").sortWithinPartitions("comp", "x", "y")
+    """(node, links, root) for each row of (part, x, y, bucket, side, node, n, bands, text), by block pair."""
+    keys = ("part", "x", "y", "bucket")
+    parts = members.repartition(*keys).sortWithinPartitions(*keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
@@ -153,12 +165,12 @@ def _verified(members: DataFrame, threshold: float) -> DataFrame:
         def close() -> pa.RecordBatch:
             side = np.array([r["side"] for r in held])
             nodes = np.array([r["node"] for r in held], np.int64)
-            links, root = verify(nodes, np.array([r["n"] for r in held], np.int64), np.array([r["bands"] for r in held], np.int64), [r["text"] for r in held], side, key[1] != key[2], threshold)
+            links, root = verify(nodes, np.array([r["n"] for r in held], np.int64), np.array([r["bands"] for r in held], np.int64), [r["text"] for r in held], side, key[1] != key[2], threshold, key[3])
             return pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(links), pa.array(root)], names=["node", "links", "root"])
 
         for batch in batches:
             for r in batch.to_pylist():
-                now = (r["comp"], r["x"], r["y"])
+                now = tuple(r[k] for k in keys)
                 if now != key and held:
                     yield close()
                     held = []
@@ -167,46 +179,60 @@ def _verified(members: DataFrame, threshold: float) -> DataFrame:
         if held:
             yield close()
 
-    return parts.mapInArrow(run, "node long, links long, root long")
+    return parts.mapInArrow(tidy(run), "node long, links long, root long")
+
+
+def _blocks(classes, shingles):
+    """Blocks for so many classes with so many shingles."""
+    return F.greatest(F.ceil(classes / BLOCK_CLASSES), F.ceil(shingles / BLOCK_SHINGLES)).cast("int")
+
+
+def _placed(classes: DataFrame) -> DataFrame:
+    """(part, x, y, bucket, side, node, ...): the blocks' pairs that each class with candidates goes to."""
+    hashes = classes.select("node", "size", F.explode("bands").alias("h"))
+    buckets = hashes.groupBy("h").agg(F.min("node").alias("least"), F.count("*").alias("members"), F.sum("size").alias("shingles")).where("members > 1")
+    buckets = buckets.select("h", "least", _blocks(F.col("members"), F.col("shingles")).alias("parts"))
+    shared = stored(hashes.select("node", "h").join(buckets, "h"), "buckets")
+    clusters = stored(components(shared.where("node != least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()).withColumnRenamed("root", "comp"), "clusters")
+    facts = clusters.join(classes.select("node", "size"), "node").groupBy("comp").agg(F.count("*").alias("n"), F.sum("size").alias("shingles"))
+    facts = stored(facts.select("comp", "n", _blocks(F.col("n"), F.col("shingles")).alias("blocks")), "cluster-sizes")
+    # copies of texts that the pairs of blocks of the buckets need, for clusters of more than one block
+    large = clusters.join(facts.where("blocks > 1"), "comp")
+    split = large.join(shared, "node").groupBy("comp").agg(F.sum("parts").alias("copies"), F.max(F.col("n") * F.col("blocks")).alias("whole")).where("copies < whole").select("comp")
+    split = stored(split, "split")
+    no_bucket = F.lit(None).cast("long").alias("bucket")
+    whole = clusters.join(facts, "comp").join(split, "comp", "left_anti").select(F.col("comp").alias("part"), no_bucket, "node", "blocks")
+    alone = clusters.join(split, "comp", "left_semi").select("node").join(shared, "node").select(F.col("h").alias("part"), F.col("h").alias("bucket"), "node", F.col("parts").alias("blocks"))
+    own = whole.unionByName(alone).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    # a class goes to each pair of blocks that has its own
+    spread = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(F.least("own", b).alias("x"), F.greatest("own", b).alias("y")))
+    return own.withColumn("p", F.explode(spread)).select("part", "p.x", "p.y", "bucket", F.col("own").alias("side"), "node")
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(key, th, class_id, n_links, group_id) of every row; th is a hash of the row's text."""
-    rows = docs.select(F.col(key).cast("long").alias("key"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("th"), F.col(text).alias("text"))
-    signed = stored(signatures(rows.where("key is not null")), "signatures")
+    rows = docs.select(F.col(key).alias("key"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("th"), F.col(text).alias("text"))
+    signed = stored(signatures(rows), "signatures")
+    some = signed.where("node is not null")
     # one row for each set; all of a class have the same bands
-    classes = signed.groupBy("node").agg(F.min(F.struct("key", "th")).alias("first"), F.count("*").alias("n"), F.first("bands").alias("bands"), F.first("size").alias("size"))
+    classes = some.groupBy("node").agg(F.min(F.struct("key", "th")).alias("first"), F.count("*").alias("n"), F.first("bands").alias("bands"), F.first("size").alias("size"))
     classes = stored(classes.select("node", F.col("first.key").alias("rep"), F.col("first.th").alias("rep_th"), "n", "size", "bands"), "classes")
-    hashes = classes.select("node", F.explode("bands").alias("h"))
-    buckets = hashes.groupBy("h").agg(F.min("node").alias("least"), F.count("*").alias("members")).where("members > 1").select("h", "least")
-    comps = components(hashes.join(buckets, "h").where("node != least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct())
-    comps = stored(comps.withColumnRenamed("root", "comp"), "clusters")
-    facts = comps.join(classes.select("node", "size"), "node").groupBy("comp").agg(F.greatest(F.ceil(F.count("*") / BLOCK_CLASSES), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    placed = comps.join(facts, "comp").join(classes, "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    # a large cluster's class goes to each pair of blocks that has its own
-    spread = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(F.least("own", b).alias("x"), F.greatest("own", b).alias("y")))
+    placed = stored(_placed(classes), "placed")
     texts = rows.select(F.col("key").alias("rep"), F.col("th").alias("rep_th"), "text").where("text is not null")
-    found = placed.join(texts, ["rep", "rep_th"]).dropDuplicates(["node"])
-    members = found.select("comp", "node", "n", "bands", "text", F.col("own").alias("side"), F.explode(spread).alias("p")).select("comp", "p.x", "p.y", "side", "node", "n", "bands", "text")
-    checked = stored(_verified(members, threshold), "links")
+    with_text = placed.select("node").distinct().join(classes, "node").join(texts, ["rep", "rep_th"]).dropDuplicates(["node"]).select("node", "n", "bands", "text")
+    checked = stored(_verified(placed.join(with_text, "node").select("part", "x", "y", "bucket", "side", "node", "n", "bands", "text"), threshold), "links")
     # a large cluster's forests meet again here; a small one's are whole already
     roots = components(checked.select(F.col("node").alias("a"), F.col("root").alias("b"))).withColumnRenamed("root", "top")
     linked = checked.groupBy("node").agg(F.sum("links").alias("links"))
     known = classes.select("node", "rep", "n").join(linked, "node", "left").join(roots, "node", "left").select("node", "rep", "n", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("top", "node").alias("top"))
     groups = known.groupBy("top").agg(F.min("rep").alias("group_id"))
     known = known.join(groups, "top").select("node", F.col("rep").alias("class_id"), (F.col("links") + F.col("n") - 1).alias("n_links"), "group_id")
-    done = signed.select("key", "th", "node").join(known, "node").select("key", "th", "class_id", "n_links", "group_id")
-    # rows without a set are known by their text alone
-    rest = _setless(rows)
+    done = some.select("key", "th", "node").join(known, "node").select("key", "th", "class_id", "n_links", "group_id")
+    # rows without a set are classes of their own
+    rest = signed.where("node is null").select("key", "th", F.col("key").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("key").alias("group_id"))
     return done.unionByName(rest)
 
 
-def _setless(rows: DataFrame) -> DataFrame:
-    """Rows without a word, or without an id, as classes of their own."""
-    none = ~F.coalesce(F.lower("text").rlike(r"[\p{L}\p{N}\p{M}]"), F.lit(False))
-    return rows.where(none | F.col("key").isNull()).select("key", "th", F.col("key").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("key").alias("group_id"))
-
-
 def near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The query: class, number of links and group of every document."""
     return join(table(spark, sf_dir, "documents").select("doc_id", "text")).select(F.col("key").alias("doc_id"), "class_id", "n_links", "group_id")
