@@ -10,11 +10,13 @@ likeness. So no item at AT_LEAST or more is missed, however often its words stan
 contaminated if that is AT_LEAST or more. Below it, likeness is given for items of which the document has three
 successive words, aligned around these.
 
+An item of fewer than LEAST_WORDS words is too short for seeds; a document has it where all its words stand in order, side
+by side, with likeness 1, and else not at all. An item without a word identifies nothing.
+
 Items whose number of words is within MOST_ITEM_WORDS are sent to all executors, and documents are read where they lie; beyond
-it seeds are joined by shuffle. Both ways give the same rows. Items of fewer than LEAST_WORDS words
-identify nothing and are left out; null texts are empty. Documents without a candidate have score 0 and no
-item. Ties go to the least item id. Texts are read whole; repeated rows give repeated results. Rows with
-a null id are treated as any other.
+it seeds are joined by shuffle. Both ways give the same rows. Null texts are empty. Documents without a candidate have score 0 and no
+item. Ties go to the least item id. start_word and end_word bound the best item's alignment. Texts are read whole; repeated
+rows give repeated results. Rows with a null id are treated as any other.
 """
 
 from __future__ import annotations
@@ -28,7 +30,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from doclens.llm.common import bound_arrow, free, slices, table, without
+from pyspark.sql.pandas.types import to_arrow_type
+
+from doclens.llm.common import bound_arrow, free, slices, table, tidy, without
 from doclens.llm.shingles import mix, word_hashes
 
 N = 3
@@ -61,28 +65,33 @@ def pairs(doc: np.ndarray, h: np.ndarray, gaps: tuple[int, ...] = (1, 2)) -> tup
     for k in gaps:
         at = np.flatnonzero(doc[:-k] == doc[k:])
         out.append((mix(h[at] * np.uint64(0xC2B2AE3D27D4EB4F) + h[at + k]), at))
-    return np.concatenate([g for g, _ in out]), np.concatenate([at for _, at in out])
+    return np.concatenate([h[:0], *(g for g, _ in out)]), np.concatenate([np.zeros(0, np.int64), *(at for _, at in out)])
 
 
-def align(item: np.ndarray, words: np.ndarray) -> tuple[int, int]:
-    """Smith-Waterman: (best score, place in ``words`` after its end)."""
-    row = np.zeros(len(words) + 1, np.int64)
-    ramp = GAP * np.arange(len(words) + 1)
-    best, end = 0, 0
+def align(item: np.ndarray, words: np.ndarray) -> tuple[int, int, int]:
+    """Smith-Waterman: (best score, place in ``words`` where it starts, place after its end)."""
+    places = np.arange(len(words) + 1)
+    row, start, ramp = np.zeros(len(words) + 1, np.int64), places, GAP * places
+    best, first, end = 0, 0, 0
     for w in item:
-        step = np.zeros_like(row)
+        step, origin = np.zeros_like(row), places.copy()
         step[1:] = row[:-1] + np.where(words == w, MATCH, -MISMATCH)
-        np.maximum(step, row - GAP, out=step)
-        np.maximum(step, 0, out=step)
-        row = np.maximum.accumulate(step + ramp) - ramp  # gaps in the item
+        origin[1:] = start[:-1]
+        down = row - GAP > step
+        step, origin = np.where(down, row - GAP, step), np.where(down, start, origin)
+        step, origin = np.where(step > 0, step, 0), np.where(step > 0, origin, places)
+        lifted = step + ramp
+        row = np.maximum.accumulate(lifted)  # gaps in the item
+        start = origin[np.maximum.accumulate(np.where(lifted == row, places, 0))]
+        row = row - ramp
         at = int(row.argmax())
         if row[at] > best:
-            best, end = int(row[at]), at
-    return best, end
+            best, first, end = int(row[at]), int(start[at]), at
+    return best, first, end
 
 
 def align_all(items: list[np.ndarray], texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """``align`` of each item and text, many at a time; 0 and 1 stand for no word."""
+    """Score and end by ``align`` of each item and text, many at a time; 0 and 1 stand for no word."""
     best, end = np.zeros(len(items), np.int64), np.zeros(len(items), np.int64)
     n, width = np.array([len(x) for x in items], np.int64), np.array([len(x) for x in texts], np.int64)
     order = np.lexsort((n, np.ceil(np.log2(width + 1))))
@@ -176,13 +185,20 @@ class Items:
     def __init__(self, ids: list[int], texts: list[str | None]):
         doc, h, _, _ = word_hashes([t or "" for t in texts])
         ends = np.cumsum(np.bincount(doc, minlength=len(texts)))
-        rows = [(i, h[a:b]) for i, a, b in zip(ids, np.concatenate([[0], ends]), ends, strict=False) if b - a >= LEAST_WORDS and i is not None] if len(texts) else []
+        rows = [(i, h[a:b]) for i, a, b in zip(ids, np.concatenate([[0], ends]), ends, strict=False) if b > a and i is not None] if len(texts) else []
         rows.sort(key=lambda r: r[0])
         self.ids = [i for i, _ in rows]
         self.words = [w for _, w in rows]
+        self.short = np.array([len(w) < LEAST_WORDS for w in self.words], bool)
+        # short items by length and run of words
+        self.phrases: dict[int, dict[int, list[int]]] = {}
+        for i in np.flatnonzero(self.short).tolist():
+            w = self.words[i]
+            self.phrases.setdefault(len(w), {}).setdefault(int(grams(np.zeros(len(w), np.int64), w, len(w))[0][0]), []).append(i)
         one = [np.zeros(len(w), np.int64) for w in self.words]
-        self.pairs = Seeds([pairs(d, w, (1,))[0] for d, w in zip(one, self.words, strict=True)])
-        self.runs = Seeds([grams(d, w)[0] for d, w in zip(one, self.words, strict=True)])
+        seeds = lambda make: Seeds([make(d, w) if len(w) >= LEAST_WORDS else w[:0] for d, w in zip(one, self.words, strict=True)])
+        self.pairs = seeds(lambda d, w: pairs(d, w, (1,))[0])
+        self.runs = seeds(lambda d, w: grams(d, w)[0])
         self.least = np.array([max(1, -(-(len(w) - 3) // 3)) for w in self.words], np.int64)
 
     def windows(self, i: int, size: int, shift: np.ndarray) -> list[tuple[int, int]]:
@@ -213,20 +229,38 @@ class Items:
             a, b = np.searchsorted(own, (d, d + 1))
             parts += [(d, i, *w) for w in self.windows(i, int(cut[d + 1] - cut[d]), seeds.shifts(i, known[a:b], at[a:b] - cut[d]))]
         score, ends = align_all([self.words[i] for _, i, _, _ in parts], [h[cut[d] + a : cut[d] + b] for d, _, a, b in parts])
-        for d, own in groupby(zip(parts, score.tolist(), ends.tolist(), strict=True), lambda p: p[0][0]):
-            best, count = (-1, 0.0, -1, -1), 0
-            for i, same in groupby(own, lambda p: p[0][1]):
-                size = len(self.words[i])
-                (_, _, low, _), top, end = max(same, key=lambda p: p[1])  # the first of equal ones
-                like = top / (MATCH * size)
+        scored = [(d, i, int(x), a, b, a + int(e)) for (d, i, a, b), x, e in zip(parts, score, ends, strict=True)]
+        scored += [(d, i, MATCH * len(self.words[i]), a, a + len(self.words[i]), a + len(self.words[i])) for d, i, a in self.phrase_hits(doc, h, cut)]
+        scored.sort(key=lambda p: p[:2])
+        for d, own in groupby(scored, lambda p: p[0]):
+            best, count = (-1, 0.0, -1, -1, -1), 0
+            for i, same in groupby(own, lambda p: p[1]):
+                _, _, top, low, high, end = max(same, key=lambda p: p[2])  # the first of equal ones
+                like = top / (MATCH * len(self.words[i]))
                 count += like >= AT_LEAST
                 if like > best[1]:
-                    best = (i, like, max(low, low + end - size), low + end)
+                    best = (i, like, low, high, end)
             if best[0] >= 0:
-                yield d, best[0], best[1], count, *best[2:]
+                i, like, low, high, _ = best
+                _, start, end = align(self.words[i], h[cut[d] + low : cut[d] + high])
+                yield d, i, like, count, low + start, low + end
+
+    def phrase_hits(self, doc: np.ndarray, h: np.ndarray, cut: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(text, item, place of its first word) of short items; the first place of each."""
+        for size, known in self.phrases.items():
+            gram, whole = grams(doc, h, size)
+            at = np.flatnonzero(whole & np.isin(gram, np.array(list(known), np.uint64)))
+            seen: set[tuple[int, int]] = set()
+            for k in at.tolist():
+                d = int(doc[k])
+                for i in known[int(gram[k])]:
+                    if (d, i) not in seen:
+                        seen.add((d, i))
+                        yield d, i, k - int(cut[d])
 
 
-COLUMNS = [("contaminated", T.BooleanType(), pa.bool_()), ("item_id", T.LongType(), pa.int64()), ("score", T.DoubleType(), pa.float64()), ("n_items", T.LongType(), pa.int64()), ("start_word", T.LongType(), pa.int64()), ("end_word", T.LongType(), pa.int64())]
+#: The item's id has the type that it has in the items.
+COLUMNS = [("contaminated", T.BooleanType()), ("item_id", None), ("score", T.DoubleType()), ("n_items", T.LongType()), ("start_word", T.LongType()), ("end_word", T.LongType())]
 
 
 def screen(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", prefix: str = "", most_words: int = MOST_ITEM_WORDS) -> DataFrame:
@@ -234,13 +268,14 @@ def screen(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str
 
     They take the place of input columns of those names.
     """
-    names = [prefix + c for c, _, _ in COLUMNS]
+    names = [prefix + c for c, _ in COLUMNS]
     docs = without(docs, *names)
     spark = docs.sparkSession
     bound_arrow(spark)
-    tests = items.select(F.col(item_key).cast("long").alias("id"), F.col(item_text).alias("text")).where("id is not null").distinct()
+    tests = items.select(F.col(item_key).alias("id"), F.col(item_text).alias("text")).where("id is not null").distinct()
     size = tests.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
-    schema = T.StructType([*(T.StructField(f.name, f.dataType, True) for f in docs.schema), *(T.StructField(n, t) for n, (_, t, _) in zip(names, COLUMNS, strict=True))])
+    schema = T.StructType([*(T.StructField(f.name, f.dataType, True) for f in docs.schema), *(T.StructField(n, t or tests.schema["id"].dataType) for n, (_, t) in zip(names, COLUMNS, strict=True))])
+    kinds = [to_arrow_type(f.dataType) for f in schema[-len(names) :]]
     if size > 2 * most_words:  # a word has two characters at least, with its space
         return _screen_by_join(docs, tests, text, names, schema)
     rows = tests.collect()  # bounded by the check above
@@ -253,9 +288,9 @@ def screen(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str
             found: list[tuple] = [(False, None, 0.0, 0, None, None)] * part.num_rows
             for k, i, like, n, s, e in tests.find([t or "" for t in part.column(text).to_pylist()]):
                 found[k] = (like >= AT_LEAST, tests.ids[i], like, n, s, e)
-            yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array([f[j] for f in found], kind) for j, (_, _, kind) in enumerate(COLUMNS))], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array([f[j] for f in found], kind) for j, kind in enumerate(kinds))], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def _screen_by_join(docs: DataFrame, tests: DataFrame, text: str, names: list[str], schema: T.StructType) -> DataFrame:
@@ -265,20 +300,32 @@ def _screen_by_join(docs: DataFrame, tests: DataFrame, text: str, names: list[st
     """
     th = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
-    def cut(batches: Iterator[pa.RecordBatch], gaps: tuple[int, ...] = (1, 2)) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch], gaps: tuple[int, ...], shorts: list[int], whole_texts: bool) -> Iterator[pa.RecordBatch]:
+        """Pairs of words, and runs of so many words (only whole texts, if asked); ``words`` is the text's number of words."""
         for part in slices(batches, "text"):
             doc, h, _, _ = word_hashes([t or "" for t in part.column("text").to_pylist()])
             sizes = np.bincount(doc, minlength=part.num_rows)
-            own, at = pairs(doc, h, gaps)
-            for a in range(0, len(at), 200_000):
-                d = doc[at[a : a + 200_000]]
-                yield pa.RecordBatch.from_arrays([part.column("key").take(pa.array(d)), pa.array(own[a : a + 200_000].view(np.int64)), pa.array(sizes[d].astype(np.int32))], names=["key", "gram", "words"])
-
-    form = "key long, gram long, words int"
-    item_grams = tests.select(F.col("id").alias("key"), "text").mapInArrow(lambda batches: cut(batches, (1,)), form).where(f"words >= {LEAST_WORDS}")
-    item_grams = item_grams.groupBy(F.col("key").alias("id"), "gram", F.col("words").alias("size")).agg(F.count("*").alias("places"))
+            found = [pairs(doc, h, gaps)]
+            for n in shorts:
+                run, some = grams(doc, h, n)
+                at = np.flatnonzero(some & (sizes[doc[: len(run)]] == n) if whole_texts else some)
+                found.append((mix(run[at] + np.uint64(n)), at))
+            for own, at in found:
+                for a in range(0, len(at), 200_000):
+                    d = doc[at[a : a + 200_000]]
+                    yield pa.RecordBatch.from_arrays([part.column("key").take(pa.array(d)), pa.array(own[a : a + 200_000].view(np.int64)), pa.array(sizes[d].astype(np.int32))], names=["key", "gram", "words"])
+
+    id_type = tests.schema["id"].dataType
+    id_kind = to_arrow_type(id_type)
+    form = T._parse_datatype_string("key long, gram long, words int")
+    item_form = T.StructType([T.StructField("key", id_type), *form[1:]])
+    # a longer item has its pairs, a short one the run that is all of it
+    long_grams = tests.select(F.col("id").alias("key"), "text").mapInArrow(lambda b: cut(b, (1,), [], True), item_form).where(F.col("words") >= LEAST_WORDS)
+    short_grams = tests.select(F.col("id").alias("key"), "text").mapInArrow(lambda b: cut(b, (), list(range(1, LEAST_WORDS)), True), item_form)
+    shorts = [r["words"] for r in short_grams.select("words").distinct().collect()]  # LEAST_WORDS - 1 at most
+    item_grams = long_grams.unionByName(short_grams).groupBy(F.col("key").alias("id"), "gram", F.col("words").alias("size")).agg(F.count("*").alias("places"))
     texts = docs.select(th.alias("key"), F.col(text).alias("text")).dropDuplicates(["key"])
-    doc_grams = texts.mapInArrow(cut, form).select("key", "gram").distinct()
+    doc_grams = texts.mapInArrow(tidy(lambda b: cut(b, (1, 2), shorts, False)), form).select("key", "gram").distinct()
     # three words on end are two seeds
     enough = F.sum("places") >= F.least(F.lit(2), F.greatest(F.lit(1), F.ceil((F.max("size") - 3) / 3)))
     hits = doc_grams.join(item_grams, "gram").groupBy("key", "id").agg(enough.alias("enough")).where("enough")
@@ -287,15 +334,16 @@ def _screen_by_join(docs: DataFrame, tests: DataFrame, text: str, names: list[st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             out = [(r["key"], r["id"], *f[2:]) for r in part.to_pylist() for f in Items([r["id"]], [r["item"]]).find([r["text"] or ""])]
-            yield pa.RecordBatch.from_arrays([pa.array([o[j] for o in out], k) for j, k in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()))], names=["key", "id", "score", "n", "s", "e"])
+            yield pa.RecordBatch.from_arrays([pa.array([o[j] for o in out], k) for j, k in enumerate((pa.int64(), id_kind, pa.float64(), pa.int64(), pa.int64(), pa.int64()))], names=["key", "id", "score", "n", "s", "e"])
 
-    scored = near.mapInArrow(run, "key long, id long, score double, n long, s long, e long").where("score > 0")
-    best = scored.groupBy("key").agg(F.max(F.struct("score", (-F.col("id")).alias("id"), "s", "e")).alias("b"), F.sum("n").alias("n"))
+    out_form = T.StructType([form["key"], T.StructField("id", id_type), *T._parse_datatype_string("score double, n long, s long, e long")])
+    scored = near.mapInArrow(tidy(run), out_form).where("score > 0")
+    best = scored.groupBy("key").agg(F.min(F.struct((-F.col("score")).alias("score"), "id", "s", "e")).alias("b"), F.sum("n").alias("n"))
     name = free(docs, "_key")
     own = docs.withColumn(name, th)
     joined = own.join(best, own[name] == best["key"], "left")
     b = best["b"]
-    values = [F.coalesce(b["score"] >= AT_LEAST, F.lit(False)), -b["id"], F.coalesce(b["score"], F.lit(0.0)), F.coalesce(best["n"], F.lit(0).cast("long")), b["s"], b["e"]]
+    values = [F.coalesce(-b["score"] >= AT_LEAST, F.lit(False)), b["id"], F.coalesce(-b["score"], F.lit(0.0)), F.coalesce(best["n"], F.lit(0).cast("long")), b["s"], b["e"]]
     return joined.select(*(own[c] for c in docs.columns), *(v.alias(n) for v, n in zip(values, names, strict=True)))
 
 
