@@ -103,9 +103,8 @@ def _sketch(text):
         for v in (h[i : i + 5] + [0] * 5)[:5]:
             seed = xxhash.xxh64_intdigest(struct.pack("<Q", v), seed)
         signed = seed - (1 << 64) if seed >> 63 else seed
-        if signed < -(1 << 63) + (1 << 64) // fingerprint.SCALE:
-            out.add(signed)
-    return out
+        out.add(signed)
+    return {x for x in out if x < -(1 << 63) + (1 << 64) // fingerprint.SCALE} or {min(out)} if out else out
 
 
 def _hex(s):
@@ -147,6 +146,11 @@ def test_sketches_merge(spark):
     a, b = LONG[:40_000], LONG[30_000:90_000]
     r = spark.createDataFrame([(a, b)], "a string, b string").select(fingerprint.sketch(F.col("a")).alias("a"), fingerprint.sketch(F.col("b")).alias("b")).select(fingerprint.merge(F.col("a"), F.col("b")).alias("m"), fingerprint.containment(F.col("a"), F.col("b")).alias("c")).first()
     assert set(r["m"]) == _sketch(a) | _sketch(b)
+    short = [("alpha beta", "gamma delta"), ("alpha beta", LONG), ("", "..."), (None, "a"), ("a", "a")]
+    frame = spark.createDataFrame([(i, *x) for i, x in enumerate(short)], "i int, a string, b string").select("i", "a", "b", fingerprint.sketch(F.col("a")).alias("x"), fingerprint.sketch(F.col("b")).alias("y"))
+    got = frame.select("*", fingerprint.resemblance(F.col("x"), F.col("y")).alias("r"), fingerprint.merge(F.col("x"), F.col("y")).alias("m")).orderBy("i").collect()
+    assert [x["r"] for x in got] == [0.0, 0.0, 1.0, 0.0, 1.0]
+    assert set(got[1]["m"]) == _sketch(LONG) and set(got[0]["m"]) == {min(_sketch("alpha beta") | _sketch("gamma delta"))}
     assert abs(r["c"] - len(_sketch(a) & _sketch(b)) / len(_sketch(a))) < 1e-12
 
 
@@ -158,8 +162,22 @@ def test_warc_round_trip(spark, tmp_path):
     data = [(1, "u", big), (2, "u\r\n", big), (3, None, big), (4, "u", None), (5, "u", ""), (6, "u", "y" * 10), (7, "u", "y" * 10), (8, "u", "é" * 500), (9, "u", "é" * 500), (None, "u", big), (3, "u", big)]
     pages = spark.createDataFrame(data, "page_id long, url string, html string")
     folder = f"file://{tmp_path}/warc"
-    got = warc.fetch(warc.write(warc.classify(pages), folder), folder).collect()
+    (tmp_path / "warc").mkdir()
+    (tmp_path / "warc" / "lost.warc.zst").write_bytes(b"half a bundle of a failed attempt")
+    index = warc.write(warc.classify(pages), folder)
+    got = warc.fetch(index, folder).collect()
     assert len(got) == len(data)
+    assert {f.name for f in (tmp_path / "warc").iterdir() if f.suffix == ".zst"} == {r["bundle"] for r in index.collect()}
+    target = {r["record_id"]: r for r in got}
+    assert len(target) == len(data)
+    for r in got:
+        if r["record_type"] == "revisit":
+            to = target[r["refers_to_record"]]
+            assert to["record_type"] == "response" and (to["page_id"], to["payload_digest"]) == (r["refers_to"], r["payload_digest"])
+        else:
+            assert r["refers_to_record"] is None
+    none = warc.write(warc.classify(pages.limit(0)), f"file://{tmp_path}/none")
+    assert warc.fetch(none, f"file://{tmp_path}/none").count() == 0
     by = {}
     for r in got:
         by.setdefault(r["page_id"], []).append(r)
@@ -234,6 +252,48 @@ def test_jaccard_is_brute_force(spark, monkeypatch):
     assert sorted(rows(got)) == _brute(data)
 
 
+def test_jaccard_of_a_long_chain(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK_CLASSES", 4)
+    words = [f"c{i}" for i in range(1900)]
+    data = [(i, " ".join(words[4 * i : 4 * i + 120])) for i in range(400)] + [(500 + i, t) for i, t in enumerate(_near(7, 30))]
+    seen = []
+    monkeypatch.setattr(jaccard, "_verified", lambda members, threshold, own=jaccard._verified: (seen.append(members), own(members, threshold))[1])
+    got = jaccard.join(spark.createDataFrame(data, "doc_id long, text string")).select("key", "class_id", "n_links", "group_id")
+    assert sorted(rows(got)) == _brute(data)
+    by_bucket = seen[0].select("bucket").where("bucket is not null").distinct().count()
+    copies = seen[0].groupBy("node").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+    assert by_bucket > 100 and copies < len(data) / 4  # what pairs of blocks of the whole cluster would need
+
+
+def test_jaccard_recall(spark):
+    rng = random.Random(11)
+    data, links = [], 0
+    for g in range(150):
+        base = [f"g{g}w{i}" for i in range(200)]
+        other = list(base)
+        for k in rng.sample(range(5, 195, 11), 4):  # four edits far apart change 20 shingles of 196: 176 / 216
+            other[k] = "x"
+        data += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(other))]
+    want = _brute(data)
+    got = sorted(rows(jaccard.join(spark.createDataFrame(data, "doc_id long, text string")).select("key", "class_id", "n_links", "group_id")))
+    found, links = sum(r[2] for r in got), sum(r[2] for r in want)
+    print(f"recall at likeness 0.81: {found} of {links}")
+    assert links == 300 and found >= 0.99 * links
+
+
+def test_jaccard_letters_newer_than_the_jvm_and_other_ids(spark):
+    data = [("a", "\U00011f04 \U00011f05"), ("b", "\U00011f04 \U00011f05"), ("c", "plain"), (None, "plain")]
+    got = rows(jaccard.join(spark.createDataFrame(data, "doc_id string, text string")).select("key", "class_id", "n_links"))
+    assert sorted(got, key=str) == sorted([("a", "a", 1), ("b", "a", 1), ("c", "c", 0), (None, None, 0)], key=str)
+
+
+def test_hubs_stay_spread(spark, monkeypatch):
+    monkeypatch.setattr(common, "HUB_EDGES", 10)
+    edges = [(0, i) for i in range(1, 300)] + [(1000 + i, 1001 + i) for i in range(40)] + [(299, 1000), (5000, 5001)]
+    got = {r["node"]: r["root"] for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: 5000 if x >= 5000 else 0 for e in edges for x in e}
+
+
 def test_jaccard_edges(spark, edge):
     got = jaccard.join(edge)
     assert got.count() == len(EDGE)
@@ -302,6 +362,10 @@ def test_decontamination_finds_edits_and_both_ways_agree(spark, edge):
     key = lambda df: sorted(((r["doc_id"], r["contaminated"], r["item_id"], r["score"], r["n_items"], r["start_word"], r["end_word"]) for r in df.collect()), key=str)
     assert key(got) == key(other)
     assert {r["doc_id"]: r["item_id"] for r in got.collect() if r["contaminated"]} == want
+    short = spark.createDataFrame([("p", "Answer: forty two!"), ("q", "a b"), ("r", "..."), ("s", None), ("t", items[0][1])], "item_id string, text string")
+    more = spark.createDataFrame([(500, "the answer forty two is right, a b"), (501, "answer two forty; b a"), (502, "a b answer forty two")], "doc_id long, text string")
+    both = [sorted(rows(decontaminate.screen(more, short, most_words=m).select("doc_id", "contaminated", "item_id", "score", "n_items", "start_word", "end_word"))) for m in (1000, 0)]
+    assert both[0] == both[1] == [(500, True, "p", 1.0, 2, 1, 4), (501, False, None, 0.0, 0, None, None), (502, True, "p", 1.0, 2, 2, 5)]
     none = decontaminate.screen(frame, tests.limit(0))
     assert none.count() == frame.count() and none.where("contaminated").count() == 0
     assert decontaminate.screen(frame.limit(0), tests).count() == 0
@@ -321,7 +385,7 @@ def test_decontamination_misses_no_alignment(spark):
             docs.append([y for x in w for y in ([x] if rng.random() > part else rng.choice([[], ["z"], [x, "y"]]))])
     noise = lambda: [f"t{rng.randrange(400)}" for _ in range(rng.randrange(30))]
     rows = [(i, " ".join([*noise(), *d, *noise()])) for i, d in enumerate(docs)]
-    some = [decontaminate.align(w, shingles.word_hashes([t])[1]) for w in map(lambda t: shingles.word_hashes([t])[1], [t for _, t in items]) for _, t in rows[:40]]
+    some = [decontaminate.align(w, shingles.word_hashes([t])[1])[::2] for w in map(lambda t: shingles.word_hashes([t])[1], [t for _, t in items]) for _, t in rows[:40]]
     both = decontaminate.align_all([shingles.word_hashes([t])[1] for _, t in items for _ in rows[:40]], [shingles.word_hashes([t])[1] for _ in items for _, t in rows[:40]])
     assert list(zip(*map(list, both), strict=True)) == some
     own = decontaminate.Items([i for i, _ in items], [t for _, t in items])
@@ -337,9 +401,44 @@ def test_decontamination_misses_no_alignment(spark):
         assert {r["doc_id"]: (r["score"], r["item_id"], r["n_items"]) for r in got} == want
 
 
+def test_alignment_bounds():
+    item = np.arange(10, 22, dtype=np.uint64)
+    gap = np.concatenate([[1, 2, 3], item[:5], [7, 8], item[5:9], item[10:], [4, 5]]).astype(np.uint64)
+    assert decontaminate.align(item, gap) == (2 * 11 - 3, 3, 16)
+    assert decontaminate.align(item, item[:0]) == (0, 0, 0)
+
+
+def test_leaks_are_all_alignments(spark):
+    """The whole query beside alignments of every document with every item."""
+    docs, items = (spark.read.parquet(f"{SF}/{n}.parquet").collect() for n in ("documents", "benchmark"))
+    hashed = {r["item_id"]: shingles.word_hashes([r["text"]])[1] for r in items}
+    got = {r["doc_id"]: r for r in decontaminate.leaks(spark, SF).collect()}
+    assert len(got) == len(docs)
+    for d in docs:
+        h = shingles.word_hashes([d["text"] or ""])[1]
+        score, _ = decontaminate.align_all(list(hashed.values()), [h] * len(hashed))
+        like = sorted(((-x / (2 * len(w)), i) for (i, w), x in zip(hashed.items(), score.tolist(), strict=True)))
+        r = got[d["doc_id"]]
+        assert r["contaminated"] == (-like[0][0] >= decontaminate.AT_LEAST)
+        assert r["n_items"] == sum(-x >= decontaminate.AT_LEAST for x, _ in like)
+        if r["contaminated"]:
+            assert (r["score"], r["item_id"]) == (-like[0][0], like[0][1])
+            again = decontaminate.align(hashed[r["item_id"]], h[r["start_word"] : r["end_word"]])
+            assert again == (round(r["score"] * 2 * len(hashed[r["item_id"]])), 0, r["end_word"] - r["start_word"])
+
+
 # licences
 
 
+def test_licence_candidates_are_pruned(spark):
+    known = licenses.templates(spark, licenses.TEMPLATES)
+    frame = spark.createDataFrame([(1, "Permission to use the software is hereby granted"), (2, "Released under the MIT License.")], "doc_id long, text string")
+    n = lambda at: licenses.candidates(frame, known, at_least=at).select("th", "template").distinct().count()
+    assert 0 < n(licenses.AT_LEAST) < n(0.0)
+    long = {r["template"] for r in licenses.candidates(frame, known).select("template").distinct().collect()}
+    assert "mit" in long and "mit-text" not in long and "isc-text" not in long
+
+
 def test_licences(spark, edge):
     line = licenses.TEMPLATES["gpl-3.0"]
     docs = [(1, f"some words\n{line}\nmore"), (2, "LICENSED!! UNDER** the Apache License, Version 2.0."), (3, "licensed under the"), (4, licenses.TEMPLATES["mit-text"].replace("Software", "Work")), (5, f"{line} {line}"), (6, "Licensed under CC BY-NC 4.0. Released under the MIT License.")]
@@ -405,6 +504,38 @@ def test_sharding_keeps_all_and_merges(spark, edge, tmp_path):
     assert sharding.shard(edge.limit(0), f"file://{tmp_path}/b").runs() == []
 
 
+def test_sharding_keeps_what_retained_versions_list(spark, edge, tmp_path):
+    store = sharding.Store(spark, f"file://{tmp_path}/a")
+    for _ in range(4):
+        store.append(edge)
+    before, n = store.version(), store.read().count()
+    held = store.read(before)
+    assert store.compact() == 1 and len(store.runs()) == 1
+    assert store.read(before).count() == held.count() == store.read().count() == n
+    assert store.expire(keep=2) == 0  # the version before the merge still lists its runs
+    assert store.expire(keep=1) == 4 and store.versions() == [before + 1] and store.read().count() == n
+
+
+def test_sharding_with_concurrent_writers(spark, edge, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    root = f"file://{tmp_path}/a"
+
+    def writer(_):
+        store = sharding.Store(spark, root)
+        for _ in range(3):
+            store.append(edge)
+            store.compact()
+
+    sharding.Store(spark, root)
+    with ThreadPoolExecutor(3) as pool:
+        list(pool.map(writer, range(3)))
+    store = sharding.Store(spark, root)
+    store.compact()
+    assert store.read().count() == 9 * len(EDGE)
+    assert store.versions() == list(range(1, store.version() + 1))
+
+
 # chat
 
 
@@ -423,7 +554,7 @@ def test_tool_calls(spark):
         (2, 0, "tool", _say(tool_call_id="x", content="early")),
         (2, 1, "assistant", _say(tool_calls=[call("x", "{bad"), call("m", name="none")])),
         (3, 0, "assistant", _say(tool_calls=[call("a", after=["b"]), call("b", after=["c"]), call("c")])),
-        (4, 0, "assistant", _say(tool_calls=[call("a", after=["b"]), call("b", after=["a"])])),
+        (4, 0, "assistant", _say(tool_calls=[call("a", after=["b"]), call("b", after=["a", "d"]), call("c", after=["b"]), call("d")])),
         (5, 0, "user", "plain"),
         (5, 1, "assistant", None),
         (6, 0, "tool", _say(tool_call_id="k", content=None)),
@@ -431,15 +562,57 @@ def test_tool_calls(spark):
     ]
     got = {(r["conv_id"], r["call_id"]): r for r in chat.link(*chat.extract(spark.createDataFrame(messages, "conv_id long, turn long, role string, text string")), schema).collect()}
     status = {k: r["status"] for k, r in got.items()}
-    assert status == {(1, "x"): "ok", (1, "y"): "bad_arguments", (1, "z"): "missing_result", (1, "q"): "orphan_result", (2, "x"): "bad_arguments", (2, "m"): "unknown_tool", (3, "a"): "missing_result", (3, "b"): "missing_result", (3, "c"): "missing_result", (4, "a"): "cycle", (4, "b"): "cycle", (6, "k"): "early_result"}
+    assert status == {(1, "x"): "ok", (1, "y"): "bad_arguments", (1, "z"): "missing_result", (1, "q"): "orphan_result", (2, "x"): "bad_arguments", (2, "m"): "unknown_tool", (3, "a"): "missing_result", (3, "b"): "missing_result", (3, "c"): "missing_result", (4, "a"): "cycle", (4, "b"): "cycle", (4, "c"): "after_cycle", (4, "d"): "missing_result", (6, "k"): "early_result"}
     assert got[1, "x"]["json"] == '{"arguments":{"a":1},"id":"x","name":"add","result":"é\\n"}' and got[1, "x"]["repeats"] == 1
     assert got[1, "y"]["fault"] == "$.a: missing"
     assert [got[3, k]["depth"] for k in "abc"] == [2, 1, 0]
 
 
+def test_tool_calls_that_cannot_be_read(spark):
+    args = ["[" * 100_000, '{"a": "\\ud800"}', '{"\\udfff": 1}', "[" * 500 + "]" * 500, "NaN", "1e999", None]
+    calls = spark.createDataFrame([(1, i, 0, f"c{i}", "t", a, None) for i, a in enumerate(args)], chat.CALLS)
+    results = spark.createDataFrame([(1, 99, f"c{i}", "r") for i in range(len(args))], chat.RESULTS)
+    got = {r["call_id"]: r for r in chat.link(calls, results, {"t": {"type": ["object", "array"], "properties": {"a": {"type": "string"}}, "additionalProperties": False}}).collect()}
+    assert [(got[f"c{i}"]["status"], got[f"c{i}"]["fault"]) for i in range(len(args))] == [("bad_arguments", "$: too deep"), ("ok", None), ("bad_arguments", "$.\\udfff: not allowed"), ("ok", None), ("bad_arguments", "$: not JSON"), ("bad_arguments", "$: not JSON"), ("ok", None)]
+    assert json.loads(got["c1"]["json"])["arguments"] == {"a": "\ud800"} and json.loads(got["c0"]["json"])["arguments"] == args[0]
+    empty = chat.link(calls.limit(0), results.limit(0), {})
+    assert empty.count() == 0
+
+
+def test_order_of_calls_both_ways(spark):
+    rng = random.Random(6)
+    data = []
+    for conv in range(12):
+        for i in range(14):
+            after = [f"c{rng.randrange(14)}" for _ in range(rng.randrange(3))] if conv % 3 else [f"c{i + 1}"] if i < 13 else []
+            data.append((conv, i, 0, f"c{i}", "t", "{}", after))
+    calls, results = spark.createDataFrame(data, chat.CALLS), spark.createDataFrame([], chat.RESULTS)
+    key = lambda m: sorted(rows(chat.link(calls, results, {"t": {}}, most_edges=m).select("conv_id", "call_id", "depth", "status")))
+    whole = key(chat.MOST_EDGES)
+    assert whole == key(0)
+    assert {x for _, _, _, x in whole} == {"missing_result", "cycle", "after_cycle"}
+    by = {(c, i): d for c, i, d, _ in whole}
+    for conv, turn, _, call, _, _, after in data:
+        if conv % 3 == 0:
+            assert by[conv, call] == 13 - turn
+        for to in after:
+            forward = any(int(t[1:]) >= u for c, u, _, _, _, _, a in data if c == conv for t in a)
+            assert not forward or by[conv, call] == -1 or by[conv, call] > by[conv, to] >= 0
+
+
+def test_calls_and_results_are_hash_joined(spark):
+    calls, results = chat.as_calls(spark.read.parquet(f"{SF}/conversations.parquet"))
+    plan = chat.link(calls, results, {"reply": chat.REPLY})._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin [conv_id" in plan and "SortMergeJoin" not in plan
+
+
 def test_conversations_as_calls(spark):
     turns = spark.read.parquet(f"{SF}/conversations.parquet").collect()
-    got = {r["call_id"]: r for r in chat.linked(spark, SF).collect()}
+    done = chat.linked(spark, SF).collect()
+    assert len(done) == len({(r["conv_id"], r["call_id"]) for r in done}) and {r["depth"] for r in done} == {0, 1, 2}
+    got = {r["call_id"]: r for r in done if r["status"] != "message"}
+    others = {f"{r['conv_id']}-{r['turn']}": r for r in turns if r["role"] not in ("user", "assistant")}
+    assert {r["call_id"]: json.loads(r["json"]) for r in done if r["status"] == "message"} == {k: {"id": k, "role": r["role"], "content": r["text"]} for k, r in others.items()}
     users = {f"{r['conv_id']}-{r['turn']}": r for r in turns if r["role"] == "user"}
     answers = {f"{r['conv_id']}-{r['turn'] - 1}": r for r in turns if r["role"] == "assistant"}
     assert set(got) == set(users) | set(answers)
@@ -455,41 +628,61 @@ def test_conversations_as_calls(spark):
 # language
 
 
-def _plain_profile(texts, ranks):
+def _plain_grams(text):
     import unicodedata
 
-    total = {}
-    for t in texts:
-        for g in _plain_grams(t, unicodedata):
-            total[g] = total.get(g, 0) + 1
-    return [g for g, _ in sorted(total.items(), key=lambda x: (-x[1], x[0]))[:ranks]]
-
-
-def _plain_grams(text, unicodedata):
     word = "".join(c if unicodedata.category(c)[0] in "LM" else " " for c in text.lower())
-    code = lambda c: 0 if c == " " else ord(c) if ord(c) < 0xE00 else 0xE00 + ord(c) % 512
     out = []
     for w in word.split():
-        s = [0, *map(code, w), 0]
-        out += [(1, c, 0, 0) for c in s[1:-1]]
-        out += [(2, a, b, 0) for a, b in zip(s, s[1:], strict=False)]
-        out += [(3, a, b, c) for a, b, c in zip(s, s[1:], s[2:], strict=False)]
+        s = [-1, *map(ord, w), -1]
+        out += [(c,) for c in s[1:-1]]
+        out += zip(s, s[1:], strict=False)
+        out += zip(s, s[1:], s[2:], strict=False)
     return out
 
 
-def test_grams_are_plain_counts():
-    import unicodedata
+def _plain_key(gram):
+    code = lambda c: langid.END if c < 0 else int(langid._codes()[c])
+    return sum(code(c) << (langid.BITS * (2 - i)) for i, c in enumerate(gram))
+
+
+def _plain_rank(total, ranks):
+    return [g for g, _ in sorted(total.items(), key=lambda x: (-x[1], _plain_key(x[0])))[:ranks]]
 
-    texts = ["Ab a, b", "", "日本 x", "!!", "é" * 5, "one two three two"]
+
+def test_grams_are_plain_counts():
+    texts = ["Ab a, b", "", "日本 x", "!!", "é" * 5, "one two three two", "ไทย 한국 Việt ქართ", "\u0301"] + [""] * langid.TEXTS + ["end"]
     doc, gram, count = langid.gram_counts(texts)
     for i, t in enumerate(texts):
-        want = {}
-        for n, a, b, c in _plain_grams(t, unicodedata):
-            k = n << 36 | a << 24 | b << 12 | c
-            want[k] = want.get(k, 0) + 1
-        # a space between two words begins one and ends the other, so pairs with it are counted for each
-        got = {int(g): int(n) for d, g, n in zip(doc, gram, count, strict=True) if d == i}
-        assert got == want, t
+        if t:
+            # a space between two words begins one and ends the other, so pairs with it are counted for each
+            want = Counter(map(_plain_key, _plain_grams(t)))
+            assert {int(g): int(n) for g, n in zip(gram[doc == i], count[doc == i], strict=True)} == want, t
+    assert len({_plain_key(g) for t in texts for g in _plain_grams(t)}) == len({g for t in texts for g in _plain_grams(t)})
+
+
+def test_languages_are_plain_distances(spark):
+    """The whole query beside profiles and out-of-place distances made with dictionaries."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    total = {}
+    for r in docs:
+        if zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2 and r["lang"] is not None and r["text"] is not None:
+            total.setdefault(r["lang"], Counter()).update(_plain_grams(r["text"]))
+    profiles = {k: {g: i for i, g in enumerate(_plain_rank(v, langid.RANKS))} for k, v in total.items()}
+    got = {r["doc_id"]: r for r in langid.languages(spark, SF).collect()}
+    assert len(got) == len(docs)
+    for r in docs:
+        own = _plain_rank(Counter(_plain_grams(r["text"] or "")), langid.RANKS)
+        far = {k: sum(abs(i - p[g]) if g in p else langid.RANKS for i, g in enumerate(own)) / (max(len(own), 1) * langid.RANKS) for k, p in profiles.items()}
+        want = min(sorted(far), key=far.get) if any(map(str.isalpha, r["text"] or "")) else langid.UNKNOWN
+        assert got[r["doc_id"]]["lang_pred"] == want
+        if want != langid.UNKNOWN:
+            assert abs(got[r["doc_id"]]["score"] - 1 / sum(np.exp((far[want] - x) / langid.SPREAD) for x in far.values())) < 1e-9
+
+
+def test_marks_alone_have_no_language(spark, edge):
+    profiles = langid.learn(edge)
+    assert profiles.predict(["\u0301\u0302", "a\u0301"])[0] == ["und", "en"]
 
 
 def test_language_held_out(spark, edge):
@@ -509,23 +702,84 @@ def test_language_held_out(spark, edge):
 # toxicity
 
 
+def _signs(text, model=None):
+    return toxicity.marks([s if s in toxicity.SIGNS else "*" for s in text.split()])
+
+
 def test_grammar_marks():
-    run = lambda s: toxicity.GRAMMAR.run(s.split())
-    assert run("insult")[0] == "insult"
-    assert run("negation other insult")[-1] == "negated" and run("negation other other other other insult")[-1] == "insult"
-    assert run("report other other other other other other insult")[-1] == "reported"
-    assert run("target other insult")[-1] == "aimed"
-    assert "threat" in run("will violence target") and "threat" not in run("violence target") and "threat" not in run("will other other other other other violence target")
+    assert _signs("insult") == ["insult-plain"] and _signs("x x") == []
+    assert _signs("negation x insult") == ["insult-negated"] and _signs("negation x x x x insult") == ["insult-plain"]
+    assert _signs("report x x x x x x insult") == ["insult-reported"]
+    assert _signs("quote x insult quote x report") == ["insult-reported"] and _signs("insult x report") == ["insult-plain"]
+    assert _signs("target x insult") == ["insult-aimed"] and _signs("target x mild mild") == ["mild-plain", "mild-plain"]
+    assert _signs("will x target x violence target") == ["threat"] and _signs("violence self") == ["threat"] and _signs("violence target") == []
+    assert _signs("will x x x x x x x x x violence target") == []
+
+
+def test_composition_is_the_cascade():
+    rng = random.Random(8)
+    for _ in range(400):
+        signs = [rng.choice([s for s in toxicity.SIGNS if s not in toxicity.MARKS]) for _ in range(rng.randrange(14))]
+        # every path through the parts one behind another; each has one, as they are deterministic
+        paths = [(0.0, signs)]
+        for part in toxicity.FORWARD_PARTS:
+            paths = [(w + v, out) for w, line in paths for out, v in [part.run(line)]]
+        assert toxicity.FORWARD.run(signs) == max((p[::-1] for p in paths), key=lambda p: p[1])
+
+
+def test_weighted_composition():
+    a = toxicity.Fst({(0, "x"): (1, "y", 1.5), (1, "x"): (0, "z", 0.25), (1, "*"): (1, None, 0.0)})
+    b = toxicity.counter("y", (2.0, 1.0))
+    both = toxicity.compose(a, b, ("x", "y", "z", "*"))
+    for line in ("x", "xx", "xyxx", "xxxxxx*x"):
+        middle, v = a.run(line)
+        out, w = b.run(middle)
+        assert both.run(line) == (out, v + w)
+
+
+def test_score_is_the_sum_over_paths(spark):
+    """Scores beside a plain enumeration: all marks of all clauses through one counter after another."""
+    model = toxicity.Model(words={"bad": "insult", "odd": "mild"}, stems={"zor": "mild"})
+    texts = ["You bad one. odd odd zorg; zorx not bad\nHe said: bad", "I will kill you! odd", "", "bad" * 3, "x bad bad bad bad bad bad"]
+    for t in texts:
+        total = model.base
+        marks = []
+        for clause in toxicity.CLAUSE.split(t.lower()):
+            tokens = toxicity.TOKEN.findall(clause)
+            model.seek()
+            marks += toxicity.marks([model.sign(x) for x in tokens])
+        for m in toxicity.MARKS:
+            total += toxicity.counter(m, model.weights[m]).run(marks)[1]
+        assert abs(model.score(t) - 1 / (1 + np.exp(-total))) < 1e-12
 
 
 def test_toxicity_without_labels(spark, edge):
     model = toxicity.learn(edge, spark.createDataFrame([], "doc_id long, toxic int"))
-    assert model.score("You are a worthless idiot. I will kill you!") > 0.7 > model.score("A nice day.") == model.score(None) == model.score("")
+    for t in ("You are a worthless idiot. I will kill you!", "I will find you and kill you", "Kill yourself", "I am going to kill you", "Du bist ein Arschloch", "tu es un connard", "eres un gilipollas"):
+        assert model.score(t) >= toxicity.TOXIC_AT, t
+    for t in ("A nice day.", None, "", "'You idiot', he said", "She said he is not an idiot", "He will not hurt anyone's feelings", "They beat the eggs"):
+        assert model.score(t) < toxicity.TOXIC_AT, t
     assert model.score("She said he is not an idiot") < model.score("you idiot")
     got = toxicity.score(edge.withColumn("score", F.lit("x")), model).collect()
     assert len(got) == len(EDGE) and all(0 <= r["score"] <= 1 for r in got)
 
 
+def test_marks_decide_on_held_out_documents(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{n}.parquet") for n in ("documents", "labels"))
+    model = toxicity._model(spark, docs, sf)
+    held = docs.join(labels.where("toxic is not null"), "doc_id").where(common.fold("doc_id", 3) == 1).select("text", "toxic").collect()
+    toxic, clean = ([r["text"] for r in held if r["toxic"] == y] for y in (1, 0))
+    at_least = lambda m, texts: sum(m.score(t) >= toxicity.TOXIC_AT for t in texts)
+    hits, alarms = at_least(model, toxic), at_least(model, clean)
+    print(f"toxic {hits} of {len(toxic)}, alarms {alarms} of {len(clean)}")
+    assert hits >= 0.9 * len(toxic) and alarms <= 0.01 * len(clean)
+    off = toxicity.Model(model.words, model.stems, {m: (0.0,) * toxicity.COUNTED for m in model.weights}, model.base)
+    assert at_least(off, toxic) == 0
+    once = toxicity.Model(model.words, model.stems, {m: w[:1] for m, w in model.weights.items()}, model.base)
+    assert at_least(once, toxic) < hits
+
+
 def test_toxicity_learns_stems(spark):
     rng = random.Random(2)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
