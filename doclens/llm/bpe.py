@@ -28,7 +28,7 @@ from doclens.llm.common import bound_arrow, slices, table, tidy, without
 NO_PAIR = 1 << 62
 #: Bytes, about, of each generation of words and of chunks that a worker remembers; when full, the older one goes. (A chunk is
 #: what stands between white space.) A longer chunk or word is not remembered.
-CACHE_BYTES, CACHED_CHARS = 24 << 20, 64
+CACHE_BYTES, CACHED_CHARS = 56 << 20, 64
 #: Bytes of an entry beside its characters: the key, the ids and the decoded text as objects.
 ENTRY_BYTES = 280
 #: The Unicode property White_Space.
