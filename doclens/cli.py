@@ -1,26 +1,88 @@
-"""python -m doclens.cli FOLDER OUT: analyse text files; the result is a JSON line for each file."""
+"""Analyse text and print the result as JSON.
+
+python -m doclens.cli SOME TEXT ...   the arguments, joined by blanks
+python -m doclens.cli FILE.docx       a document's blocks; what was read is reported on standard error
+python -m doclens.cli < FILE          standard input
+python -m doclens.cli --folder IN OUT all text files of a folder, a JSON line for each below OUT
+"""
 
 from __future__ import annotations
 
+import json
+import os
 import sys
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from doclens.operators import blocks
 from doclens.plans import pipeline
 from doclens.sources import readers
 
+FINDING = ("type", "excerpt", "explanation", "suggestion", "rule_id", "confidence", "start", "end")
+_LIST = "array<struct<position:int,type:string,excerpt:string,explanation:string,suggestion:string,rule_id:string,confidence:double,start:int,end:int>>"
+
+
+def folder(spark: SparkSession, path: str, out: str) -> None:
+    texts = readers.texts(spark, path).withColumnRenamed("path", "doc_id")
+    result = pipeline.build(spark).documents(texts)
+    item = F.struct("position", *FINDING)
+    rows = texts.select("doc_id").join(result.findings.groupBy("doc_id").agg(F.array_sort(F.collect_list(item)).alias("findings")), "doc_id", "left")
+    rows.select("doc_id", F.coalesce("findings", F.array().cast(_LIST)).alias("findings")).write.json(out)
+    result.release()
+
+
+def _printed(result: pipeline.Analysis, model: str, chars: int) -> dict:
+    found = [{c: r[c] for c in FINDING} for r in result.findings.orderBy("position").collect()]
+    noted = [{"excerpt": r["excerpt"], "note": r["note"]} for r in result.observations.orderBy("position").collect()]
+    result.release()
+    return {"findings": found, "observations": noted, "model_id": model, "text_len": chars}
+
+
+def one(spark: SparkSession, text: str) -> dict:
+    """The result for one text."""
+    analyzer = pipeline.build(spark)
+    docs = spark.createDataFrame([(0, text)], "doc_id long, text string")
+    placed = docs.select("doc_id", F.lit(0).alias("pos"), "text", F.lit("paragraf").alias("kind"), F.lit(0).alias("start"), F.length("text").alias("end"))
+    return _printed(analyzer.blocks(placed), "rules", len(text))
+
+
+def docx(spark: SparkSession, path: str) -> dict:
+    """The result for one .docx file; its coverage goes to standard error."""
+    sections = readers.docx(spark, path)
+    if broken := sections.where("error is not null").select("error").first():
+        raise ValueError(f"{path}: {broken['error']}")
+    placed = readers.docx_blocks(sections)
+    report = blocks.report(placed, readers.docx_parts(sections)).first()
+    for line in (report["summary"], report["warning"]) if report else ():
+        if line:
+            print(f"  … {line}", file=sys.stderr)
+    chars = blocks.assemble(placed).select(F.length("text").alias("n")).first()
+    return _printed(pipeline.build(spark).blocks(placed), "rules", chars["n"] if chars else 0)
+
 
 def main(args: list[str]) -> int:
-    if len(args) != 2:
-        print(__doc__, file=sys.stderr)
+    if args[:1] == ["--folder"]:
+        if len(args) != 3:
+            print(__doc__, file=sys.stderr)
+            return 2
+        folder(SparkSession.builder.getOrCreate(), *args[1:])
+        return 0
+    single = args[0] if len(args) == 1 and args[0].lower().endswith(".docx") else None
+    if single and not os.path.exists(single):
+        print(f"{single}: no such file", file=sys.stderr)
+        return 2
+    text = None if single else " ".join(args) if args else sys.stdin.read()
+    if text is not None and not text.strip():
+        print("no text to analyse", file=sys.stderr)
         return 2
     spark = SparkSession.builder.getOrCreate()
-    texts = readers.texts(spark, args[0]).withColumnRenamed("path", "doc_id")
-    found = pipeline.analyze(texts)
-    item = F.struct("position", "type", "excerpt", "explanation", "suggestion", "rule_id", "confidence", "start", "end")
-    rows = texts.select("doc_id").join(found.groupBy("doc_id").agg(F.array_sort(F.collect_list(item)).alias("findings")), "doc_id", "left")
-    rows.select("doc_id", F.coalesce("findings", F.array().cast("array<struct<position:int,type:string,excerpt:string,explanation:string,suggestion:string,rule_id:string,confidence:double,start:int,end:int>>")).alias("findings")).write.json(args[1])
+    try:
+        found = docx(spark, f"file://{os.path.abspath(single)}") if single else one(spark, text)
+    except ValueError as e:
+        print(e, file=sys.stderr)
+        return 1
+    print(json.dumps(found, ensure_ascii=False, indent=2))
     return 0
 
 

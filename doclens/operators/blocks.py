@@ -72,14 +72,21 @@ def document_blocks(docs: DataFrame) -> DataFrame:
     return place(dedup_consecutive(from_lines(docs)))
 
 
-def report(placed: DataFrame, extra_kinds: DataFrame | None = None) -> DataFrame:
-    """Blocks, tables and images of each document, with the summary line and its warning."""
+def report(placed: DataFrame, parts: DataFrame | None = None) -> DataFrame:
+    """Blocks, tables and images of each document, with the summary line and its warning.
+
+    parts: (doc_id, header_footer, notes), whether a document has these; none has if it is not given.
+    """
     rows = placed.groupBy("doc_id").agg(
         F.count("*").alias("paragraphs"),
         F.sum((F.col("kind") == "tablo_hucresi").cast("long")).alias("tables"),
         F.sum(F.floor((F.length("text") - F.length(F.replace("text", F.lit(t.IMAGE), F.lit("")))) / len(t.IMAGE)).cast("long")).alias("images"),
     )
-    return rows.withColumn("summary", summary(F.col("paragraphs"), F.col("tables"), F.col("images"), F.lit(False), F.lit(False))).withColumn("warning", warning(F.col("images")))
+    if parts is not None:
+        rows = rows.join(parts.select("doc_id", "header_footer", "notes"), "doc_id", "left")
+    has = lambda c: F.lit(False) if parts is None else F.coalesce(F.col(c), F.lit(False))
+    made = rows.withColumn("summary", summary(F.col("paragraphs"), F.col("tables"), F.col("images"), has("header_footer"), has("notes"))).withColumn("warning", warning(F.col("images")))
+    return made.drop("header_footer", "notes")
 
 
 def summary(paragraphs, tables, images, header_footer, notes):

@@ -1,39 +1,88 @@
-"""Paragraphs, sentences and chunks of a text, each an exact slice of it."""
+"""Paragraphs, sentences and chunks of a text, each an exact slice of it.
+
+Texts are cut in the JVM; offsets and packing are sums over the pieces' lengths, made in one pass by Arrow functions, as a SQL
+fold copies its array at each step.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from doclens.functions.text import DIGIT, WORD, WS
+from doclens.functions.text import _FAR, _ODD, DIGIT, WORD, WS
+from doclens.operators.spans import meets
 
 MAX_CHARS = 3000
 # Abbreviations that end no sentence.
 ABBREVIATIONS = "prof doç doc dr yrd av sn no nu vb vs bkz örn age çev haz ed md müh ltd şti cad sok mah apt blv bld tel faks tic san"
 CAPITAL = "[A-ZÇĞİÖŞÜ]"
-MARK = "\ue000"
+#: Stands between pieces while a text is cut; where a text has it itself, another character of the private area stands in for it.
+MARK, OTHER_MARK = "\ue000", "\ue001"
 _GUARD = rf"(?!(?:(?iu:{'|'.join(ABBREVIATIONS.split())})|{DIGIT}+|[{WORD}])[.!?])"
 BOUNDARY = rf"(?<![{WORD}]){_GUARD}([{WORD}]+[.!?]+[{WS}]+)(?={CAPITAL})"
-PARAGRAPH = rf"(?s)([^{WS}].*?)(?=\n[{WS}]*\n|\z)"
-SPAN = "array<struct<start:int,end:int>>"
+#: White space before the first paragraph, and blank lines with the white space after them.
+GAP = rf"\A[ {_ODD}]+|\n[ {_ODD}]*\n[ {_ODD}]*"
+SPAN = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
+
+
+def _rows(f: Callable[..., list[tuple[int, int]]]) -> Callable[..., Column]:
+    """A function of arrays that gives spans, as a column function."""
+
+    @F.pandas_udf(SPAN)
+    def own(*columns: pd.Series) -> pd.Series:
+        return pd.Series([None if any(x is None for x in row) else [{"start": a, "end": b} for a, b in f(*row)] for row in zip(*columns, strict=True)], dtype=object)
+
+    return own
+
+
+def _running(lengths, start) -> list[tuple[int, int]]:
+    out, at = [], int(start)
+    for n in lengths:
+        out.append((at, at + int(n)))
+        at += int(n)
+    return out
+
+
+def _kept(lengths, keep) -> list[tuple[int, int]]:
+    return [s for s, k in zip(_running(lengths, 0), keep, strict=True) if k and s[1] > s[0]]
+
+
+def _packed(spans, budget) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for x in spans:
+        if out and x["end"] - out[-1][0] <= budget:
+            out[-1] = (out[-1][0], x["end"])
+        else:
+            out.append((x["start"], x["end"]))
+    return out
+
+
+def _chunked(lengths, keep, budget) -> list[tuple[int, int]]:
+    return _packed([{"start": a, "end": b} for a, b in _kept(lengths, keep)], budget)
+
+
+_running_udf, _kept_udf = _rows(_running), _rows(_kept)
+# as if not deterministic: the optimizer would else move them into filters below, where they cannot run
+_packed_udf, _chunked_udf = _rows(_packed).asNondeterministic(), _rows(_chunked).asNondeterministic()
 
 
 def spans_of(parts: Column, start: Column) -> Column:
     """Spans of pieces that lie side by side, the first at ``start``."""
-    step = lambda acc, p: F.struct((acc["at"] + F.length(p)).alias("at"), F.concat(acc["out"], F.array(F.struct(acc["at"].alias("start"), (acc["at"] + F.length(p)).alias("end")))).alias("out"))
-    return F.aggregate(parts, F.struct(start.cast("int").alias("at"), F.array().cast(SPAN).alias("out")), step)["out"]
+    return _running_udf(F.transform(parts, F.length), start.cast("int"))
 
 
-def paragraph_spans(text: Column) -> Column:
-    """What lies between blank lines. The gap is white space, so a paragraph starts where it is next found."""
-    found = F.regexp_extract_all(text, F.lit(PARAGRAPH), F.lit(1))
-    step = lambda acc, p: _next(acc, p, F.position(p, text, acc["at"] + 1) - 1)
-    return F.aggregate(found, F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out")), step)["out"]
+def _pieces(text: Column) -> Column:
+    """A text's paragraphs and the gaps between them in turn, a paragraph (that may be empty) first."""
+    return F.split(F.regexp_replace(F.translate(text, MARK, OTHER_MARK), f"({GAP})", f"{MARK}$1{MARK}"), MARK, -1)
 
 
-def _next(acc: Column, piece: Column, start: Column) -> Column:
-    end = (start + F.length(piece)).cast("int")
-    return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.cast("int").alias("start"), end.alias("end")))).alias("out"))
+def paragraph_spans(text: Column) -> Column:
+    """What lies between blank lines."""
+    return _kept_udf(F.transform(_pieces(text), F.length), F.transform(_pieces(text), lambda p, i: i % 2 == 0))
 
 
 def sentences(text: Column) -> Column:
@@ -41,35 +90,32 @@ def sentences(text: Column) -> Column:
     return F.split(F.regexp_replace(text, BOUNDARY, "$1" + MARK), MARK)
 
 
-def atomic_spans(text: Column, max_chars: int = MAX_CHARS) -> Column:
-    """Paragraphs, or the sentences of those that are longer than the budget."""
-    slice_ = lambda p: F.substring(text, p["start"] + 1, p["end"] - p["start"])
-    return F.flatten(F.transform(paragraph_spans(text), lambda p: F.when(p["end"] - p["start"] > max_chars, spans_of(sentences(slice_(p)), p["start"])).otherwise(F.array(p))))
+def _atoms(text: Column, max_chars: int) -> Column:
+    """(n, k): lengths of paragraphs, or of the sentences of those that are longer than the budget, and of gaps, and which are none."""
+    cut = lambda p, i: F.when((i % 2 == 0) & (F.length(p) > max_chars), sentences(p)).otherwise(F.array(p))
+    one = lambda n, k: F.struct(n.alias("n"), k.alias("k"))
+    return F.flatten(F.transform(_pieces(text), lambda p, i: F.transform(cut(p, i), lambda x: one(F.length(x), i % 2 == 0))))
 
 
 def pack(spans: Column, max_chars: int = MAX_CHARS) -> Column:
     """Greedy: a chunk takes the next span while it stays within the budget."""
     if max_chars <= 0:
         raise ValueError("max_chars must be positive")
-
-    def step(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
-        fits = (F.size(acc) > 0) & (x["end"] - last["start"] <= max_chars)
-        return F.when(fits, F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(last["start"].alias("start"), x["end"].alias("end"))))).otherwise(F.concat(acc, F.array(x)))
-
-    return F.aggregate(spans, F.array().cast(SPAN), lambda acc, x: F.when(F.size(acc) == 0, F.array(x)).otherwise(step(acc, x)))
+    return _packed_udf(spans, F.lit(max_chars))
 
 
 def chunks(texts: DataFrame, max_chars: int = MAX_CHARS) -> DataFrame:
     """(doc_id, chunk_id, start, end, text) from (doc_id, text)."""
-    packed = texts.withColumn("_spans", atomic_spans(F.col("text"), max_chars)).withColumn("_packed", pack(F.col("_spans"), max_chars))
+    if max_chars <= 0:
+        raise ValueError("max_chars must be positive")
+    cut = texts.select("doc_id", "text", _atoms(F.col("text"), max_chars).alias("_a"))
+    packed = cut.withColumn("_packed", _chunked_udf(F.col("_a.n"), F.col("_a.k"), F.lit(max_chars)))
     rows = packed.select("doc_id", "text", F.posexplode("_packed").alias("chunk_id", "c"))
     return rows.select("doc_id", "chunk_id", F.col("c.start").alias("start"), F.col("c.end").alias("end"), F.substring("text", F.col("c.start") + 1, F.col("c.end") - F.col("c.start")).alias("text"))
 
 
 def _prose(chunk_rows: DataFrame, placed: DataFrame, how: str) -> DataFrame:
-    prose = placed.where(F.col("kind").isin("paragraf", "baslik")).select("doc_id", F.col("start").alias("b_start"), F.col("end").alias("b_end"))
-    return chunk_rows.join(prose, (chunk_rows["doc_id"] == prose["doc_id"]) & (F.col("start") < F.col("b_end")) & (F.col("b_start") < F.col("end")), how)
+    return meets(chunk_rows, placed.where(F.col("kind").isin("paragraf", "baslik")).select("doc_id", "start", "end"), ["doc_id", "chunk_id"], how)
 
 
 def covered(chunk_rows: DataFrame, placed: DataFrame) -> DataFrame:

@@ -7,8 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from doclens.functions import text as t
+from doclens.operators.spans import celled, meets, overlap
 
-PRIORITY = {"imla": 0, "dil_bilgisi": 1, "ton": 2}
 #: Characters of a cell that overlapping findings share.
 NEAR = 128
 HEADING_NOISE = ("GRAMER-TEKRAR", "IMLA-NOKTALAMA")
@@ -28,24 +28,20 @@ def drop_corrupt(findings: DataFrame) -> DataFrame:
 
 
 def drop_context_satisfied(findings: DataFrame, texts: DataFrame) -> DataFrame:
-    """Drop a suggestion that only adds what follows the excerpt anyway."""
+    """Drop a suggestion that only adds what follows the excerpt anyway.
+
+    Only findings whose suggestion goes on after the excerpt meet a text.
+    """
+    longer = F.coalesce(F.col("suggestion").startswith(F.col("excerpt")) & (F.length("suggestion") > F.length("excerpt")) & F.col("start").isNotNull(), F.lit(False))
     extra = F.substring("suggestion", F.length("excerpt") + 1, F.length("suggestion"))
     follows = F.substring("_text", F.col("end") + 1, F.length(extra)) == extra
-    there = F.col("suggestion").startswith(F.col("excerpt")) & (F.length("suggestion") > F.length("excerpt")) & follows & F.col("start").isNotNull()
-    joined = findings.join(texts.select("doc_id", F.col("text").alias("_text")), "doc_id", "left")
-    return joined.where(~F.coalesce(there, F.lit(False))).drop("_text")
-
-
-def _overlap(a: str, b: str) -> Column:
-    return (F.col(f"{a}.start") < F.col(f"{b}.end")) & (F.col(f"{b}.start") < F.col(f"{a}.end"))
+    some = findings.where(longer).join(texts.select("doc_id", F.col("text").alias("_text")), "doc_id", "left")
+    return findings.where(~longer).unionByName(some.where(~F.coalesce(follows, F.lit(False))).drop("_text"))
 
 
 def merge(fixed: DataFrame, judged: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """All dictionary findings, and the judge's that overlap none of them; those without a place stay."""
-    same = F.lit(True)
-    for k in keys:
-        same = same & (F.col(f"j.{k}") == F.col(f"f.{k}"))
-    return fixed.unionByName(judged.alias("j").join(fixed.alias("f"), same & _overlap("j", "f"), "left_anti"))
+    return fixed.unionByName(meets(judged, fixed.select(*keys, "start", "end"), [*keys, "start", "end"], "left_anti", keys=keys, cell=NEAR))
 
 
 def cross_pass_dedup(findings: DataFrame) -> DataFrame:
@@ -57,9 +53,9 @@ def cross_pass_dedup(findings: DataFrame) -> DataFrame:
     keyed = findings.withColumn("_norm", t.norm("excerpt")).withColumn("_sug", t.norm("suggestion"))
     keyed = keyed.withColumn("_prio", prio).withColumn("_atomic", t.atomic(F.col("_norm"), F.col("_sug"))).drop("_sug")
     # overlapping spans share a cell of NEAR characters, so a document with very many findings is not joined to itself whole
-    cells = keyed.where("_prio is not null and start is not null and end is not null").withColumn("_cell", F.explode(F.sequence(F.floor(F.col("start") / NEAR), F.floor(F.greatest("start", F.col("end") - 1) / NEAR))))
+    cells = celled(keyed.where("_prio is not null"), NEAR)
     other = cells.select("doc_id", "start", "end", "_norm", "_prio", "_atomic", "_cell")
-    stronger = (F.col("f.doc_id") == F.col("o.doc_id")) & (F.col("f._cell") == F.col("o._cell")) & _overlap("f", "o") & (F.col("o._prio") < F.col("f._prio")) & ((F.col("o._norm") == F.col("f._norm")) | (F.col("o._atomic") == F.col("f._atomic")))
+    stronger = (F.col("f.doc_id") == F.col("o.doc_id")) & (F.col("f._cell") == F.col("o._cell")) & overlap("f", "o") & (F.col("o._prio") < F.col("f._prio")) & ((F.col("o._norm") == F.col("f._norm")) | (F.col("o._atomic") == F.col("f._atomic")))
     keys = ["doc_id", "type", "start", "end", "excerpt", "suggestion"]
     gone = cells.alias("f").join(other.alias("o"), stronger, "left_semi").select(*keys).distinct()
     return findings.join(gone, keys, "left_anti")
@@ -68,9 +64,9 @@ def cross_pass_dedup(findings: DataFrame) -> DataFrame:
 def drop_structural(findings: DataFrame, placed: DataFrame) -> DataFrame:
     """Drop findings in table cells and contents lines (but for consistency), and noise rules in headings."""
     spans = placed.where("kind <> 'paragraf'").select("doc_id", "start", "end", "kind")
-    cell = F.col("b.kind").isin("tablo_hucresi", "icindekiler") & (F.col("f.type") != "tutarlilik")
-    head = (F.col("b.kind") == "baslik") & F.coalesce(F.col("f.rule_id").isin(*HEADING_NOISE), F.lit(False))
-    return findings.alias("f").join(spans.alias("b"), (F.col("f.doc_id") == F.col("b.doc_id")) & _overlap("f", "b") & (cell | head), "left_anti")
+    cell = F.col("b.kind").isin("tablo_hucresi", "icindekiler") & (F.col("a.type") != "tutarlilik")
+    head = (F.col("b.kind") == "baslik") & F.coalesce(F.col("a.rule_id").isin(*HEADING_NOISE), F.lit(False))
+    return meets(findings, spans, ["doc_id", "start", "end", "type", "rule_id"], "left_anti", cell | head)
 
 
 def decimal_summary(placed: DataFrame, least: int = 3) -> DataFrame:
@@ -114,18 +110,21 @@ def counts(findings: DataFrame) -> DataFrame:
     return findings.groupBy("doc_id").agg(F.count("*").alias("toplam"), *map(axis, ("imla", "dil_bilgisi", "ton", "tutarlilik")))
 
 
-def resolve_spelling(candidates: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Dictionary findings with the judge's decisions (doc_id, idx, word, is_error, correction).
+def resolve_spelling(candidates: DataFrame, decisions: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Dictionary findings with the judge's decisions (doc_id, idx, word, is_error, correction) of the same keys.
 
     An exact word comes before a folded one, the first decision before later ones. No decision keeps the finding;
     one that finds no error drops it.
     """
-    first = lambda key: decisions.groupBy("doc_id", key.alias("_key")).agg(F.min_by(F.struct("is_error", "correction"), "idx").alias("_d"))
+    first = lambda key: decisions.groupBy(*keys, key.alias("_key")).agg(F.min_by(F.struct("is_error", "correction"), "idx").alias("_d"))
     exact, folded = first(F.col("word")), first(t.casefold("word"))
     rows = candidates
     for name, table, key in (("_a", exact, F.col("excerpt")), ("_b", folded, F.col("excerpt")), ("_c", exact, t.casefold("excerpt")), ("_e", folded, t.casefold("excerpt"))):
-        side = table.select(F.col("doc_id").alias("_doc"), "_key", F.col("_d").alias(name))
-        rows = rows.join(side, (rows["doc_id"] == side["_doc"]) & (key == side["_key"]), "left").drop("_doc", "_key")
+        side = table.select(*(F.col(k).alias(f"_{k}") for k in keys), "_key", F.col("_d").alias(name))
+        same = key == side["_key"]
+        for k in keys:
+            same = same & (rows[k] == side[f"_{k}"])
+        rows = rows.join(side, same, "left").drop(*(f"_{k}" for k in keys), "_key")
     d = F.coalesce("_a", "_b", "_c", "_e")
     fix = t.strip(d["correction"])
     rows = rows.withColumn("_d", d).where("_d is null or _d.is_error")

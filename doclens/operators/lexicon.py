@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,13 +26,27 @@ def tokens(texts: pd.Series) -> pd.Series:
     return texts.map(lambda x: None if x is None else [{"start": m.start(), "word": m.group()} for m in _WORD.finditer(x)])
 
 
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """(word) of a dictionary file with a word a line: a .dic file's count and its flags after a slash are left out.
+
+    Affix rules (.aff) are not applied, so list inflected forms as words of their own.
+    """
+    rows = spark.read.text(path).select(t.strip(F.regexp_replace("value", r"(?<!\\)[/\t].*$", "")).alias("word"))
+    return rows.where("word <> ''").where(~F.col("word").rlike(r"^[0-9]+$")).distinct()
+
+
+def shared_words(found: DataFrame, documents: int = 2) -> DataFrame:
+    """(word) of the words that so many documents use: a lexicon of a corpus's own."""
+    return found.select("doc_id", "word").distinct().groupBy("word").count().where(F.col("count") >= documents).select("word")
+
+
 def words(placed: DataFrame) -> DataFrame:
     """(doc_id, start, word) of all words of placed blocks; a block at a time keeps the fold short."""
     rows = placed.select("doc_id", F.col("start").alias("_at"), F.explode(tokens(F.col("text"))).alias("w"))
     return rows.select("doc_id", (F.col("_at") + F.col("w.start")).alias("start"), F.col("w.word").alias("word"))
 
 
-def unknown(found: DataFrame, lexicon: DataFrame, whitelist: list[str] = ()) -> DataFrame:
+def unknown(found: DataFrame, lexicon: DataFrame, whitelist: list[str] = (), keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Words of four letters or more that the lexicon (word) has in no Turkish letter case.
 
     The lexicon is broadcast if its count allows; else it is joined by shuffle. Distinct words are looked up once.
@@ -47,9 +61,9 @@ def unknown(found: DataFrame, lexicon: DataFrame, whitelist: list[str] = ()) ->
     low = t.tr_lower("word")
     forms = kinds.select("word", F.explode(F.array_distinct(F.array(F.col("word"), low, t.tr_capitalize(low)))).alias("_form"))
     good = forms.join(side, F.col("_form") == F.col("_known"), "left_semi").select("word").distinct()
-    return rows.join(good, "word", "left_anti").select("doc_id", "start", (F.col("start") + F.length("word")).cast("int").alias("end"), "word")
+    return rows.join(good, "word", "left_anti").select(*keys, "start", (F.col("start") + F.length("word")).cast("int").alias("end"), "word")
 
 
-def findings(missing: DataFrame) -> DataFrame:
+def findings(missing: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     note = "Sözlükte bulunmayan kelime; yazım hatası olabilir."
-    return missing.select("doc_id", F.lit("imla").alias("type"), F.col("word").alias("excerpt"), F.lit(note).alias("explanation"), F.lit(NO_SUGGESTION).alias("suggestion"), F.lit("HUNSPELL").alias("rule_id"), F.lit(None).cast("double").alias("confidence"), "start", "end")
+    return missing.select(*keys, F.lit("imla").alias("type"), F.col("word").alias("excerpt"), F.lit(note).alias("explanation"), F.lit(NO_SUGGESTION).alias("suggestion"), F.lit("HUNSPELL").alias("rule_id"), F.lit(None).cast("double").alias("confidence"), "start", "end")

@@ -110,18 +110,20 @@ def tokens(source: str, name: str, keys: str) -> str:
 {name} AS (SELECT * FROM (SELECT {keys}, k, piece AS word, coalesce(sum(length(piece)) OVER (PARTITION BY {keys} ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM {name}_p) WHERE k % 2 = 1)"""
 
 
+DOUBLED = ", ".join(map(quoted, rules.DOUBLED.split()))
 REPEATS = f"""{CHUNKS}, {tokens("chunks", "tok", "doc_id, chunk_id")},
 repeats AS (SELECT doc_id, chunk_id, word || ' ' || word AS excerpt, word AS suggestion, CAST(off AS INT) AS emit_idx FROM (
-  SELECT *, lead(word) OVER o AS w2, lead(off) OVER o AS off2 FROM tok WINDOW o AS (PARTITION BY doc_id, chunk_id ORDER BY off)) WHERE word = w2 AND off2 = off + length(word) + 1)"""
+  SELECT *, lead(word) OVER o AS w2, lead(off) OVER o AS off2 FROM tok WINDOW o AS (PARTITION BY doc_id, chunk_id ORDER BY off)) WHERE word = w2 AND off2 = off + length(word) + 1 AND {tr_lower("word")} NOT IN ({DOUBLED}))"""
 DOTS = f"""dots AS (SELECT doc_id, chunk_id, unnest(a) AS excerpt, unnest(range(len(a))) AS n FROM (SELECT doc_id, chunk_id, regexp_extract_all(text, '{DIGIT}+\\.{DIGIT}+') AS a FROM chunks))"""
 LITERAL_TABLE = "lit(wrong, fix, kind, rule) AS (VALUES " + ", ".join(f"({', '.join(map(quoted, r))})" for r in rules.LITERALS) + ")"
 
-FIRST_WORDS = f"{PLACED}, fw AS (SELECT *, regexp_extract(text, '^([{L}]+)', 1) AS w FROM placed WHERE regexp_extract(text, '^([{L}]+)', 1) <> '')"
-SEEDS = f"""{FIRST_WORDS}, seeds AS (
+WORDS = f"""{PLACED}, {tokens("placed", "tok", "doc_id, pos")}, fw AS (SELECT t.doc_id, t.pos, CAST(t.k // 2 AS INT) AS n, CAST(p."start" + t.off AS INT) AS "start", t.word AS w FROM tok t JOIN placed p ON p.doc_id = t.doc_id AND p.pos = t.pos)"""
+SEEDS = f"""{WORDS}, seeds AS (
   SELECT doc_id, k.kind AS type, w AS excerpt, k.note AS explanation,
     CASE k.note WHEN 'r0' THEN '  ' || w || ' ' WHEN 'r1' THEN w || 'q' WHEN 'r2' THEN w || '.' WHEN 'r6' THEN reverse(w) ELSE {upper("w")} END AS suggestion,
     CASE WHEN k.note <> 'r6' THEN "start" END AS "start", CASE WHEN k.note <> 'r6' THEN CAST("start" + length(w) AS INT) END AS "end"
-  FROM fw, (VALUES ('imla', 'r0'), ('dil_bilgisi', 'r1'), ('ton', 'r2'), ('dil_bilgisi', 'r3'), ('ton', 'r4'), ('tutarlilik', 'r5'), ('imla', 'r6')) k(kind, note))"""
+  FROM (SELECT *, unnest([n % 7, (n + 3) % 7]) AS i FROM fw) x
+  JOIN (VALUES (0, 'imla', 'r0'), (1, 'dil_bilgisi', 'r1'), (2, 'ton', 'r2'), (3, 'dil_bilgisi', 'r3'), (4, 'ton', 'r4'), (5, 'tutarlilik', 'r5'), (6, 'imla', 'r6')) k(i, kind, note) ON k.i = x.i)"""
 SLIM = 'doc_id, type, excerpt, suggestion, "start", "end"'
 CORRUPT = "len(list_filter(string_split(suggestion, ''), lambda c: c IN ('q', 'w', 'x', 'Q', 'W', 'X', '`') AND NOT contains(excerpt, c))) > 0"
 
@@ -139,8 +141,10 @@ def cross_pass(source: str, name: str) -> str:
     return f"""
 {name}_k AS (SELECT *, {prio("type")} AS prio, {norm("excerpt")} AS ne, {bare("excerpt")} AS ea, {bare("suggestion")} AS sa FROM {source}),
 {name}_a AS (SELECT *, CASE WHEN len(ea) = len(sa) THEN list_filter(list_zip(ea, sa), lambda p: p[1] <> p[2]) END AS diff FROM {name}_k),
-{name} AS (SELECT * FROM {name}_a f WHERE NOT EXISTS (SELECT 1 FROM {name}_a o WHERE o.doc_id = f.doc_id AND f."start" < o."end" AND o."start" < f."end" AND o.prio < f.prio
-  AND (o.ne = f.ne OR (len(o.diff) = 1 AND len(f.diff) = 1 AND o.diff = f.diff))))"""
+{name}_c AS (SELECT *, unnest(range("start" // 128, ("end" - 1) // 128 + 1)) AS cell FROM {name}_a WHERE prio IS NOT NULL AND "start" IS NOT NULL),
+{name}_g AS (SELECT DISTINCT f.doc_id, f.type, f."start", f."end", f.excerpt, f.suggestion FROM {name}_c f JOIN {name}_c o ON o.doc_id = f.doc_id AND o.cell = f.cell AND f."start" < o."end" AND o."start" < f."end" AND o.prio < f.prio
+  AND (o.ne = f.ne OR (len(o.diff) = 1 AND len(f.diff) = 1 AND o.diff = f.diff))),
+{name} AS (SELECT a.* FROM {name}_a a ANTI JOIN {name}_g g ON g.doc_id = a.doc_id AND g.type = a.type AND g."start" = a."start" AND g."end" = a."end" AND g.excerpt = a.excerpt AND g.suggestion = a.suggestion)"""
 
 
 AXES = "count(*) AS toplam, " + ", ".join(f"CAST(sum(CASE WHEN type = '{a}' THEN 1 ELSE 0 END) AS BIGINT) AS {a}" for a in ("imla", "dil_bilgisi", "ton", "tutarlilik"))
@@ -154,34 +158,73 @@ def summary(condition: str) -> str:
   GROUP BY doc_id HAVING sum(n) >= 3)"""
 
 
-ANALYSIS = f"""{REPEATS}, {DOTS}, {LITERAL_TABLE},
-lits AS (SELECT doc_id, chunk_id, word, kind, rule, {match_case("word", "fix")} AS fixed, CAST(2000000 + off AS INT) AS emit_idx FROM tok JOIN lit ON {tr_lower("word")} = wrong),
+PATTERNS = f"""
+next2 AS (SELECT *, lead(word) OVER o AS w2, lead(off) OVER o AS off2 FROM tok WINDOW o AS (PARTITION BY doc_id, chunk_id ORDER BY off)),
+beside AS (SELECT n.* FROM next2 n JOIN chunks c USING (doc_id, chunk_id) WHERE off2 = off + length(word) + 1 AND substring(c.text, CAST(off2 AS BIGINT), 1) = ' '),
+phr(wrong, fix, kind, rule) AS (VALUES {", ".join(f"({', '.join(map(quoted, r))})" for r in rules.PHRASES)}),
+unit(wrong, fix) AS (VALUES {", ".join(f"({', '.join(map(quoted, r))})" for r in rules.UNITS)}),
+ords AS (SELECT doc_id, chunk_id, unnest(a) AS excerpt, unnest(range(len(a))) AS n FROM (SELECT doc_id, chunk_id, regexp_extract_all(text, {quoted(rules.ORDINAL)}, 1) AS a FROM chunks)),
+ands AS (SELECT doc_id, chunk_id, unnest(a) AS excerpt, unnest(range(len(a))) AS n FROM (SELECT doc_id, chunk_id, regexp_extract_all(text, {quoted(rules.COMMA_AND)}, 1) AS a FROM chunks)),
+patterns AS (SELECT doc_id, chunk_id, kind AS type, word || ' ' || w2 AS excerpt, {match_case("word", "fix")} AS suggestion, rule AS rule_id, CAST({rules.PHRASE_AT} + off AS INT) AS emit_idx FROM beside JOIN phr ON {tr_lower("word || ' ' || w2")} = wrong
+  UNION ALL SELECT doc_id, chunk_id, 'imla', excerpt, replace(excerpt, '.', ''), 'IMLA-SIRA-SAYI', CAST({rules.ORDINAL_AT} + n AS INT) FROM ords
+  UNION ALL SELECT doc_id, chunk_id, 'imla', excerpt, replace(excerpt, ', ve', ' ve'), 'IMLA-NOKTALAMA', CAST({rules.AND_AT} + n AS INT) FROM ands
+  UNION ALL SELECT doc_id, chunk_id, 'dil_bilgisi', word || ' ' || w2, word || ' ' || left(w2, length(w2) - 3), 'GRAMER-SAYI-UYUM', CAST({rules.PLURAL_AT} + off AS INT) FROM beside
+    WHERE {tr_lower("word")} IN ({", ".join(map(quoted, rules.NUMBERS.split()))}) AND length(w2) > 5 AND right(w2, 3) IN ('lar', 'ler')
+  UNION ALL SELECT doc_id, chunk_id, 'imla', word, fix, 'IMLA-BIRIM', CAST({rules.UNIT_AT} + off AS INT) FROM tok JOIN unit ON word = wrong)"""
+
+
+def with_samples(sql: str) -> str:
+    """The statement's parts over the documents and the samples."""
+    rows = ", ".join(f"({i}, {quoted(x)})" for i, x in q.SAMPLES)
+    return f"docs AS (SELECT doc_id, text FROM documents UNION ALL SELECT * FROM (VALUES {rows}) v(doc_id, text)), {sql.replace('FROM documents)', 'FROM docs)')}"
+
+
+SAME_TERMS = f"""surf AS (SELECT doc_id, unnest(regexp_extract_all(text, {quoted(rules.TERM)}, 1)) AS surface FROM texts),
+sinv AS (SELECT doc_id, surface, count(*) AS n FROM surf WHERE regexp_matches(surface, '^\\p{{Lu}}') AND length(surface) BETWEEN 2 AND 60 GROUP BY 1, 2),
+skey AS (SELECT *, regexp_replace({folded("surface")}, {quoted(t.KEY_NOISE)}, '', 'g') AS key FROM sinv),
+sgood AS (SELECT doc_id, key FROM skey GROUP BY 1, 2 HAVING count(*) >= 2 AND count(DISTINCT {folded("surface")}) > 1),
+srank AS (SELECT s.*, first_value(surface) OVER (PARTITION BY s.doc_id, s.key ORDER BY n DESC, surface) AS best FROM skey s JOIN sgood g ON g.doc_id = s.doc_id AND g.key = s.key),
+same_terms AS (SELECT s.doc_id, 'tutarlilik' AS type, surface AS excerpt, best AS suggestion, 'TUTARLILIK-TERIM' AS rule_id, CAST(strpos(x.text, surface) - 1 AS INT) AS "start", CAST(strpos(x.text, surface) - 1 + length(surface) AS INT) AS "end"
+  FROM srank s JOIN texts x USING (doc_id) WHERE surface <> best AND {norm("surface")} <> {norm("best")})"""
+ANALYSIS = with_samples(f"""{REPEATS}, {DOTS}, {LITERAL_TABLE}, {PATTERNS},
+lits AS (SELECT doc_id, chunk_id, word, kind, rule, {match_case("word", "fix")} AS fixed, CAST({rules.LITERAL_AT} + off AS INT) AS emit_idx FROM tok JOIN lit ON {tr_lower("word")} = wrong),
 raw AS (SELECT doc_id, chunk_id, 'local' AS pass, 'dil_bilgisi' AS type, excerpt, suggestion, 'GRAMER-TEKRAR' AS rule_id, emit_idx FROM repeats
   UNION ALL SELECT doc_id, chunk_id, 'tone', 'ton', excerpt, suggestion, 'GRAMER-TEKRAR', emit_idx FROM repeats
-  UNION ALL SELECT doc_id, chunk_id, 'local', 'imla', excerpt, replace(excerpt, '.', ','), 'IMLA-BIRIM', 1000000 + n FROM dots
-  UNION ALL SELECT doc_id, chunk_id, 'local', kind, word, fixed, rule, emit_idx FROM lits),
-judged AS (SELECT raw.* FROM raw JOIN chunks c USING (doc_id, chunk_id) WHERE EXISTS (SELECT 1 FROM placed b WHERE b.doc_id = c.doc_id AND b.kind IN ('paragraf', 'baslik') AND c."start" < b."end" AND b."start" < c."end")
-  AND {norm("raw.excerpt")} <> {norm("raw.suggestion")}),
+  UNION ALL SELECT doc_id, chunk_id, 'local', 'imla', excerpt, replace(excerpt, '.', ','), 'IMLA-BIRIM', {rules.DECIMAL_AT} + n FROM dots
+  UNION ALL SELECT doc_id, chunk_id, 'local', kind, word, fixed, rule, emit_idx FROM lits
+  UNION ALL SELECT doc_id, chunk_id, 'local', type, excerpt, suggestion, rule_id, emit_idx FROM patterns),
+prose AS (SELECT * FROM chunks c WHERE EXISTS (SELECT 1 FROM placed b WHERE b.doc_id = c.doc_id AND b.kind IN ('paragraf', 'baslik') AND c."start" < b."end" AND b."start" < c."end")),
+judged AS (SELECT raw.* FROM raw JOIN prose c USING (doc_id, chunk_id) WHERE {norm("raw.excerpt")} <> {norm("raw.suggestion")}),
 nth AS (SELECT *, row_number() OVER (PARTITION BY doc_id, chunk_id, pass, excerpt ORDER BY emit_idx) AS n FROM judged),
 places AS (SELECT doc_id, chunk_id, excerpt, list_filter(range(1, length(c.text) - length(excerpt) + 2), lambda i: substring(c.text, i, length(excerpt)) = excerpt) AS p
   FROM (SELECT DISTINCT doc_id, chunk_id, excerpt FROM judged) JOIN chunks c USING (doc_id, chunk_id)),
-found AS (SELECT n.*, CAST(c."start" + p.p[n.n] - 1 AS INT) AS "start", CAST(c."start" + p.p[n.n] - 1 + length(n.excerpt) AS INT) AS "end" FROM nth n JOIN places p USING (doc_id, chunk_id, excerpt) JOIN chunks c USING (doc_id, chunk_id) WHERE p.p[n.n] IS NOT NULL),
+placed_raw AS (SELECT n.*, CAST(c."start" + p.p[n.n] - 1 AS INT) AS "start", CAST(c."start" + p.p[n.n] - 1 + length(n.excerpt) AS INT) AS "end" FROM nth n JOIN places p USING (doc_id, chunk_id, excerpt) JOIN chunks c USING (doc_id, chunk_id) WHERE p.p[n.n] IS NOT NULL),
+known AS (SELECT word FROM tok GROUP BY word HAVING count(DISTINCT doc_id) >= 2 UNION SELECT DISTINCT unnest(regexp_extract_all(text, '[{L}]+')) FROM benchmark),
+kinds AS (SELECT DISTINCT word FROM tok WHERE length(word) >= 4),
+bad AS (SELECT word FROM kinds WHERE word NOT IN (SELECT word FROM known) AND {tr_lower("word")} NOT IN (SELECT word FROM known) AND {tr_capitalize(tr_lower("word"))} NOT IN (SELECT word FROM known)),
+cand AS (SELECT t.doc_id, t.chunk_id, 'imla' AS type, t.word AS excerpt, CASE WHEN fix IS NULL THEN {quoted(lexicon.NO_SUGGESTION)} ELSE {match_case("t.word", "fix")} END AS suggestion, 'HUNSPELL' AS rule_id,
+    CAST(c."start" + t.off AS INT) AS "start", CAST(c."start" + t.off + length(t.word) AS INT) AS "end"
+  FROM tok t JOIN bad b ON b.word = t.word JOIN prose c ON c.doc_id = t.doc_id AND c.chunk_id = t.chunk_id LEFT JOIN lit ON {tr_lower("t.word")} = wrong WHERE fix IS NOT NULL OR t.word <> {upper("t.word")}),
+hit AS (SELECT DISTINCT f.doc_id, f."start", f."end" FROM placed_raw f JOIN cand x ON x.doc_id = f.doc_id AND x.chunk_id = f.chunk_id AND f."start" < x."end" AND x."start" < f."end" WHERE f.pass = 'local'),
+found AS (SELECT doc_id, type, excerpt, suggestion, rule_id, "start", "end" FROM placed_raw f WHERE pass <> 'local' OR NOT EXISTS (SELECT 1 FROM hit h WHERE h.doc_id = f.doc_id AND h."start" = f."start" AND h."end" = f."end")
+  UNION ALL SELECT doc_id, type, excerpt, suggestion, rule_id, "start", "end" FROM cand),
 struct AS (SELECT * FROM found f WHERE NOT EXISTS (SELECT 1 FROM placed b WHERE b.doc_id = f.doc_id AND f."start" < b."end" AND b."start" < f."end"
-  AND (b.kind IN ('tablo_hucresi', 'icindekiler') OR (b.kind = 'baslik' AND f.rule_id = 'GRAMER-TEKRAR')))),
-{summary("kind = 'tablo_hucresi'")},
-whole AS (SELECT doc_id, type, excerpt, suggestion, rule_id, "start", "end" FROM struct UNION ALL SELECT doc_id, type, excerpt, suggestion, 'IMLA-BIRIM', "start", "end" FROM dsum),
+  AND (b.kind IN ('tablo_hucresi', 'icindekiler') OR (b.kind = 'baslik' AND f.rule_id IN ('GRAMER-TEKRAR', 'IMLA-NOKTALAMA'))))),
+{summary("kind = 'tablo_hucresi'")}, {SAME_TERMS},
+whole AS (SELECT * FROM struct UNION ALL SELECT * FROM same_terms UNION ALL SELECT doc_id, type, excerpt, suggestion, 'IMLA-BIRIM', "start", "end" FROM dsum),
 {cross_pass("whole", "crossed")},
-final AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, type, "start", "end", excerpt ORDER BY suggestion) AS k FROM crossed) WHERE k = 1 AND NOT ({CORRUPT}))"""
+final AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, type, "start", "end", excerpt ORDER BY suggestion) AS k FROM crossed) WHERE k = 1 AND NOT ({CORRUPT}))""")
 
-ENTRIES = f"""{FIRST_WORDS}, entries AS (SELECT doc_id, CASE WHEN pos % 2 = 0 THEN w ELSE '''' || w || '''' END AS surface, substring(lower(w), 1, 2) AS concept FROM fw),
+ENTRIES = f"""{WORDS}, entries AS (SELECT doc_id, CASE WHEN n % 2 = 0 THEN w ELSE '''' || w || '''' END AS surface, substring(lower(w), 1, 2) AS concept FROM fw),
 inv AS (SELECT doc_id, surface, count(*) AS n, list_sort(list(DISTINCT concept) FILTER (concept <> '')) AS concepts FROM entries
   WHERE length(surface) BETWEEN 2 AND 60 AND regexp_matches(surface, '^[\\p{{L}}''\"‘’“”«»„`]') GROUP BY 1, 2),
 sclu AS (SELECT doc_id, list_sort(list(DISTINCT surface)) AS members FROM inv GROUP BY doc_id, regexp_replace({folded("surface")}, {quoted(t.KEY_NOISE)}, '', 'g') HAVING count(DISTINCT surface) >= 2),
 cclu AS (SELECT doc_id, list_sort(list(DISTINCT surface)) AS members FROM (SELECT doc_id, surface, unnest(concepts) AS c FROM inv) GROUP BY doc_id, {folded("c")} HAVING count(DISTINCT surface) BETWEEN 2 AND 3),
 cand AS (SELECT * FROM (SELECT * FROM sclu UNION SELECT * FROM cclu) WHERE len(list_distinct(list_transform(members, lambda m: {folded("m")}))) > 1)"""
 
-GOLD = f"""{FIRST_WORDS}, base AS (SELECT CAST(doc_id AS VARCHAR) AS id, pos, w, CASE WHEN toxic = 1 THEN 'ton' WHEN quality = 1 THEN 'imla' ELSE 'dil_bilgisi' END AS kind FROM fw JOIN labels USING (doc_id) WHERE pos < 3),
-pred AS (SELECT id, pos, 'imla' AS type, lower(substring(w, 1, 4)) AS x, row_number() OVER (PARTITION BY id ORDER BY pos) AS i FROM base WHERE length(w) > 3)"""
+GOLD = f"""{REPEATS}, twice AS (SELECT doc_id, suggestion AS w, min(chunk_id * 1000000 + emit_idx) AS pos FROM repeats GROUP BY 1, 2),
+base AS (SELECT CAST(doc_id AS VARCHAR) AS id, pos, w, CASE WHEN toxic = 1 THEN 'ton' WHEN quality = 1 THEN 'imla' ELSE 'dil_bilgisi' END AS kind FROM twice JOIN labels USING (doc_id)),
+pred AS (SELECT id, pos, 'imla' AS type, lower(substring(w, 1, 4)) AS x, row_number() OVER (PARTITION BY id ORDER BY pos) AS i FROM base WHERE length(w) > 2)"""
 
 
 def greedy(kinds: str) -> str:
@@ -218,6 +261,18 @@ _H1, _H2, _H3 = "'## DİL KURALLARI'", "'## ŞÜPHELİ KELİMELER'", "'## GÖREV
 SQL: dict[str, str] = {
     "axis_counts": with_(ANALYSIS, f"SELECT doc_id, {AXES} FROM final GROUP BY doc_id"),
     "analyze_findings": with_(ANALYSIS, 'SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY "start", "end", type, excerpt, suggestion) AS INT) AS position, type, excerpt, suggestion, rule_id, "start", "end" FROM final'),
+    "analyze_observations": with_(with_samples(f"""{CHUNKS}, prose AS (SELECT * FROM chunks c WHERE EXISTS (SELECT 1 FROM placed b WHERE b.doc_id = c.doc_id AND b.kind IN ('paragraf', 'baslik') AND c."start" < b."end" AND b."start" < c."end")),
+      seen AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, {quoted(rules.NOISE)}, 1)) AS excerpt FROM prose)"""), "SELECT doc_id, excerpt, 'Art arda noktalama işareti.' AS note, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY excerpt) AS INT) AS position FROM seen"),
+    "consistency_routes": with_(with_samples(f"{TEXTS}, {SAME_TERMS}"), "SELECT doc_id, unnest(['single', 'map_reduce']) AS route, excerpt, suggestion, \"start\", \"end\" FROM same_terms"),
+    "rule_patterns": with_(with_samples(f"{CHUNKS}, {tokens('chunks', 'tok', 'doc_id, chunk_id')}, {PATTERNS}"), "SELECT doc_id, chunk_id, type, excerpt, suggestion, rule_id, emit_idx FROM patterns"),
+    "progress_events": with_(f"""{CHUNKS}, tot AS (SELECT doc_id, CAST(count(*) AS INT) AS total FROM chunks GROUP BY 1),
+      ok AS (SELECT DISTINCT c.doc_id, c.chunk_id FROM chunks c JOIN placed b ON b.doc_id = c.doc_id AND b.kind IN ('paragraf', 'baslik') AND c."start" < b."end" AND b."start" < c."end"),
+      n AS (SELECT c.doc_id, CAST(c.chunk_id + 1 AS INT) AS i, total, ok.doc_id IS NOT NULL AS judged FROM chunks c JOIN tot ON tot.doc_id = c.doc_id LEFT JOIN ok ON ok.doc_id = c.doc_id AND ok.chunk_id = c.chunk_id),
+      late(k, stage, message) AS (VALUES (1, 'consistency_start', 'Belge geneli tutarlılık inceleniyor'), (2, 'consistency_done', 'Belge geneli tutarlılık tamamlandı'), (3, 'finalize', 'Bulgular birleştiriliyor ve sıralanıyor'), (4, 'done', 'Analiz tamamlandı'))""",
+      """SELECT doc_id, 0 AS at, 'chunk' AS stage, 'Belge ' || total || ' bölüme ayrıldı' AS message, 0 AS current, total FROM tot
+      UNION ALL SELECT doc_id, 2 * i - 1, 'chunk_start', 'Bölüm ' || i || '/' || total || ' inceleniyor', i, total FROM n
+      UNION ALL SELECT doc_id, 2 * i, 'chunk_done', 'Bölüm ' || i || '/' || total || CASE WHEN judged THEN ' tamamlandı' ELSE ' tablo/içindekiler verisi — dil denetimi atlandı' END, i, total FROM n
+      UNION ALL SELECT doc_id, 2 * total + k, stage, message, total, total FROM tot, late"""),
     "clean_paragraph": with_(LINES, f"SELECT doc_id, CAST(pos AS INT) AS pos, {clean('raw')} AS text FROM lines"),
     "html_blocks": f"SELECT page_id, CAST(pos AS INT) AS pos, {clean('raw')} AS text FROM (SELECT page_id, unnest(range(len(a))) AS pos, unnest(a) AS raw FROM (SELECT page_id, string_split(html, {NL}) AS a FROM pages))",
     "classify_blocks": with_(RAW_BLOCKS, "SELECT doc_id, CAST(pos AS INT) AS pos, kind FROM raw_blocks"),
@@ -230,11 +285,11 @@ SQL: dict[str, str] = {
     "paragraph_spans": with_(PLACED, 'SELECT doc_id, "start", "end" FROM placed'),
     "sentence_spans": with_(f"{PLACED}, par AS (SELECT * FROM placed WHERE kind = 'paragraf'), {sentences('par', 'sent')}", 'SELECT doc_id, s AS "start", e AS "end" FROM sent'),
     "chunk_pack": with_(CHUNKS, 'SELECT doc_id, chunk_id, "start", "end" FROM chunks'),
-    "covered_chunks": with_(chunked(200), 'SELECT doc_id, chunk_id, "start", "end" FROM chunks c WHERE NOT EXISTS (SELECT 1 FROM placed b WHERE b.doc_id = c.doc_id AND b.kind IN (\'paragraf\', \'baslik\') AND c."start" < b."end" AND b."start" < c."end")'),
+    "covered_chunks": with_(chunked(40), 'SELECT doc_id, chunk_id, "start", "end" FROM chunks c WHERE NOT EXISTS (SELECT 1 FROM placed b WHERE b.doc_id = c.doc_id AND b.kind IN (\'paragraf\', \'baslik\') AND c."start" < b."end" AND b."start" < c."end")'),
     "norm_text": with_(LINES, f"SELECT doc_id, CAST(pos AS INT) AS pos, {norm('raw')} AS norm FROM lines"),
-    "turkish_case": with_(FIRST_WORDS, f"SELECT doc_id, CAST(pos AS INT) AS pos, {tr_lower('w')} AS low, {tr_upper('w')} AS up, {tr_capitalize('w')} AS cap FROM fw"),
-    "match_case": with_(FIRST_WORDS, f"SELECT doc_id, CAST(pos AS INT) AS pos, {match_case('w', quoted('istanbul'))} AS cased FROM fw"),
-    "surface_key": with_(FIRST_WORDS, f"SELECT doc_id, CAST(pos AS INT) AS pos, regexp_replace({folded("'''' || w || '-x'''")}, {quoted(t.KEY_NOISE)}, '', 'g') AS key FROM fw"),
+    "turkish_case": with_(WORDS, f"SELECT doc_id, CAST(pos AS INT) AS pos, n, {tr_lower('w')} AS low, {tr_upper('w')} AS up, {tr_capitalize('w')} AS cap FROM fw"),
+    "match_case": with_(WORDS, f"SELECT doc_id, CAST(pos AS INT) AS pos, n, {match_case('w', quoted('istanbul'))} AS cased FROM fw"),
+    "surface_key": with_(WORDS, f"SELECT doc_id, CAST(pos AS INT) AS pos, n, regexp_replace({folded("'''' || w || '-x'''")}, {quoted(t.KEY_NOISE)}, '', 'g') AS key FROM fw"),
     "concept_key": with_(LINES, f"SELECT doc_id, CAST(pos AS INT) AS pos, regexp_replace({folded(strip('raw'))}, '[{WS}]+', ' ', 'g') AS key FROM lines"),
     "indexable_terms": with_(LINES, f"SELECT doc_id, CAST(pos AS INT) AS pos, length({strip('raw')}) BETWEEN 2 AND 60 AND regexp_matches({strip('raw')}, '^[\\p{{L}}''\"‘’“”«»„`]') AS ok FROM lines"),
     "cache_key": "SELECT doc_id, sha256('m' || chr(0) || 's' || chr(0) || text) AS key FROM documents",
@@ -249,21 +304,23 @@ SQL: dict[str, str] = {
     "drop_context_satisfied": with_(f"{SEEDS}, tx AS (SELECT doc_id, string_agg(text, {NL} || {NL} ORDER BY pos) AS body FROM placed GROUP BY doc_id)", f'''SELECT {SLIM} FROM seeds JOIN tx USING (doc_id)
       WHERE NOT ("start" IS NOT NULL AND starts_with(suggestion, excerpt) AND length(suggestion) > length(excerpt) AND substring(body, "end" + 1, length(suggestion) - length(excerpt)) = substring(suggestion, length(excerpt) + 1))'''),
     "validate_suggestions": with_(SEEDS, f"SELECT {SLIM} FROM seeds WHERE NOT ({CORRUPT})"),
-    "merge_findings": with_(f"{SEEDS}, fx AS (SELECT * FROM seeds WHERE type = 'imla' AND \"start\" % 2 = 0), jd AS (SELECT * FROM seeds WHERE type <> 'imla' OR \"start\" IS NULL)", f'SELECT {SLIM} FROM fx UNION ALL SELECT {SLIM} FROM jd j WHERE NOT EXISTS (SELECT 1 FROM fx f WHERE f.doc_id = j.doc_id AND f."start" < j."end" AND j."start" < f."end")'),
+    "merge_findings": with_(f"{SEEDS}, fx AS (SELECT * FROM seeds WHERE type = 'imla' AND \"start\" IS NOT NULL), jd AS (SELECT * FROM seeds WHERE type <> 'imla' OR \"start\" IS NULL), fc AS (SELECT DISTINCT doc_id, \"start\", \"end\", unnest(range(\"start\" // 128, (\"end\" - 1) // 128 + 1)) AS cell FROM fx), jc AS (SELECT DISTINCT doc_id, \"start\", \"end\", unnest(range(\"start\" // 128, (\"end\" - 1) // 128 + 1)) AS cell FROM jd WHERE \"start\" IS NOT NULL), gone AS (SELECT DISTINCT j.doc_id, j.\"start\", j.\"end\" FROM jc j JOIN fc f ON f.doc_id = j.doc_id AND f.cell = j.cell AND f.\"start\" < j.\"end\" AND j.\"start\" < f.\"end\")", f'SELECT {SLIM} FROM fx UNION ALL SELECT {SLIM} FROM jd j WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.doc_id = j.doc_id AND g."start" = j."start" AND g."end" = j."end")'),
     "cross_pass_dedup": with_(f"{SEEDS}, {cross_pass('seeds', 'crossed')}", f"SELECT {SLIM} FROM crossed"),
     "structural_filter": with_(SEEDS, f"""SELECT {SLIM} FROM seeds f WHERE NOT EXISTS (SELECT 1 FROM placed b WHERE b.doc_id = f.doc_id AND f."start" < b."end" AND b."start" < f."end"
       AND ((b.kind IN ('tablo_hucresi', 'icindekiler') AND f.type <> 'tutarlilik') OR b.kind = 'baslik'))"""),
     "decimal_summary": with_(f"{PLACED}, {summary('true')}", 'SELECT doc_id, type, excerpt, explanation, suggestion, "start", "end" FROM dsum'),
     "dedup_sorted": with_(f"{SEEDS}, u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, type, \"start\", \"end\", excerpt ORDER BY suggestion, explanation) AS k FROM seeds) WHERE k = 1)", 'SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY "start" IS NULL, "start", "end", type, excerpt, suggestion, explanation) AS INT) AS position, type, excerpt, suggestion, "start", "end" FROM u'),
-    "observations_dedup": "SELECT doc_id, excerpt, note, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY excerpt, note) AS INT) AS position FROM (SELECT DISTINCT conv_id AS doc_id, role AS excerpt, substring(text, 1, 1) AS note FROM conversations)",
+    "observations_dedup": "SELECT doc_id, excerpt, note, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY excerpt, note) AS INT) AS position FROM (SELECT DISTINCT conv_id AS doc_id, role AS excerpt, text AS note FROM conversations)",
     "oov_words": with_(f"{PLACED}, {tokens('placed', 'tok', 'doc_id, pos')}, known AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[{L}]+')) AS word FROM benchmark), kinds AS (SELECT DISTINCT word FROM tok WHERE length(word) >= 4), good AS (SELECT word FROM kinds WHERE word IN (SELECT word FROM known) OR {tr_lower('word')} IN (SELECT word FROM known) OR {tr_capitalize(tr_lower('word'))} IN (SELECT word FROM known))", 'SELECT t.doc_id, CAST(p."start" + t.off AS INT) AS "start", CAST(p."start" + t.off + length(t.word) AS INT) AS "end", t.word FROM tok t JOIN placed p USING (doc_id, pos) WHERE length(t.word) >= 4 AND t.word NOT IN (SELECT word FROM good)'),
-    "resolve_spelling": with_(f"""{FIRST_WORDS}, dec AS (SELECT doc_id, pos AS idx, lower(w) AS word, length(w) % 2 = 0 AS bad, reverse(lower(w)) AS fix FROM fw),
+    "resolve_spelling": with_(f"""{WORDS}, dec AS (SELECT doc_id, "start" AS idx, lower(w) AS word, length(w) % 2 = 0 AS bad, reverse(lower(w)) AS fix FROM fw),
       ex AS (SELECT doc_id, word AS k, arg_min(bad, idx) AS bad, arg_min(fix, idx) AS fix FROM dec GROUP BY 1, 2), fo AS (SELECT doc_id, {folded('word')} AS k, arg_min(bad, idx) AS bad, arg_min(fix, idx) AS fix FROM dec GROUP BY 1, 2),
       r AS (SELECT f.doc_id, f.w AS excerpt, f."start", coalesce(a.bad, b.bad, c.bad, e.bad) AS bad, coalesce(a.fix, b.fix, c.fix, e.fix) AS fix FROM fw f
         LEFT JOIN ex a ON a.doc_id = f.doc_id AND a.k = f.w LEFT JOIN fo b ON b.doc_id = f.doc_id AND b.k = f.w LEFT JOIN ex c ON c.doc_id = f.doc_id AND c.k = {folded('f.w')} LEFT JOIN fo e ON e.doc_id = f.doc_id AND e.k = {folded('f.w')})""", f"SELECT doc_id, excerpt, CASE WHEN fix <> '' THEN {match_case('excerpt', 'fix')} ELSE '?' END AS suggestion, \"start\" FROM r WHERE bad IS NULL OR bad"),
     "exact_matches": 'SELECT doc_id, x, CAST(i - 1 AS INT) AS "start", CAST(i + 1 AS INT) AS "end" FROM (SELECT doc_id, x, unnest(list_filter(range(1, length(text)), lambda i: substring(text, i, 2) = x)) AS i FROM (SELECT doc_id, text, lower(substring(text, 1, 2)) AS x FROM documents))',
-    "normalized_matches": f"""WITH a AS (SELECT doc_id, text, string_split(text, {NL}) AS l FROM documents), b AS (SELECT doc_id, text, trim(l[1], ' ') AS p, trim(l[2], ' ') AS s, l FROM a WHERE len(l) > 1 AND trim(l[1], ' ') <> '' AND trim(l[2], ' ') <> '')
-      SELECT doc_id, CAST(strpos(text, p) - 1 AS INT) AS "start" FROM b""",
+    "normalized_matches": f"""WITH a AS (SELECT doc_id, text, list_transform(string_split(text, {NL}), lambda x: trim(x, ' ')) AS l FROM documents),
+      b AS (SELECT doc_id, text, unnest(list_zip(l[:-2], l[2:])) AS p FROM a WHERE len(l) > 1),
+      c AS (SELECT DISTINCT doc_id, text, p[1] AS a, p[2] AS b FROM b WHERE p[1] <> '' AND p[2] <> '')
+      SELECT doc_id, sha256(a || ' ' || b) AS x_sha256, CAST(min(CASE WHEN contains(text, a || ' ' || b) THEN strpos(text, a || ' ' || b) ELSE strpos(text, a || {NL} || b) END) - 1 AS INT) AS "start" FROM c GROUP BY doc_id, a || ' ' || b""",
     "nth_occurrence": with_(f"""{REPEATS}, nth AS (SELECT *, row_number() OVER (PARTITION BY doc_id, chunk_id, excerpt ORDER BY emit_idx) AS n FROM repeats),
       places AS (SELECT doc_id, chunk_id, excerpt, list_filter(range(1, length(c.text) - length(excerpt) + 2), lambda i: substring(c.text, i, length(excerpt)) = excerpt) AS p FROM (SELECT DISTINCT doc_id, chunk_id, excerpt FROM repeats) JOIN chunks c USING (doc_id, chunk_id))""", 'SELECT doc_id, chunk_id, excerpt, emit_idx, CAST(p[n] - 1 AS INT) AS "start", CAST(p[n] - 1 + length(excerpt) AS INT) AS "end" FROM nth JOIN places USING (doc_id, chunk_id, excerpt)'),
     "rule_repeat_word": with_(REPEATS, "SELECT doc_id, chunk_id, excerpt, emit_idx FROM repeats"),

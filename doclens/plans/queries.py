@@ -7,16 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from doclens import storage
 from doclens.functions import text as t
 from doclens.operators import blocks, chunks, findings, lexicon, locate, prompts, rules, scoring, terms
 from doclens.plans import pipeline
 from doclens.sources import history
+from doclens.streaming import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 # Small inputs for what the tables do not hold, in both engines.
-EVENTS = [("start", "a"), ("chunk", "a\nb"), ("done", "")]
+#: Two documents that have what the tables do not: one short, one whose consistency is judged by map and reduce.
+SAMPLE = "Bu cümlede yanlız ve herkez yanlış. Orjinal şöför saatlar sonra geldi, ve gitti.\nBir kaç kişi red ettik dedi. Üç kullanıcılar 8.'inci katta 12.5 Khz ile konuştu konuştu.\nE-Posta ile Eposta aynı. E-Posta yine. Yavaş yavaş yürüdü!! Ne oldu?! slm naber.\nDolgu metni burada durur.\n446.00625\n446.1\n447.2"
+SAMPLES = [(-1, SAMPLE), (-2, "E-Posta ile Eposta aynı. Eposta yine.\n" + "\n".join(f"Dolgu metni burada durur {i}." for i in range(700)))]
 RULE_TEXT = "intro\n\n## A. Spelling\nrule one\n## B. Grammar\nrule two\n## C. Tone\nrule three\n## Known limits\nnot sent\n"
 PLAIN_RULES = "no headings here"
 ENV = [("bool", "evet"), ("bool", "0"), ("bool", ""), ("int", "12"), ("int", "x"), ("float", "1.5")]
@@ -41,18 +45,19 @@ def _lines(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
 
 
-def _first_words(spark: SparkSession, d: str) -> DataFrame:
-    """Placed blocks that begin with a word, with it."""
-    placed = blocks.document_blocks(_docs(spark, d))
-    return placed.withColumn("w", F.regexp_extract("text", rf"^([{lexicon.WORD_CLASS}]+)", 1)).where("w <> ''")
+def _words(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, pos, n, start, w): every word of every placed block, with its number in the block."""
+    rows = blocks.document_blocks(_docs(spark, d)).select("doc_id", "pos", F.col("start").alias("_at"), F.posexplode(lexicon.tokens(F.col("text"))).alias("n", "x"))
+    return rows.select("doc_id", "pos", "n", (F.col("_at") + F.col("x.start")).alias("start"), F.col("x.word").alias("w"))
 
 
 def seeds(spark: SparkSession, d: str) -> DataFrame:
-    """Findings on the first word of each block that exercise every filter and join."""
+    """Two findings on every word, of seven kinds in turn, that exercise every filter and join."""
     w = F.col("w")
     kinds = [("imla", F.concat(F.lit("  "), w, F.lit(" ")), True), ("dil_bilgisi", F.concat(w, F.lit("q")), True), ("ton", F.concat(w, F.lit(".")), True), ("dil_bilgisi", F.upper(w), True), ("ton", F.upper(w), True), ("tutarlilik", F.upper(w), True), ("imla", F.reverse(w), False)]
     made = F.array(*(F.struct(F.lit(k).alias("type"), s.alias("suggestion"), F.lit(at).alias("at"), F.lit(f"r{i}").alias("explanation")) for i, (k, s, at) in enumerate(kinds)))
-    rows = _first_words(spark, d).select("doc_id", "start", "w", F.explode(made).alias("f"))
+    two = F.array(*(F.get(made, (F.col("n") + k) % len(kinds)) for k in (0, 3)))
+    rows = _words(spark, d).select("doc_id", "start", "w", F.explode(two).alias("f"))
     end = F.when(F.col("f.at"), F.col("start") + F.length("w")).cast("int")
     return rows.select("doc_id", "f.type", F.col("w").alias("excerpt"), "f.explanation", "f.suggestion", F.lit("GRAMER-TEKRAR").alias("rule_id"), F.lit(None).cast("double").alias("confidence"), F.when(F.col("f.at"), F.col("start")).cast("int").alias("start"), end.alias("end"))
 
@@ -61,15 +66,46 @@ def _slim(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", "type", "excerpt", "suggestion", "start", "end")
 
 
+def _analysis(spark: SparkSession, d: str) -> pipeline.Analysis:
+    """The whole analysis of the documents and the samples. The dictionary: words of two documents or more, and the benchmark's."""
+    placed, _ = storage.stored(blocks.document_blocks(_docs(spark, d).unionByName(spark.createDataFrame(SAMPLES, "doc_id long, text string"))), "blocks")
+    return pipeline.Analyzer(dictionary=lexicon.shared_words(lexicon.words(placed)).unionByName(_benchmark_words(spark, d))).blocks(placed)
+
+
+def _benchmark_words(spark: SparkSession, d: str) -> DataFrame:
+    return _read(spark, d, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit(rf"([{lexicon.WORD_CLASS}]+)"), F.lit(1))).alias("word"))
+
+
 @query
 def axis_counts(spark, d):
     """Whole analysis, findings counted by axis."""
-    return findings.counts(pipeline.analyze(_docs(spark, d)))
+    return findings.counts(_analysis(spark, d).findings)
 
 
 @query
 def analyze_findings(spark, d):
-    return pipeline.analyze(_docs(spark, d)).select("doc_id", "position", "type", "excerpt", "suggestion", "rule_id", "start", "end")
+    return _analysis(spark, d).findings.select("doc_id", "position", "type", "excerpt", "suggestion", "rule_id", "start", "end")
+
+
+@query
+def analyze_observations(spark, d):
+    return _analysis(spark, d).observations
+
+
+@query
+def consistency_routes(spark, d):
+    """Consistency findings by both ways: all documents at once, and all by terms of chunks and their index."""
+    texts = blocks.assemble(blocks.document_blocks(_docs(spark, d).unionByName(spark.createDataFrame(SAMPLES, "doc_id long, text string"))))
+    both = [pipeline.Analyzer(map_reduce_chars=n).consistency(texts).withColumn("route", F.lit(name)) for name, n in (("single", 1 << 30), ("map_reduce", 0))]
+    return both[0].unionByName(both[1]).select("doc_id", "route", "excerpt", "suggestion", "start", "end")
+
+
+@query
+def progress_events(spark, d):
+    """What an analysis reports of every document, in order."""
+    placed = blocks.document_blocks(_docs(spark, d))
+    rows = chunks.chunks(blocks.assemble(placed))
+    return documents.progress(rows, chunks.with_prose(rows, placed))
 
 
 @query
@@ -131,7 +167,7 @@ def chunk_pack(spark, d):
 @query
 def covered_chunks(spark, d):
     placed = blocks.document_blocks(_docs(spark, d))
-    return chunks.covered(chunks.chunks(blocks.assemble(placed), 200), placed).select("doc_id", "chunk_id", "start", "end")
+    return chunks.covered(chunks.chunks(blocks.assemble(placed), 40), placed).select("doc_id", "chunk_id", "start", "end")
 
 
 @query
@@ -141,17 +177,17 @@ def norm_text(spark, d):
 
 @query
 def turkish_case(spark, d):
-    return _first_words(spark, d).select("doc_id", "pos", t.tr_lower("w").alias("low"), t.tr_upper("w").alias("up"), t.tr_capitalize("w").alias("cap"))
+    return _words(spark, d).select("doc_id", "pos", "n", t.tr_lower("w").alias("low"), t.tr_upper("w").alias("up"), t.tr_capitalize("w").alias("cap"))
 
 
 @query
 def match_case(spark, d):
-    return _first_words(spark, d).select("doc_id", "pos", t.match_case("w", F.lit("istanbul")).alias("cased"))
+    return _words(spark, d).select("doc_id", "pos", "n", t.match_case("w", F.lit("istanbul")).alias("cased"))
 
 
 @query
 def surface_key(spark, d):
-    return _first_words(spark, d).select("doc_id", "pos", t.surface_key(F.concat(F.lit("'"), F.col("w"), F.lit("-x'"))).alias("key"))
+    return _words(spark, d).select("doc_id", "pos", "n", t.surface_key(F.concat(F.lit("'"), F.col("w"), F.lit("-x'"))).alias("key"))
 
 
 @query
@@ -213,10 +249,10 @@ def validate_suggestions(spark, d):
 
 @query
 def merge_findings(spark, d):
-    """Words that no lexicon has, as dictionary findings, with the seeds."""
+    """All located spelling findings as the dictionary's, with the other seeds as the judge's."""
     rows = seeds(spark, d)
-    fixed = rows.where("type = 'imla' and start is not null and start % 2 = 0")
-    return _slim(findings.merge(fixed, rows.where("type <> 'imla' or start is null")))
+    fixed = "type = 'imla' and start is not null"
+    return _slim(findings.merge(rows.where(fixed), rows.where(f"not ({fixed})")))
 
 
 @query
@@ -244,23 +280,22 @@ def dedup_sorted(spark, d):
 
 @query
 def observations_dedup(spark, d):
-    rows = _read(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("role").alias("excerpt"), F.substring("text", 1, 1).alias("note"))
+    rows = _read(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("role").alias("excerpt"), F.col("text").alias("note"))
     return findings.observations(rows)
 
 
 @query
 def oov_words(spark, d):
     """Words of the documents that the benchmark's words do not have."""
-    known = _read(spark, d, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit(rf"([{lexicon.WORD_CLASS}]+)"), F.lit(1))).alias("word"))
-    return lexicon.unknown(lexicon.words(blocks.document_blocks(_docs(spark, d))), known)
+    return lexicon.unknown(lexicon.words(blocks.document_blocks(_docs(spark, d))), _benchmark_words(spark, d))
 
 
 @query
 def resolve_spelling(spark, d):
-    """First words as candidates; the decisions come from the same words in upper and lower case."""
-    rows = _first_words(spark, d)
+    """All words as candidates; the decisions come from the same words in lower case, at their places."""
+    rows = _words(spark, d)
     candidates = rows.select("doc_id", F.col("w").alias("excerpt"), F.lit("?").alias("suggestion"), "start")
-    decisions = rows.select("doc_id", F.col("pos").alias("idx"), F.lower("w").alias("word"), (F.length("w") % 2 == 0).alias("is_error"), F.reverse(F.lower("w")).alias("correction"))
+    decisions = rows.select("doc_id", F.col("start").alias("idx"), F.lower("w").alias("word"), (F.length("w") % 2 == 0).alias("is_error"), F.reverse(F.lower("w")).alias("correction"))
     return findings.resolve_spelling(candidates, decisions).select("doc_id", "excerpt", "suggestion", "start")
 
 
@@ -273,10 +308,12 @@ def exact_matches(spark, d):
 
 @query
 def normalized_matches(spark, d):
-    """The first two lines, joined by a blank, in the text where a line break parts them."""
-    rows = _docs(spark, d).withColumn("l", F.split("text", "\n")).where("size(l) > 1 and trim(l[0]) <> '' and trim(l[1]) <> ''")
-    rows = rows.withColumn("x", F.concat(F.trim(F.get("l", F.lit(0))), F.lit(" "), F.trim(F.get("l", F.lit(1)))))
-    return rows.select("doc_id", F.get(locate.spans("text", "x"), F.lit(0))["start"].alias("start"))
+    """Every two neighbouring lines, joined by a blank, in the text where a line break parts them."""
+    rows = _docs(spark, d).select("doc_id", "text", F.transform(F.split("text", "\n"), lambda x: F.trim(x)).alias("l"))
+    pairs = F.filter(F.zip_with("l", F.slice("l", F.lit(2), F.size("l")), lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda p: (p["a"] != "") & (p["b"] != ""))
+    rows = rows.select("doc_id", "text", F.array_distinct(F.transform(pairs, lambda p: F.concat(p["a"], F.lit(" "), p["b"]))).alias("x"))
+    found = rows.select("doc_id", F.explode(F.arrays_zip("x", locate.spans_of_all("text", "x").alias("s"))).alias("f"))
+    return found.select("doc_id", F.sha2("f.x", 256).alias("x_sha256"), F.get("f.s", F.lit(0))["start"].alias("start"))
 
 
 @query
@@ -296,23 +333,22 @@ def rule_repeat_word(spark, d):
 @query
 def rule_decimal_dot(spark, d):
     rows = chunks.chunks(blocks.assemble(blocks.document_blocks(_docs(spark, d))))
-    return rules.judge(rows).where("rule_id = 'IMLA-BIRIM'").select("doc_id", "chunk_id", "excerpt", "suggestion", (F.col("emit_idx") - 1_000_000).alias("n"))
+    return rules.judge(rows).where(f"rule_id = 'IMLA-BIRIM' and emit_idx < {rules.LITERAL_AT}").select("doc_id", "chunk_id", "excerpt", "suggestion", (F.col("emit_idx") - 1_000_000).alias("n"))
 
 
 @query
 def rule_literal_map(spark, d):
-    """The closed lists, on the documents and on a line that has all of them."""
+    """The closed list of words, on the documents and on a line that has all of them."""
     line = " ".join(w for w, *_ in rules.LITERALS)
     texts = _docs(spark, d).unionByName(spark.createDataFrame([(-1, line)], "doc_id long, text string"))
     rows = chunks.chunks(blocks.assemble(blocks.document_blocks(texts)))
-    return rules.judge(rows).where("emit_idx >= 2000000").select("doc_id", "excerpt", "suggestion", "rule_id", "type", (F.col("emit_idx") - 2_000_000).alias("start"))
+    return rules.judge(rows).where(F.col("emit_idx").between(rules.LITERAL_AT, rules.PHRASE_AT - 1)).select("doc_id", "excerpt", "suggestion", "rule_id", "type", (F.col("emit_idx") - 2_000_000).alias("start"))
 
 
 def _entries(spark: SparkSession, d: str) -> DataFrame:
-    """First words as surfaces, quoted in every other block; two letters of them as concepts."""
-    rows = _first_words(spark, d)
-    surface = F.when(F.col("pos") % 2 == 0, F.col("w")).otherwise(F.concat(F.lit("'"), F.col("w"), F.lit("'")))
-    return rows.select("doc_id", surface.alias("surface"), F.substring(F.lower("w"), 1, 2).alias("concept"))
+    """All words as surfaces, every other one of a block quoted; two letters of them as concepts."""
+    surface = F.when(F.col("n") % 2 == 0, F.col("w")).otherwise(F.concat(F.lit("'"), F.col("w"), F.lit("'")))
+    return _words(spark, d).select("doc_id", surface.alias("surface"), F.substring(F.lower("w"), 1, 2).alias("concept"))
 
 
 @query
@@ -346,11 +382,14 @@ def size_route(spark, d):
 
 
 def _golden(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Labelled documents expect their first word by label; predictions are first words of other kinds."""
-    rows = _first_words(spark, d).where("pos < 3").join(_read(spark, d, "labels"), "doc_id").withColumn("id", F.col("doc_id").cast("string"))
+    """Labelled documents expect the words that stand twice in a row in them, each once and by label; predictions are beginnings of other kinds."""
+    rows = chunks.chunks(blocks.assemble(blocks.document_blocks(_docs(spark, d))))
+    found = rules.judge(rows).where("rule_id = 'GRAMER-TEKRAR' and pass = 'local'")
+    first = found.groupBy("doc_id", F.col("suggestion").alias("w")).agg(F.min(F.col("chunk_id").cast("long") * 1_000_000 + F.col("emit_idx")).alias("idx"))
+    rows = first.join(_read(spark, d, "labels"), "doc_id").withColumn("id", F.col("doc_id").cast("string"))
     kind = F.when(F.col("toxic") == 1, "ton").when(F.col("quality") == 1, "imla").otherwise("dil_bilgisi")
-    expected = rows.select("id", F.col("pos").alias("idx"), kind.alias("type"), F.upper("w").alias("excerpt"))
-    predicted = rows.where("length(w) > 3").select("id", F.col("pos").alias("idx"), F.lit("imla").alias("type"), F.substring("w", 1, 4).alias("excerpt"))
+    expected = rows.select("id", "idx", kind.alias("type"), F.upper("w").alias("excerpt"))
+    predicted = rows.where("length(w) > 2").select("id", "idx", F.lit("imla").alias("type"), F.substring("w", 1, 4).alias("excerpt"))
     return expected, predicted
 
 
@@ -378,6 +417,14 @@ def clean_fp(spark, d):
     return scoring.clean_false_alarms(gold, scoring.greedy_match(wanted, predicted))
 
 
+@query
+def rule_patterns(spark, d):
+    """The other rules that a text alone decides, on the documents and the samples."""
+    texts = _docs(spark, d).unionByName(spark.createDataFrame(SAMPLES, "doc_id long, text string"))
+    rows = chunks.chunks(blocks.assemble(blocks.document_blocks(texts)))
+    return rules.judge(rows).where(F.col("emit_idx") >= rules.PHRASE_AT).select("doc_id", "chunk_id", "type", "excerpt", "suggestion", "rule_id", "emit_idx")
+
+
 def _rules(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([("full", RULE_TEXT), ("plain", PLAIN_RULES)], "rule_set string, text string")
 

@@ -38,6 +38,22 @@ def without(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.where(~F.col("id").isin(keys))
 
 
+def delete(spark: SparkSession, path: str, keys: list[str]) -> int:
+    """Delete records from the store; the number deleted. The store is written anew beside itself, and the folders are then exchanged."""
+    rows = load(spark, path)
+    n = rows.where(F.col("id").isin(keys)).count()
+    if n:
+        jvm = spark._jvm
+        old, new, gone = (jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + end) for end in ("", ".new", ".old"))
+        fs = old.getFileSystem(spark._jsc.hadoopConfiguration())
+        without(rows, keys).write.mode("overwrite").parquet(new.toString())
+        fs.delete(gone, True)
+        if not (fs.rename(old, gone) and fs.rename(new, old)):
+            raise OSError(f"could not exchange {path}")
+        fs.delete(gone, True)
+    return n
+
+
 def store_responses(new: DataFrame, path: str) -> None:
     """Append successful responses; readers take the first of a key."""
     new.where("status = 'ok'").select("key", "response").write.mode("append").json(path)

@@ -109,3 +109,10 @@ def docx_blocks(sections: DataFrame) -> DataFrame:
     body = every.where("part = 0")
     extras = blocks.dedup_extras(every.where("part > 0"))
     return blocks.place(blocks.dedup_consecutive(body.unionByName(extras).drop("part")))
+
+
+def docx_parts(sections: DataFrame) -> DataFrame:
+    """(doc_id, header_footer, notes): whether headers or footers, and foot- or endnotes, have anything."""
+    some = F.exists("section", lambda table: F.exists(table, lambda row: F.exists(row, lambda cell: F.exists(cell, lambda p: F.trim(p["text"]) != ""))))
+    part = lambda *names: F.coalesce(F.max(F.when(F.col("name").isin(*names), some)), F.lit(False))
+    return sections.groupBy("doc_id").agg(part("header", "footer").alias("header_footer"), part("footnotes", "endnotes").alias("notes"))
