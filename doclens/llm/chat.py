@@ -26,11 +26,12 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from doclens.llm.common import bound_arrow, stored, table
+from doclens.llm.common import bound_arrow, stored, table, tidy
 
 #: References between the calls of a conversation that is ordered in one task.
 MOST_EDGES = 100_000
@@ -142,13 +143,30 @@ def _depths(calls: DataFrame, most: int) -> DataFrame:
     sizes = own.groupBy("conv_id").agg(F.max("forward").alias("tangled"), F.count("*").alias("n")).where("tangled")
     tangled = stored(sizes.select("conv_id", (F.col("n") <= most).alias("small")), "tangled")
     key = T.StructType([own.schema["conv_id"], own.schema["call_id"], T.StructField("depth", T.LongType())])
-
-    def order(frame: pd.DataFrame) -> pd.DataFrame:
-        found = depths(list(zip(frame["call_id"], frame["to"], strict=True)))
-        return pd.DataFrame({"conv_id": frame["conv_id"].iloc[0], "call_id": list(found), "depth": list(found.values())})
+    ends_in = key.fieldNames()
+
+    def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[str, str]] = []
+        now, kind = None, None
+
+        def close() -> pa.RecordBatch:
+            found = depths(held)
+            return pa.RecordBatch.from_arrays([pa.array([now] * len(found), kind), pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=ends_in)
+
+        for batch in batches:
+            kind = batch.schema.field("conv_id").type
+            for conv, call, to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and conv != now:
+                    yield close()
+                    held = []
+                now = conv
+                held.append((call, to))
+        if held:
+            yield close()
 
     small = own.join(tangled.where("small"), "conv_id", "left_semi").select("conv_id", "call_id", "to")
-    out = small.groupBy("conv_id").applyInPandas(order, key)
+    # conversations stand one behind another in a task; a task of groups would make a frame of each of these short lists
+    out = small.repartition("conv_id").sortWithinPartitions("conv_id").mapInArrow(tidy(order), key)
     if tangled.where("not small").isEmpty():
         return out
     return out.unionByName(_depths_by_rounds(stored(own.join(tangled.where("not small"), "conv_id", "left_semi").select("conv_id", "call_id", "to"), "call-edges")))
