@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from doclens.llm import bpe, chat, decontaminate, fingerprint, jaccard, langid, licenses, sharding, toxicity, warc
+from doclens.llm import bpe, chat, decontaminate, fingerprint, jaccard, langid, licenses, reassembly, sharding, toxicity, warc
 
 QUERIES = {
     "op1_jaccard_join": jaccard.near_copies,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_warc": warc.archive,
     "op9_tool_calls": chat.linked,
     "op10_language": langid.languages,
+    "op11_reassembly": reassembly.turns,
 }
 
 ORACLE_SQL = {
@@ -23,4 +24,5 @@ ORACLE_SQL = {
     "op3_sharding": sharding.SQL,
     "op8_warc": warc.SQL,
     "op9_tool_calls": chat.SQL,
+    "op11_reassembly": reassembly.SQL,
 }
