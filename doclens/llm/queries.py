@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from doclens.llm import bpe, chat, decontaminate, fingerprint, jaccard, langid, licenses, reassembly, sharding, toxicity, trie, warc
+from doclens.llm import bpe, chat, decontaminate, fingerprint, jaccard, langid, licenses, lm, reassembly, sharding, toxicity, trie, warc
 
 QUERIES = {
     "op1_jaccard_join": jaccard.near_copies,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_tool_calls": chat.linked,
     "op10_language": langid.languages,
     "op11_reassembly": reassembly.turns,
+    "op12_lm_scores": lm.lm_scores,
     "op13_prefix_trie": trie.prefix_trie,
 }
 
