@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doclens.llm.common import bound_arrow, fold, slices, stored, table, tidy
+from doclens.llm.common import bound_arrow, fold, new_folder, slices, stored, table, tidy
 
 #: Words with their counts that every task holds, at most.
 DICTIONARY = 200_000
@@ -41,10 +41,14 @@ SHORT = CLASSES * MEMBERS
 ROWS = 1 << 14
 UPDATES = 4
 STEP, MINI = 0.3, 4096
+#: A weight's greatest size.
+MOST = 10.0
+#: Tokens that a task learns from at least, if there are so many: it sends its changed rows, which are bounded in size.
+TASK_TOKENS = 2_000_000
 #: Columns of a word's counts of neighbours.
 NEAR = 128
 #: Bytes of text taken at once, and tokens scored at once.
-CHARS, TOKENS = 1 << 22, 1 << 15
+CHARS, TOKENS = 1 << 22, 1 << 12
 END = 0
 
 WIDE = CLASSES + BUCKETS
@@ -221,7 +225,10 @@ def _hashed(x: np.ndarray, k: int) -> np.ndarray:
 
 
 class Model:
-    """Weights of fixed size: ``wide`` for classes and buckets, ``deep`` for the members of classes; a last column is the steps' scale."""
+    """Weights of fixed size: ``wide`` for classes and buckets, ``deep`` for the members of classes, with the scales of each row's steps.
+
+    Weights stay within MOST and biases are logarithms of shares, so exponentials need no shift.
+    """
 
     def __init__(self, voc: Vocabulary, classes: np.ndarray):
         """classes: the predicted words by class and place, -1 where there is none."""
@@ -231,11 +238,17 @@ class Model:
                 if w >= 0:
                     self.cls[w], self.slot[w] = k, j
         mass = np.where(classes >= 0, voc.short[np.maximum(classes, 0)] + 0.5, 0.0)
-        with np.errstate(divide="ignore"):
-            self.deep_bias = np.maximum(np.log(mass), -1e4).astype(np.float32)
-            self.wide_bias = np.maximum(np.log(np.concatenate([mass.sum(1), voc.bucket_tokens + 0.5 * (voc.bucket_types + 1)])), -1e4).astype(np.float32)
-        self.wide, self.deep = np.zeros((ROWS, WIDE + 1), np.float32), np.zeros((ROWS, MEMBERS + 1), np.float32)
-        self.wide[:, -1] = self.deep[:, -1] = 1.0
+        wide = np.concatenate([mass.sum(1), voc.bucket_tokens + 0.5 * (voc.bucket_types + 1)])
+        with np.errstate(divide="ignore", invalid="ignore"):
+            self.deep_bias = np.nan_to_num(np.log(mass / mass.sum(1, keepdims=True)), nan=0.0, neginf=-1e4).astype(np.float32)
+            self.wide_bias = np.nan_to_num(np.log(wide / wide.sum()), neginf=-1e4).astype(np.float32)
+        self.wide, self.deep = np.zeros((ROWS, WIDE), np.float32), np.zeros((ROWS, MEMBERS), np.float32)
+        self.wide_scale, self.deep_scale = np.ones(ROWS, np.float32), np.ones(ROWS, np.float32)
+
+    def copy(self) -> Model:
+        out = Model.__new__(Model)
+        out.__dict__.update(self.__dict__ | {k: getattr(self, k).copy() for k in ("wide", "deep", "wide_scale", "deep_scale")})
+        return out
 
     def outcome(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(class or bucket, place in the class, whether it is predicted)."""
@@ -252,23 +265,27 @@ class Model:
         return [_hashed(one * 1024 + cls, 3), _hashed(two * 1024 + cls, 4)]
 
     @staticmethod
-    def logits(table_: np.ndarray, rows: list[np.ndarray], bias: np.ndarray) -> np.ndarray:
-        z = bias + table_[rows[0], :-1]
+    def logits(weights: np.ndarray, rows: list[np.ndarray], bias: np.ndarray) -> np.ndarray:
+        z = np.take(weights, rows[0], axis=0)
         for r in rows[1:]:
-            z += table_[r, :-1]
-        z -= z.max(1, keepdims=True)
+            z += np.take(weights, r, axis=0)
+        z += bias
         return z
 
+    @staticmethod
+    def _log(z: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Natural logarithms of the outcomes' probabilities; z is overwritten."""
+        own = z[np.arange(len(y)), y].astype(np.float64)
+        np.exp(z, out=z)
+        return own - np.log(z @ np.ones(z.shape[1], np.float32)).astype(np.float64)
+
     def log_probs(self, one: np.ndarray, two: np.ndarray, tokens: np.ndarray) -> np.ndarray:
         """log10 of the tokens' probabilities; for those of a bucket that of the bucket."""
         y, j, short = self.outcome(tokens)
-        z = self.logits(self.wide, self.wide_rows(one, two), self.wide_bias)
-        at = np.arange(len(tokens))
-        out = z[at, y].astype(np.float64) - np.log(np.exp(z).sum(1, dtype=np.float64))
+        out = self._log(self.logits(self.wide, self.wide_rows(one, two), self.wide_bias), y)
         s = np.flatnonzero(short)
         if len(s):
-            z = self.logits(self.deep, self.deep_rows(one[s], two[s], y[s]), self.deep_bias[y[s]])
-            out[s] += z[np.arange(len(s)), j[s]].astype(np.float64) - np.log(np.exp(z).sum(1, dtype=np.float64))
+            out[s] += self._log(self.logits(self.deep, self.deep_rows(one[s], two[s], y[s]), np.take(self.deep_bias, y[s], axis=0)), j[s])
         return out / np.log(10)
 
     def texts(self, blobs: list[bytes]) -> np.ndarray:
@@ -276,25 +293,29 @@ class Model:
         out, tokens = np.zeros(len(blobs)), contexts(blobs)
         for a in range(0, len(tokens[0]), TOKENS):
             token, one, two, of = (x[a : a + TOKENS] for x in tokens)
-            out += np.bincount(of, weights=self.log_probs(one, two, token), minlength=len(blobs))
+            first = of[0]
+            sums = np.bincount(of - first, weights=self.log_probs(one, two, token))
+            out[first : first + len(sums)] += sums
         return out
 
     @staticmethod
-    def _step(table_: np.ndarray, used: np.ndarray, rows: list[np.ndarray], z: np.ndarray, y: np.ndarray) -> None:
+    def _step(weights: np.ndarray, scale: np.ndarray, used: np.ndarray, rows: list[np.ndarray], z: np.ndarray, y: np.ndarray) -> None:
         """One gradient step of the log likelihood, the step of a row falling with the squares of its gradients."""
         n = len(y)
         np.exp(z, out=z)
-        z /= -z.sum(1, keepdims=True)
+        z *= (-1 / (z @ np.ones(z.shape[1], np.float32)))[:, None]
         z[np.arange(n), y] += 1
         flat = np.concatenate(rows)
         order = np.argsort(flat, kind="stable")
         flat = flat[order]
         start = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
-        rows_ = flat[start]
-        g = np.add.reduceat(z[order % n], start, axis=0)
-        table_[rows_, -1] += np.einsum("ij,ij->i", g, g)
-        table_[rows_, :-1] += g * (STEP / np.sqrt(table_[rows_, -1]))[:, None]
-        used[rows_] += np.diff(np.append(start, len(flat)))
+        at = flat[start]
+        g = np.add.reduceat(np.take(z, order % n, axis=0), start, axis=0)
+        scale[at] += np.einsum("ij,ij->i", g, g)
+        g *= (STEP / np.sqrt(scale[at]))[:, None]
+        g += np.take(weights, at, axis=0)
+        weights[at] = np.clip(g, -MOST, MOST, out=g)
+        used[at] += np.diff(np.append(start, len(flat)))
 
     def train(self, blobs: list[bytes], used: tuple[np.ndarray, np.ndarray]) -> None:
         """Steps over the texts' tokens; ``used`` counts how often each row took part."""
@@ -303,14 +324,14 @@ class Model:
             t, p, q = token[a : a + MINI], one[a : a + MINI], two[a : a + MINI]
             y, j, short = self.outcome(t)
             rows = self.wide_rows(p, q)
-            self._step(self.wide, used[0], rows, self.logits(self.wide, rows, self.wide_bias), y)
+            self._step(self.wide, self.wide_scale, used[0], rows, self.logits(self.wide, rows, self.wide_bias), y)
             s = np.flatnonzero(short)
             if len(s):
                 rows = self.deep_rows(p[s], q[s], y[s])
-                self._step(self.deep, used[1], rows, self.logits(self.deep, rows, self.deep_bias[y[s]]), j[s])
+                self._step(self.deep, self.deep_scale, used[1], rows, self.logits(self.deep, rows, np.take(self.deep_bias, y[s], axis=0)), j[s])
 
 
-def _added(parts: DataFrame, width: int) -> DataFrame:
+def _added(parts: DataFrame) -> DataFrame:
     """(kind, row, n, delta): per row the deltas' sum weighted by n; rows are dealt by number, and a task holds its rows only."""
     n = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -355,7 +376,7 @@ def bisected(x: np.ndarray, parts: int) -> list[np.ndarray]:
     return groups
 
 
-def word_classes(enc: DataFrame) -> np.ndarray:
+def word_classes(enc: DataFrame, tasks: int) -> np.ndarray:
     """Classes of the predicted words by the words around them, over all training texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -369,9 +390,9 @@ def word_classes(enc: DataFrame) -> np.ndarray:
         # plain sums: each row counts once
         yield _rows(0, (near.sum(1) > 0).astype(np.int64), near)
 
-    parts = enc.where("part >= 0").select("ids").mapInArrow(tidy(run), "kind int, row int, n long, delta binary")
+    parts = enc.where("part >= 0").select("ids").coalesce(UPDATES * tasks).mapInArrow(tidy(run), "kind int, row int, n long, delta binary")
     x = np.zeros((SHORT, 2 * NEAR))
-    for r in _added(parts, 2 * NEAR).collect():  # SHORT rows at most
+    for r in _added(parts).collect():  # SHORT rows at most
         x[r["row"]] = np.frombuffer(r["delta"], np.float32) * r["n"]
     x = np.sqrt(x / np.maximum(x.sum(1, keepdims=True), 1))
     out = np.full((CLASSES, MEMBERS), -1, np.int64)
@@ -383,7 +404,8 @@ def word_classes(enc: DataFrame) -> np.ndarray:
 def train(enc: DataFrame, voc: Vocabulary) -> Model:
     """The model, learned from the rows of ``encoded`` that belong to an update."""
     spark = enc.sparkSession
-    model = Model(voc, word_classes(enc))
+    tasks = max(1, round(voc.n_tokens / UPDATES / TASK_TOKENS))
+    model = Model(voc, word_classes(enc, tasks))
     for u in range(UPDATES):
         sent = spark.sparkContext.broadcast(model)  # of fixed size
 
@@ -392,17 +414,18 @@ def train(enc: DataFrame, voc: Vocabulary) -> Model:
             used = (np.zeros(ROWS, np.int64), np.zeros(ROWS, np.int64))
             for b in batches:
                 for part in slices(iter([b]), "ids", CHARS):
-                    if now is None:
-                        now = Model.__new__(Model)
-                        now.__dict__.update(old.__dict__ | {"wide": old.wide.copy(), "deep": old.deep.copy()})
+                    now = now or old.copy()
                     now.train(part.column("ids").to_pylist(), used)
             if now is not None:
-                yield _rows(0, used[0], now.wide - old.wide)
-                yield _rows(1, used[1], now.deep - old.deep)
-
-        parts = enc.where(F.col("part") == u).select("ids").mapInArrow(tidy(run), "kind int, row int, n long, delta binary")
-        for r in _added(parts, WIDE + 1).collect():  # two tables of ROWS rows at most
-            (model.wide, model.deep)[r["kind"]][r["row"]] += np.frombuffer(r["delta"], np.float32)
+                yield _rows(0, used[0], np.column_stack([now.wide - old.wide, now.wide_scale - old.wide_scale]))
+                yield _rows(1, used[1], np.column_stack([now.deep - old.deep, now.deep_scale - old.deep_scale]))
+
+        parts = enc.where(F.col("part") == u).select("ids").coalesce(tasks).mapInArrow(tidy(run), "kind int, row int, n long, delta binary")
+        for r in _added(parts).collect():  # two tables of ROWS rows at most
+            delta = np.frombuffer(r["delta"], np.float32)
+            weights, scale = ((model.wide, model.wide_scale), (model.deep, model.deep_scale))[r["kind"]]
+            weights[r["row"]] += delta[:-1]
+            scale[r["row"]] += delta[-1]
         sent.unpersist()
     return model
 
@@ -413,7 +436,9 @@ def score(docs: DataFrame) -> DataFrame:
     bound_arrow(spark)
     counts = stored(word_counts(docs), "words")
     voc = vocabulary(counts, docs.where("train").count())
-    enc = stored(encoded(docs, voc), "encoded")
+    path = new_folder(spark, "encoded")
+    encoded(docs, voc).write.partitionBy("part").parquet(path)  # an update reads its part alone
+    enc = spark.read.schema(ENCODED).parquet(path)
     model = train(enc, voc)
     sent = spark.sparkContext.broadcast(model)  # of fixed size
 
