@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from doclens.functions import text as t
+from doclens.operators.affixes import Dictionary
 
 LEAST_LETTERS = 4
 #: The same class for Java's and RE2's expressions, and as a pattern of Python's.
@@ -29,7 +30,7 @@ def tokens(texts: pd.Series) -> pd.Series:
 def read(spark: SparkSession, path: str) -> DataFrame:
     """(word) of a dictionary file with a word a line: a .dic file's count and its flags after a slash are left out.
 
-    Affix rules (.aff) are not applied, so list inflected forms as words of their own.
+    Affix rules (.aff) are not applied here; ``affixes.Dictionary`` reads both files.
     """
     rows = spark.read.text(path).select(t.strip(F.regexp_replace("value", r"(?<!\\)[/\t].*$", "")).alias("word"))
     return rows.where("word <> ''").where(~F.col("word").rlike(r"^[0-9]+$")).distinct()
@@ -46,16 +47,18 @@ def words(placed: DataFrame) -> DataFrame:
     return rows.select("doc_id", (F.col("_at") + F.col("w.start")).alias("start"), F.col("w.word").alias("word"))
 
 
-def unknown(found: DataFrame, lexicon: DataFrame, whitelist: list[str] = (), keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Words of four letters or more that the lexicon (word) has in no Turkish letter case.
+def unknown(found: DataFrame, lexicon: DataFrame | Dictionary, whitelist: list[str] = (), keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Words of four letters or more that the lexicon, a table (word) or a dictionary with affix rules, has in no Turkish letter case.
 
-    The lexicon is broadcast if its count allows; else it is joined by shuffle. Distinct words are looked up once.
+    A table is broadcast if its count allows; else it is joined by shuffle. Distinct words are looked up once.
     """
     skip = [w.casefold() for w in whitelist]
     rows = found.where(F.length("word") >= LEAST_LETTERS)
     if skip:
         rows = rows.where(~t.casefold("word").isin(skip))
     kinds = rows.select("word").distinct()
+    if isinstance(lexicon, Dictionary):
+        return rows.join(lexicon.known(kinds), "word", "left_anti").select(*keys, "start", (F.col("start") + F.length("word")).cast("int").alias("end"), "word")
     known = lexicon.select(F.col("word").alias("_known")).where("_known is not null").distinct()
     side = F.broadcast(known) if known.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else known
     low = t.tr_lower("word")
