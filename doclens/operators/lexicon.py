@@ -36,6 +36,15 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return rows.where("word <> ''").where(~F.col("word").rlike(r"^[0-9]+$")).distinct()
 
 
+def load(spark: SparkSession, path: str) -> DataFrame | Dictionary:
+    """The dictionary at a path: with affix rules if a .aff file stands beside the .dic file, else a list of words."""
+    base = path.removesuffix(".dic")
+    rules = spark._jvm.org.apache.hadoop.fs.Path(f"{base}.aff")
+    if rules.getFileSystem(spark._jsc.hadoopConfiguration()).exists(rules):
+        return Dictionary.read(spark, base)
+    return read(spark, path)
+
+
 def shared_words(found: DataFrame, documents: int = 2) -> DataFrame:
     """(word) of the words that so many documents use: a lexicon of a corpus's own."""
     return found.select("doc_id", "word").distinct().groupBy("word").count().where(F.col("count") >= documents).select("word")

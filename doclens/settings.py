@@ -24,6 +24,8 @@ class Settings:
     timeout_s: float | None = 60.0
     map_reduce_chars: int = 16_000
     max_chars: int = 3_000
+    #: Folder of the model's stored answers; one below the shared folder if there is none.
+    store_path: str | None = None
 
     @classmethod
     def of(cls, spark: SparkSession) -> Settings:
@@ -38,4 +40,5 @@ class Settings:
             timeout if timeout > 0 else None,
             max(1, _number(get("mapReduceChars"), int, 16_000)),
             max(1, _number(get("maxChars"), int, 3_000)),
+            get("storePath"),
         )
