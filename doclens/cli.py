@@ -4,6 +4,8 @@ python -m doclens.cli SOME TEXT ...   the arguments, joined by blanks
 python -m doclens.cli FILE.docx       a document's blocks; what was read is reported on standard error
 python -m doclens.cli < FILE          standard input
 python -m doclens.cli --folder IN OUT all text files of a folder, a JSON line for each below OUT
+
+Progress goes to standard error.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from pyspark.sql import functions as F
 
 from doclens.operators import blocks
 from doclens.plans import pipeline
+from doclens.plans.progress import on_standard_error
 from doclens.sources import readers
 
 FINDING = ("type", "excerpt", "explanation", "suggestion", "rule_id", "confidence", "start", "end")
@@ -25,7 +28,7 @@ _LIST = "array<struct<position:int,type:string,excerpt:string,explanation:string
 
 def folder(spark: SparkSession, path: str, out: str) -> None:
     texts = readers.texts(spark, path).withColumnRenamed("path", "doc_id")
-    result = pipeline.build(spark).documents(texts)
+    result = pipeline.build(spark, progress=on_standard_error).documents(texts)
     item = F.struct("position", *FINDING)
     rows = texts.select("doc_id").join(result.findings.groupBy("doc_id").agg(F.array_sort(F.collect_list(item)).alias("findings")), "doc_id", "left")
     rows.select("doc_id", F.coalesce("findings", F.array().cast(_LIST)).alias("findings")).write.json(out)
@@ -41,7 +44,7 @@ def _printed(result: pipeline.Analysis, model: str, chars: int) -> dict:
 
 def one(spark: SparkSession, text: str) -> dict:
     """The result for one text."""
-    analyzer = pipeline.build(spark)
+    analyzer = pipeline.build(spark, progress=on_standard_error)
     docs = spark.createDataFrame([(0, text)], "doc_id long, text string")
     placed = docs.select("doc_id", F.lit(0).alias("pos"), "text", F.lit("paragraf").alias("kind"), F.lit(0).alias("start"), F.length("text").alias("end"))
     return _printed(analyzer.blocks(placed), "rules", len(text))
@@ -58,7 +61,7 @@ def docx(spark: SparkSession, path: str) -> dict:
         if line:
             print(f"  … {line}", file=sys.stderr)
     chars = blocks.assemble(placed).select(F.length("text").alias("n")).first()
-    return _printed(pipeline.build(spark).blocks(placed), "rules", chars["n"] if chars else 0)
+    return _printed(pipeline.build(spark, progress=on_standard_error).blocks(placed), "rules", chars["n"] if chars else 0)
 
 
 def main(args: list[str]) -> int:

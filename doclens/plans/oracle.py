@@ -73,7 +73,7 @@ def kind(x: str) -> str:
 LINES = f"lines AS (SELECT doc_id, unnest(range(len(a))) AS pos, unnest(a) AS raw FROM (SELECT doc_id, string_split(text, {NL}) AS a FROM documents))"
 RAW_BLOCKS = f"{LINES}, raw_blocks AS (SELECT doc_id, pos, text, {kind('text')} AS kind FROM (SELECT doc_id, pos, {clean('raw')} AS text FROM lines) WHERE text <> '')"
 DEDUPED = f"{RAW_BLOCKS}, deduped AS (SELECT doc_id, pos, text, kind FROM (SELECT *, lag({squash('text')}) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM raw_blocks) WHERE {squash('text')} IS DISTINCT FROM before)"
-PLACED = f'{DEDUPED}, placed AS (SELECT *, CAST(s AS INT) AS "start", CAST(s + length(text) AS INT) AS "end" FROM (SELECT *, coalesce(sum(length(text) + 2) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM deduped))'
+PLACED = f'{DEDUPED}, placed AS MATERIALIZED (SELECT *, CAST(s AS INT) AS "start", CAST(s + length(text) AS INT) AS "end" FROM (SELECT *, coalesce(sum(length(text) + 2) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM deduped))'
 TEXTS = f"{PLACED}, texts AS (SELECT doc_id, string_agg(text, {NL} || {NL} ORDER BY pos) AS text FROM placed GROUP BY doc_id)"
 
 
@@ -97,7 +97,7 @@ spans AS (SELECT doc_id, s, e, row_number() OVER (PARTITION BY doc_id ORDER BY s
 packed AS (SELECT doc_id, i, s, e, s AS c, 0 AS g FROM spans WHERE i = 1 UNION ALL
   SELECT n.doc_id, n.i, n.s, n.e, CASE WHEN n.e - p.c <= {budget} THEN p.c ELSE n.s END, CASE WHEN n.e - p.c <= {budget} THEN p.g ELSE p.g + 1 END
   FROM packed p JOIN spans n ON n.doc_id = p.doc_id AND n.i = p.i + 1),
-{name} AS (SELECT k.*, substring(x.text, k."start" + 1, k."end" - k."start") AS text FROM (
+{name} AS MATERIALIZED (SELECT k.*, substring(x.text, k."start" + 1, k."end" - k."start") AS text FROM (
   SELECT doc_id, g AS chunk_id, min(s) AS "start", max(e) AS "end" FROM packed GROUP BY doc_id, g) k JOIN texts x USING (doc_id))"""
 
 
@@ -107,7 +107,7 @@ CHUNKS = chunked(chunks.MAX_CHARS)
 def tokens(source: str, name: str, keys: str) -> str:
     return f"""
 {name}_p AS (SELECT {keys}, unnest(range(len(a))) AS k, unnest(a) AS piece FROM (SELECT {keys}, string_split(regexp_replace(text, '([{L}]+)', {MARK} || '\\1' || {MARK}, 'g'), {MARK}) AS a FROM {source})),
-{name} AS (SELECT * FROM (SELECT {keys}, k, piece AS word, coalesce(sum(length(piece)) OVER (PARTITION BY {keys} ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM {name}_p) WHERE k % 2 = 1)"""
+{name} AS MATERIALIZED (SELECT * FROM (SELECT {keys}, k, piece AS word, coalesce(sum(length(piece)) OVER (PARTITION BY {keys} ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM {name}_p) WHERE k % 2 = 1)"""
 
 
 DOUBLED = ", ".join(map(quoted, rules.DOUBLED.split()))
@@ -117,8 +117,8 @@ repeats AS (SELECT doc_id, chunk_id, word || ' ' || word AS excerpt, word AS sug
 DOTS = f"""dots AS (SELECT doc_id, chunk_id, unnest(a) AS excerpt, unnest(range(len(a))) AS n FROM (SELECT doc_id, chunk_id, regexp_extract_all(text, '{DIGIT}+\\.{DIGIT}+') AS a FROM chunks))"""
 LITERAL_TABLE = "lit(wrong, fix, kind, rule) AS (VALUES " + ", ".join(f"({', '.join(map(quoted, r))})" for r in rules.LITERALS) + ")"
 
-WORDS = f"""{PLACED}, {tokens("placed", "tok", "doc_id, pos")}, fw AS (SELECT t.doc_id, t.pos, CAST(t.k // 2 AS INT) AS n, CAST(p."start" + t.off AS INT) AS "start", t.word AS w FROM tok t JOIN placed p ON p.doc_id = t.doc_id AND p.pos = t.pos)"""
-SEEDS = f"""{WORDS}, seeds AS (
+WORDS = f"""{PLACED}, {tokens("placed", "tok", "doc_id, pos")}, fw AS MATERIALIZED (SELECT t.doc_id, t.pos, CAST(t.k // 2 AS INT) AS n, CAST(p."start" + t.off AS INT) AS "start", t.word AS w FROM tok t JOIN placed p ON p.doc_id = t.doc_id AND p.pos = t.pos)"""
+SEEDS = f"""{WORDS}, seeds AS MATERIALIZED (
   SELECT doc_id, k.kind AS type, w AS excerpt, k.note AS explanation,
     CASE k.note WHEN 'r0' THEN '  ' || w || ' ' WHEN 'r1' THEN w || 'q' WHEN 'r2' THEN w || '.' WHEN 'r6' THEN reverse(w) ELSE {upper("w")} END AS suggestion,
     CASE WHEN k.note <> 'r6' THEN "start" END AS "start", CASE WHEN k.note <> 'r6' THEN CAST("start" + length(w) AS INT) END AS "end"
@@ -141,7 +141,7 @@ def cross_pass(source: str, name: str) -> str:
     return f"""
 {name}_k AS (SELECT *, {prio("type")} AS prio, {norm("excerpt")} AS ne, {bare("excerpt")} AS ea, {bare("suggestion")} AS sa FROM {source}),
 {name}_a AS (SELECT *, CASE WHEN len(ea) = len(sa) THEN list_filter(list_zip(ea, sa), lambda p: p[1] <> p[2]) END AS diff FROM {name}_k),
-{name}_c AS (SELECT *, unnest(range("start" // 128, ("end" - 1) // 128 + 1)) AS cell FROM {name}_a WHERE prio IS NOT NULL AND "start" IS NOT NULL),
+{name}_c AS MATERIALIZED (SELECT *, unnest(range("start" // 128, ("end" - 1) // 128 + 1)) AS cell FROM {name}_a WHERE prio IS NOT NULL AND "start" IS NOT NULL),
 {name}_g AS (SELECT DISTINCT f.doc_id, f.type, f."start", f."end", f.excerpt, f.suggestion FROM {name}_c f JOIN {name}_c o ON o.doc_id = f.doc_id AND o.cell = f.cell AND f."start" < o."end" AND o."start" < f."end" AND o.prio < f.prio
   AND (o.ne = f.ne OR (len(o.diff) = 1 AND len(f.diff) = 1 AND o.diff = f.diff))),
 {name} AS (SELECT a.* FROM {name}_a a ANTI JOIN {name}_g g ON g.doc_id = a.doc_id AND g.type = a.type AND g."start" = a."start" AND g."end" = a."end" AND g.excerpt = a.excerpt AND g.suggestion = a.suggestion)"""
@@ -179,6 +179,12 @@ def with_samples(sql: str) -> str:
     return f"docs AS (SELECT doc_id, text FROM documents UNION ALL SELECT * FROM (VALUES {rows}) v(doc_id, text)), {sql.replace('FROM documents)', 'FROM docs)')}"
 
 
+def with_planted(sql: str) -> str:
+    """The statement's parts over the documents with ``PLANTS`` behind their lines."""
+    plants = ", ".join(map(quoted, q.PLANTS))
+    return f"docs AS (SELECT doc_id, array_to_string(list_transform(string_split(text, {NL}), lambda x, i: rtrim(x || ' ' || ([{plants}])[(i - 1) % {len(q.PLANTS)} + 1], ' ')), {NL}) AS text FROM documents), {sql.replace('FROM documents)', 'FROM docs)')}"
+
+
 SAME_TERMS = f"""surf AS (SELECT doc_id, unnest(regexp_extract_all(text, {quoted(rules.TERM)}, 1)) AS surface FROM texts),
 sinv AS (SELECT doc_id, surface, count(*) AS n FROM surf WHERE regexp_matches(surface, '^\\p{{Lu}}') AND length(surface) BETWEEN 2 AND 60 GROUP BY 1, 2),
 skey AS (SELECT *, regexp_replace({folded("surface")}, {quoted(t.KEY_NOISE)}, '', 'g') AS key FROM sinv),
@@ -239,13 +245,16 @@ res AS (SELECT id, type AS axis, CAST(count(hit) AS BIGINT) AS tp, 0::BIGINT AS
 match AS (SELECT id, axis, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn FROM res GROUP BY 1, 2)"""
 
 
-def slices() -> str:
-    """Rule slices as plain values: the rule text is a constant."""
-    parts = q.RULE_TEXT.split("## ")
-    pre, (a, b, c, _) = parts[0], ["## " + p for p in parts[1:]]
-    made = {"local": pre + a + b, "tone": pre + c, "all": pre + a + b + c, "other": pre + a + b + c}
-    rows = [("full", v.rstrip() + "\n", k) for k, v in made.items()] + [("plain", q.PLAIN_RULES, k) for k in made]
-    return ", ".join(f"({', '.join(map(quoted, r))})" for r in rows)
+def _rule_bodies() -> str:
+    """bodies: the sections of each document's rule text."""
+    p = [quoted(x) for x in q.RULE_PARTS]
+    d_part, c_part = q.RULE_PARTS[3].split("## C")
+    own = [(1, "'imla'", f"{p[1]} || x || {NL}"), (2, "'dil_bilgisi'", f"{quoted(q.RULE_PARTS[2].lstrip())} || x || {NL}"), (3, "NULL", quoted(d_part.lstrip())), (4, "'ton'", f"{quoted('## C' + c_part)} || x || {p[4]}")]
+    rows = f"SELECT rule_set, 0 AS pos, NULL AS kind, CASE WHEN plain THEN x ELSE {p[0]} END AS body FROM r" + "".join(f" UNION ALL SELECT rule_set, {k}, {kind}, {body} FROM r WHERE NOT plain" for k, kind, body in own)
+    return f"WITH r AS (SELECT CAST(doc_id AS VARCHAR) AS rule_set, replace(text, '#', '') AS x, doc_id % 5 = 4 AS plain FROM documents WHERE text IS NOT NULL), bodies AS ({rows})"
+
+
+_RULE_BODIES = _rule_bodies()
 
 
 def with_(ctes: str, select: str) -> str:
@@ -263,16 +272,19 @@ SQL: dict[str, str] = {
     "analyze_findings": with_(ANALYSIS, 'SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY "start", "end", type, excerpt, suggestion) AS INT) AS position, type, excerpt, suggestion, rule_id, "start", "end" FROM final'),
     "analyze_observations": with_(with_samples(f"""{CHUNKS}, prose AS (SELECT * FROM chunks c WHERE EXISTS (SELECT 1 FROM placed b WHERE b.doc_id = c.doc_id AND b.kind IN ('paragraf', 'baslik') AND c."start" < b."end" AND b."start" < c."end")),
       seen AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, {quoted(rules.NOISE)}, 1)) AS excerpt FROM prose)"""), "SELECT doc_id, excerpt, 'Art arda noktalama işareti.' AS note, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY excerpt) AS INT) AS position FROM seen"),
-    "consistency_routes": with_(with_samples(f"{TEXTS}, {SAME_TERMS}"), "SELECT doc_id, unnest(['single', 'map_reduce']) AS route, excerpt, suggestion, \"start\", \"end\" FROM same_terms"),
-    "rule_patterns": with_(with_samples(f"{CHUNKS}, {tokens('chunks', 'tok', 'doc_id, chunk_id')}, {PATTERNS}"), "SELECT doc_id, chunk_id, type, excerpt, suggestion, rule_id, emit_idx FROM patterns"),
-    "progress_events": with_(f"""{CHUNKS}, tot AS (SELECT doc_id, CAST(count(*) AS INT) AS total FROM chunks GROUP BY 1),
-      ok AS (SELECT DISTINCT c.doc_id, c.chunk_id FROM chunks c JOIN placed b ON b.doc_id = c.doc_id AND b.kind IN ('paragraf', 'baslik') AND c."start" < b."end" AND b."start" < c."end"),
-      n AS (SELECT c.doc_id, CAST(c.chunk_id + 1 AS INT) AS i, total, ok.doc_id IS NOT NULL AS judged FROM chunks c JOIN tot ON tot.doc_id = c.doc_id LEFT JOIN ok ON ok.doc_id = c.doc_id AND ok.chunk_id = c.chunk_id),
-      late(k, stage, message) AS (VALUES (1, 'consistency_start', 'Belge geneli tutarlılık inceleniyor'), (2, 'consistency_done', 'Belge geneli tutarlılık tamamlandı'), (3, 'finalize', 'Bulgular birleştiriliyor ve sıralanıyor'), (4, 'done', 'Analiz tamamlandı'))""",
-      """SELECT doc_id, 0 AS at, 'chunk' AS stage, 'Belge ' || total || ' bölüme ayrıldı' AS message, 0 AS current, total FROM tot
-      UNION ALL SELECT doc_id, 2 * i - 1, 'chunk_start', 'Bölüm ' || i || '/' || total || ' inceleniyor', i, total FROM n
-      UNION ALL SELECT doc_id, 2 * i, 'chunk_done', 'Bölüm ' || i || '/' || total || CASE WHEN judged THEN ' tamamlandı' ELSE ' tablo/içindekiler verisi — dil denetimi atlandı' END, i, total FROM n
-      UNION ALL SELECT doc_id, 2 * total + k, stage, message, total, total FROM tot, late"""),
+    "consistency_routes": with_(with_planted(f"{TEXTS}, {SAME_TERMS}"), "SELECT doc_id, unnest(['single', 'map_reduce']) AS route, excerpt, suggestion, \"start\", \"end\" FROM same_terms"),
+    "rule_patterns": with_(with_planted(f"{CHUNKS}, {tokens('chunks', 'tok', 'doc_id, chunk_id')}, {PATTERNS}"), "SELECT doc_id, chunk_id, type, excerpt, suggestion, rule_id, emit_idx FROM patterns"),
+    "progress_events": with_(ANALYSIS, """SELECT position, stage, current, total FROM (SELECT (SELECT count(*) FROM chunks) AS n, (SELECT count(*) FROM chunks c WHERE EXISTS (SELECT 1 FROM placed b WHERE b.doc_id = c.doc_id AND b.kind IN ('paragraf', 'baslik') AND c."start" < b."end" AND b."start" < c."end")) AS j, (SELECT count(*) FROM final) AS f),
+      LATERAL (VALUES (0, 'chunk', 0, n), (1, 'chunk_start', 0, n), (2, 'chunk_done', j, n), (3, 'consistency_start', 0, 0), (4, 'consistency_start', 0, 0), (5, 'consistency_done', 0, 0), (6, 'finalize', 0, 0), (7, 'done', f, f)) v(position, stage, current, total)"""),
+    "affix_lookup": with_(f"""{PLACED}, {tokens('placed', 'tok', 'doc_id, pos')}, stems AS (SELECT word, length(word) % 2 = 0 AS b, length(word) % 3 = 0 AS u FROM (SELECT DISTINCT unnest(regexp_extract_all(text, '[{L}]+')) AS word FROM benchmark)),
+      made AS (SELECT word AS form, word AS stem, '' AS affixes, u FROM stems
+        UNION ALL SELECT word || 's', word, 'A', u FROM stems WHERE right(word, 1) <> 's'
+        UNION ALL SELECT regexp_replace(word, 'e$', '') || 'ing', word, 'A', u FROM stems WHERE word <> 'e'
+        UNION ALL SELECT regexp_replace(word, 'e$', '') || 'ings', word, 'A S', u FROM stems WHERE word <> 'e'
+        UNION ALL SELECT word || 'en', word, 'B', u FROM stems WHERE b AND NOT regexp_matches(word, '[aeiou]$')
+        UNION ALL SELECT word || 'ene', word, 'B N', u FROM stems WHERE b AND NOT regexp_matches(word, '[aeiou]$')
+        UNION ALL SELECT word || 'n', word, 'B', u FROM stems WHERE b AND regexp_matches(word, '[aeiou]$')),
+      forms AS (SELECT form, stem, affixes FROM made UNION ALL SELECT 'un' || form, stem, trim(affixes || ' U') FROM made WHERE u AND NOT starts_with(form, 'u'))""", "SELECT DISTINCT form, stem, affixes FROM forms WHERE form IN (SELECT word FROM tok)"),
     "clean_paragraph": with_(LINES, f"SELECT doc_id, CAST(pos AS INT) AS pos, {clean('raw')} AS text FROM lines"),
     "html_blocks": f"SELECT page_id, CAST(pos AS INT) AS pos, {clean('raw')} AS text FROM (SELECT page_id, unnest(range(len(a))) AS pos, unnest(a) AS raw FROM (SELECT page_id, string_split(html, {NL}) AS a FROM pages))",
     "classify_blocks": with_(RAW_BLOCKS, "SELECT doc_id, CAST(pos AS INT) AS pos, kind FROM raw_blocks"),
@@ -285,7 +297,7 @@ SQL: dict[str, str] = {
     "paragraph_spans": with_(PLACED, 'SELECT doc_id, "start", "end" FROM placed'),
     "sentence_spans": with_(f"{PLACED}, par AS (SELECT * FROM placed WHERE kind = 'paragraf'), {sentences('par', 'sent')}", 'SELECT doc_id, s AS "start", e AS "end" FROM sent'),
     "chunk_pack": with_(CHUNKS, 'SELECT doc_id, chunk_id, "start", "end" FROM chunks'),
-    "covered_chunks": with_(chunked(40), 'SELECT doc_id, chunk_id, "start", "end" FROM chunks c WHERE NOT EXISTS (SELECT 1 FROM placed b WHERE b.doc_id = c.doc_id AND b.kind IN (\'paragraf\', \'baslik\') AND c."start" < b."end" AND b."start" < c."end")'),
+    "covered_chunks": with_(f"docs AS (SELECT doc_id, text FROM documents UNION ALL SELECT -doc_id - 1, array_to_string(list_transform(string_split(text, {NL}), lambda x, i: CASE WHEN (i - 1) % 4 < 3 THEN CAST(length(x) AS VARCHAR) ELSE x END), {NL}) FROM documents), {chunked(40).replace('FROM documents)', 'FROM docs)')}", 'SELECT doc_id, chunk_id, "start", "end" FROM chunks c WHERE NOT EXISTS (SELECT 1 FROM placed b WHERE b.doc_id = c.doc_id AND b.kind IN (\'paragraf\', \'baslik\') AND c."start" < b."end" AND b."start" < c."end")'),
     "norm_text": with_(LINES, f"SELECT doc_id, CAST(pos AS INT) AS pos, {norm('raw')} AS norm FROM lines"),
     "turkish_case": with_(WORDS, f"SELECT doc_id, CAST(pos AS INT) AS pos, n, {tr_lower('w')} AS low, {tr_upper('w')} AS up, {tr_capitalize('w')} AS cap FROM fw"),
     "match_case": with_(WORDS, f"SELECT doc_id, CAST(pos AS INT) AS pos, n, {match_case('w', quoted('istanbul'))} AS cased FROM fw"),
@@ -312,7 +324,7 @@ SQL: dict[str, str] = {
     "dedup_sorted": with_(f"{SEEDS}, u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, type, \"start\", \"end\", excerpt ORDER BY suggestion, explanation) AS k FROM seeds) WHERE k = 1)", 'SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY "start" IS NULL, "start", "end", type, excerpt, suggestion, explanation) AS INT) AS position, type, excerpt, suggestion, "start", "end" FROM u'),
     "observations_dedup": "SELECT doc_id, excerpt, note, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY excerpt, note) AS INT) AS position FROM (SELECT DISTINCT conv_id AS doc_id, role AS excerpt, text AS note FROM conversations)",
     "oov_words": with_(f"{PLACED}, {tokens('placed', 'tok', 'doc_id, pos')}, known AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[{L}]+')) AS word FROM benchmark), kinds AS (SELECT DISTINCT word FROM tok WHERE length(word) >= 4), good AS (SELECT word FROM kinds WHERE word IN (SELECT word FROM known) OR {tr_lower('word')} IN (SELECT word FROM known) OR {tr_capitalize(tr_lower('word'))} IN (SELECT word FROM known))", 'SELECT t.doc_id, CAST(p."start" + t.off AS INT) AS "start", CAST(p."start" + t.off + length(t.word) AS INT) AS "end", t.word FROM tok t JOIN placed p USING (doc_id, pos) WHERE length(t.word) >= 4 AND t.word NOT IN (SELECT word FROM good)'),
-    "resolve_spelling": with_(f"""{WORDS}, dec AS (SELECT doc_id, "start" AS idx, lower(w) AS word, length(w) % 2 = 0 AS bad, reverse(lower(w)) AS fix FROM fw),
+    "resolve_spelling": with_(f"""{WORDS}, dec AS MATERIALIZED (SELECT doc_id, "start" AS idx, lower(w) AS word, length(w) % 2 = 0 AS bad, reverse(lower(w)) AS fix FROM fw),
       ex AS (SELECT doc_id, word AS k, arg_min(bad, idx) AS bad, arg_min(fix, idx) AS fix FROM dec GROUP BY 1, 2), fo AS (SELECT doc_id, {folded('word')} AS k, arg_min(bad, idx) AS bad, arg_min(fix, idx) AS fix FROM dec GROUP BY 1, 2),
       r AS (SELECT f.doc_id, f.w AS excerpt, f."start", coalesce(a.bad, b.bad, c.bad, e.bad) AS bad, coalesce(a.fix, b.fix, c.fix, e.fix) AS fix FROM fw f
         LEFT JOIN ex a ON a.doc_id = f.doc_id AND a.k = f.w LEFT JOIN fo b ON b.doc_id = f.doc_id AND b.k = f.w LEFT JOIN ex c ON c.doc_id = f.doc_id AND c.k = {folded('f.w')} LEFT JOIN fo e ON e.doc_id = f.doc_id AND e.k = {folded('f.w')})""", f"SELECT doc_id, excerpt, CASE WHEN fix <> '' THEN {match_case('excerpt', 'fix')} ELSE '?' END AS suggestion, \"start\" FROM r WHERE bad IS NULL OR bad"),
@@ -325,7 +337,7 @@ SQL: dict[str, str] = {
       places AS (SELECT doc_id, chunk_id, excerpt, list_filter(range(1, length(c.text) - length(excerpt) + 2), lambda i: substring(c.text, i, length(excerpt)) = excerpt) AS p FROM (SELECT DISTINCT doc_id, chunk_id, excerpt FROM repeats) JOIN chunks c USING (doc_id, chunk_id))""", 'SELECT doc_id, chunk_id, excerpt, emit_idx, CAST(p[n] - 1 AS INT) AS "start", CAST(p[n] - 1 + length(excerpt) AS INT) AS "end" FROM nth JOIN places USING (doc_id, chunk_id, excerpt)'),
     "rule_repeat_word": with_(REPEATS, "SELECT doc_id, chunk_id, excerpt, emit_idx FROM repeats"),
     "rule_decimal_dot": with_(f"{CHUNKS}, {DOTS}", "SELECT doc_id, chunk_id, excerpt, replace(excerpt, '.', ',') AS suggestion, CAST(n AS INT) AS n FROM dots"),
-    "rule_literal_map": with_(f"{CHUNKS}, line AS (SELECT -1 AS doc_id, 0 AS chunk_id, {quoted(' '.join(w for w, *_ in rules.LITERALS))} AS text), every AS (SELECT doc_id, chunk_id, text FROM chunks UNION ALL SELECT * FROM line), {tokens('every', 'tok', 'doc_id, chunk_id')}, {LITERAL_TABLE}", f'SELECT doc_id, word AS excerpt, {match_case("word", "fix")} AS suggestion, rule AS rule_id, kind AS type, CAST(off AS INT) AS "start" FROM tok JOIN lit ON {tr_lower("word")} = wrong'),
+    "rule_literal_map": with_(with_planted(f"{CHUNKS}, {tokens('chunks', 'tok', 'doc_id, chunk_id')}, {LITERAL_TABLE}"), f'SELECT doc_id, chunk_id, word AS excerpt, {match_case("word", "fix")} AS suggestion, rule AS rule_id, kind AS type, CAST(off AS INT) AS "start" FROM tok JOIN lit ON {tr_lower("word")} = wrong'),
     "term_agg": with_(ENTRIES, "SELECT doc_id, surface, n, array_to_string(concepts, ',') AS concepts FROM inv"),
     "surface_clusters": with_(ENTRIES, "SELECT doc_id, array_to_string(members, '|') AS members FROM sclu"),
     "concept_clusters": with_(ENTRIES, "SELECT doc_id, array_to_string(members, '|') AS members FROM cclu"),
@@ -337,14 +349,17 @@ SQL: dict[str, str] = {
     "greedy_match": with_(greedy("true"), "SELECT * FROM match"),
     "precision_recall": with_(f"{greedy('true')}, own AS (SELECT axis, tp, fp, fn FROM match UNION ALL SELECT 'genel', tp, fp, fn FROM match WHERE axis <> 'ton'), s AS (SELECT axis, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn FROM own GROUP BY axis)", "SELECT *, round(CASE WHEN tp + fp = 0 THEN 0 ELSE CAST(tp AS DOUBLE) / (tp + fp) END, 6) AS precision, round(CASE WHEN tp + fn = 0 THEN 0 ELSE CAST(tp AS DOUBLE) / (tp + fn) END, 6) AS recall FROM s"),
     "clean_fp": with_(greedy("kind <> 'imla'"), "SELECT CAST(coalesce(sum(fp) FILTER (axis <> 'ton'), 0) AS BIGINT) AS core_fp, CAST(coalesce(sum(fp) FILTER (axis = 'ton'), 0) AS BIGINT) AS tone_fp FROM match WHERE id IN (SELECT id FROM pred) AND id NOT IN (SELECT id FROM exp)"),
-    "rule_sections": "SELECT * FROM (VALUES " + ", ".join(f"({quoted(s)}, {i}, {k}, {quoted(b)})" for s, i, k, b in [("full", i, {1: "'imla'", 2: "'dil_bilgisi'", 3: "'ton'"}.get(i, "NULL"), ("## " if i else "") + b) for i, b in enumerate(q.RULE_TEXT.split("## "))] + [("plain", 0, "NULL", q.PLAIN_RULES)]) + ") v(rule_set, pos, kind, body)",
-    "rule_slice": f"SELECT * FROM (VALUES {slices()}) v(rule_set, text, purpose)",
+    "rule_sections": f"{_RULE_BODIES} SELECT rule_set, pos, kind, body FROM bodies",
+    "rule_slice": f"""{_RULE_BODIES}, want(purpose, kinds) AS (VALUES ('local', ['imla', 'dil_bilgisi']), ('tone', ['ton']), ('all', ['imla', 'dil_bilgisi', 'ton']), ('other', ['imla', 'dil_bilgisi', 'ton']))
+      SELECT rule_set, purpose, sha256(CASE WHEN count(*) > 1 THEN regexp_replace(string_agg(body, '' ORDER BY pos), '[{WS}]+\\z', '') || {NL} ELSE any_value(body) END) AS text_sha256 FROM bodies, want WHERE pos = 0 OR list_contains(kinds, kind) GROUP BY rule_set, purpose""",
     "build_prompts": f"""SELECT doc_id, sha256({_H1} || {NL} || 'R' || {NL} || {NL} || CASE WHEN len(w) > 0 THEN {_H2} || ' (yazım denetçisi işaretledi)' || {NL} || array_to_string(list_transform(list_filter(range(1, len(w) + 1), lambda i: list_position(w, w[i]) = i), lambda i: w[i]), ', ') ELSE {_H2} || {NL} || '(Yazım denetçisi hiçbir kelime işaretlemedi.)' END || {NL} || {NL} || {_H3} || {NL} || {_DELIMITED}) AS "local",
       sha256({_H1} || {NL} || 'R' || {NL} || {NL} || {_H3} || {NL} || {_DELIMITED}) AS tone FROM (SELECT doc_id, text, regexp_extract_all(text, '[{L}]+') AS w FROM documents)""",
     "cache_misses": "WITH k AS (SELECT doc_id, sha256('m' || chr(0) || 's' || chr(0) || text) AS key FROM documents) SELECT DISTINCT key FROM k WHERE key NOT IN (SELECT key FROM k WHERE doc_id % 3 = 0)",
     "history_list": with_(f"{SEEDS}, c AS (SELECT doc_id, count(*) AS toplam, CAST(sum(CASE WHEN type = 'ton' THEN 1 ELSE 0 END) AS BIGINT) AS ton FROM seeds GROUP BY 1), ti AS (SELECT doc_id, {_LINES_OF} AS x FROM documents)", f"SELECT sha256(doc_id || chr(0) || '2024-01-01T00:00:00') AS id, '2024-01-01T00:00:00' AS created_at, 'text' AS kind, {_T1} AS title, toplam, ton FROM c JOIN ti USING (doc_id)"),
     "finding_counts": with_(SEEDS, f"SELECT doc_id, {AXES} FROM seeds GROUP BY doc_id"),
     "sse_frames": f"SELECT conv_id, turn, 'event: ' || role || {NL} || array_to_string(list_transform(string_split(text, {NL}), lambda l: 'data: ' || l || {NL}), '') || {NL} AS frame FROM conversations",
-    "env_values": "SELECT * FROM (VALUES ('bool', 'evet', true, 6, 0.5::DOUBLE), ('bool', '0', false, 0, 0.0), ('bool', '', true, 6, 0.5), ('int', '12', false, 12, 12.0), ('int', 'x', false, 6, 0.5), ('float', '1.5', false, 6, 1.5)) v(kind, raw, as_bool, as_int, as_double)",
+    "env_values": f"""SELECT client_id, CAST(n AS INT) AS n, raw, coalesce(CASE WHEN {strip('raw')} <> '' THEN lower({strip('raw')}) IN ('1', 'true', 'yes', 'on', 'evet') END, true) AS as_bool,
+      CASE WHEN regexp_full_match({strip('raw')}, '[0-9]+') THEN CAST({strip('raw')} AS INT) ELSE 6 END AS as_int, coalesce(TRY_CAST({strip('raw')} AS DOUBLE), 0.5) AS as_double
+      FROM (SELECT client_id, unnest(range(3)) AS n, unnest([segment, ' ' || nation_id, master_id || '.5']) AS raw FROM clients)""",
     "judge_errors": "SELECT conv_id, turn, contains(lower(text), 'is not found') OR contains(lower(text), 'no longer available') OR turn % 2 = 0 AS permanent FROM conversations",
 }

@@ -9,10 +9,9 @@ from pyspark.sql import functions as F
 
 from doclens import storage
 from doclens.functions import text as t
-from doclens.operators import blocks, chunks, findings, lexicon, locate, prompts, rules, scoring, terms
+from doclens.operators import affixes, blocks, chunks, findings, lexicon, locate, prompts, rules, scoring, terms
 from doclens.plans import pipeline
 from doclens.sources import history
-from doclens.streaming import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -21,9 +20,25 @@ QUERIES: dict[str, Query] = {}
 #: Two documents that have what the tables do not: one short, one whose consistency is judged by map and reduce.
 SAMPLE = "Bu cümlede yanlız ve herkez yanlış. Orjinal şöför saatlar sonra geldi, ve gitti.\nBir kaç kişi red ettik dedi. Üç kullanıcılar 8.'inci katta 12.5 Khz ile konuştu konuştu.\nE-Posta ile Eposta aynı. E-Posta yine. Yavaş yavaş yürüdü!! Ne oldu?! slm naber.\nDolgu metni burada durur.\n446.00625\n446.1\n447.2"
 SAMPLES = [(-1, SAMPLE), (-2, "E-Posta ile Eposta aynı. Eposta yine.\n" + "\n".join(f"Dolgu metni burada durur {i}." for i in range(700)))]
-RULE_TEXT = "intro\n\n## A. Spelling\nrule one\n## B. Grammar\nrule two\n## C. Tone\nrule three\n## Known limits\nnot sent\n"
-PLAIN_RULES = "no headings here"
-ENV = [("bool", "evet"), ("bool", "0"), ("bool", ""), ("int", "12"), ("int", "x"), ("float", "1.5")]
+#: Rule texts are made of the documents: the parts before, between and behind a document's own text.
+RULE_PARTS = ("önsöz\n", "## A. İmla\n", "\n## B. Dil bilgisi\n", "\n## D. Başka\nx\n## C. Ton\n", "\n")
+#: What the documents' lines get behind them in turn, so that the closed lists and patterns meet in their words; none: the line stays.
+PLANTS = ("yanlız", "", "E-Posta geldi", "bir kaç", "Orjinal metin", "8.'inci kat", "Eposta gitti", "geldi, ve gitti", "üç kullanıcılar", "", "12 Khz", "red ettik", "herkez")
+#: Affix rules for the benchmark's words, whose flags follow from their length.
+AFFIXES = """SFX A Y 3
+SFX A 0 s [^s]
+SFX A 0 ing/S [^e]
+SFX A e ing/S e
+SFX B Y 2
+SFX B 0 en/N [^aeiou]
+SFX B 0 n [aeiou]
+SFX S Y 1
+SFX S 0 s .
+SFX N Y 1
+SFX N 0 e .
+PFX U Y 1
+PFX U 0 un [^u]
+"""
 
 
 def query(f: Query) -> Query:
@@ -66,16 +81,23 @@ def _slim(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", "type", "excerpt", "suggestion", "start", "end")
 
 
-def _analysis(spark: SparkSession, d: str) -> pipeline.Analysis:
+def _analysis(spark: SparkSession, d: str, progress=None) -> pipeline.Analysis:
     """The whole analysis of the documents and the samples. The dictionary: words of two documents or more, and the benchmark's."""
     placed, _ = storage.stored(blocks.document_blocks(_docs(spark, d).unionByName(spark.createDataFrame(SAMPLES, "doc_id long, text string"))), "blocks")
-    return pipeline.Analyzer(dictionary=lexicon.shared_words(lexicon.words(placed)).unionByName(_benchmark_words(spark, d))).blocks(placed)
+    return pipeline.Analyzer(dictionary=lexicon.shared_words(lexicon.words(placed)).unionByName(_benchmark_words(spark, d)), progress=progress).blocks(placed)
 
 
 def _benchmark_words(spark: SparkSession, d: str) -> DataFrame:
     return _read(spark, d, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit(rf"([{lexicon.WORD_CLASS}]+)"), F.lit(1))).alias("word"))
 
 
+def _planted(spark: SparkSession, d: str) -> DataFrame:
+    """The documents with ``PLANTS`` behind their lines."""
+    plants = F.array(*map(F.lit, PLANTS))
+    lines = F.transform(F.split("text", "\n"), lambda x, i: F.rtrim(F.concat(x, F.lit(" "), F.get(plants, i % len(PLANTS)))))
+    return _docs(spark, d).select("doc_id", F.array_join(lines, "\n").alias("text"))
+
+
 @query
 def axis_counts(spark, d):
     """Whole analysis, findings counted by axis."""
@@ -95,17 +117,27 @@ def analyze_observations(spark, d):
 @query
 def consistency_routes(spark, d):
     """Consistency findings by both ways: all documents at once, and all by terms of chunks and their index."""
-    texts = blocks.assemble(blocks.document_blocks(_docs(spark, d).unionByName(spark.createDataFrame(SAMPLES, "doc_id long, text string"))))
+    texts = blocks.assemble(blocks.document_blocks(_planted(spark, d)))
     both = [pipeline.Analyzer(map_reduce_chars=n).consistency(texts).withColumn("route", F.lit(name)) for name, n in (("single", 1 << 30), ("map_reduce", 0))]
     return both[0].unionByName(both[1]).select("doc_id", "route", "excerpt", "suggestion", "start", "end")
 
 
 @query
 def progress_events(spark, d):
-    """What an analysis reports of every document, in order."""
-    placed = blocks.document_blocks(_docs(spark, d))
-    rows = chunks.chunks(blocks.assemble(placed))
-    return documents.progress(rows, chunks.with_prose(rows, placed))
+    """What the whole analysis reports while it runs: its steps in order, with the rows that Spark observed."""
+    seen = []
+    _analysis(spark, d, seen.append).release()
+    return spark.createDataFrame([(i, e.stage, e.current, e.total) for i, e in enumerate(seen)], "position long, stage string, current long, total long")
+
+
+@query
+def affix_lookup(spark, d):
+    """Readings of all words of the documents as inflected words of the benchmark."""
+    size = F.length("word")
+    flags = F.array_compact(F.array(F.lit("A"), F.when(size % 2 == 0, "B"), F.when(size % 3 == 0, "U")))
+    own = affixes.Dictionary(_benchmark_words(spark, d).distinct().select(F.col("word").alias("stem"), flags.alias("flags")), affixes.Rules.parse(AFFIXES.splitlines()))
+    rows = own.readings(lexicon.words(blocks.document_blocks(_docs(spark, d))).select(F.col("word").alias("form")).distinct())
+    return rows.select("form", "stem", F.array_join("affixes", " ").alias("affixes"))
 
 
 @query
@@ -166,7 +198,10 @@ def chunk_pack(spark, d):
 
 @query
 def covered_chunks(spark, d):
-    placed = blocks.document_blocks(_docs(spark, d))
+    """Chunks of cells alone, over the documents and, as cells are rare in them, the same with three of four lines as their length."""
+    lines = F.transform(F.split("text", "\n"), lambda x, i: F.when(i % 4 < 3, F.length(x).cast("string")).otherwise(x))
+    rows = _docs(spark, d)
+    placed = blocks.document_blocks(rows.unionByName(rows.select((-F.col("doc_id") - 1).alias("doc_id"), F.array_join(lines, "\n").alias("text"))))
     return chunks.covered(chunks.chunks(blocks.assemble(placed), 40), placed).select("doc_id", "chunk_id", "start", "end")
 
 
@@ -338,11 +373,9 @@ def rule_decimal_dot(spark, d):
 
 @query
 def rule_literal_map(spark, d):
-    """The closed list of words, on the documents and on a line that has all of them."""
-    line = " ".join(w for w, *_ in rules.LITERALS)
-    texts = _docs(spark, d).unionByName(spark.createDataFrame([(-1, line)], "doc_id long, text string"))
-    rows = chunks.chunks(blocks.assemble(blocks.document_blocks(texts)))
-    return rules.judge(rows).where(F.col("emit_idx").between(rules.LITERAL_AT, rules.PHRASE_AT - 1)).select("doc_id", "excerpt", "suggestion", "rule_id", "type", (F.col("emit_idx") - 2_000_000).alias("start"))
+    """The closed list of words, which stand between the documents' own."""
+    rows = chunks.chunks(blocks.assemble(blocks.document_blocks(_planted(spark, d))))
+    return rules.judge(rows).where(F.col("emit_idx").between(rules.LITERAL_AT, rules.PHRASE_AT - 1)).select("doc_id", "chunk_id", "excerpt", "suggestion", "rule_id", "type", (F.col("emit_idx") - 2_000_000).alias("start"))
 
 
 def _entries(spark: SparkSession, d: str) -> DataFrame:
@@ -419,26 +452,28 @@ def clean_fp(spark, d):
 
 @query
 def rule_patterns(spark, d):
-    """The other rules that a text alone decides, on the documents and the samples."""
-    texts = _docs(spark, d).unionByName(spark.createDataFrame(SAMPLES, "doc_id long, text string"))
-    rows = chunks.chunks(blocks.assemble(blocks.document_blocks(texts)))
+    """The other rules that a text alone decides, between the documents' own words."""
+    rows = chunks.chunks(blocks.assemble(blocks.document_blocks(_planted(spark, d))))
     return rules.judge(rows).where(F.col("emit_idx") >= rules.PHRASE_AT).select("doc_id", "chunk_id", "type", "excerpt", "suggestion", "rule_id", "emit_idx")
 
 
-def _rules(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([("full", RULE_TEXT), ("plain", PLAIN_RULES)], "rule_set string, text string")
+def _rules(spark: SparkSession, d: str) -> DataFrame:
+    """A rule text for each document, with its text in each section; every fifth has no headings."""
+    own = F.replace(F.col("text"), F.lit("#"), F.lit(""))
+    full = F.concat(F.lit(RULE_PARTS[0]), *(x for p in RULE_PARTS[1:4] for x in (F.lit(p), own)), F.lit(RULE_PARTS[4]))
+    return _docs(spark, d).where("text is not null").select(F.col("doc_id").cast("string").alias("rule_set"), F.when(F.col("doc_id") % 5 == 4, own).otherwise(full).alias("text"))
 
 
 @query
 def rule_sections(spark, d):
-    return rules.sections(_rules(spark))
+    return rules.sections(_rules(spark, d))
 
 
 @query
 def rule_slice(spark, d):
     out = None
     for purpose in ("local", "tone", "all", "other"):
-        rows = rules.slice_for(_rules(spark), purpose).withColumn("purpose", F.lit(purpose))
+        rows = rules.slice_for(_rules(spark, d), purpose).select("rule_set", F.lit(purpose).alias("purpose"), F.sha2("text", 256).alias("text_sha256"))
         out = rows if out is None else out.unionByName(rows)
     return out
 
@@ -477,8 +512,10 @@ def sse_frames(spark, d):
 
 @query
 def env_values(spark, d):
-    rows = spark.createDataFrame(ENV, "kind string, raw string")
-    return rows.select("kind", "raw", t.env_bool(F.col("raw"), True).alias("as_bool"), t.env_number(F.col("raw"), "int", 6).alias("as_int"), t.env_number(F.col("raw"), "double", 0.5).alias("as_double"))
+    """Settings' texts as truth values and numbers: words, numbers and broken numbers of all clients."""
+    raw = F.array("segment", F.concat(F.lit(" "), F.col("nation_id").cast("string")), F.concat(F.col("master_id").cast("string"), F.lit(".5")))
+    rows = _read(spark, d, "clients").select("client_id", F.posexplode(raw).alias("n", "raw"))
+    return rows.select("client_id", "n", "raw", t.env_bool(F.col("raw"), True).alias("as_bool"), t.env_number(F.col("raw"), "int", 6).alias("as_int"), t.env_number(F.col("raw"), "double", 0.5).alias("as_double"))
 
 
 @query

@@ -6,50 +6,35 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from doclens.functions.text import sse
 from doclens.plans import pipeline
+from doclens.plans.progress import BatchListener, Progress
 
 DOCUMENT = "doc_id long, text string"
 
 
-def watch(spark: SparkSession, folder: str, out: str, checkpoint: str) -> StreamingQuery:
+def watch(spark: SparkSession, folder: str, out: str, checkpoint: str, progress: Progress | None = None) -> StreamingQuery:
     """Analyse Parquet files of documents as they appear; a batch's number names its output, so a repeated batch replaces itself.
 
-    A document is complete in its row, so no state and no watermark are needed.
+    A document is complete in its row, so no state and no watermark are needed. progress gets the events of each batch's analysis, and one
+    from the query's own report when the batch has ended.
     """
     stream = spark.readStream.schema(DOCUMENT).parquet(folder)
 
     def step(batch: DataFrame, number: int) -> None:
-        result = pipeline.build(spark).documents(batch)
+        result = pipeline.build(spark, progress=progress).documents(batch)
         try:
             result.findings.write.mode("overwrite").parquet(f"{out}/batch={number}")
         finally:
             result.release()
 
-    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def progress(chunks: DataFrame, judged: DataFrame) -> DataFrame:
-    """(doc_id, at, stage, message, current, total) of an analysis: cut, each chunk judged or left out, consistency, end.
-
-    chunks: all chunks (doc_id, chunk_id); judged: those with prose.
-    """
-    totals = chunks.groupBy("doc_id").agg(F.count("*").cast("int").alias("total"))
-    seen = judged.select("doc_id", "chunk_id", F.lit(True).alias("judged"))
-    each = chunks.select("doc_id", "chunk_id").join(totals, "doc_id").join(seen, ["doc_id", "chunk_id"], "left")
-    n = F.col("chunk_id") + 1
-    done = F.when(F.col("judged"), F.format_string("Bölüm %d/%d tamamlandı", n, F.col("total"))).otherwise(F.format_string("Bölüm %d/%d tablo/içindekiler verisi — dil denetimi atlandı", n, F.col("total")))
-    event = lambda at, stage, message, now: F.struct(at.cast("int").alias("at"), F.lit(stage).alias("stage"), message.alias("message"), now.cast("int").alias("current"))
-    rows = each.select("doc_id", "total", F.explode(F.array(event(2 * n - 1, "chunk_start", F.format_string("Bölüm %d/%d inceleniyor", n, F.col("total")), n), event(2 * n, "chunk_done", done, n))).alias("e"))
-    last = 2 * F.col("total")
-    ends = [event(F.lit(0), "chunk", F.format_string("Belge %d bölüme ayrıldı", F.col("total")), F.lit(0))]
-    for i, (stage, message) in enumerate((("consistency_start", "Belge geneli tutarlılık inceleniyor"), ("consistency_done", "Belge geneli tutarlılık tamamlandı"), ("finalize", "Bulgular birleştiriliyor ve sıralanıyor"), ("done", "Analiz tamamlandı"))):
-        ends.append(event(last + 1 + i, stage, F.lit(message), F.col("total")))
-    rows = rows.unionByName(totals.select("doc_id", "total", F.explode(F.array(*ends)).alias("e")))
-    return rows.select("doc_id", "e.at", "e.stage", "e.message", "e.current", "total")
+    if progress:
+        listener = BatchListener(progress, f"{checkpoint}#watch")
+        spark.streams.addListener(listener)
+    writer = stream.writeStream.queryName(f"{checkpoint}#watch").foreachBatch(step).option("checkpointLocation", checkpoint)
+    return writer.trigger(availableNow=True).start()
 
 
 def events(rows: DataFrame) -> DataFrame:
     """Server-sent frames of progress rows (stage, message, current, total)."""
-    from doclens.functions.text import sse
-
     return rows.select(sse(F.lit("progress"), F.to_json(F.struct("stage", "message", "current", "total"))).alias("frame"))

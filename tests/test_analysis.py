@@ -223,14 +223,6 @@ def test_deleting_from_the_history(spark, tmp_path):
     assert history.load(spark, path).count() == 2 and history.get(history.load(spark, path), key).count() == 0
 
 
-def test_progress(spark):
-    placed = blocks.document_blocks(docs_of(spark, "Bir cümle.\n446.1", "446.1\n447.2"))
-    rows = chunks.chunks(blocks.assemble(placed), 12)
-    got = [(r["doc_id"], r["stage"], r["message"], r["current"], r["total"]) for r in documents.progress(rows, chunks.with_prose(rows, placed)).orderBy("doc_id", "at").collect()]
-    assert got[:5] == [(0, "chunk", "Belge 2 bölüme ayrıldı", 0, 2), (0, "chunk_start", "Bölüm 1/2 inceleniyor", 1, 2), (0, "chunk_done", "Bölüm 1/2 tamamlandı", 1, 2), (0, "chunk_start", "Bölüm 2/2 inceleniyor", 2, 2), (0, "chunk_done", "Bölüm 2/2 tablo/içindekiler verisi — dil denetimi atlandı", 2, 2)]
-    assert [x[1] for x in got[5:9]] == ["consistency_start", "consistency_done", "finalize", "done"]
-
-
 def plain_paragraphs(text):
     ws = f"[{re.escape(t.SPACES)}]"
     return [m.span(1) for m in re.finditer(rf"(?s)([^{re.escape(t.SPACES)}].*?)(?=\n{ws}*\n|\Z)", text)]
@@ -296,7 +288,7 @@ def test_scores_of_the_query_by_brute_force(spark):
     assert {k: v for k, v in got.items() if k != "genel"} == want and want
 
 
-@pytest.mark.parametrize("name", ["covered_chunks", "consistency_routes", "rule_patterns", "analyze_observations"])
+@pytest.mark.parametrize("name", ["covered_chunks", "consistency_routes", "rule_patterns", "rule_literal_map", "affix_lookup"])
 def test_no_query_is_empty(spark, name):
     assert not queries.QUERIES[name](spark, "/root/testdata/sf0.01").isEmpty()
 
