@@ -7,8 +7,8 @@ releases the gapless run from the conversation's first turn, closes a conversati
 for ``QUIET`` batches, and rejects what arrives after that.
 
 Batches are event time: batch b stands at second b + 1, each holds a clock row, so the watermark also moves over an
-empty batch, and a conversation's timer fires in the very batch that makes it quiet. The last batch's clock row stands
-behind every timer and so ends the rest.
+empty batch, and a conversation's timer falls due with the very batch that makes it quiet: it closes before the next batch's
+rows. The last batch's clock row stands behind every timer and so ends the rest.
 State lies in RocksDB: a digest for each turn, and for each conversation seven numbers and the turns that wait.
 The rows of a key pass through one by one; of a closing conversation only the waiting turns' numbers are in memory.
 
@@ -46,7 +46,10 @@ _SETTINGS = {
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     # every start has stores of its own; those of earlier starts must not wait in memory
     "spark.sql.streaming.stateStore.unloadOnCommit": "true",
-    "spark.sql.streaming.noDataMicroBatches.enabled": "true",
+    # twice as many small files for each store and batch; the shared folder's file system has checksums of its own
+    "spark.sql.streaming.checkpoint.fileChecksum.enabled": "false",
+    # a timer fires at the start of the next batch, whose rows know it; the last batch is followed by one without rows
+    "spark.sql.streaming.noDataMicroBatches.enabled": "false",
 }
 
 
@@ -93,6 +96,10 @@ class Sequencer(StatefulProcessor):
             nxt, last, n_waiting, n_kept, most, breaks, due = None, None, 0, 0, None, 0, -1
         for r in rows:
             batch = r["batch"]
+            if open_ and 0 <= due < batch:  # its timer fires behind these rows, but it is closed before them
+                self.handle.deleteTimer(self._at(due))
+                yield self._closed(key)
+                open_ = False
             if not open_:
                 yield event("reject", r["turn"], batch, r["payload"])
                 continue
@@ -127,6 +134,11 @@ class Sequencer(StatefulProcessor):
         return (due + 1) * 1000 - 500
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
+        due = self.facts.get()[-1]
+        if due is not None and expiredTimerInfo.getExpiryTimeInMs() == self._at(due):
+            yield self._closed(key)
+
+    def _closed(self, key: Any) -> Row:
         nxt, last, n_waiting, n_kept, most, breaks, due = self.facts.get()
         turns, roles, names = array("q"), array("q"), {}
         if n_waiting:
@@ -141,7 +153,7 @@ class Sequencer(StatefulProcessor):
             before, its = turns[i], roles[i]
         missing = most - (nxt - 1) - len(turns) if len(turns) else 0
         self.facts.update((nxt, None, 0, n_kept, most, 0, None))
-        yield Row(event="close", conv_id=key[0], turn=-1, batch=min(due, self.batches), payload=None, unreleased_sha256=digest.hexdigest(), n_missing=missing, n_breaks=breaks)
+        return Row(event="close", conv_id=key[0], turn=-1, batch=min(due, self.batches), payload=None, unreleased_sha256=digest.hexdigest(), n_missing=missing, n_breaks=breaks)
 
     def close(self) -> None:
         pass
@@ -205,6 +217,7 @@ def reassemble(arriving: DataFrame, quiet: int = QUIET, batches: int = BATCHES)
     fs.mkdirs(path(f"{root}/in"))
     with _settings(spark):
         for b in range(batches):
+            spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", str(b == batches - 1).lower())
             if not fs.rename(path(f"{root}/all/batch={b}"), path(f"{root}/in/batch={b}")):
                 raise RuntimeError(f"batch {b} could not be moved to {root}/in")
             found = events(spark.readStream.schema(ARRIVAL).parquet(f"{root}/in"), quiet, batches)
