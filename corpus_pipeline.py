@@ -15,7 +15,7 @@ STAGES = [
     ("bpe", bpe.stage),
 ]
 
-#: Learned scores and BPE have no SQL form; the tests compare with a brute-force version.
+#: Learned scores and BPE have no SQL form; tests hold the stages' operators against brute-force versions, but not the whole run.
 ORACLE_SQL = None
 
 
