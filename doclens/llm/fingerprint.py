@@ -88,11 +88,11 @@ def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
 
     Rows go to RANGES key ranges bounded by quantiles, each cut evenly by key into as many parts as keep a part at
     about RANGE_ROWS, one window task each. The first row of every part is also sent to the part before it, so no
-    window spans the whole table. Null texts are empty; a null key comes first.
+    window spans the whole table. Keys are numbers. Null texts are empty; a null key comes first.
     """
     rows = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    # one row: the least key, the quantiles, the key after the greatest, and the parts of a range
-    marks = F.concat(F.array(F.min("k")), F.percentile_approx("k", [i / RANGES for i in range(1, RANGES)], 10000), F.array(F.max("k") + 1))
+    # one row: the least key, the quantiles, the greatest key, and the parts of a range
+    marks = F.concat(F.array(F.min("k")), F.percentile_approx("k", [i / RANGES for i in range(1, RANGES)], 10000), F.array(F.max("k")))
     cuts = docs.select(F.col(key).alias("k")).agg(F.array_distinct(marks).alias("cuts"), F.greatest(F.lit(1), F.ceil(F.count("*") / (RANGES * RANGE_ROWS))).cast("int").alias("cut"))
     ranged = rows.join(F.broadcast(cuts), how="cross").withColumn("range", F.greatest(F.lit(1), F.coalesce(F.size(F.filter("cuts", lambda c: c <= F.col("k"))), F.lit(1))))
     low, high = F.get("cuts", F.col("range") - 1).cast("double"), F.get("cuts", F.col("range")).cast("double")

@@ -3,11 +3,12 @@
 All of it is SQL functions. Texts and templates are lower-cased and split into runs of letters and digits. A text's
 bigrams that some template has are found by a join with the templates' bigrams, a fixed list that is
 broadcast. A template that is too long for a text is no candidate: Dice <= 2 n / (n + t) for a text of n bigrams, so the pair
-is pruned in that join, before anything is counted or shuffled. The hits of one text and template, in order, form regions where no two neighbours are more than REACH
-places apart. A region with too few hits for AT_LEAST, as Dice <= 2 c / (c + t) for c hits, is pruned. In the others every
-window from one hit to another is scored whose number of bigrams n is within the bound that AT_LEAST sets, as
-Dice <= 2 t / (n + t); so repeated lines and stray hits beside a notice do no harm. The Dice coefficient counts each bigram as
-often as both sides have it.
+is pruned in that join, before anything is counted or shuffled. Within a text a window of n bigrams can only reach AT_LEAST
+if n <= (2 / AT_LEAST - 1) t, as Dice <= 2 t / (n + t), and if it has AT_LEAST t / (2 - AT_LEAST) hits at least, as
+Dice <= 2 c / (c + t) for c of them. So only hits with as many within that reach ahead begin a window, and only hits within reach
+of such a one are kept. From each of the former every window within the size bound is scored, up to every hit; nothing else
+limits a window, so words put in, repeated lines and stray hits beside a notice do no harm. The Dice coefficient counts each
+bigram as often as both sides have it.
 
 Result for each row: ``license`` (best template, BARE only if there is no other, null if none reaches AT_LEAST; ties by name), ``dice`` (0 if none),
 ``n_licenses`` (templates found), ``first_word``, ``last_word`` (the best region). Null, empty and wordless texts
@@ -23,7 +24,6 @@ from doclens.llm.common import table
 from doclens.llm.fingerprint import words
 
 AT_LEAST = 0.8
-REACH = 6
 
 # Texts of public licence notices.
 TEMPLATES = {
@@ -82,31 +82,33 @@ def scan(docs: DataFrame, text: str = "text", texts: dict[str, str] | None = Non
     known = templates(docs.sparkSession, TEMPLATES if texts is None else texts)
     hits = candidates(docs, known, text, at_least)
     often = [r["often"] for r in known.select("often").distinct().collect()]  # a few numbers
-    longest = known.agg(F.max("total")).first()[0] or 0
     # a hit counts in a window that begins after the hit that stands as many hits of its bigram before as the template has
-    before = " ".join(f"when {k} then lag(at, {k}) over (partition by th, template, region, gram order by at)" for k in often) or "when 0 then 0"
+    before = " ".join(f"when {k} then lag(at, {k}) over (partition by th, template, gram order by at)" for k in often) or "when 0 then 0"
+    reach = f"{2 / at_least - 1 + 1e-9!r}D"  # places within a window, in units of the template's bigrams
     found = docs.sparkSession.sql(f"""
-        with marked as (
-          select *, case when at - lag(at) over (partition by th, template order by at) <= {REACH} then 0 else 1 end as new from {{hits}}),
-        placed as (select *, sum(new) over (partition by th, template order by at) as region from marked),
-        counted as (select *, count(*) over (partition by th, template, region) as c from placed),
-        dense as (
-          select *, coalesce(case often {before} end, -1) as before from counted where 2.0D * c >= {at_least} * (c + total)),
+        with counted as (
+          select *, at / total as place, coalesce(case often {before} end, -1) as before,
+            count(*) over (partition by th, template order by at / total range between current row and {reach} following) as c
+          from {{hits}}),
+        begun as (
+          select *, {2 - at_least!r}D * c >= {at_least!r}D * total - 1e-9D as begins from counted),
+        near as (
+          select *, max(begins) over (partition by th, template order by place range between {reach} preceding and current row) as kept from begun),
         ahead as (
-          select th, template, total, at, collect_list(struct(at, before)) over (
-            partition by th, template, region order by at range between current row and {int(longest * (2 / at_least - 1)) + 1} following) as hits from dense),
+          select th, template, total, at, begins, collect_list(struct(at, before)) over (
+            partition by th, template order by place range between current row and {reach} following) as hits from near where kept),
         scored as (
           select th, template, at as low, aggregate(
-            filter(hits, h -> 2.0D * total >= {at_least} * (h.at - at + 1 + total)),
+            filter(hits, h -> 2.0D * total >= {at_least!r}D * (h.at - at + 1 + total) - 1e-9D),
             struct(0 as shared, 0.0D as dice, at as high),
             (x, h) -> named_struct(
               'shared', x.shared + if(h.before < at, 1, 0),
               'dice', greatest(x.dice, 2.0D * (x.shared + if(h.before < at, 1, 0)) / (h.at - at + 1 + total)),
               'high', if(2.0D * (x.shared + if(h.before < at, 1, 0)) / (h.at - at + 1 + total) > x.dice, h.at, x.high))) as w, total
-          from ahead),
+          from ahead where begins),
         best as (
           select th, template, max(struct(w.dice as dice, -low as low, w.high as high)) as b
-          from scored where w.dice >= {at_least} group by th, template)
+          from scored where w.dice >= {at_least!r}D group by th, template)
         select th, count(*) as n_licenses, min(struct(template = '{BARE}' as bare, -b.dice as d, template, b)) as m from best group by th""", hits=hits)
     return found.select("th", F.col("m.template").alias("license"), F.col("m.b.dice").alias("dice"), "n_licenses", (-F.col("m.b.low")).cast("long").alias("first_word"), (F.col("m.b.high") + 1).cast("long").alias("last_word"))
 
@@ -123,6 +125,7 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+REACH = 2 / AT_LEAST - 1 + 1e-9
 SQL = rf"""
 WITH t AS (SELECT * FROM (VALUES {", ".join(f"({_quoted(k)}, {_quoted(v)})" for k, v in sorted(TEMPLATES.items()))}) v(template, text)),
 tw AS (SELECT template, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS w FROM t),
@@ -131,12 +134,13 @@ tc AS (SELECT template, gram, total, count(*) AS often FROM tb GROUP BY ALL),
 dw AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}]+') AS w FROM documents),
 db AS (SELECT doc_id, unnest(list_transform(range(1, len(w)), lambda i: struct_pack(pos := i - 1, gram := w[i] || ' ' || w[i+1])), recursive := true) FROM dw),
 h AS (SELECT doc_id, template, total, often, pos, gram FROM db JOIN tc USING (gram)),
-m AS (SELECT *, CASE WHEN pos - lag(pos) OVER (PARTITION BY doc_id, template ORDER BY pos) <= {REACH} THEN 0 ELSE 1 END AS new FROM h),
-p AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, template ORDER BY pos) AS region FROM m),
-c AS (SELECT doc_id, template, region, total, gram, least(count(*), max(often)) AS shared, min(pos) AS low, max(pos) AS high FROM p GROUP BY ALL),
-s AS (SELECT doc_id, template, region, total, sum(shared) AS shared, min(low) AS low, max(high) AS high FROM c GROUP BY doc_id, template, region, total),
-d AS (SELECT doc_id, template, CAST(2.0 * shared AS DOUBLE) / (high - low + 1 + total) AS dice, low, high FROM s WHERE 2.0 * shared >= {AT_LEAST} * (high - low + 1 + total)),
-b AS (SELECT *, row_number() OVER (PARTITION BY doc_id, template ORDER BY dice DESC, low) AS r FROM d),
+c AS (SELECT *, coalesce(lag(pos, CAST(often AS INT)) OVER (PARTITION BY doc_id, template, gram ORDER BY pos), -1) AS before,
+  count(*) OVER (PARTITION BY doc_id, template ORDER BY CAST(pos AS DOUBLE) / total RANGE BETWEEN CURRENT ROW AND {REACH} FOLLOWING) AS ahead FROM h),
+s AS (SELECT doc_id, template, total, pos AS low FROM c WHERE {2 - AT_LEAST} * ahead >= {AT_LEAST} * total - 1e-9),
+w AS (SELECT s.*, c.pos AS high, sum(CASE WHEN c.before < s.low THEN 1 ELSE 0 END) OVER (PARTITION BY s.doc_id, s.template, s.low ORDER BY c.pos) AS shared
+  FROM s JOIN c ON s.doc_id = c.doc_id AND s.template = c.template AND c.pos >= s.low AND c.pos <= s.low + {REACH} * s.total),
+d AS (SELECT doc_id, template, CAST(2.0 * shared AS DOUBLE) / (high - low + 1 + total) AS dice, low, high FROM w WHERE 2.0 * shared >= {AT_LEAST} * (high - low + 1 + total)),
+b AS (SELECT *, row_number() OVER (PARTITION BY doc_id, template ORDER BY dice DESC, low, high) AS r FROM d),
 f AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY dice DESC, template) AS q FROM b WHERE r = 1)
 SELECT x.doc_id, f.template AS license, coalesce(f.dice, 0.0) AS dice, CAST(coalesce(f.n, 0) AS BIGINT) AS n_licenses,
   CAST(f.low AS BIGINT) AS first_word, CAST(f.high + 1 AS BIGINT) AS last_word

@@ -136,6 +136,25 @@ def test_next_in_many_parts(spark, monkeypatch):
     assert got == {a: f"t{b}" for a, b in zip(ids, ids[1:] + ids[:1], strict=True)}
 
 
+def test_next_of_the_greatest_and_least_ids(spark):
+    ids = [-(1 << 63), -1, 0, (1 << 63) - 1]
+    got = {r["doc_id"]: r["next_text"] for r in fingerprint.with_next(spark.createDataFrame([(i, f"t{i}") for i in ids], "doc_id long, text string")).collect()}
+    assert got == {i: f"t{j}" for i, j in zip(ids, ids[1:] + ids[:1], strict=True)}
+
+
+def test_licence_with_words_put_in(spark):
+    mit = licenses.TEMPLATES["mit-text"].split()
+    half, n = len(mit) // 2, len(regex.findall(r"[\p{L}\p{N}]+", licenses.TEMPLATES["mit-text"])) - 1
+    frame = spark.createDataFrame([(k, " ".join([*mit[:half], *["inserted"] * k, *mit[half:]])) for k in range(1, 60)], "doc_id long, text string")
+    got = {r["th"]: r for r in licenses.scan(frame).collect()}
+    for r in frame.select("doc_id", F.xxhash64("text").alias("th")).collect():
+        k = r["doc_id"]
+        whole, one = 2 * (n - 1) / (2 * n + k), 2 * (n // 2 + 1) / (n // 2 + 1 + n)  # both parts, or the longer one
+        found = got.get(r["th"])
+        assert one < licenses.AT_LEAST and (found is not None) == (whole >= licenses.AT_LEAST), k
+        assert found is None or abs(found["dice"] - whole) < 1e-12
+
+
 def test_next_over_repeated_and_null_ids(spark, edge):
     got = fingerprint.with_next(edge).collect()
     assert len(got) == len(EDGE) and all(r["next_text"] is not None for r in got)
@@ -459,21 +478,19 @@ def test_licences_in_repeated_lines_and_beside_stray_words(spark):
     pool = [w for t in (mit, gpl, licenses.TEMPLATES["isc-text"]) for w in t.split()]
     rows += [(5 + i, " ".join(rng.choice([mit, gpl, *pool, "x", "y"]) for _ in range(rng.randrange(4, 14)))) for i in range(60)]
     rows += [(70, licenses.TEMPLATES["isc-text"] + " and this permission notice")]
+    isc = licenses.TEMPLATES["isc-text"].split()
+    for i, n in enumerate((1, 5, 6, 7, 8, 12, 15, 16, 17, 18)):  # words put in at one place, and at two
+        rows.append((80 + i, " ".join(["before", *isc[:12], *["put"] * n, *isc[12:], "behind"])))
+        rows.append((100 + i, " ".join([*isc[:9], *["x"] * (n // 2), *isc[9:21], *["y"] * (n - n // 2), *isc[21:], "of the software"])))
     pairs = lambda t: [(a, b) for w in [regex.findall(r"[\p{L}\p{N}]+", t.lower())] for a, b in zip(w, w[1:], strict=False)]
 
     def brute(text):
         found = {}
         own = pairs(text)
         for name, t in licenses.TEMPLATES.items():
-            want, regions = Counter(pairs(t)), []
-            for k, g in enumerate(own):
-                if g in want:
-                    if regions and k - regions[-1][-1] <= licenses.REACH:
-                        regions[-1].append(k)
-                    else:
-                        regions.append([k])
+            want = Counter(pairs(t))
             n = want.total()
-            like = [2 * (Counter(own[a : b + 1]) & want).total() / (b - a + 1 + n) for r in regions for i, a in enumerate(r) for b in r[i:] if b - a < 2 * n]
+            like = [2 * (Counter(own[a : b + 1]) & want).total() / (b - a + 1 + n) for a, g in enumerate(own) if g in want for b in range(a, min(len(own), a + 2 * n)) if own[b] in want]
             if like and max(like) >= licenses.AT_LEAST:
                 found[name] = max(like)
         return min(((k == licenses.BARE, -d, k) for k, d in found.items()), default=None), len(found)
