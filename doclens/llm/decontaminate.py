@@ -1,20 +1,21 @@
-"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
 A seed is two successive words of a test item that a document has side by side or with one word between. A local alignment
-of likeness 0.5 or more with an item of n words, n >= 5, has (n - 3) / 3 of them at least: let its steps from one match to the next
+of likeness 0.5 or more with an item of n words, n >= LEAST_WORDS, has (n - 3) / 3 of them at least: let its steps from one match to the next
 be c seeds, a steps to the next item word over two or more other words (cost 2 at least), and b over item words (cost 1
 at least, as each takes two places of the item). Then its score is at most 2c + b + 2, and n >= 1 + a + 2b + c; with a score of
-n or more, c >= a + b - 1, so 3c + 3 >= n. A document with so many of an item's seeds is aligned with the item, word by word,
-around all places that the seeds point to; the local alignment's score, divided by the item's score with itself, is the item's
-likeness. So no item at AT_LEAST or more is missed, however often its words stand in the corpus. A document is
-contaminated if that is AT_LEAST or more. Below it, likeness is given for items of which the document has three
-successive words, aligned around these.
-
-An item of fewer than LEAST_WORDS words is too short for seeds; a document has it where all its words stand in order, side
-by side, with likeness 1, and else not at all. An item without a word identifies nothing.
-
-Items whose number of words is within MOST_ITEM_WORDS are sent to all executors, and documents are read where they lie; beyond
-it seeds are joined by shuffle. Both ways give the same rows. Null texts are empty. Documents without a candidate have score 0 and no
+n or more, c >= a + b - 1, so 3c + 3 >= n. The seeds of an item of fewer words are its words, and two of them are needed, as a lone
+match is no likeness (but for an item of one word).
+
+Of an item's m seeds of which r are needed, the m - r + 1 rarest are looked for first: a document that has r has one of these. Rare is
+by occurrences in all documents. In documents that have a rare seed, all seeds are counted; one with r of an item's seeds is
+aligned with the item, word by word, around all places that the seeds point to; the local alignment's score, divided by the item's
+score with itself, is the item's likeness. So no item at AT_LEAST or more is missed, however often its words stand in the corpus. A
+document is contaminated if that is AT_LEAST or more. Below it, likeness is given for items of LEAST_WORDS or more of which the
+document has three successive words, aligned around these. An item without a word identifies nothing.
+
+Items whose number of words is within MOST_ITEM_WORDS are sent to all executors, and documents are read twice where they lie, once
+to count seeds; beyond it seeds are counted and joined by shuffle. Both ways give the same rows. Null texts are empty. Documents without a candidate have score 0 and no
 item. Ties go to the least item id. start_word and end_word bound the best item's alignment. Texts are read whole; repeated
 rows give repeated results. Rows with a null id are treated as any other.
 """
@@ -27,6 +28,7 @@ from itertools import groupby
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,6 +39,8 @@ from doclens.llm.shingles import mix, word_hashes
 
 N = 3
 LEAST_WORDS = 5
+#: Tells hashes of single words from those of pairs.
+SINGLE = np.uint64(0xA0761D6478BD642F)
 # The bound on seeds holds for these values.
 MATCH, MISMATCH, GAP = 2, 1, 1
 AT_LEAST = 0.5
@@ -68,6 +72,12 @@ def pairs(doc: np.ndarray, h: np.ndarray, gaps: tuple[int, ...] = (1, 2)) -> tup
     return np.concatenate([h[:0], *(g for g, _ in out)]), np.concatenate([np.zeros(0, np.int64), *(at for _, at in out)])
 
 
+def seed_grams(doc: np.ndarray, h: np.ndarray, gaps: tuple[int, ...], singles: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, place) of the pairs of words and, if asked, of the single words."""
+    gram, at = pairs(doc, h, gaps)
+    return (np.concatenate([gram, mix(h + SINGLE)]), np.concatenate([at, np.arange(len(h))])) if singles else (gram, at)
+
+
 def align(item: np.ndarray, words: np.ndarray) -> tuple[int, int, int]:
     """Smith-Waterman: (best score, place in ``words`` where it starts, place after its end)."""
     places = np.arange(len(words) + 1)
@@ -141,6 +151,10 @@ class Seeds:
         self.all, self.item = flat[order], item[order]
         self.known, first = np.unique(self.all, return_index=True)
         self.first = np.append(first, len(self.all))
+        # most n-grams of a text are dropped by their hash's upper bits
+        bits = min(24, max(10, (16 * len(self.known)).bit_length()))
+        self.shift, self.mask = np.uint64(64 - bits), np.zeros(1 << bits, bool)
+        self.mask[self.known >> self.shift] = True
         places = [np.searchsorted(self.known, g) for g in own]
         self.sorted = [(np.sort(k), np.argsort(k, kind="stable")) for k in places]
 
@@ -148,10 +162,13 @@ class Seeds:
         """(document, place in ``known``, place in the words) of the n-grams that an item has, by document."""
         if not len(self.known):
             return doc[:0], at[:0], at[:0]
-        where = np.minimum(np.searchsorted(self.known, gram), len(self.known) - 1)
-        some = np.flatnonzero(self.known[where] == gram)
-        some = some[np.argsort(doc[some], kind="stable")]
-        return doc[some], where[some], at[some]
+        some = np.flatnonzero(self.mask[gram >> self.shift])
+        where = np.minimum(np.searchsorted(self.known, gram[some]), len(self.known) - 1)
+        same = self.known[where] == gram[some]
+        some, where = some[same], where[same]
+        order = np.argsort(doc[some], kind="stable")
+        some = some[order]
+        return doc[some], where[order], at[some]
 
     def counts(self, doc: np.ndarray, known: np.ndarray, n_items: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(document, item, item's places whose n-gram the document has), documents in order, a few at a time."""
@@ -189,17 +206,24 @@ class Items:
         rows.sort(key=lambda r: r[0])
         self.ids = [i for i, _ in rows]
         self.words = [w for _, w in rows]
-        self.short = np.array([len(w) < LEAST_WORDS for w in self.words], bool)
-        # short items by length and run of words
-        self.phrases: dict[int, dict[int, list[int]]] = {}
-        for i in np.flatnonzero(self.short).tolist():
-            w = self.words[i]
-            self.phrases.setdefault(len(w), {}).setdefault(int(grams(np.zeros(len(w), np.int64), w, len(w))[0][0]), []).append(i)
-        one = [np.zeros(len(w), np.int64) for w in self.words]
-        seeds = lambda make: Seeds([make(d, w) if len(w) >= LEAST_WORDS else w[:0] for d, w in zip(one, self.words, strict=True)])
-        self.pairs = seeds(lambda d, w: pairs(d, w, (1,))[0])
-        self.runs = seeds(lambda d, w: grams(d, w)[0])
-        self.least = np.array([max(1, -(-(len(w) - 3) // 3)) for w in self.words], np.int64)
+        sizes = np.array([len(w) for w in self.words], np.int64)
+        self.singles = bool((sizes < LEAST_WORDS).any())
+        own = [(np.zeros(len(w), np.int64), w) for w in self.words]
+        self.seeds = Seeds([pairs(d, w, (1,))[0] if len(w) >= LEAST_WORDS else mix(w + SINGLE) for d, w in own])
+        self.runs = Seeds([grams(d, w)[0] if len(w) >= LEAST_WORDS else w[:0] for d, w in own])
+        self.least = np.where(sizes >= LEAST_WORDS, np.maximum(1, -(-(sizes - 3) // 3)), np.minimum(2, sizes))
+        self.rank(np.zeros(len(self.seeds.known), np.int64))
+
+    def count(self, texts: list[str]) -> np.ndarray:
+        """Occurrences of each known seed in the texts."""
+        doc, h, _, _ = word_hashes(texts)
+        gram, at = seed_grams(doc, h, (1, 2), self.singles)
+        return np.bincount(self.seeds.hits(doc[at], gram, at)[1], minlength=len(self.seeds.known))
+
+    def rank(self, often: np.ndarray) -> None:
+        """Take each item's rarest seeds of which a document has one if it has as many as it needs; any numbers are right, true ones fast."""
+        own = [(k[np.lexsort((k, often[k]))], r) for (k, _), r in zip(self.seeds.sorted, self.least.tolist(), strict=True)]
+        self.rare = Seeds([self.seeds.known[k[: len(k) - r + 1]] for k, r in own])
 
     def windows(self, i: int, size: int, shift: np.ndarray) -> list[tuple[int, int]]:
         """Parts of a document of ``size`` words to align with item i; shift: its supposed first places, ascending."""
@@ -214,9 +238,13 @@ class Items:
         doc, h, _, _ = word_hashes(texts)
         cut = np.searchsorted(doc, np.arange(len(texts) + 1))
         many, n = set(), len(self.ids)
-        gram, at = pairs(doc, h)
-        near = self.pairs.hits(doc[at], gram, at)
-        for d, i, often in self.pairs.counts(*near[:2], n):
+        gram, at = seed_grams(doc, h, (1, 2), self.singles)
+        own = doc[at]
+        has = np.zeros(len(texts), bool)
+        has[self.rare.hits(own, gram, at)[0]] = True
+        some = has[own]
+        near = self.seeds.hits(own[some], gram[some], at[some])
+        for d, i, often in self.seeds.counts(*near[:2], n):
             some = often >= self.least[i]
             many.update((d[some] * n + i[some]).tolist())
         gram, whole = grams(doc, h)
@@ -225,12 +253,12 @@ class Items:
         runs = {k for d, i, _ in self.runs.counts(*run[:2], n) for k in (d * n + i).tolist()}
         parts: list[tuple[int, int, int, int]] = []
         for d, i in (divmod(k, n) for k in sorted(many | runs)):
-            seeds, (own, known, at) = (self.pairs, near) if d * n + i in many else (self.runs, run)
+            seeds, (own, known, at) = (self.seeds, near) if d * n + i in many else (self.runs, run)
             a, b = np.searchsorted(own, (d, d + 1))
             parts += [(d, i, *w) for w in self.windows(i, int(cut[d + 1] - cut[d]), seeds.shifts(i, known[a:b], at[a:b] - cut[d]))]
         score, ends = align_all([self.words[i] for _, i, _, _ in parts], [h[cut[d] + a : cut[d] + b] for d, _, a, b in parts])
         scored = [(d, i, int(x), a, b, a + int(e)) for (d, i, a, b), x, e in zip(parts, score, ends, strict=True)]
-        scored += [(d, i, MATCH * len(self.words[i]), a, a + len(self.words[i]), a + len(self.words[i])) for d, i, a in self.phrase_hits(doc, h, cut)]
+        scored = [p for p in scored if len(self.words[p[1]]) >= LEAST_WORDS or self.holds(p[1], p[2])]
         scored.sort(key=lambda p: p[:2])
         for d, own in groupby(scored, lambda p: p[0]):
             best, count = (-1, 0.0, -1, -1, -1), 0
@@ -245,18 +273,10 @@ class Items:
                 _, start, end = align(self.words[i], h[cut[d] + low : cut[d] + high])
                 yield d, i, like, count, low + start, low + end
 
-    def phrase_hits(self, doc: np.ndarray, h: np.ndarray, cut: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(text, item, place of its first word) of short items; the first place of each."""
-        for size, known in self.phrases.items():
-            gram, whole = grams(doc, h, size)
-            at = np.flatnonzero(whole & np.isin(gram, np.array(list(known), np.uint64)))
-            seen: set[tuple[int, int]] = set()
-            for k in at.tolist():
-                d = int(doc[k])
-                for i in known[int(gram[k])]:
-                    if (d, i) not in seen:
-                        seen.add((d, i))
-                        yield d, i, k - int(cut[d])
+    def holds(self, i: int, score: int) -> bool:
+        """Whether a score is likeness at AT_LEAST: not of a lone match, but for an item of one word."""
+        n = len(self.words[i])
+        return score >= AT_LEAST * MATCH * n and (n == 1 or score > MATCH)
 
 
 #: The item's id has the type that it has in the items.
@@ -280,6 +300,23 @@ def screen(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str
         return _screen_by_join(docs, tests, text, names, schema)
     rows = tests.collect()  # bounded by the check above
     own = Items([r["id"] for r in rows], [r["text"] for r in rows])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tests, often = plain.value, None
+        for part in slices(batches, "text"):
+            more = tests.count([t or "" for t in part.column("text").to_pylist()])
+            often = more if often is None else often + more
+        if often is not None:
+            some = np.flatnonzero(often)
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(often[some])], names=["seed", "n"])
+
+    if own.ids:
+        plain = spark.sparkContext.broadcast(own)
+        often = np.zeros(len(own.seeds.known), np.int64)
+        counted = docs.select(F.col(text).alias("text")).mapInArrow(tidy(count), "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n"))
+        for r in counted.collect():  # two for each item word at most, bounded as the items are
+            often[r["seed"]] = r["n"]
+        own.rank(often)
     sent = spark.sparkContext.broadcast(own)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,41 +331,38 @@ def screen(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str
 
 
 def _screen_by_join(docs: DataFrame, tests: DataFrame, text: str, names: list[str], schema: T.StructType) -> DataFrame:
-    """The same for items of any number: n-grams are joined by shuffle, and a pair of row and item is aligned at a time.
+    """The same for items of any number: seeds are counted and joined by shuffle, and a pair of row and item is aligned at a time.
 
-    A row is known by a hash of its text; rows of equal text share the result.
+    An item brings its rarest seeds and its runs of three words. A row is known by a hash of its text; rows of equal text share the result.
     """
     th = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
-    def cut(batches: Iterator[pa.RecordBatch], gaps: tuple[int, ...], shorts: list[int], whole_texts: bool) -> Iterator[pa.RecordBatch]:
-        """Pairs of words, and runs of so many words (only whole texts, if asked); ``words`` is the text's number of words."""
+    def cut(batches: Iterator[pa.RecordBatch], gaps: tuple[int, ...], singles: bool) -> Iterator[pa.RecordBatch]:
+        """Seeds (kind 2, single words 1) and runs (kind 3); ``words`` is the text's number of words."""
         for part in slices(batches, "text"):
             doc, h, _, _ = word_hashes([t or "" for t in part.column("text").to_pylist()])
             sizes = np.bincount(doc, minlength=part.num_rows)
-            found = [pairs(doc, h, gaps)]
-            for n in shorts:
-                run, some = grams(doc, h, n)
-                at = np.flatnonzero(some & (sizes[doc[: len(run)]] == n) if whole_texts else some)
-                found.append((mix(run[at] + np.uint64(n)), at))
-            for own, at in found:
+            run, whole = grams(doc, h)
+            found = [(2, *pairs(doc, h, gaps)), (3, mix(run[whole] + np.uint64(N)), np.flatnonzero(whole))]
+            for kind, own, at in [*found, (1, mix(h + SINGLE), np.arange(len(h)))] if singles else found:
                 for a in range(0, len(at), 200_000):
                     d = doc[at[a : a + 200_000]]
-                    yield pa.RecordBatch.from_arrays([part.column("key").take(pa.array(d)), pa.array(own[a : a + 200_000].view(np.int64)), pa.array(sizes[d].astype(np.int32))], names=["key", "gram", "words"])
+                    yield pa.RecordBatch.from_arrays([part.column("key").take(pa.array(d)), pa.array(own[a : a + 200_000].view(np.int64)), pa.array(sizes[d].astype(np.int32)), pa.array(np.full(len(d), kind, np.int32))], names=["key", "gram", "words", "kind"])
 
     id_type = tests.schema["id"].dataType
     id_kind = to_arrow_type(id_type)
-    form = T._parse_datatype_string("key long, gram long, words int")
+    form = T._parse_datatype_string("key long, gram long, words int, kind int")
     item_form = T.StructType([T.StructField("key", id_type), *form[1:]])
-    # a longer item has its pairs, a short one the run that is all of it
-    long_grams = tests.select(F.col("id").alias("key"), "text").mapInArrow(lambda b: cut(b, (1,), [], True), item_form).where(F.col("words") >= LEAST_WORDS)
-    short_grams = tests.select(F.col("id").alias("key"), "text").mapInArrow(lambda b: cut(b, (), list(range(1, LEAST_WORDS)), True), item_form)
-    shorts = [r["words"] for r in short_grams.select("words").distinct().collect()]  # LEAST_WORDS - 1 at most
-    item_grams = long_grams.unionByName(short_grams).groupBy(F.col("key").alias("id"), "gram", F.col("words").alias("size")).agg(F.count("*").alias("places"))
+    every = tests.select(F.col("id").alias("key"), "text").mapInArrow(lambda b: cut(b, (1,), True), item_form).where(f"(words < {LEAST_WORDS}) = (kind = 1)").withColumnRenamed("key", "id")
+    singles = not every.where("kind = 1").isEmpty()
     texts = docs.select(th.alias("key"), F.col(text).alias("text")).dropDuplicates(["key"])
-    doc_grams = texts.mapInArrow(tidy(lambda b: cut(b, (1, 2), shorts, False)), form).select("key", "gram").distinct()
-    # three words on end are two seeds
-    enough = F.sum("places") >= F.least(F.lit(2), F.greatest(F.lit(1), F.ceil((F.max("size") - 3) / 3)))
-    hits = doc_grams.join(item_grams, "gram").groupBy("key", "id").agg(enough.alias("enough")).where("enough")
+    doc_grams = texts.mapInArrow(tidy(lambda b: cut(b, (1, 2), singles)), form)
+    often = doc_grams.groupBy("gram").agg(F.count("*").alias("n")).join(every.select("gram").distinct(), "gram", "left_semi")
+    least = F.when(F.col("words") >= LEAST_WORDS, F.greatest(F.lit(1), F.ceil((F.col("words") - 3) / 3))).otherwise(F.least(F.lit(2), F.col("words")))
+    order = W.partitionBy("id")
+    ranked = every.where("kind < 3").join(often, "gram", "left").select("id", "gram", least.alias("r"), F.count("*").over(order).alias("m"), F.row_number().over(order.orderBy(F.coalesce("n", F.lit(0)), "gram")).alias("at"))
+    item_grams = ranked.where("at <= m - r + 1").select("id", "gram").unionByName(every.where("kind = 3").select("id", "gram")).distinct()
+    hits = doc_grams.select("key", "gram").distinct().join(item_grams, "gram").select("key", "id").distinct()
     near = hits.join(texts, "key").join(tests.select("id", F.col("text").alias("item")), "id").select("key", "id", "text", "item")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -384,7 +384,7 @@ def test_decontamination_finds_edits_and_both_ways_agree(spark, edge):
     short = spark.createDataFrame([("p", "Answer: forty two!"), ("q", "a b"), ("r", "..."), ("s", None), ("t", items[0][1])], "item_id string, text string")
     more = spark.createDataFrame([(500, "the answer forty two is right, a b"), (501, "answer two forty; b a"), (502, "a b answer forty two")], "doc_id long, text string")
     both = [sorted(rows(decontaminate.screen(more, short, most_words=m).select("doc_id", "contaminated", "item_id", "score", "n_items", "start_word", "end_word"))) for m in (1000, 0)]
-    assert both[0] == both[1] == [(500, True, "p", 1.0, 2, 1, 4), (501, False, None, 0.0, 0, None, None), (502, True, "p", 1.0, 2, 2, 5)]
+    assert both[0] == both[1] == [(500, True, "p", 1.0, 2, 1, 4), (501, True, "p", 0.5, 1, 0, 3), (502, True, "p", 1.0, 2, 2, 5)]
     none = decontaminate.screen(frame, tests.limit(0))
     assert none.count() == frame.count() and none.where("contaminated").count() == 0
     assert decontaminate.screen(frame.limit(0), tests).count() == 0
@@ -420,6 +420,32 @@ def test_decontamination_misses_no_alignment(spark):
         assert {r["doc_id"]: (r["score"], r["item_id"], r["n_items"]) for r in got} == want
 
 
+def test_short_items_are_aligned_too(spark):
+    rng = random.Random(6)
+    items = [(i, " ".join(f"w{rng.randrange(12)}" for _ in range(1 + i % 4))) for i in range(16)] + [(90, "alpha beta gamma delta")]
+    docs = [(i, " ".join(f"w{rng.randrange(60)}" for _ in range(rng.randrange(1, 14)))) for i in range(150)] + [(900, "alpha beta omega delta"), (901, "gamma alone")]
+    own = {i: shingles.word_hashes([t])[1] for i, t in items}
+    want = {}
+    for d, t in docs:
+        score = {i: decontaminate.align(w, shingles.word_hashes([t])[1])[0] for i, w in own.items()}
+        like = sorted((-x / (2 * len(own[i])), i) for i, x in score.items() if x >= len(own[i]) and (x > 2 or len(own[i]) == 1))
+        want[d] = (True, like[0][1], -like[0][0], len(like)) if like else (False, None, 0.0, 0)
+    assert want[900] == (True, 90, 0.625, 1) and not want[901][0] and 20 < sum(w[0] for w in want.values()) < 150
+    frame, tests = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for most in (decontaminate.MOST_ITEM_WORDS, 0):
+        got = decontaminate.screen(frame, tests, most_words=most).collect()
+        assert {r["doc_id"]: (r["contaminated"], r["item_id"], r["score"], r["n_items"]) for r in got} == want
+
+
+def test_rare_seeds_lead_to_all_that_have_enough():
+    rng = random.Random(8)
+    texts = [" ".join(f"t{min(rng.randrange(60), rng.randrange(60))}" for _ in range(rng.randrange(1, 40))) for _ in range(60)]
+    own = decontaminate.Items(list(range(20)), texts[:20])
+    flat = list(own.find(texts))
+    own.rank(own.count(texts))
+    assert list(own.find(texts)) == flat and len(own.rare.all) < len(own.seeds.all)
+
+
 def test_alignment_bounds():
     item = np.arange(10, 22, dtype=np.uint64)
     gap = np.concatenate([[1, 2, 3], item[:5], [7, 8], item[5:9], item[10:], [4, 5]]).astype(np.uint64)
