@@ -2,6 +2,9 @@
 
 blocks: (doc_id, pos, text, kind); placed blocks also have start and end in the assembled text, whose
 blocks are joined by a blank line.
+
+A document is a row: ``document_blocks`` and ``texts`` work within it, so they shuffle nothing, and rows that repeat an id each
+have their own blocks, offsets and text.
 """
 
 from __future__ import annotations
@@ -11,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from doclens.functions import text as t
+from doclens.operators.chunks import laid
 
 SEPARATOR = "\n\n"
 
@@ -68,8 +72,26 @@ def assemble(placed: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.array_join(F.transform("b", lambda x: x["text"]), SEPARATOR).alias("text"))
 
 
+def _of_row(text: Column | str) -> Column:
+    """A text's blocks in order, as an array of (pos, text, kind)."""
+    lines = F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("pos"), t.clean_paragraph(x).alias("text")))
+    some = F.transform(F.filter(lines, lambda x: x["text"] != ""), lambda x: F.struct(x["pos"], x["text"], t.squash(x["text"]).alias("key")))
+    kept = t.let(some, lambda b: F.filter(b, lambda x, i: (i == 0) | (x["key"] != F.get(b, i - 1)["key"])))
+    return F.transform(kept, lambda x: F.struct(x["pos"].alias("pos"), x["text"].alias("text"), t.classify(x["text"]).alias("kind")))
+
+
 def document_blocks(docs: DataFrame) -> DataFrame:
-    return place(dedup_consecutive(from_lines(docs)))
+    """Placed blocks of each row (doc_id, text); null and empty texts have none."""
+    rows = docs.select("doc_id", _of_row("text").alias("_b"))
+    rows = rows.withColumn("_s", laid(F.transform("_b", lambda x: F.length(x["text"]) + len(SEPARATOR))))
+    one = lambda x: F.struct(x["_b"]["pos"].alias("pos"), x["_b"]["text"].alias("text"), x["_b"]["kind"].alias("kind"), x["_s"]["start"].alias("start"), (x["_s"]["end"] - len(SEPARATOR)).alias("end"))
+    return rows.select("doc_id", F.inline(F.transform(F.arrays_zip("_b", "_s"), one)))
+
+
+def texts(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) of each row that has a block: its blocks joined by a blank line."""
+    joined = F.array_join(F.transform(_of_row("text"), lambda x: x["text"]), SEPARATOR)
+    return docs.select("doc_id", F.inline(F.transform(F.filter(F.array(joined), lambda x: x != ""), lambda x: F.struct(x.alias("text")))))
 
 
 def report(placed: DataFrame, parts: DataFrame | None = None) -> DataFrame:

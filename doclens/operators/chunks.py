@@ -67,7 +67,12 @@ def _chunked(lengths, keep, budget) -> list[tuple[int, int]]:
 
 _running_udf, _kept_udf = _rows(_running), _rows(_kept)
 # as if not deterministic: the optimizer would else move them into filters below, where they cannot run
-_packed_udf, _chunked_udf = _rows(_packed).asNondeterministic(), _rows(_chunked).asNondeterministic()
+_packed_udf, _chunked_udf, _laid_udf = (_rows(f).asNondeterministic() for f in (_packed, _chunked, _running))
+
+
+def laid(lengths: Column) -> Column:
+    """Spans of pieces of these lengths, side by side from 0."""
+    return _laid_udf(lengths, F.lit(0))
 
 
 def spans_of(parts: Column, start: Column) -> Column:

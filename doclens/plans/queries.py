@@ -117,7 +117,7 @@ def analyze_observations(spark, d):
 @query
 def consistency_routes(spark, d):
     """Consistency findings by both ways: all documents at once, and all by terms of chunks and their index."""
-    texts = blocks.assemble(blocks.document_blocks(_planted(spark, d)))
+    texts = blocks.texts(_planted(spark, d))
     both = [pipeline.Analyzer(map_reduce_chars=n).consistency(texts).withColumn("route", F.lit(name)) for name, n in (("single", 1 << 30), ("map_reduce", 0))]
     return both[0].unionByName(both[1]).select("doc_id", "route", "excerpt", "suggestion", "start", "end")
 
@@ -180,7 +180,7 @@ def extraction_report(spark, d):
 
 @query
 def paragraph_spans(spark, d):
-    texts = blocks.assemble(blocks.document_blocks(_docs(spark, d)))
+    texts = blocks.texts(_docs(spark, d))
     return texts.select("doc_id", F.explode(chunks.paragraph_spans(F.col("text"))).alias("p")).select("doc_id", "p.start", "p.end")
 
 
@@ -193,7 +193,7 @@ def sentence_spans(spark, d):
 
 @query
 def chunk_pack(spark, d):
-    return chunks.chunks(blocks.assemble(blocks.document_blocks(_docs(spark, d)))).select("doc_id", "chunk_id", "start", "end")
+    return chunks.chunks(blocks.texts(_docs(spark, d))).select("doc_id", "chunk_id", "start", "end")
 
 
 @query
@@ -274,7 +274,7 @@ def drop_unlocated(spark, d):
 
 @query
 def drop_context_satisfied(spark, d):
-    return _slim(findings.drop_context_satisfied(seeds(spark, d), blocks.assemble(blocks.document_blocks(_docs(spark, d)))))
+    return _slim(findings.drop_context_satisfied(seeds(spark, d), blocks.texts(_docs(spark, d))))
 
 
 @query
@@ -353,7 +353,7 @@ def normalized_matches(spark, d):
 
 @query
 def nth_occurrence(spark, d):
-    texts = blocks.assemble(blocks.document_blocks(_docs(spark, d)))
+    texts = blocks.texts(_docs(spark, d))
     rows = chunks.chunks(texts)
     found = rules.judge(rows).where("rule_id = 'GRAMER-TEKRAR' and pass = 'local'")
     return locate.locate(found, rows).select("doc_id", "chunk_id", "excerpt", "emit_idx", "start", "end")
@@ -361,20 +361,20 @@ def nth_occurrence(spark, d):
 
 @query
 def rule_repeat_word(spark, d):
-    rows = chunks.chunks(blocks.assemble(blocks.document_blocks(_docs(spark, d))))
+    rows = chunks.chunks(blocks.texts(_docs(spark, d)))
     return rules.judge(rows).where("rule_id = 'GRAMER-TEKRAR' and pass = 'local'").select("doc_id", "chunk_id", "excerpt", "emit_idx")
 
 
 @query
 def rule_decimal_dot(spark, d):
-    rows = chunks.chunks(blocks.assemble(blocks.document_blocks(_docs(spark, d))))
+    rows = chunks.chunks(blocks.texts(_docs(spark, d)))
     return rules.judge(rows).where(f"rule_id = 'IMLA-BIRIM' and emit_idx < {rules.LITERAL_AT}").select("doc_id", "chunk_id", "excerpt", "suggestion", (F.col("emit_idx") - 1_000_000).alias("n"))
 
 
 @query
 def rule_literal_map(spark, d):
     """The closed list of words, which stand between the documents' own."""
-    rows = chunks.chunks(blocks.assemble(blocks.document_blocks(_planted(spark, d))))
+    rows = chunks.chunks(blocks.texts(_planted(spark, d)))
     return rules.judge(rows).where(F.col("emit_idx").between(rules.LITERAL_AT, rules.PHRASE_AT - 1)).select("doc_id", "chunk_id", "excerpt", "suggestion", "rule_id", "type", (F.col("emit_idx") - 2_000_000).alias("start"))
 
 
@@ -411,12 +411,12 @@ def term_index(spark, d):
 
 @query
 def size_route(spark, d):
-    return pipeline.route(blocks.assemble(blocks.document_blocks(_docs(spark, d))))
+    return pipeline.route(blocks.texts(_docs(spark, d)))
 
 
 def _golden(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Labelled documents expect the words that stand twice in a row in them, each once and by label; predictions are beginnings of other kinds."""
-    rows = chunks.chunks(blocks.assemble(blocks.document_blocks(_docs(spark, d))))
+    rows = chunks.chunks(blocks.texts(_docs(spark, d)))
     found = rules.judge(rows).where("rule_id = 'GRAMER-TEKRAR' and pass = 'local'")
     first = found.groupBy("doc_id", F.col("suggestion").alias("w")).agg(F.min(F.col("chunk_id").cast("long") * 1_000_000 + F.col("emit_idx")).alias("idx"))
     rows = first.join(_read(spark, d, "labels"), "doc_id").withColumn("id", F.col("doc_id").cast("string"))
@@ -453,7 +453,7 @@ def clean_fp(spark, d):
 @query
 def rule_patterns(spark, d):
     """The other rules that a text alone decides, between the documents' own words."""
-    rows = chunks.chunks(blocks.assemble(blocks.document_blocks(_planted(spark, d))))
+    rows = chunks.chunks(blocks.texts(_planted(spark, d)))
     return rules.judge(rows).where(F.col("emit_idx") >= rules.PHRASE_AT).select("doc_id", "chunk_id", "type", "excerpt", "suggestion", "rule_id", "emit_idx")
 
 

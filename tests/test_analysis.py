@@ -223,6 +223,42 @@ def test_deleting_from_the_history(spark, tmp_path):
     assert history.load(spark, path).count() == 2 and history.get(history.load(spark, path), key).count() == 0
 
 
+def test_history_keeps_what_is_saved_beside_deletions_and_compaction(spark, tmp_path):
+    base = findings.counts(spark.createDataFrame([(i, "imla") for i in range(4)], "doc_id long, type string")).withColumn("text", F.lit("x")).withColumn("result", F.lit("{}"))
+    path, rows = f"{tmp_path}/h", history.records(base, "text", "2024-01-01T00:00:00")
+    ids = lambda: sorted(r["id"] for r in history.load(spark, path).collect())
+    assert ids() == [] and history.delete(spark, path, ["x"]) == 0 and history.compact(spark, path) == 0
+    history.save(rows, path)
+    every = ids()
+    store = history._Folder(spark, path)
+    early, reader = store.claim(), history.load(spark, path)  # a writer that is slow to move its run in, and an open reader
+    assert history.delete(spark, path, every[:2]) == 2 and ids() == every[2:]
+    history.save(history.get(rows, every[0]), path)  # saved again after the deletion
+    assert ids() == sorted([every[0], *every[2:]])
+    assert history.compact(spark, path) == 3 and ids() == sorted([every[0], *every[2:]]) and len(store.live()) == 1
+    late = rows.limit(1).withColumn("id", F.lit("late")).withColumn("seq", F.lit(early).cast("long"))
+    store.put(late, "rows", early)
+    assert "late" in ids() and reader.count() == 4
+    assert history.delete(spark, path, [every[3]]) == 1 and history.compact(spark, path) == 3
+    left = ids()
+    assert left == sorted([every[0], every[2], "late"])
+    store.fs.mkdirs(store._at("_staging/lost"))
+    assert history.vacuum(spark, path) == 0 and history.vacuum(spark, path, 0) == 7
+    assert ids() == left and [x for x in store.names() if "-" in x] == store.live()
+
+
+def test_rows_of_one_id_are_texts_of_their_own(spark):
+    docs = spark.createDataFrame([(1, "a\nb\nc"), (1, "d\ne\ne\nf"), (1, "d\ne\ne\nf"), (2, None), (3, "\n \n"), (None, "x")], "doc_id long, text string")
+    assert sorted(r["text"] for r in blocks.texts(docs).collect()) == ["a\n\nb\n\nc", "d\n\ne\n\nf", "d\n\ne\n\nf", "x"]
+    placed = blocks.document_blocks(docs)
+    assert [(r["text"], r["pos"], r["start"], r["end"]) for r in placed.where("doc_id = 1").collect()] == [("a", 0, 0, 1), ("b", 1, 3, 4), ("c", 2, 6, 7), *[("d", 0, 0, 1), ("e", 1, 3, 4), ("f", 3, 6, 7)] * 2]
+    for df in (placed, blocks.texts(docs), chunks.chunks(blocks.texts(docs))):
+        assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    long = "\n".join(f"line {i}" for i in range(50_000))
+    last = blocks.document_blocks(docs_of(spark, long)).orderBy(F.desc("pos")).first()
+    assert blocks.texts(docs_of(spark, long)).first()["text"][last["start"] : last["end"]] == "line 49999"
+
+
 def plain_paragraphs(text):
     ws = f"[{re.escape(t.SPACES)}]"
     return [m.span(1) for m in re.finditer(rf"(?s)([^{re.escape(t.SPACES)}].*?)(?=\n{ws}*\n|\Z)", text)]
