@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+import zlib
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 GOLDEN = "id string, text string, expected array<struct<type:string,excerpt:string>>, mode string"
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _PARTS = (("body", r"word/document\.xml"), ("header", r"word/header\d*\.xml"), ("footer", r"word/footer\d*\.xml"), ("footnotes", r"word/footnotes\.xml"), ("endnotes", r"word/endnotes\.xml"))
+#: Bytes that a .docx file's XML may have once unpacked; a small archive can hold far more.
+MOST_UNPACKED = 256 << 20
 SECTION = "array<array<array<array<struct<text:string,in_table:boolean,style:string>>>>>"
 
 
@@ -71,6 +74,21 @@ def docx_sections(data: bytes) -> dict[str, list]:
     return out
 
 
+def docx_rows(path: str, data: bytes) -> list[tuple]:
+    """(path, part, name, section, images, error) of a file's parts; one row with the error if it is no .docx or unpacks to more than MOST_UNPACKED."""
+    try:
+        with zipfile.ZipFile(io.BytesIO(data)) as z:
+            if sum(x.file_size for x in z.infolist() if x.filename.endswith(".xml")) > MOST_UNPACKED:
+                return [(path, 0, "body", [], 0, f"unpacks to more than {MOST_UNPACKED} bytes")]
+            images = sum(n.startswith("word/media/") for n in z.namelist())
+            if "word/document.xml" not in z.namelist():
+                return [(path, 0, "body", [], 0, "no word/document.xml inside")]
+        found = docx_sections(data)
+        return [(path, i, name, found[name], images, None) for i, (name, _) in enumerate(_PARTS)]
+    except (zipfile.BadZipFile, zlib.error, EOFError, NotImplementedError, RuntimeError, KeyError, ElementTree.ParseError) as e:
+        return [(path, 0, "body", [], 0, str(e) or type(e).__name__)]
+
+
 def docx(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, part, section, images) of .docx files: body, header, footer, footnotes and endnotes in that order.
 
@@ -79,15 +97,7 @@ def docx(spark: SparkSession, path: str) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            out = []
-            for r in frame.itertuples(index=False):
-                try:
-                    found = docx_sections(r.content)
-                    with zipfile.ZipFile(io.BytesIO(r.content)) as z:
-                        images = sum(n.startswith("word/media/") for n in z.namelist())
-                    out += [(r.path, i, name, found[name], images, None) for i, (name, _) in enumerate(_PARTS)]
-                except (zipfile.BadZipFile, KeyError, ElementTree.ParseError) as e:
-                    out.append((r.path, 0, "body", [], 0, str(e)))
+            out = [x for r in frame.itertuples(index=False) for x in docx_rows(r.path, r.content)]
             yield pd.DataFrame(out, columns=["doc_id", "part", "name", "section", "images", "error"])
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
