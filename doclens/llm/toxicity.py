@@ -1,7 +1,9 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-A lexicon transducer maps the words of a clause to classes (insult, mild, violence, will, target, self,
-negation, report, quote). Behind it stands one transducer that is composed from six: threat joins "will", violence and target, or
+A lexicon transducer maps the words of a clause to classes (insult, mild, violence, will, target, object, self, strike, vow,
+negation, report, quote). A strike is a verb of violence with its object as an ending ("matarte"), a vow one in the future tense ("tuerai").
+Behind it stands one transducer that is composed from six: threat joins "will", violence and target in the word orders of the four
+languages (the target behind the verb, an object before it or before "will", an ending), a vow and its object, or
 violence and "yourself"; negation and reported speech mark the insults in their scope; a last one, which reads from the
 clause's end, marks insults in quotes that a report follows; target marks insults that are aimed at
 someone. It puts out marks (a class and its context), never words. What is scored are the marks of a document's matched
@@ -46,17 +48,26 @@ STEM = (3, 9)
 
 # A general lexicon in English, German, French and Spanish.
 INSULTS = "idiot idiots moron morons stupid dumb loser losers scum trash clown pathetic worthless disgusting imbecile fool fools dumbass asshole bastard bitch cretin degenerate filth freak garbage jerk pig rat vermin arschloch idioten trottel schwachkopf dreckskerl hurensohn missgeburt wichser connard connasse crétin imbécile salaud salope abruti ordure gilipollas imbécil cabrón estúpido estúpida idiota idiotas basura escoria"
-VIOLENCE = "kill hurt beat stab shoot burn destroy murder strangle punch crush hang töten umbringen schlagen erschießen verprügeln tuer frapper égorger poignarder matar golpear apuñalar"
+VIOLENCE = {
+    "en": "kill hurt beat stab shoot burn destroy murder strangle punch crush hang",
+    "de": "töten umbringen schlagen erschießen verprügeln",
+    "fr": "tuer frapper égorger poignarder",
+    "es": "matar golpear apuñalar",
+}
 WILL = "will gonna shall ll going werde werden vais allons voy vamos"
-TARGETS = "you your yours u ya he him she her they them their these those everyone people du dich dir dein deine ihr euch sie tu te toi ton ta vous votre él ella ellos usted ustedes tú"
-SELF = "yourself yourselves dich te"
+TARGETS = "you your yours u ya he him she her they them their these those everyone people du dir dein deine ihr sie tu toi ton ta votre él ella ellos usted ustedes tú"
+OBJECTS = "dich euch te vous os"
+SELF = "yourself yourselves"
+#: Endings of an infinitive that make a strike, and a vow.
+STRIKE_ENDINGS = {"es": "te lo la le los las les os"}
+VOW_ENDINGS = {"fr": "ai ons", "es": "é emos"}
 NEGATIONS = "not no never nor neither without isn aren wasn weren don doesn nicht kein keine nie niemals pas jamais aucun non nunca tampoco"
 REPORTS = "said says say told wrote claimed called calls reported quote quoted according sagte schrieb dit écrit dijo escribió"
 QUOTES = "\"“”«»„‘’'"
 
 CLASSES = ("insult", "mild")
 CONTEXTS = ("plain", "aimed", "negated", "reported")
-MARKS = (*(f"{c}-{x}" for c in CLASSES for x in CONTEXTS if (c, x) != ("mild", "aimed")), "threat")
+MARKS = (*(f"{c}-{x}" for c in CLASSES for x in CONTEXTS if (c, x) != ("mild", "aimed")), "threat", "threat-reported")
 #: Weights of the first, second, third and further marks where labels say nothing.
 PRIOR = {"plain": (4.2, 1.0, 0.5, 0.3), "aimed": (4.8, 1.0, 0.5, 0.3), "negated": (1.0, 0.5, 0.3, 0.2), "reported": (1.0, 0.5, 0.3, 0.2)}
 PRIOR_MILD = (0.0, 0.5, 1.5, 1.0)
@@ -68,7 +79,7 @@ BASE = -3.0
 CAUTION = 0.25
 
 OTHER = "*"
-SIGNS = (*CLASSES, "violence", "will", "target", "self", "negation", "report", "quote", *MARKS, OTHER)
+SIGNS = (*CLASSES, "violence", "will", "target", "object", "self", "strike", "vow", "negation", "report", "quote", *MARKS, OTHER)
 
 
 class Fst:
@@ -107,43 +118,61 @@ def compose(a: Fst, b: Fst, signs: Iterable[str] = SIGNS) -> Fst:
     return Fst(arcs)
 
 
-def scope(opens: str, context: str, span: int | None, classes: tuple[str, ...] = CLASSES) -> Fst:
-    """Marks insults within ``span`` signs after ``opens``, or to the clause's end."""
+def scope(opens: tuple[str, ...], context: str, span: int | None, classes: tuple[str, ...] = CLASSES) -> Fst:
+    """Marks insults within ``span`` signs after one that opens, or to the clause's end."""
     last = span or 1
-    arcs: dict[tuple[int, str], tuple[int, str | None, float]] = {(0, opens): (last, None, 0.0), (0, OTHER): (0, None, 0.0)}
+    arcs: dict[tuple[int, str], tuple[int, str | None, float]] = {(0, o): (last, None, 0.0) for o in opens} | {(0, OTHER): (0, None, 0.0)}
     for s in range(1, last + 1):
         after = s - 1 if span else s
-        arcs |= {(s, opens): (last, None, 0.0), (s, OTHER): (after, None, 0.0)}
+        arcs |= {(s, o): (last, None, 0.0) for o in opens} | {(s, OTHER): (after, None, 0.0)}
         arcs |= {(s, c): (after, f"{c}-{context}", 0.0) for c in classes}
     return Fst(arcs)
 
 
-def threat(reach: int = 8, near: int = 3) -> Fst:
-    """will ... violence within ``reach`` signs, then a target within ``near``; or violence and "yourself" side by side."""
-    arcs: dict[tuple[int, str], tuple[int, str | None, float]] = {(0, OTHER): (0, None, 0.0)}
-    last = reach + near
-    waits, alone = range(1, reach + 1), last + 1
-    arcs |= {(s, "will"): (1, None, 0.0) for s in range(last + 2)}
-    arcs |= {(s, "violence"): (reach + 1, None, 0.0) for s in waits} | {(s, "violence"): (alone, None, 0.0) for s in (0, *range(reach + 1, last + 2))}
-    arcs |= {(s, OTHER): (s + 1 if s < reach else 0, None, 0.0) for s in waits}
-    arcs |= {(s, t): (0, "threat", 0.0) for s in range(reach + 1, last + 1) for t in ("target", "self")}
-    arcs |= {(s, OTHER): (s + 1 if s < last else 0, None, 0.0) for s in range(reach + 1, last + 1)}
-    return Fst(arcs | {(alone, "self"): (0, "threat", 0.0), (alone, OTHER): (0, None, 0.0)})
+#: How many signs each part of a threat waits for the next: an object for "will" or a vow, "will" for the verb, "will" and an object for the
+#: verb, the verb and a vow for their target, violence without "will" for "yourself".
+WAITS = {"object": 2, "will": 8, "held": 4, "struck": 3, "vow": 3, "alone": 1, "denied": 1}
+#: Which part follows on a sign: "threat" ends it, "" is the start. A part that has no entry for a sign goes on waiting. Negation undoes "will".
+FOLLOWS = {
+    "": {"will": "will", "object": "object", "violence": "alone", "vow": "vow", "negation": "denied"},
+    "object": {"will": "held", "vow": "threat", "object": "object", "violence": "alone"},
+    "will": {"will": "will", "violence": "struck", "strike": "threat", "object": "held", "vow": "vow", "negation": ""},
+    "held": {"will": "will", "violence": "threat", "strike": "threat", "object": "held", "vow": "threat", "negation": ""},
+    "struck": {"target": "threat", "object": "threat", "self": "threat", "will": "will", "violence": "alone", "vow": "vow"},
+    "vow": {"target": "threat", "object": "threat", "self": "threat", "will": "will", "violence": "alone", "vow": "vow"},
+    "alone": {"self": "threat", "will": "will", "violence": "alone", "object": "object", "vow": "vow"},
+    "denied": {"will": "", "vow": "", "violence": "", "object": "denied", "negation": "denied"},
+}
+
+
+def threat() -> Fst:
+    """The parts of FOLLOWS as states, one for each sign that a part still waits."""
+    states = ["", *((part, left) for part, most in WAITS.items() for left in range(most, 0, -1))]
+    number = {state: i for i, state in enumerate(states)}
+    number |= {(part, 0): 0 for part in WAITS}
+    arcs: dict[tuple[int, str], tuple[int, str | None, float]] = {}
+    for state in states:
+        part, left = state or ("", 0)
+        arcs[number[state], OTHER] = (number[part, left - 1] if part else 0, None, 0.0)
+        for sign, to in FOLLOWS[part].items():
+            arcs[number[state], sign] = (0, "threat", 0.0) if to == "threat" else (number[to, WAITS[to]] if to else 0, None, 0.0)
+    return Fst(arcs)
 
 
 def quoted(near: int = 4) -> Fst:
-    """Read from the end: a report, at most ``near`` signs before it a quote, and the insults before that."""
+    """Read from the end: a report, at most ``near`` signs before it a quote, and the insults before that; a quoted threat is none."""
     inside = near + 1
     arcs: dict[tuple[int, str], tuple[int, str | None, float]] = {(0, OTHER): (0, None, 0.0), (inside, OTHER): (inside, None, 0.0), (inside, "quote"): (0, None, 0.0)}
     arcs |= {(s, "report"): (1, None, 0.0) for s in range(near + 1)}
     arcs |= {(s, "quote"): (inside, None, 0.0) for s in range(1, near + 1)}
     arcs |= {(s, OTHER): (s + 1 if s < near else 0, None, 0.0) for s in range(1, near + 1)}
+    arcs |= {(inside, x): (inside, OTHER, 0.0) for x in ("violence", "strike", "vow")}
     return Fst(arcs | {(inside, c): (inside, f"{c}-reported", 0.0) for c in CLASSES})
 
 
 #: From the clause's end, then from its start.
 BACKWARD = quoted()
-FORWARD_PARTS = (threat(), scope("negation", "negated", 3), scope("report", "reported", None), scope("target", "aimed", 6, ("insult",)), Fst({(0, c): (0, f"{c}-plain", 0.0) for c in CLASSES}))
+FORWARD_PARTS = (threat(), scope(("negation",), "negated", 3), scope(("report",), "reported", None, (*CLASSES, "threat")), scope(("target", "object"), "aimed", 6, ("insult",)), Fst({(0, c): (0, f"{c}-plain", 0.0) for c in CLASSES}))
 FORWARD = FORWARD_PARTS[0]
 for _part in FORWARD_PARTS[1:]:
     FORWARD = compose(FORWARD, _part)
@@ -172,8 +201,13 @@ CLAUSE = re.compile(r"[.!?;:\n]+")
 
 def fixed_classes() -> dict[str, str]:
     out = dict.fromkeys(QUOTES, "quote")
-    for words, kind in ((TARGETS, "target"), (SELF, "self"), (WILL, "will"), (VIOLENCE, "violence"), (NEGATIONS, "negation"), (REPORTS, "report")):
+    for words, kind in ((TARGETS, "target"), (OBJECTS, "object"), (SELF, "self"), (WILL, "will"), (NEGATIONS, "negation"), (REPORTS, "report")):
         out |= dict.fromkeys(words.split(), kind)
+    for language, verbs in VIOLENCE.items():
+        for verb in verbs.split():
+            out[verb] = "violence"
+            out |= dict.fromkeys((verb + e for e in STRIKE_ENDINGS.get(language, "").split()), "strike")
+            out |= dict.fromkeys((verb + e for e in VOW_ENDINGS.get(language, "").split()), "vow")
     return out
 
 
@@ -205,7 +239,7 @@ class Model:
             import ahocorasick
 
             self._seek = ahocorasick.Automaton()
-            for w in {*self.words, *self.stems, *VIOLENCE.split()}:
+            for w in {*self.words, *self.stems, *" ".join(VIOLENCE.values()).split()}:
                 self._seek.add_word(w, len(w))
             self._seek.make_automaton()
             self._classes, self._sizes = fixed_classes(), sorted({len(s) for s in self.stems}, reverse=True)

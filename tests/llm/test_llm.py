@@ -757,6 +757,9 @@ def test_grammar_marks():
     assert _signs("target x insult") == ["insult-aimed"] and _signs("target x mild mild") == ["mild-plain", "mild-plain"]
     assert _signs("will x target x violence target") == ["threat"] and _signs("violence self") == ["threat"] and _signs("violence target") == []
     assert _signs("will x x x x x x x x x violence target") == []
+    assert _signs("will object x violence") == _signs("object will x violence") == _signs("object vow") == _signs("vow x target") == _signs("will x strike") == ["threat"]
+    assert _signs("will negation violence target") == _signs("negation will x strike") == _signs("negation object vow") == _signs("object x x x will") == []
+    assert _signs("report x will violence target") == ["threat-reported"] and _signs("quote will violence target quote x report") == []
 
 
 def test_composition_is_the_cascade():
@@ -807,6 +810,59 @@ def test_toxicity_without_labels(spark, edge):
     assert len(got) == len(EDGE) and all(0 <= r["score"] <= 1 for r in got)
 
 
+TOXIC_CLAUSES = """I will kill you
+I am gonna beat you up tomorrow
+we will hurt them
+go and hang yourself
+you are a pathetic loser
+Ich werde dich töten
+wir werden euch alle verprügeln
+ich werde dich morgen noch umbringen
+du bist ein Arschloch
+Je vais te tuer
+nous allons vous égorger
+je te tuerai
+tu es un connard
+voy a matarte
+te voy a matar
+vamos a golpearlos
+te mataré
+eres un gilipollas"""
+#: Clauses that have words of violence or insults and do no harm.
+CLEAN_CLAUSES = """I will not kill you
+he said that he will kill you
+"I will kill you", he said
+she said you are no fool
+they beat the eggs
+the process will hang
+that is not stupid
+he is not an idiot
+she was called a loser
+Ich werde dich nicht töten
+er sagte, ich werde dich töten
+das ist kein Idiot
+die Uhr wird schlagen
+Je ne vais pas te tuer
+il est interdit de tuer
+elle a dit que tu es un idiot
+no voy a matarte
+nunca te mataré
+dijo que te voy a matar
+no eres un idiota"""
+
+
+def test_clauses_in_four_languages():
+    model = toxicity.Model()
+    wrong = lambda m: ([t for t in TOXIC_CLAUSES.splitlines() if m.score(t) < toxicity.TOXIC_AT], [t for t in CLEAN_CLAUSES.splitlines() if m.score(t) >= toxicity.TOXIC_AT])
+    assert wrong(model) == ([], [])
+    plain = toxicity.prior_weights()
+    blind = toxicity.Model(weights={m: plain[{"insult": "insult-plain", "mild": "mild-plain"}.get(m.split("-")[0], "threat")] for m in plain})
+    missed, alarms = wrong(blind)
+    assert not missed and len(alarms) >= 6  # without negation and reported speech
+    words = toxicity.Model(weights={m: w if m.startswith("insult") else (0.0,) * toxicity.COUNTED for m, w in plain.items()})
+    assert len(wrong(words)[0]) >= 12  # insults alone
+
+
 def test_marks_decide_on_held_out_documents(spark):
     sf = "/root/testdata/sf0.1"
     docs, labels = (spark.read.parquet(f"{sf}/{n}.parquet") for n in ("documents", "labels"))
