@@ -4,6 +4,8 @@ python -m doclens.cli SOME TEXT ...   the arguments, joined by blanks
 python -m doclens.cli FILE.docx       a document's blocks; what was read is reported on standard error
 python -m doclens.cli < FILE          standard input
 python -m doclens.cli --folder IN OUT all text files of a folder, a JSON line for each below OUT
+python -m doclens.cli --watch IN OUT CHECKPOINT   files dropped into IN since the checkpoint, .docx or text; tables below OUT
+python -m doclens.cli --compare IN N              a folder's text files in one partition and in N: times, and whether the results are equal
 
 Progress goes to standard error.
 """
@@ -18,9 +20,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from doclens.operators import blocks
-from doclens.plans import pipeline
+from doclens.plans import compare, pipeline
 from doclens.plans.progress import on_standard_error
 from doclens.sources import readers
+from doclens.streaming import drops
 
 FINDING = ("type", "excerpt", "explanation", "suggestion", "rule_id", "confidence", "start", "end")
 _LIST = "array<struct<position:int,type:string,excerpt:string,explanation:string,suggestion:string,rule_id:string,confidence:double,start:int,end:int>>"
@@ -35,6 +38,16 @@ def folder(spark: SparkSession, path: str, out: str) -> None:
     result.release()
 
 
+def compared(spark: SparkSession, path: str, n: int) -> int:
+    """Print how one partition and n compare; 1 if their rows differ."""
+    texts = readers.texts(spark, path).withColumnRenamed("path", "doc_id")
+    result = compare.compare(texts, [compare.Way("one", 1), compare.Way("many", n, n)])
+    lines, same = compare.summary(result)
+    print("\n".join(lines))
+    result.release()
+    return 0 if same else 1
+
+
 def _printed(result: pipeline.Analysis, model: str, chars: int) -> dict:
     found = [{c: r[c] for c in FINDING} for r in result.findings.orderBy("position").collect()]
     noted = [{"excerpt": r["excerpt"], "note": r["note"]} for r in result.observations.orderBy("position").collect()]
@@ -71,6 +84,17 @@ def main(args: list[str]) -> int:
             return 2
         folder(SparkSession.builder.getOrCreate(), *args[1:])
         return 0
+    if args[:1] == ["--watch"]:
+        if len(args) != 4:
+            print(__doc__, file=sys.stderr)
+            return 2
+        drops.watch(SparkSession.builder.getOrCreate(), *args[1:], progress=on_standard_error).awaitTermination()
+        return 0
+    if args[:1] == ["--compare"]:
+        if len(args) != 3 or not args[2].isdigit() or int(args[2]) < 2:
+            print(__doc__, file=sys.stderr)
+            return 2
+        return compared(SparkSession.builder.getOrCreate(), args[1], int(args[2]))
     single = args[0] if len(args) == 1 and args[0].lower().endswith(".docx") else None
     if single and not os.path.exists(single):
         print(f"{single}: no such file", file=sys.stderr)
