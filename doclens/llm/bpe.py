@@ -1,8 +1,9 @@
 """BPE encoding and decoding with a segment tree over the ranks of adjacent pairs.
 
 The tree's root holds the lowest rank, leftmost first; a merge changes three leaves at most and each
-change climbs to the root, until the root holds no rank. Words are encoded once per worker and kept in
-caches bounded in bytes, as a word's ids depend on the word alone.
+change climbs to the root, until the root holds no rank. The trees of all words of a slice that are not
+remembered grow side by side, as rows of arrays. Words are remembered by each worker in a cache bounded in
+bytes, as a word's ids depend on the word alone.
 
 Input: a frame with the text column. Null and empty texts give no ids and an empty decoded text. Texts
 are never cut. Repeated rows give repeated results; other columns pass through unchanged.
@@ -14,8 +15,9 @@ import json
 import re
 import sys
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,11 +28,15 @@ from pyspark.sql import types as T
 from doclens.llm.common import bound_arrow, slices, table, tidy, without
 
 NO_PAIR = 1 << 62
-#: Bytes, about, of each generation of words and of chunks that a worker remembers; when full, the older one goes. (A chunk is
+#: Bytes, about, of each generation of words and chunks that a worker remembers; when full, the older one goes. (A chunk is
 #: what stands between white space.) A longer chunk or word is not remembered.
 CACHE_BYTES, CACHED_CHARS = 56 << 20, 64
 #: Bytes of an entry beside its characters: the key, the ids and the decoded text as objects.
 ENTRY_BYTES = 280
+#: Leaves of a tree in a forest, and words of a forest at most; a word of more symbols than fit has a tree of its own.
+WIDTHS, MOST_WORDS = (8, 16, 32, 64), 16_384
+#: In a forest: no pair, no symbol (beside a word's ends), and the bits of a key that hold the position, below the rank.
+NO_KEY, NO_ID, PLACE = np.int32(2**31 - 1), np.int32(2**30), 6
 #: The Unicode property White_Space.
 SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -103,6 +109,77 @@ def merged(ids: list[int], merges: dict[tuple[int, int], tuple[int, int]]) -> li
     return [x for x in ids if x >= 0]
 
 
+class Ranks:
+    """Ranks of many pairs at once, and by rank the ids that the merges make."""
+
+    def __init__(self, merges: dict[tuple[int, int], tuple[int, int]]):
+        if len(merges) >> (31 - PLACE):
+            raise ValueError(f"more than {1 << (31 - PLACE)} merges")
+        left_right = np.array(list(merges), np.int64).reshape(-1, 2)
+        rank_new = np.array(list(merges.values()), np.int32).reshape(-1, 2)
+        keys = left_right[:, 0] << 32 | left_right[:, 1]
+        order = np.argsort(keys)
+        self.keys = np.append(keys[order], np.iinfo(np.int64).max)
+        self.rank = np.append(rank_new[order, 0], NO_KEY)
+        self.made = np.zeros(rank_new[:, 0].max(initial=0) + 1, np.int32)
+        self.made[rank_new[:, 0]] = rank_new[:, 1]
+
+    def keyed(self, left: np.ndarray, right: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """``rank << PLACE | place`` of each pair, or ``NO_KEY``."""
+        key = left.astype(np.int64) << 32 | right
+        at = np.searchsorted(self.keys, key)
+        return np.where(self.keys[at] == key, self.rank[at] << PLACE | place, NO_KEY).astype(np.int32)
+
+
+def merged_all(ids: np.ndarray, sizes: np.ndarray, width: int, ranks: Ranks) -> tuple[np.ndarray, np.ndarray]:
+    """``merged`` for many words of ``width - 2`` symbols at most, given and returned one after the other with their sizes.
+
+    Row w of ``node`` is the tree of word w, its root at 1 and its leaves from ``width``; symbols stand from 1 on. Each round merges, in every
+    word that has one, the leftmost pair of lowest rank.
+    """
+    m = len(sizes)
+    row = np.repeat(np.arange(m), sizes)
+    place = np.arange(1, len(ids) + 1) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    symbol = np.full(m * width, NO_ID, np.int32)
+    symbol[row * width + place] = ids
+    node = np.full((m, 2 * width), NO_KEY, np.int32)
+    inner = np.flatnonzero(row[1:] == row[:-1])
+    node[row[inner], width + place[inner]] = ranks.keyed(ids[inner], ids[inner + 1], place[inner])
+    half = width // 2
+    while half:
+        node[:, half : 2 * half] = np.minimum(node[:, 2 * half : 4 * half : 2], node[:, 2 * half + 1 : 4 * half : 2])
+        half //= 2
+    node = node.ravel()
+    after, before = np.arange(1, m * width + 1), np.arange(-1, m * width - 1)
+    tree = np.arange(m) * 2 * width
+    while True:
+        key = node[tree + 1]
+        on = key < NO_KEY
+        tree, key = tree[on], key[on]
+        if not len(tree):
+            break
+        base = tree >> 1
+        i = base + (key & (1 << PLACE) - 1)
+        j, h = after[i], before[i]
+        k = after[j]
+        new = ranks.made[key >> PLACE]
+        symbol[i], symbol[j] = new, -1
+        after[i], before[k] = k, i
+        at = np.concatenate([h, i, j]) - np.tile(base, 3)
+        trees = np.tile(tree, 3)
+        put = np.full(len(at), NO_KEY, np.int32)
+        n = 2 * len(tree)
+        put[:n] = ranks.keyed(np.concatenate([symbol[h], new]), np.concatenate([new, symbol[k]]), at[:n])
+        at += width
+        node[trees + at] = put
+        for _ in range(width.bit_length() - 1):
+            at >>= 1
+            two = trees + 2 * at
+            node[trees + at] = np.minimum(node[two], node[two + 1])
+    left = (symbol >= 0) & (symbol < NO_ID)
+    return symbol[left], left.reshape(m, width).sum(1)
+
+
 def byte_letters() -> dict[int, str]:
     """The printable letter that stands for each byte in byte-level vocabularies."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -144,12 +221,16 @@ class Codec:
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         letters, numbers = _classes()
         self.pattern = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{SPACES}{letters}{numbers}]+")
-        self.letter = byte_letters()
-        self.new: dict[str, tuple] = {}
-        self.old: dict[str, tuple] = {}
-        self.new_words: dict[str, list[int]] = {}
-        self.old_words: dict[str, list[int]] = {}
-        self.room, self.word_room = CACHE_BYTES, CACHE_BYTES
+        self.ranks = Ranks(self.merges)
+        #: Ids of the 256 bytes, and of those that end a word; -1: not in the vocabulary.
+        letters = [c for _, c in sorted(byte_letters().items())]
+        self.byte_ids, self.end_ids = (np.array([self.vocab.get(c + end, -1) for c in letters], np.int32) for end in ("", self.end))
+        # no chunk holds a space
+        self.fixed = {" " + c: (np.int32(i).tobytes(), c) for c, i in self.special.items()}
+        self.new: dict[str, tuple[bytes, str]] = dict(self.fixed)
+        self.old: dict[str, tuple[bytes, str]] = {}
+        self.long: list[str] = []
+        self.room = CACHE_BYTES
 
     def normal(self, text: str) -> str:
         if not text.isascii():
@@ -158,56 +239,93 @@ class Codec:
                 return "".join(c.lower() for c in text)
         return text.lower()
 
-    def word(self, word: str) -> list[int]:
-        """Ids of one word, remembered apart from the chunks, as a word stands beside many punctuation marks."""
-        if (ids := self.old_words.get(word)) is None:
-            letters = [self.letter[b] for b in word.encode("utf-8", "surrogatepass")]
-            letters[-1] += self.end
-            ids = merged([self.vocab[x] for x in letters if x in self.vocab], self.merges)
-        if len(word) <= CACHED_CHARS:
-            self.word_room -= ENTRY_BYTES + len(word) + 8 * len(ids)
-            if self.word_room < 0:
-                self.old_words, self.new_words, self.word_room = self.new_words, {}, CACHE_BYTES
-            self.new_words[word] = ids
-        return ids
-
-    def chunk(self, chunk: str) -> tuple[bytes, str]:
-        """Ids (as int32 bytes) and decoded text of a chunk without white space; no word goes beyond one."""
-        if (got := self.old.get(chunk)) is None:
-            ids: list[int] = []
-            for word in self.pattern.findall(chunk):
-                ids += self.new_words.get(word) or self.word(word)
-            got = (np.array(ids, np.int32).tobytes(), self.decode(ids))
-        if len(chunk) <= CACHED_CHARS:
-            self.room -= ENTRY_BYTES + len(chunk) + len(got[0]) + len(got[1])
-            if self.room < 0:
-                self.old, self.new, self.room = self.new, {}, CACHE_BYTES
-            self.new[chunk] = got
-        return got
-
-    def parts(self, text: str) -> list[tuple[bytes, str]]:
-        """The chunks' ids and decoded texts, in order."""
-        done: list[tuple[bytes, str]] = []
+    def keep(self, key: str, got: tuple[bytes, str]) -> None:
+        self.new[key] = got
+        self.room -= ENTRY_BYTES + len(key) + len(got[0]) + len(got[1])
+        if len(key) > CACHED_CHARS:
+            self.long.append(key)
+
+    def turn(self) -> None:
+        """Forget what is too long, and the older generation when the newer one is full."""
+        for key in self.long:
+            self.new.pop(key, None)
+        self.long = []
+        if self.room < 0:
+            self.old, self.new, self.room = self.new, dict(self.fixed), CACHE_BYTES
+
+    def learn_words(self, words: list[str]) -> None:
+        for a in range(0, len(words), MOST_WORDS):
+            own = words[a : a + MOST_WORDS]
+            raw = [w.encode("utf-8", "surrogatepass") for w in own]
+            sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+            ends = np.cumsum(sizes)
+            data = np.frombuffer(b"".join(raw), np.uint8)
+            ids = self.byte_ids[data]
+            ids[ends - 1] = self.end_ids[data[ends - 1]]
+            if not (known := ids >= 0).all():
+                sizes, ids = np.add.reduceat(known, ends - sizes, dtype=np.int64), ids[known]
+            row_sizes, low = np.repeat(sizes, sizes), 0
+            for width in WIDTHS:
+                some = np.flatnonzero((sizes >= low) & (sizes <= width - 2))
+                if len(some):
+                    done, counts = merged_all(ids[(row_sizes >= low) & (row_sizes <= width - 2)], sizes[some], width, self.ranks)
+                    self.keep_all([own[x] for x in some.tolist()], done, counts)
+                low = width - 1
+            ends = np.cumsum(sizes)
+            for x in np.flatnonzero(sizes >= low).tolist():
+                done = np.array(merged(ids[ends[x] - sizes[x] : ends[x]].tolist(), self.merges), np.int32)
+                self.keep_all([own[x]], done, np.array([len(done)]))
+
+    def keep_all(self, words: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
+        """Remember the words' ids (as int32 bytes) and decoded texts. Without a decoder in the file tokens are joined by one space."""
+        data, tokens, a = ids.astype(np.int32).tobytes(), list(map(self.words.__getitem__, ids.tolist())), 0
+        for word, b in zip(words, np.cumsum(counts).tolist(), strict=True):
+            self.keep(word, (data[4 * a : 4 * b], " ".join(tokens[a:b])))
+            a = b
+
+    def unknown(self, keys: Iterable[str]) -> list[str]:
+        """The keys that are not remembered; those of the older generation go over to the newer one."""
+        find, none = self.old.get, []
+        for key in set(keys).difference(self.new):
+            if (got := find(key)) is None:
+                none.append(key)
+            else:
+                self.keep(key, got)
+        return none
+
+    def learn(self, chunks: Iterable[str]) -> None:
+        """Remember chunks without white space; no word goes beyond one, and a word alone is a chunk."""
+        words = {c: [c] if c.isalpha() else self.pattern.findall(c) for c in self.unknown(chunks)}
+        self.learn_words(self.unknown(chain.from_iterable(words.values())))
+        for chunk, own in words.items():
+            if len(own) > 1:
+                got = [self.new[w] for w in own]
+                self.keep(chunk, (b"".join([x[0] for x in got]), " ".join([x[1] for x in got if x[0]])))
+
+    def chunks(self, text: str) -> list[str]:
+        """The normalised chunks, in order; a special token has a space before it."""
+        done: list[str] = []
         for piece in self.split.split(text) if self.split and "<" in text else [text]:
             if piece in self.special:
-                done.append((np.int32(self.special[piece]).tobytes(), piece))
+                done.append(" " + piece)
             elif piece:
-                find, add = self.new.get, self.chunk
                 normal = self.normal(piece)
                 # split() also parts at four control characters that are no white space in Unicode
-                done += [find(c) or add(c) for c in (normal.split() if not CONTROLS.search(normal) else WHITE.split(normal)) if c]
+                done += normal.split() if not CONTROLS.search(normal) else [c for c in WHITE.split(normal) if c]
         return done
 
-    def encode(self, text: str | None) -> list[int]:
-        return self.both(text)[0].tolist()
-
-    def decode(self, ids: list[int]) -> str:
-        """Without a decoder in the file, tokens are joined by one space; so decoding word by word is the same."""
-        return " ".join([self.words[i] for i in ids if i in self.words])
+    def many(self, texts: list[str | None]) -> list[tuple[np.ndarray, str]]:
+        """Ids and decoded text of each text."""
+        lists, done = [self.chunks(t or "") for t in texts], []
+        self.learn(chain.from_iterable(lists))
+        for own in lists:
+            got = list(map(self.new.__getitem__, own))
+            done.append((np.frombuffer(b"".join([x[0] for x in got]), np.int32), " ".join([x[1] for x in got if x[0]])))
+        self.turn()
+        return done
 
-    def both(self, text: str | None) -> tuple[np.ndarray, str]:
-        done = self.parts(text or "")
-        return np.frombuffer(b"".join([x[0] for x in done]), np.int32), " ".join([x[1] for x in done if x[0]])
+    def encode(self, text: str | None) -> list[int]:
+        return self.many([text])[0][0].tolist()
 
 
 _codec: dict[int, Codec] = {}
@@ -248,7 +366,7 @@ def encode_decode(docs: DataFrame, path: str | None = None, text: str = "text")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _shared_codec(blob)
         for part in slices(batches, text):
-            done = [codec.both(t) for t in part.column(text).to_pylist()]
+            done = codec.many(part.column(text).to_pylist())
             sizes = np.cumsum([0, *(len(x[0]) for x in done)], dtype=np.int32)
             ids = pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate([x[0] for x in done])))
             yield pa.RecordBatch.from_arrays([*part.columns, ids, pa.array([x[1] for x in done], pa.string())], names=[*part.schema.names, "ids", "decoded"])

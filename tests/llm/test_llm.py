@@ -77,6 +77,25 @@ def test_bpe_tree_is_the_plain_loop():
         assert bpe.merged(ids, merges) == want
 
 
+def test_bpe_words_are_encoded_together(monkeypatch):
+    """Words of a slice grow in forests, side by side; a tree alone is left for words beyond the widest forest. All equal the library."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    rnd = random.Random(7)
+    words = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyzé") for _ in range(n)) for n in range(1, 46) for _ in range(20)]
+    codec, alone, plain = bpe.Codec(bpe.vocabulary()), [], bpe.merged
+    monkeypatch.setattr(bpe, "merged", lambda ids, merges: alone.append(len(ids)) or plain(ids, merges))
+    own = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    own.no_truncation()
+    own.no_padding()
+    texts = [" ".join(words), words[-1] + "x" * 62, "y" * 63, "z" * 500 + "!'s <|endoftext|><|ENDOFTEXT|> a\x1cb", "", None, "!'s 're'abc"]
+    for ask in ([codec.encode(t) for t in texts], [codec.encode(t) for t in texts]):
+        assert ask == [own.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert min(alone) == 63 and len(alone) < 8, alone
+    assert all(len(w) <= bpe.CACHED_CHARS for w in codec.new)
+
+
 def test_bpe_replaces_clashing_columns(spark):
     got = bpe.encode_decode(spark.createDataFrame([("x", 1)], "text string, IDS int"))
     assert got.columns == ["text", "ids", "decoded"]
