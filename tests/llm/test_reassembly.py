@@ -86,3 +86,14 @@ def test_close_by_an_empty_batch_and_an_empty_table(spark):
 def test_first_turn_of_a_salted_conversation(spark, turns):
     rows = reassembly.with_first(spark.createDataFrame([(1, t) for t in turns], "conv_id long, turn long")).collect()
     assert sorted(r["turn"] for r in rows) == sorted(turns) and {r["first"] for r in rows} == {min(turns)}
+
+
+def test_one_store_a_partition_and_equal_turns_of_a_batch(spark, monkeypatch, tmp_path):
+    """Each store that is opened costs an executor memory that does not come back, so a start opens one for a partition."""
+    monkeypatch.setattr(reassembly, "new_folder", lambda _, name: str(tmp_path / name))
+    monkeypatch.setattr(reassembly, "stored", lambda df, _: df)
+    schema = "conv_id long, turn long, first long, role string, payload string, batch int"
+    rows = [(1, 0, 0, "user", "user|b", 0), (1, 0, 0, "user", "user|a", 0), (1, 0, 0, "user", "user|A", 1), (1, 2, 0, "user", "user|c", 0), (1, 2, 0, "user", "user|d", 1), (1, 1, 0, "user", "user|e", 1), (None, 1, 1, "user", "user|x", 1)]
+    got = sorted(tuple(r) for r in reassembly.reassemble(spark.createDataFrame(rows, schema), batches=2).select("event", "turn", "batch", "payload", "n_missing", "n_breaks").collect())
+    assert got == [("close", -1, 2, None, 0, 2), ("release", 0, 0, "user|a", None, None), ("release", 1, 1, "user|e", None, None), ("release", 2, 1, "user|c", None, None)]
+    assert [p.name for p in (tmp_path / "turns" / "checkpoint" / "state").iterdir() if p.is_dir() and not p.name.startswith((".", "_"))] == ["0"]
